@@ -138,13 +138,17 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
 
 
 def approx_top_k(
-    queries: DataFrame, vectors: DataFrame, k: int = 10, dimension: int = 64, tables: int = 12, bits: int = 8, seed: int = 42
+    queries: DataFrame, vectors: DataFrame, k: int = 10, dimension: int = 64, tables: int = 24, bits: int | None = None,
+    seed: int = 42,
 ) -> DataFrame:
     """Approximate top-k: random-hyperplane buckets, then an exact re-rank of the candidates.
 
     A vector is a candidate of a query where they share the bucket of at least one hash table. Candidates are joined on
     (collection, table, bucket) with the vectors salted, so a bucket that holds a large share of all vectors is split.
+    ``bits`` (bucket fineness) follows the number of vectors unless given: about 64 vectors per bucket.
     """
+    if bits is None:
+        bits = int(min(24, max(3, np.log2(max(1, vectors.count()) / 64))))
     rng = np.random.default_rng(seed)
     planes = rng.standard_normal((tables, bits, dimension))
 
@@ -157,26 +161,31 @@ def approx_top_k(
         return hashed(embedding)
 
     salts = 16
-    q = _prepare_queries(queries).select(
-        "query_id", "collection", F.col("embedding").alias("q"), "entity_types",
-        F.posexplode(buckets(F.col("embedding"))).alias("t", "b"),
-    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    v = vectors.select(
-        "collection", "chunk_id", F.lower("entity_type").alias("entity_type"), F.col("embedding").alias("v"),
-        F.posexplode(buckets(F.col("embedding"))).alias("t", "b"),
-        F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int").alias("salt"),
+    q = (
+        _prepare_queries(queries)
+        .select("query_id", "collection", F.col("embedding").alias("q"), "entity_types", buckets(F.col("embedding")).alias("qb"))
+        .select("*", F.posexplode("qb").alias("t", "b"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    )
+    v = (
+        vectors.select(
+            "collection", "chunk_id", F.lower("entity_type").alias("entity_type"), F.col("embedding").alias("v"),
+            buckets(F.col("embedding")).alias("vb"), F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int").alias("salt"),
+        )
+        .select("*", F.posexplode("vb").alias("t", "b"))
     )
 
     @F.pandas_udf("double")
     def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(np.round((_unit(_matrix(a)) * _unit(_matrix(b))).sum(axis=1), RANK_DECIMALS))
 
-    joined = q.join(v, ["collection", "t", "b", "salt"]).filter(
-        F.col("entity_types").isNull() | (F.size("entity_types") == 0) | F.array_contains("entity_types", F.col("entity_type"))
-    )
-    # The first shared table emits the pair, so a pair found by several tables is scored once.
-    scored = joined.groupBy("query_id", "chunk_id").agg(F.first("q").alias("q"), F.first("v").alias("v")).select(
-        "query_id", "chunk_id", cosine("q", "v").alias("cosine")
+    # A pair that shares several buckets is kept only at the first of them, so it is scored once and needs no distinct.
+    first_shared = F.array_position(F.zip_with("qb", "vb", lambda x, y: x == y), True) == F.col("t") + 1
+    wanted = F.col("entity_types").isNull() | (F.size("entity_types") == 0) | F.array_contains("entity_types", F.col("entity_type"))
+    scored = (
+        q.join(v, ["collection", "t", "b", "salt"])
+        .filter(first_shared & wanted)
+        .select("query_id", "chunk_id", cosine("q", "v").alias("cosine"))
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(

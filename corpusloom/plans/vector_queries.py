@@ -15,7 +15,7 @@ _DIM = 32
 
 def hash_embedding_sql(text: str, dim: int) -> str:
     """SQL twin of the hash embedding for dimensions up to 32 (one digest)."""
-    digest = f"sha256(concat(encode({text}), '\\x00\\x00\\x00\\x00'::BLOB))"
+    digest = f"sha256(encode({text}) || '\\x00\\x00\\x00\\x00'::BLOB)"
     return (
         f"list_transform(range(0, {dim}), lambda i: CAST(('0x' || substr({digest}, CAST(2 * i + 1 AS BIGINT), 2)) AS INTEGER) / 127.5 - 1.0)"
     )
@@ -133,7 +133,7 @@ _INCOMING_SQL = b.VECTORS_SQL + """, incoming AS (
 @query("vector_upsert", "SNK1", f"""
 WITH {_INCOMING_SQL}, u AS (
   SELECT collection, chunk_id, embedding, version FROM vectors UNION ALL SELECT collection, chunk_id, embedding, version FROM incoming)
-SELECT collection, chunk_id, version, round(embedding[1], 5) AS first FROM u
+SELECT collection, chunk_id, version, round(CAST(embedding[1] AS DOUBLE), 5) AS first FROM u
 QUALIFY row_number() OVER (PARTITION BY collection, chunk_id ORDER BY version DESC) = 1""")
 def vector_upsert(spark, sf):
     merged = sink.merge_vectors(b.vectors(spark, sf).drop("vec_id"), _incoming(spark, sf).drop("vec_id"))
