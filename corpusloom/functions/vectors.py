@@ -7,6 +7,11 @@ from pyspark.sql import Column, functions as F
 DIGEST_BYTES = 32
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: a lambda would otherwise evaluate it for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def hash_embedding(text: Column, dimension: int = 384) -> Column:
     """Repeatable unit vector of a text from SHA-256 digests of the text and a 4-byte counter.
 
@@ -15,9 +20,12 @@ def hash_embedding(text: Column, dimension: int = 384) -> Column:
     raw = F.encode(text, "UTF-8")
     blocks = -(-dimension // DIGEST_BYTES)
     digests = F.concat(*[F.sha2(F.concat(raw, F.unhex(F.lit(f"{n:08x}"))), 256) for n in range(blocks)])
-    vector = F.transform(
-        F.sequence(F.lit(0), F.lit(dimension - 1)),
-        lambda i: F.conv(F.substr(digests, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / F.lit(127.5) - F.lit(1.0),
+    vector = bind(
+        digests,
+        lambda d: F.transform(
+            F.sequence(F.lit(0), F.lit(dimension - 1)),
+            lambda i: F.conv(F.substr(d, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / F.lit(127.5) - F.lit(1.0),
+        ),
     )
     return l2_normalize(vector)
 
@@ -34,15 +42,19 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit vector; a zero vector stays as it is."""
-    length = norm(v)
-    return F.when(length > 0, F.transform(v, lambda x: x.cast("double") / length)).otherwise(
-        F.transform(v, lambda x: x.cast("double"))
+    return bind(
+        v,
+        lambda u: bind(
+            norm(u),
+            lambda length: F.when(length > 0, F.transform(u, lambda x: x.cast("double") / length)).otherwise(
+                F.transform(u, lambda x: x.cast("double"))
+            ),
+        ),
     )
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
-    lengths = norm(a) * norm(b)
-    return F.when(lengths > 0, dot(a, b) / lengths).otherwise(F.lit(0.0))
+    return bind(norm(a) * norm(b), lambda n: F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0)))
 
 
 def similarity_score(cosine: Column) -> Column:

@@ -1,14 +1,16 @@
 """Lexical search for whole batches of queries.
 
-Chunks and queries meet through their terms, not as pairs: one pass over each chunk finds which vocabulary terms occur
-in its fields, those (chunk, term) hits are joined to the queries that ask for the term, and scores are summed per
-(query, chunk). Text is read once, whatever the number of queries, and is dropped before anything is shuffled.
+One pass over each chunk finds which vocabulary terms occur in its fields. A task turns an Arrow batch of chunks into a
+chunk-by-term matrix, multiplies it with the query-by-term matrix and hands on its best k chunks per query, so text is
+read once whatever the number of queries and the shuffle carries at most ``tasks * queries * k`` rows. The query terms
+are sent to the tasks only below a checked size; a larger set is joined to the (chunk, term) hits through a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -16,11 +18,14 @@ from corpusloom.functions.identifiers import core_tokens, expand_terms, split_id
 from corpusloom.functions.text import title_case
 
 MAX_VOCABULARY = 1_000_000
-MAX_BROADCAST_TERMS = 1_000_000
+MAX_QUERY_TERMS = 1_000_000
+QUERY_BLOCK = 256
+CHUNK_BLOCK = 512
 TYPE_HINTS = ("function", "class", "method", "interface")
 TYPE_PRIORITY = {"function": 3, "method": 3, "class": 2, "interface": 2, "type_alias": 1, "file_module": 0}
 
-_FIELDS = "struct<sig:array<string>,doc:array<string>,body:array<string>,dec:array<string>,dec_no:array<int>>"
+SIGNATURE, DOCSTRING, BODY = 1, 2, 4
+_FOUND = "array<struct<term:string,mask:int,dec_no:int>>"
 _META = (
     "repo", "file_path", "entity_name", "entity_type", "language", "start_line", "end_line", "signature", "docstring",
     "parent", "tokens_estimate",
@@ -37,20 +42,25 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def _field_terms(terms: list[str]):
-    """Arrow UDF: which terms occur as substrings of each text field, found in one pass over the text."""
+    """Arrow UDF: the terms that occur as substrings of the text fields, each with a field mask, in one pass per text."""
 
-    @F.pandas_udf(_FIELDS)
-    def find(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(_FOUND)
+    def find(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         occurring = _matcher(terms)
         for sig, doc, body, decorators in parts:
-            rows = []
+            out = []
             for s, d, t, decs in zip(sig, doc, body, decorators):
+                mask: dict[str, int] = {}
                 first: dict[str, int] = {}
+                for bit, text in ((SIGNATURE, s), (DOCSTRING, d), (BODY, t)):
+                    for term in occurring(text):
+                        mask[term] = mask.get(term, 0) | bit
                 for i, text in enumerate(decs if decs is not None else ()):
                     for term in occurring(text):
+                        mask.setdefault(term, 0)
                         first.setdefault(term, i)
-                rows.append((occurring(s), occurring(d), occurring(t), list(first), list(first.values())))
-            yield pd.DataFrame(rows, columns=["sig", "doc", "body", "dec", "dec_no"])
+                out.append([{"term": k, "mask": m, "dec_no": first.get(k)} for k, m in mask.items()])
+            yield pd.Series(out)
 
     return find
 
@@ -66,62 +76,66 @@ def _matcher(terms: list[str]):
     if not terms:
         return lambda text: []
     automaton.make_automaton()
-    return lambda text: sorted({t for _, t in automaton.iter(text)}) if text else []
+    return lambda text: {t for _, t in automaton.iter(text)} if text else ()
 
 
 def _chunk_hits(chunks: DataFrame, terms: list[str], with_tokens: bool) -> DataFrame:
-    """Rows ``(chunk_id, meta, term, flags…)`` for the terms found in each chunk; the text columns are gone."""
+    """Rows ``(chunk_id, meta, decorators, hits)`` with the terms found in each chunk; the text columns are gone."""
     none = F.array().cast("array<string>")
-    name_tokens = split_identifier(F.col("entity_name"))
-    parent_tokens = split_identifier(F.coalesce("parent", F.lit("")))
-    path_tokens = F.split(F.lower("file_path"), r"[/\\_\-.]+")
-    kind = F.lower("entity_type")
     found = chunks.select(
         "chunk_id",
         F.struct(*_META).alias("meta"),
-        F.lower("entity_name").alias("name"), name_tokens.alias("name_tokens"), parent_tokens.alias("parent_tokens"),
-        path_tokens.alias("path_tokens"), kind.alias("kind"), "decorators",
+        "decorators",
+        F.lower("entity_name").alias("name"),
+        split_identifier(F.col("entity_name")).alias("name_tokens"),
+        split_identifier(F.coalesce("parent", F.lit(""))).alias("parent_tokens"),
+        F.split(F.lower("file_path"), r"[/\\_\-.]+").alias("path_tokens"),
+        F.lower("entity_type").alias("kind"),
         _field_terms(terms)(
             F.lower(F.coalesce("signature", F.lit(""))), F.lower(F.coalesce("docstring", F.lit(""))),
             F.lower("code_content"), F.transform(F.coalesce("decorators", none), F.lower),
-        ).alias("f"),
+        ).alias("found"),
+    )
+    own = F.array_distinct(F.concat(F.array("name"), "name_tokens", "parent_tokens", "path_tokens", F.array("kind")))
+    # Own tokens not found in a text field join with an empty mask; those outside the vocabulary drop out in the join.
+    extra = F.transform(
+        F.array_except(own, F.transform("found", lambda h: h["term"])) if with_tokens else none,
+        lambda t: F.struct(t.alias("term"), F.lit(0).alias("mask"), F.lit(None).cast("int").alias("dec_no")),
     )
-    own = F.concat(F.array("name"), "name_tokens", "parent_tokens", "path_tokens", F.array("kind"))
-    every = F.array_distinct(F.concat("f.sig", "f.doc", "f.body", "f.dec", own if with_tokens else none))
 
-    def hit(t: Column) -> Column:
-        at = F.array_position("f.dec", t)
+    def flagged(h: Column) -> Column:
+        t = h["term"]
         own_flag = (lambda c: c) if with_tokens else (lambda c: F.lit(False))
+        in_name = F.array_contains("name_tokens", t)
         return F.struct(
             t.alias("term"),
             own_flag(F.col("name") == t).alias("exact"),
-            F.array_contains("name_tokens", t).alias("in_name"),
+            in_name.alias("in_name"),
             own_flag(F.array_contains("parent_tokens", t)).alias("in_parent"),
             own_flag(F.array_contains("path_tokens", t)).alias("in_path"),
-            F.array_contains("f.sig", t).alias("in_sig"),
-            F.array_contains("f.doc", t).alias("in_doc"),
-            F.array_contains("f.body", t).alias("in_body"),
-            F.when(at > 0, F.get("f.dec_no", (at - 1).cast("int"))).alias("dec_no"),
+            (h["mask"].bitwiseAND(SIGNATURE) > 0).alias("in_sig"),
+            (h["mask"].bitwiseAND(DOCSTRING) > 0).alias("in_doc"),
+            (h["mask"].bitwiseAND(BODY) > 0).alias("in_body"),
+            h["dec_no"].alias("dec_no"),
             own_flag(t.isin(*TYPE_HINTS) & (F.col("kind") == t)).alias("hint"),
         )
 
-    compact = found.select("chunk_id", "meta", "decorators", F.transform(every, hit).alias("hits"))
-    return compact
+    return found.select("chunk_id", "meta", "decorators", F.transform(F.concat("found", extra), flagged).alias("hits"))
 
 
 def _sum(condition: Column) -> Column:
     return F.sum(F.when(condition, F.lit(1)).otherwise(F.lit(0)))
 
 
-def score_chunks(queries: DataFrame, chunks: DataFrame, max_vocabulary: int = MAX_VOCABULARY) -> DataFrame:
-    """``(query_id, chunk_id, meta, decorators, score, n_…, matches)`` of every pair that scores above zero."""
+def score_by_join(queries: DataFrame, chunks: DataFrame, max_vocabulary: int = MAX_VOCABULARY) -> DataFrame:
+    """``(query_id, chunk_id, meta, decorators, score, n_…, matches)`` of every pair that scores above zero.
+
+    The form for query sets too large to send to the tasks: hits and query terms meet in a join on the term (AQE splits
+    hot terms), and a vocabulary above ``max_vocabulary`` is searched in parts.
+    """
     terms = query_terms(queries)
     vocabulary = terms.select("term").distinct()
     size = vocabulary.count()
-    if terms.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS:
-        asked = F.broadcast(terms)
-    else:
-        asked = terms
     parts = max(1, -(-size // max_vocabulary))
     pieces = []
     for part in range(parts):
@@ -130,13 +144,12 @@ def score_chunks(queries: DataFrame, chunks: DataFrame, max_vocabulary: int = MA
     hits = pieces[0]
     for piece in pieces[1:]:
         hits = hits.unionByName(piece)
-    # Hashing the compact rows by chunk makes the aggregation below local: its keys start with the chunk.
-    rows = hits.repartition("chunk_id").select("chunk_id", "meta", "decorators", F.inline("hits"))
+    rows = hits.select("chunk_id", "meta", "decorators", F.inline("hits"))
     scope = [F.col("c.meta.repo") == F.col("t.repo")] if "repo" in queries.columns else []
     on = F.col("c.term") == F.col("t.term")
     for condition in scope:
         on = on & condition
-    joined = rows.alias("c").join(asked.alias("t"), on)
+    joined = rows.alias("c").join(terms.alias("t"), on)
     if "entity_types" in queries.columns:
         kinds = F.transform("t.entity_types", F.lower)
         joined = joined.filter(
@@ -239,19 +252,194 @@ def explanation(meta: Column, reasons: Column) -> Column:
     )
 
 
-def lexical_search(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
+_MATCH = (
+    "array<struct<term:string,exact:boolean,in_name:boolean,in_parent:boolean,in_path:boolean,in_sig:boolean,"
+    "in_doc:boolean,in_body:boolean,hint:boolean>>"
+)
+_FLAGS = ("exact", "in_name", "in_parent", "in_path", "in_sig", "in_doc", "in_body", "hint")
+_COUNTS = ("n_exact", "n_concept", "n_name", "n_parent", "n_path", "n_sig", "n_doc", "n_body", "n_hint")
+_META_COLUMNS = (
+    "repo string, file_path string, entity_name string, entity_type string, language string, start_line int, "
+    "end_line int, signature string, docstring string, parent string, tokens_estimate int"
+)
+
+
+class _QueryBlock:
+    """Query-by-term matrices of at most ``QUERY_BLOCK`` queries over their own vocabulary."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.ids = rows["query_id"].drop_duplicates().to_numpy()
+        self.terms = sorted(set(rows["term"]))
+        self.column = {t: i for i, t in enumerate(self.terms)}
+        at = {q: i for i, q in enumerate(self.ids)}
+        r, c = rows["query_id"].map(at).to_numpy(), rows["term"].map(self.column).to_numpy()
+        self.asks = np.zeros((len(self.ids), len(self.terms)), dtype=np.float32)
+        self.core = np.zeros_like(self.asks)
+        self.asks[r, c] = 1
+        self.core[r, c] = rows["is_core"].to_numpy()
+        first = rows.drop_duplicates("query_id")
+        self.repos = first["repo"].tolist() if "repo" in rows else [None] * len(first)
+        kinds = first["entity_types"].tolist() if "entity_types" in rows else [None] * len(first)
+        self.kinds = [None if k is None or len(k) == 0 else {x.lower() for x in k} for k in kinds]
+
+    def marks(self, token_lists) -> np.ndarray:
+        out = np.zeros((len(token_lists), len(self.terms)), dtype=np.float32)
+        for i, tokens in enumerate(token_lists):
+            for t in tokens:
+                j = self.column.get(t)
+                if j is not None:
+                    out[i, j] = 1
+        return out
+
+
+def _score_block(q: _QueryBlock, batch: pd.DataFrame, found: dict[str, list]) -> tuple[np.ndarray, dict, dict, np.ndarray]:
+    """Scores (chunks by queries) of one chunk batch, with the flag and count matrices behind them."""
+    name = q.marks(batch["name_tokens"])
+    flags = {
+        "exact": q.marks([[n] for n in batch["name"]]),
+        "in_name": name,
+        "in_parent": q.marks(batch["parent_tokens"]),
+        "in_path": q.marks(batch["path_tokens"]),
+        "in_sig": q.marks(found["sig"]) * (1 - name),
+        "in_doc": q.marks(found["doc"]),
+        "in_body": q.marks(found["body"]) * (1 - name),
+        "hint": q.marks([[k] if k in TYPE_HINTS else [] for k in batch["kind"]]),
+    }
+    decorated = q.marks([d.keys() for d in found["dec"]])
+    n = {
+        "n_exact": flags["exact"] @ q.core.T,
+        "n_concept": flags["exact"] @ q.asks.T,
+        **{f"n_{f}": flags[f"in_{f}"] @ q.asks.T for f in ("name", "parent", "path", "sig", "doc", "body")},
+        "n_hint": flags["hint"] @ q.core.T,
+    }
+    any_decorator = (decorated @ q.asks.T) > 0
+    exact = n["n_exact"] > 0
+    score = (
+        np.where(exact, 10.0, np.where(n["n_concept"] > 0, 8.0, 0.0)) + np.where(exact, 0.0, 5.0 * n["n_name"])
+        + 4.0 * n["n_parent"] + 3.5 * np.minimum(2, n["n_path"]) + 3.0 * (n["n_sig"] > 0)
+        + 2.5 * np.minimum(2, n["n_doc"]) + 2.0 * any_decorator + np.minimum(3.0, n["n_body"]) + 2.0 * n["n_hint"]
+    )
+    repos, kinds = batch["repo"].to_numpy(), batch["kind"].to_numpy()
+    for j, (repo, wanted) in enumerate(zip(q.repos, q.kinds)):
+        if repo is not None:
+            score[repos != repo, j] = 0
+        if wanted is not None:
+            score[~np.isin(kinds, list(wanted)), j] = 0
+    return score, flags, n, any_decorator
+
+
+def _best_of_batch(q: _QueryBlock, batch: pd.DataFrame, found: dict[str, list], k: int) -> list[dict]:
+    score, flags, n, any_decorator = _score_block(q, batch, found)
+    ids, tokens = batch["chunk_id"].to_numpy().astype(str), batch["tokens_estimate"].to_numpy()
+    priority = np.array([TYPE_PRIORITY.get(t, 1) for t in batch["entity_type"]])
+    rows = []
+    for j, query_id in enumerate(q.ids):
+        hit = np.flatnonzero(score[:, j] > 0)
+        if len(hit) > k:
+            line = score[hit, j]
+            hit = hit[line >= np.partition(line, len(line) - k)[len(line) - k]]
+        hit = hit[np.lexsort((ids[hit], tokens[hit], -priority[hit], -score[hit, j]))][:k]
+        terms = np.flatnonzero(q.asks[j])
+        for i in hit:
+            rows.append({
+                "key": (-score[i, j], -priority[i], tokens[i], ids[i]), "query_id": query_id, "row": batch.iloc[i],
+                "score": float(score[i, j]), "counts": {c: int(n[c][i, j]) for c in _COUNTS},
+                "dec_no": min((found["dec"][i][q.terms[t]] for t in terms if q.terms[t] in found["dec"][i]), default=None)
+                if any_decorator[i, j] else None,
+                "terms": [q.terms[t] for t in terms], "core": q.core[j, terms] > 0,
+                "flags": {f: flags[f][i, terms] > 0 for f in _FLAGS},
+            })
+    return rows
+
+
+def _emit_hits(best: dict) -> pd.DataFrame:
+    out = []
+    for hits in best.values():
+        for h in hits:
+            hint = h["flags"]["hint"] & h["core"]
+            matches = [
+                {"term": t, **{f: bool(h["flags"][f][x]) for f in _FLAGS[:-1]}, "hint": bool(hint[x])}
+                for x, t in enumerate(h["terms"]) if any(h["flags"][f][x] for f in _FLAGS)
+            ]
+            row = h["row"]
+            out.append({
+                "query_id": h["query_id"], "chunk_id": row["chunk_id"], "score": h["score"], **h["counts"],
+                "dec_no": h["dec_no"], "matches": matches, "decorators": row["decorators"], **{c: row[c] for c in _META},
+            })
+    return pd.DataFrame(out)
+
+
+def score_by_matrix(queries: DataFrame, chunks: DataFrame, k: int, terms: pd.DataFrame) -> DataFrame:
+    """The best k chunks per query of every task, in the columns of ``score_by_join``."""
+    ids = terms["query_id"].drop_duplicates().to_numpy()
+    groups = {q: i // QUERY_BLOCK for i, q in enumerate(ids)}
+    shared = queries.sparkSession.sparkContext.broadcast(
+        [rows for _, rows in terms.groupby(terms["query_id"].map(groups), sort=True)]
+    )
+    none = F.array().cast("array<string>")
+    prepared = chunks.select(
+        "chunk_id", *_META, F.coalesce("decorators", none).alias("decorators"),
+        F.lower("entity_name").alias("name"), F.lower("entity_type").alias("kind"),
+        split_identifier(F.col("entity_name")).alias("name_tokens"),
+        split_identifier(F.coalesce("parent", F.lit(""))).alias("parent_tokens"),
+        F.split(F.lower("file_path"), r"[/\\_\-.]+").alias("path_tokens"),
+        F.lower(F.coalesce("signature", F.lit(""))).alias("sig_text"),
+        F.lower(F.coalesce("docstring", F.lit(""))).alias("doc_text"),
+        F.lower("code_content").alias("body_text"),
+        F.transform(F.coalesce("decorators", none), F.lower).alias("dec_text"),
+    )
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocks = [_QueryBlock(rows) for rows in shared.value]
+        occurring = _matcher(sorted({t for b in blocks for t in b.terms}))
+        best: dict = {}
+        for whole in batches:
+            for at in range(0, len(whole), CHUNK_BLOCK):
+                batch = whole.iloc[at : at + CHUNK_BLOCK]
+                found = {
+                    "sig": [occurring(t) for t in batch["sig_text"]],
+                    "doc": [occurring(t) for t in batch["doc_text"]],
+                    "body": [occurring(t) for t in batch["body_text"]],
+                    "dec": [
+                        {term: i for i, t in reversed(list(enumerate(decs))) for term in occurring(t)}
+                        for decs in batch["dec_text"]
+                    ],
+                }
+                for block in blocks:
+                    for hit in _best_of_batch(block, batch, found, k):
+                        best.setdefault(hit["query_id"], []).append(hit)
+                best = {q: sorted(hits, key=lambda h: h["key"])[:k] for q, hits in best.items()}
+        if best:
+            yield _emit_hits(best)
+
+    counts = ", ".join(f"{c} int" for c in _COUNTS)
+    schema = (
+        f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id string, score double, {counts}, dec_no int, "
+        f"matches {_MATCH}, decorators array<string>, {_META_COLUMNS}"
+    )
+    hits = prepared.mapInPandas(search, schema)
+    return hits.withColumn("meta", F.struct(*_META)).drop(*_META)
+
+
+def lexical_search(
+    queries: DataFrame, chunks: DataFrame, k: int = 10, max_query_terms: int = MAX_QUERY_TERMS
+) -> DataFrame:
     """Unified hits: the k best chunks per query with reasons and an explanation.
 
     Ranked by score, then entity type, then fewer tokens, then chunk id. Reasons are built for the ranked hits only.
     """
+    terms = query_terms(queries)
+    if terms.limit(max_query_terms + 1).count() <= max_query_terms:
+        scored = score_by_matrix(queries, chunks, k, terms.toPandas())
+    else:
+        scored = score_by_join(queries, chunks)
     kinds = F.create_map(*[x for n, p in TYPE_PRIORITY.items() for x in (F.lit(n), F.lit(p))])
     priority = F.coalesce(F.try_element_at(kinds, F.col("meta.entity_type")), F.lit(1))
     order = Window.partitionBy("query_id").orderBy(
         F.desc("score"), F.desc("_priority"), F.col("meta.tokens_estimate"), "chunk_id"
     )
     ranked = (
-        score_chunks(queries, chunks)
-        .withColumn("_priority", priority)
+        scored.withColumn("_priority", priority)
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
         .withColumn("reasons", _reasons())

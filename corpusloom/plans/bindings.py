@@ -14,8 +14,18 @@ from corpusloom.sources import corpus as src
 VECTOR_COLLECTIONS = 4
 
 
+# Text-heavy tables and the key their rows are spread by when the table comes in too few files.
+_SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. A text table in fewer files than there are cores is one row group, hence one task, per file; its
+    rows are spread by id before the text work. A table in many files is read as it is, without that shuffle."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _SPREAD_KEYS and len(df.inputFiles()) < cores:
+        return df.repartition(cores, _SPREAD_KEYS[name])
+    return df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

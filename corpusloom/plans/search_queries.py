@@ -95,6 +95,15 @@ def lexical_topk(spark, sf):
     return lexical.lexical_search(queries(spark, sf), chunks(spark, sf), 10).select("query_id", "rank", "chunk_id", "score")
 
 
+@query("lexical_topk_join", "SRCH1 SRCH2 SET5", f"""
+WITH {_LEX_SQL}
+SELECT query_id, rank, chunk_id, score FROM lex WHERE rank <= 10""")
+def lexical_topk_join(spark, sf):
+    """The shuffled form that large query sets take, forced by a zero term budget."""
+    hits = lexical.lexical_search(queries(spark, sf), chunks(spark, sf), 10, max_query_terms=0)
+    return hits.select("query_id", "rank", "chunk_id", "score")
+
+
 @query("lexical_reasons", "STR17", f"""
 WITH {_LEX_SQL}, p AS (
   SELECT query_id, chunk_id, list(term ORDER BY term) FILTER (WHERE in_path) AS paths, list(term ORDER BY term) FILTER (WHERE in_name) AS names,
