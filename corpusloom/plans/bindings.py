@@ -98,7 +98,7 @@ VECTORS_SQL = """vectors AS (
 PY_MODULE = '''"""Module {k} of the service."""
 import os
 import json as js
-from app.m{k10} import load_{k10}
+from app.m{k10} import login_{k10}
 from .m{k20} import helper_{k20}, other_{k20}
 from fastapi import APIRouter
 
@@ -122,7 +122,7 @@ class Service{k}(Base):
 
 
 @router.get("/items/{k}")
-async def load_{k}(name: str, limit=10) -> dict:
+async def login_{k}(name: str, limit=10) -> dict:
     """Load items."""
     try:
         return helper_{k20}(name)
@@ -135,6 +135,13 @@ def _verify_{k}(value):
     digest = hashlib.md5(value)
     cursor.execute("SELECT a FROM t WHERE id = %s" % value)
     requests.get(value, verify=False)
+    data = pickle.loads(value)
+    conf = yaml.load(value)
+    safe = yaml.load(value, Loader=yaml.SafeLoader)
+    os.system("ls")
+    exec(value)
+    ctx = ssl._create_unverified_context()
+    key = hashlib.sha1(value, usedforsecurity=False)
     return subprocess.run(value, shell=True)
 
 
