@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions import text
+from corpusloom.functions.rows import where_computed
 from corpusloom.operators import extract, lines
 
 
@@ -25,5 +26,5 @@ def entity_chunks(entities: DataFrame) -> DataFrame:
 
 def chunk_corpus(files: DataFrame) -> DataFrame:
     """Chunks of files from ``extract.with_declarations``."""
-    bare = files.filter(~extract.has_entities(files))
+    bare = where_computed(files, ~extract.has_entities(files))
     return entity_chunks(extract.entities(files)).unionByName(lines.fallback_chunks(bare))

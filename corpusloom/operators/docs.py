@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions import text
+from corpusloom.functions.rows import explode_rows
 from corpusloom.functions.text import strip
 
 MAX_ROUTES, MAX_SYMBOLS, MAX_ENV_VARS = 40, 50, 25
@@ -59,7 +60,7 @@ def markdown_outline(docs: DataFrame, column: str = "text") -> DataFrame:
 
 def markdown_sections(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """``(key, section_no, title, content)``."""
-    return markdown_outline(docs, column).select(key, F.inline("sections"))
+    return explode_rows(markdown_outline(docs, column), "sections", "s", key).select(key, "s.*")
 
 
 def _ranked(df: DataFrame, order: list[Column], limit: int) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions import paths
+from corpusloom.functions.rows import explode_rows, posexplode_rows
 from corpusloom.functions.text import strip
 from corpusloom.functions.vectors import bind
 from corpusloom.operators import lines as line_ops
@@ -195,7 +196,7 @@ def declaration_rows(files: DataFrame) -> DataFrame:
     outer = F.try_element_at(
         F.filter("decls", lambda e: (e["n"] < F.col("d.n")) & (F.col("d.n") <= e["end"]) & (e["ind"] < F.col("d.ind"))), F.lit(-1)
     )
-    return files.select("*", F.explode("decls").alias("d")).select(
+    return explode_rows(files, "decls", "d", "*").select(
         "repo", "path", "language", n.alias("start_line"), end.alias("end_line"), F.col("d.ind").alias("indent"),
         F.col("d.kind").alias("kind"), F.col("d.name").alias("name"),
         F.array_join(F.slice("lines", n, sig_end - n + 1), "\n").alias("header"),
@@ -379,9 +380,10 @@ def python_variables(files: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     none = F.lit(None).cast("string")
     return (
-        files.filter(F.col("language") == "Python")
-        .select("repo", "path", "language", "lines", F.explode(_variable_marks(F.col("lines"), F.col("labels"))).alias("v"))
-        .select(
+        explode_rows(
+            files.filter(F.col("language") == "Python"), _variable_marks(F.col("lines"), F.col("labels")), "v",
+            "repo", "path", "language", "lines",
+        ).select(
             "repo", "path", name.alias("name"), F.lit("variable").alias("type"), F.col("v.n").alias("start_line"),
             end.alias("end_line"),
             F.when(is_assign, F.concat(name, F.lit(" = ..."))).otherwise(F.concat(name, F.lit(": "), kind)).alias("signature"),
@@ -407,18 +409,17 @@ def imports(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     numbered = F.transform(
         "lines", lambda x, i: F.struct((i + 1).cast("int").alias("n"), x.alias("x"), F.substr("labels", i + 1, F.lit(1)).alias("label"))
     )
-    rows = files.select(
-        "repo", "path", "language", "lines", *keep,
-        F.explode(F.filter(numbered, lambda r: (r["label"] == "c") & r["x"].rlike(IMPORT_LINE))).alias("r"),
-    ).select("repo", "path", "language", *keep, F.col("r.n").alias("line_number"), F.array_join(F.slice("lines", F.col("r.n"), HEADER_LINES), "\n").alias("x"))
+    marks = F.filter(numbered, lambda r: (r["label"] == "c") & r["x"].rlike(IMPORT_LINE))
+    rows = explode_rows(files, marks, "r", "repo", "path", "language", "lines", *keep).select("repo", "path", "language", *keep, F.col("r.n").alias("line_number"), F.array_join(F.slice("lines", F.col("r.n"), HEADER_LINES), "\n").alias("x"))
     x = F.col("x")
     listed = F.transform(
         F.filter(F.split(F.regexp_replace(F.regexp_extract(x, r"^import\s+([^\n#;]+)", 1), r"\\", ""), ","), lambda p: strip(p) != ""), strip
     )
     plain = (
-        rows.filter((F.col("language") == "Python") & x.rlike(r"^import\s"))
-        .select("repo", "path", "line_number", "language", *keep, F.explode(listed).alias("p"))
-        .select(
+        explode_rows(
+            rows.filter((F.col("language") == "Python") & x.rlike(r"^import\s")), listed, "p",
+            "repo", "path", "line_number", "language", *keep,
+        ).select(
             "repo", "path", F.regexp_extract("p", r"^([\w.]+)", 1).alias("module"),
             F.array(F.regexp_extract("p", r"^([\w.]+)", 1)).alias("imported_names"),
             F.nullif(F.regexp_extract("p", r"\sas\s+(\w+)", 1), F.lit("")).alias("alias"), F.lit(False).alias("is_relative"),
@@ -445,10 +446,8 @@ def imports(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """Links of web pages in the imports schema: one row per ``href`` in page order."""
-    return pages.select(
-        "page_id", F.col("url").alias("path"),
-        F.posexplode(F.regexp_extract_all("html", F.lit(r"<a\s[^>]*href=\"([^\"]+)\""), F.lit(1))).alias("pos", "module"),
-    )
+    links = F.regexp_extract_all("html", F.lit(r"<a\s[^>]*href=\"([^\"]+)\""), F.lit(1))
+    return posexplode_rows(pages, links, "pos", "module", "page_id", F.col("url").alias("path"))
 
 
 PY_ROUTE = r"(?i)@(?:router|app)\.(get|post|put|delete|patch|options|head)\(\s*[\"']([^\"']+)[\"']"
@@ -462,7 +461,7 @@ def routes(files: DataFrame) -> DataFrame:
     python = F.col("language") == "Python"
     pattern = lambda x: F.when(python, x.rlike(PY_ROUTE)).otherwise(x.rlike(JS_ROUTE))
     numbered = F.transform("lines", lambda x, i: F.struct((i + 1).cast("int").alias("n"), x.alias("x")))
-    found = files.select("repo", "path", "language", "lines", F.explode(F.filter(numbered, lambda r: pattern(r["x"]))).alias("r"))
+    found = explode_rows(files, F.filter(numbered, lambda r: pattern(r["x"])), "r", "repo", "path", "language", "lines")
     x = F.col("r.x")
     after = F.array_join(F.slice("lines", F.col("r.n") + 1, HANDLER_LINES), "\n")
     handler = F.coalesce(F.nullif(F.regexp_extract(after, HANDLER, 1), F.lit("")), F.lit("handler"))
@@ -498,9 +497,9 @@ def env_vars(files: DataFrame, limit: int = 25) -> DataFrame:
     found = F.concat(
         F.regexp_extract_all("content", F.lit(ENV_VAR), F.lit(1)), F.regexp_extract_all("content", F.lit(ENV_VAR), F.lit(2))
     )
+    wanted = files.filter(paths.suffix(F.col("path")).isin(*ENV_EXTENSIONS) & ~paths.in_ignored_dir(F.col("path"), "docs"))
     names = (
-        files.filter(paths.suffix(F.col("path")).isin(*ENV_EXTENSIONS) & ~paths.in_ignored_dir(F.col("path"), "docs"))
-        .select("repo", F.explode(F.array_distinct(found)).alias("name"))
+        explode_rows(wanted, F.array_distinct(found), "name", "repo")
         .filter((F.col("name") != "") & ~F.col("name").startswith("_"))
         .distinct()
     )

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.identifiers import core_tokens, expand_terms, split_identifier
+from corpusloom.functions.rows import explode_rows
 from corpusloom.functions.text import title_case
 
 MAX_VOCABULARY = 1_000_000
@@ -36,9 +37,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
     """``(query_id, term, is_core)`` (and ``repo`` or ``entity_types`` where the queries carry them)."""
     extra = [c for c in ("repo", "entity_types") if c in queries.columns]
     core = queries.select("query_id", *extra, core_tokens(F.col("text")).alias("core"))
-    return core.select(
-        "query_id", *extra, "core", F.explode(expand_terms(F.col("core"))).alias("term")
-    ).select("query_id", *extra, "term", F.array_contains("core", F.col("term")).alias("is_core"))
+    return explode_rows(core, expand_terms(F.col("core")), "term", "query_id", *extra, "core").select("query_id", *extra, "term", F.array_contains("core", F.col("term")).alias("is_core"))
 
 
 def _field_terms(terms: list[str]):
@@ -144,7 +143,7 @@ def score_by_join(queries: DataFrame, chunks: DataFrame, max_vocabulary: int = M
     hits = pieces[0]
     for piece in pieces[1:]:
         hits = hits.unionByName(piece)
-    rows = hits.select("chunk_id", "meta", "decorators", F.inline("hits"))
+    rows = explode_rows(hits, "hits", "h", "chunk_id", "meta", "decorators").select("chunk_id", "meta", "decorators", "h.*")
     scope = [F.col("c.meta.repo") == F.col("t.repo")] if "repo" in queries.columns else []
     on = F.col("c.term") == F.col("t.term")
     for condition in scope:

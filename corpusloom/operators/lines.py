@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import text
+from corpusloom.functions.rows import explode_rows, posexplode_rows
 from corpusloom.functions.text import strip
 
 BRACE_LANGUAGES = ("javascript", "typescript", "c", "cpp", "csharp", "java", "go")
@@ -19,7 +20,7 @@ FALLBACK_CHUNK_LINES = 300
 
 def explode_lines(files: DataFrame) -> DataFrame:
     """``(repo, path, line_no, line)`` with Python ``splitlines`` semantics; needs the ``lines`` array."""
-    return files.select("repo", "path", F.posexplode("lines").alias("_pos", "line")).select(
+    return posexplode_rows(files, "lines", "_pos", "line", "repo", "path").select(
         "repo", "path", (F.col("_pos") + 1).alias("line_no"), "line"
     )
 
@@ -105,7 +106,7 @@ def line_classes(files: DataFrame) -> DataFrame:
         F.filter(F.split(F.col("labels"), ""), lambda x: x != ""),
         lambda x: F.when(x == "b", F.lit("blank")).when(x == "m", F.lit("comment")).otherwise(F.lit("code")),
     )
-    zipped = labelled.select("repo", "path", F.posexplode(F.arrays_zip("lines", kinds.alias("kinds"))).alias("_pos", "_l"))
+    zipped = posexplode_rows(labelled, F.arrays_zip("lines", kinds.alias("kinds")), "_pos", "_l", "repo", "path")
     return zipped.select(
         "repo", "path", (F.col("_pos") + 1).alias("line_no"), F.col("_l")["lines"].alias("line"),
         F.col("_l")["kinds"].alias("kind"),
@@ -150,7 +151,7 @@ def normalized_lines(lines: Column) -> Column:
 
 def normalized_line_table(files: DataFrame) -> DataFrame:
     """``(repo, path, n, line_no, line)`` of the lines that count for duplicate detection."""
-    exploded = files.select("repo", "path", F.posexplode(normalized_lines(F.col("lines"))).alias("_pos", "_s"))
+    exploded = posexplode_rows(files, normalized_lines(F.col("lines")), "_pos", "_s", "repo", "path")
     return exploded.select(
         "repo", "path", (F.col("_pos") + 1).alias("n"), F.col("_s")["n"].alias("line_no"), F.col("_s")["t"].alias("line")
     )
@@ -204,15 +205,12 @@ def block_occurrences(files: DataFrame, block: int = BLOCK_LINES) -> DataFrame:
             F.substring(F.get(norm, i - 1)["t"], 1, SAMPLE_CHARS).alias("sample"),
         ),
     )
-    return (
-        files.select("repo", "path", normalized_lines(F.col("lines")).alias("_norm"))
-        .filter(F.size("_norm") >= block)
-        .select("repo", "path", windows.alias("_w"))
-        .select("repo", "path", F.explode(_suppress_overlaps(F.col("_w"), block)).alias("_b"))
-        .select(
-            "repo", "path", F.col("_b")["h"].alias("block_hash"), F.col("_b")["s"].alias("start_line"),
-            F.col("_b")["e"].alias("end_line"), F.col("_b")["sample"].alias("sample"),
-        )
+    hashed = files.select("repo", "path", normalized_lines(F.col("lines")).alias("_norm")).select(
+        "repo", "path", F.when(F.size(norm) >= block, windows).alias("_w")
+    )
+    return explode_rows(hashed, _suppress_overlaps(F.col("_w"), block), "_b", "repo", "path").select(
+        "repo", "path", F.col("_b")["h"].alias("block_hash"), F.col("_b")["s"].alias("start_line"),
+        F.col("_b")["e"].alias("end_line"), F.col("_b")["sample"].alias("sample"),
     )
 
 
@@ -260,7 +258,7 @@ def fallback_chunks(files: DataFrame, max_lines: int = FALLBACK_CHUNK_LINES) ->
     kind = F.lit("file_module")
     none = F.lit(None).cast("string")
     empty = F.array().cast("array<string>")
-    return files.filter(total > 0).select(
+    return files.filter(F.col("content") != "").select(
         "repo",
         text.chunk_id(F.col("path"), name, F.lit(1), total).alias("chunk_id"),
         F.col("path").alias("file_path"),
@@ -281,8 +279,7 @@ def context_windows(targets: DataFrame, files: DataFrame, pad: int = 15, head: i
     """The numbered lines around each target ``(repo, path, target_line)``, cut from the line array of its file."""
     start, end = text.context_window(F.col("target_line"), F.size("lines"), pad, head)
     return (
-        targets.join(files.select("repo", "path", "lines"), ["repo", "path"])
-        .filter(F.size("lines") > 0)
+        targets.join(files.filter(F.col("content") != "").select("repo", "path", "lines"), ["repo", "path"])
         .withColumn("start_line", start)
         .withColumn("end_line", end)
         .withColumn("code_snippet", text.numbered_snippet(F.col("lines"), F.col("start_line"), F.col("end_line")))

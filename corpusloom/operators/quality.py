@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions import paths, text
+from corpusloom.functions.rows import explode_rows
 from corpusloom.functions.text import strip
 from corpusloom.functions.vectors import bind
 from corpusloom.operators import extract, lines as line_ops
@@ -202,7 +203,7 @@ def entity_findings(metrics: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     )
     # The docstring rule lets dunder names count as public for every function; classes never do.
     rule_public = F.when(function, paths.is_public_function(F.col("entity_name"))).otherwise(paths.is_public_class(F.col("entity_name")))
-    exploded = metrics.withColumn("is_public_rule", rule_public).select("*", F.explode(broken).alias("f"))
+    exploded = explode_rows(metrics.withColumn("is_public_rule", rule_public), broken, "f", "*")
     return _finish(exploded.select(
         "f.rule_id", "f.category", "f.severity", "repo", "path", "start_line", "end_line", "entity_name", "entity_type",
         "f.message", "f.suggestion", "f.metric_value", "f.threshold",
@@ -251,14 +252,11 @@ def broad_handlers(files: DataFrame) -> DataFrame:
 
         return F.transform(marks, block)
 
-    return (
-        files.filter(F.col("language") == "Python")
-        .select("repo", "path", "decls", F.explode(bind(rows, handlers)).alias("h"))
-        .select(
-            "repo", "path", F.col("h.n").alias("start_line"), F.col("h.end").alias("end_line"), F.col("h.caught").alias("caught"),
-            "h.only_pass", "h.has_pass", F.col("h.x").alias("source_line"),
-            extract.enclosing(F.col("decls"), F.col("h.n"))["name"].alias("entity_name"),
-        )
+    python = files.filter(F.col("language") == "Python")
+    return explode_rows(python, bind(rows, handlers), "h", "repo", "path", "decls").select(
+        "repo", "path", F.col("h.n").alias("start_line"), F.col("h.end").alias("end_line"), F.col("h.caught").alias("caught"),
+        "h.only_pass", "h.has_pass", F.col("h.x").alias("source_line"),
+        extract.enclosing(F.col("decls"), F.col("h.n"))["name"].alias("entity_name"),
     )
 
 
@@ -295,7 +293,7 @@ def unused_imports(files: DataFrame) -> DataFrame:
     prepared = files.withColumn("_rest", rest).withColumn(
         "_words", F.array_distinct(F.regexp_extract_all("_rest", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
     )
-    rows = extract.imports(prepared, ("_rest", "_words")).withColumn("name", F.explode("imported_names"))
+    rows = explode_rows(extract.imports(prepared, ("_rest", "_words")), "imported_names", "name", "*")
     symbol = F.coalesce("alias", "name")
     dotted = F.regexp_like("_rest", F.concat(F.lit(r"(?U)\b\Q"), symbol, F.lit(r"\E\b")))
     used = F.when(symbol.rlike(r"^[\p{L}\p{N}_]+$"), F.array_contains("_words", symbol)).otherwise(dotted)

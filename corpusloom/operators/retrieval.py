@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions import vectors as vf
+from corpusloom.functions.rows import posexplode_rows
 from corpusloom.functions.text import citation_tags, title_case
 from corpusloom.operators import lexical, vectors as vector_ops
 
@@ -184,7 +185,7 @@ def validate_citations(answers: DataFrame, sources: DataFrame) -> DataFrame:
     ``sources`` carry ``answer_id, source_id, source_no``; unknown tags drop out in the join.
     """
     tags = (
-        answers.select("answer_id", F.posexplode(citation_tags(F.col("text"))).alias("pos", "source_id"))
+        posexplode_rows(answers, citation_tags(F.col("text")), "pos", "source_id", "answer_id")
         .groupBy("answer_id", "source_id")
         .agg(F.min("pos").alias("pos"))
     )

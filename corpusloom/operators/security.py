@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import secrets
+from corpusloom.functions.rows import explode_rows
 from corpusloom.functions.text import strip
 from corpusloom.functions.vectors import bind
 from corpusloom.operators import extract, quality
@@ -202,11 +203,11 @@ def code_findings(files: DataFrame) -> DataFrame:
     """Rule findings of Python and JS/TS files from ``extract.with_declarations``, with their enclosing entity."""
     python = F.col("language") == "Python"
     candidates = F.when(python, _numbered(PY_KEYWORDS, True)).otherwise(_numbered(JS_KEYWORDS, False))
-    rows = files.select("repo", "path", "language", "decls", F.explode(candidates).alias("r")).select(
+    rows = explode_rows(files, candidates, "r", "repo", "path", "language", "decls").select(
         "repo", "path", "language", "decls", F.col("r.n").alias("start_line"),
         F.when(python, F.regexp_replace("r.x", r"\s#[^\"'\n]*$", "")).otherwise(F.col("r.x")).alias("x"),
     )
-    found = rows.select("*", F.explode(F.when(python, python_rules(F.col("x"))).otherwise(script_rules(F.col("x")))).alias("f"))
+    found = explode_rows(rows, F.when(python, python_rules(F.col("x"))).otherwise(script_rules(F.col("x"))), "f", "*")
     return _with_id(found.select(
         "f.rule_id", "f.title", "f.severity", "f.confidence", "repo", "path", "start_line", F.col("start_line").alias("end_line"),
         F.when(python, extract.enclosing(F.col("decls"), F.col("start_line"))["name"]).alias("entity_name"),
@@ -235,12 +236,12 @@ def text_credential_findings(files: DataFrame) -> DataFrame:
         lambda r: r.isNotNull(),
     )
     whole = "(" + ASSIGNMENT_ANYWHERE + ")"
-    rows = files.select("repo", "path", F.explode(lines).alias("r")).select(
+    rows = explode_rows(
+        explode_rows(files, lines, "r", "repo", "path"), F.regexp_extract_all("r.x", F.lit(whole), F.lit(1)), "a",
         "repo", "path", F.col("r.n").alias("start_line"),
-        F.explode(F.regexp_extract_all("r.x", F.lit(whole), F.lit(1))).alias("a"),
     )
     name, value = _assigned(F.col("a"), ASSIGNMENT_ANYWHERE)
-    found = rows.withColumn("f", credential_finding(name, value)).filter(F.col("f").isNotNull())
+    found = explode_rows(rows, F.array(credential_finding(name, value)), "f", "*")
     return _with_id(found.select(
         "f.rule_id", "f.title", "f.severity", "f.confidence", "repo", "path", "start_line", F.col("start_line").alias("end_line"),
         F.lit(None).cast("string").alias("entity_name"), "f.evidence_summary", "f.remediation", "f.cwe_id", "f.category",

@@ -164,7 +164,7 @@ def approx_top_k(
     q = (
         _prepare_queries(queries)
         .select("query_id", "collection", F.col("embedding").alias("q"), "entity_types", buckets(F.col("embedding")).alias("qb"))
-        .select("*", F.posexplode("qb").alias("t", "b"))
+        .select("*", F.posexplode_outer("qb").alias("t", "b"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     v = (
@@ -172,7 +172,7 @@ def approx_top_k(
             "collection", "chunk_id", F.lower("entity_type").alias("entity_type"), F.col("embedding").alias("v"),
             buckets(F.col("embedding")).alias("vb"), F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int").alias("salt"),
         )
-        .select("*", F.posexplode("vb").alias("t", "b"))
+        .select("*", F.posexplode_outer("vb").alias("t", "b"))
     )
 
     @F.pandas_udf("double")
