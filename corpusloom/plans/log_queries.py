@@ -15,7 +15,7 @@ _TRACE_SQL = """tr AS (SELECT event_id AS trace_id, CAST(2 * (event_id % 90) AS
   FROM events WHERE event_type = 'error')"""
 
 
-def traces(spark, sf):
+def traces(spark, sf, events=None):
     e = F.col("event_id")
     m = (2 * (e % 90)).cast("string")
     u, ln = F.col("user_id").cast("string"), (e % 30 + 10).cast("string")
@@ -30,7 +30,8 @@ def traces(spark, sf):
     plain = F.concat(F.lit("FATAL: timeout for "), u, F.lit(" at db/pool"), m, F.lit(".py:102"))
     note = F.concat(F.lit("\n  service stopped for "), u, F.lit("\nsecond line"))
     body = F.when(e % 4 == 0, python).when(e % 4 == 1, script).when(e % 4 == 2, plain).otherwise(note)
-    return b.table(spark, sf, "events").filter(F.col("event_type") == "error").select(
+    rows = b.table(spark, sf, "events") if events is None else events
+    return rows.filter(F.col("event_type") == "error").select(
         e.alias("trace_id"), F.concat(F.lit("r"), ((2 * (e % 90)) % 5).cast("string")).alias("repo"), body.alias("text"),
         F.lit(None).cast("string").alias("language_hint"),
         F.when(e % 4 == 3, F.concat(F.lit("app/m"), m, F.lit(".py"))).alias("user_file_path"),
