@@ -42,6 +42,20 @@ def _indent(line: Column) -> Column:
     return F.length(line) - F.length(F.ltrim(line, F.lit(" \t")))
 
 
+def labelled_lines(lines: Column, labels: Column) -> Column:
+    """``array<struct<n, x, label>>`` of a file's lines.
+
+    The labels are bound before the lambda: a column referenced once, inside a lambda only, would be inlined there by the
+    optimizer and computed again for every line.
+    """
+    return bind(
+        F.split(labels, ""),
+        lambda letters: F.transform(
+            lines, lambda x, i: F.struct((i + 1).cast("int").alias("n"), x.alias("x"), F.get(letters, i).alias("label"))
+        ),
+    )
+
+
 def normalize_expr(c: Column) -> Column:
     """Source text of an expression with simple double-quoted strings respelled in single quotes."""
     return F.regexp_replace(strip(c), "\"([^\"'\\\\]*)\"", "'$1'")
@@ -53,10 +67,10 @@ def python_declarations(lines: Column, labels: Column) -> Column:
     A block ends at its last line before the next code line indented no deeper than the declaration.
     """
     numbered = F.transform(
-        lines,
-        lambda x, i: F.struct(
-            (i + 1).cast("int").alias("n"), _indent(x).alias("ind"), F.substr(labels, i + 1, F.lit(1)).alias("label"),
-            strip(x).startswith("#").alias("hash"), x.alias("x"),
+        labelled_lines(lines, labels),
+        lambda r: F.struct(
+            r["n"].alias("n"), _indent(r["x"]).alias("ind"), r["label"].alias("label"),
+            strip(r["x"]).startswith("#").alias("hash"), r["x"].alias("x"),
         ),
     )
 
@@ -343,9 +357,7 @@ _BLOCK_WORD = r"^(?:else|try|finally|class|def|if|for|while|with|return|elif|exc
 
 def _variable_marks(lines: Column, labels: Column) -> Column:
     """Numbered module-level assignment lines: names longer than one character or in capitals, and annotated names."""
-    numbered = F.transform(
-        lines, lambda x, i: F.struct((i + 1).cast("int").alias("n"), x.alias("x"), F.substr(labels, i + 1, F.lit(1)).alias("label"))
-    )
+    numbered = labelled_lines(lines, labels)
 
     def wanted(r: Column) -> Column:
         name = F.regexp_extract(r["x"], VAR_ASSIGN, 1)
@@ -406,9 +418,7 @@ def imports(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     ``keep`` names columns of the file row to carry along.
     """
-    numbered = F.transform(
-        "lines", lambda x, i: F.struct((i + 1).cast("int").alias("n"), x.alias("x"), F.substr("labels", i + 1, F.lit(1)).alias("label"))
-    )
+    numbered = labelled_lines(F.col("lines"), F.col("labels"))
     marks = F.filter(numbered, lambda r: (r["label"] == "c") & r["x"].rlike(IMPORT_LINE))
     rows = explode_rows(files, marks, "r", "repo", "path", "language", "lines", *keep).select("repo", "path", "language", *keep, F.col("r.n").alias("line_number"), F.array_join(F.slice("lines", F.col("r.n"), HEADER_LINES), "\n").alias("x"))
     x = F.col("x")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions import paths, text
-from corpusloom.functions.rows import explode_rows
+from corpusloom.functions.rows import explode_rows, where_computed
 from corpusloom.functions.text import strip
 from corpusloom.functions.vectors import bind
 from corpusloom.operators import extract, lines as line_ops
@@ -64,7 +64,7 @@ def file_size_findings(counts: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame
     severity, limit = _two_level(total, t.file_lines)
     word = F.when(total >= t.file_lines[1], F.lit("error")).otherwise(F.lit("warning"))
     return _finish(
-        counts.filter(total >= t.file_lines[0]).select(
+        where_computed(counts, total >= t.file_lines[0]).select(
             F.lit("FILE_TOO_LARGE").alias("rule_id"), F.lit("size").alias("category"), severity.alias("severity"), "repo", "path",
             F.lit(1).alias("start_line"), total.cast("int").alias("end_line"), F.lit(None).cast("string").alias("entity_name"),
             F.lit(None).cast("string").alias("entity_type"),
@@ -216,10 +216,10 @@ EXCEPT_LINE = r"^\s*except\s*(?:\(?\s*(Exception|BaseException)\s*\)?(?:\s+as\s+
 def broad_handlers(files: DataFrame) -> DataFrame:
     """Bare, Exception and BaseException handlers of Python files with their block and enclosing function or class."""
     rows = F.transform(
-        "lines",
-        lambda x, i: F.struct(
-            (i + 1).cast("int").alias("n"), (F.length(x) - F.length(F.ltrim(x, F.lit(" \t")))).cast("int").alias("ind"),
-            F.substr("labels", i + 1, F.lit(1)).alias("label"), x.alias("x"),
+        extract.labelled_lines(F.col("lines"), F.col("labels")),
+        lambda r: F.struct(
+            r["n"].alias("n"), (F.length(r["x"]) - F.length(F.ltrim(r["x"], F.lit(" \t")))).cast("int").alias("ind"),
+            r["label"].alias("label"), r["x"].alias("x"),
         ),
     )
 
@@ -283,13 +283,9 @@ def unused_imports(files: DataFrame) -> DataFrame:
     The words of a file are one distinct array in its own row, so the anti-join on (path, word) is an array lookup. Only
     the first line of an import is left out, so names on its later lines count as used.
     """
-    rest = F.array_join(
-        F.filter(
-            F.transform("lines", lambda x, i: F.when(~((F.substr("labels", i + 1, F.lit(1)) == "c") & x.rlike(extract.IMPORT_LINE)), x)),
-            lambda x: x.isNotNull(),
-        ),
-        "\n",
-    )
+    rows = extract.labelled_lines(F.col("lines"), F.col("labels"))
+    other = F.filter(rows, lambda r: ~((r["label"] == "c") & r["x"].rlike(extract.IMPORT_LINE)))
+    rest = F.array_join(F.transform(other, lambda r: r["x"]), "\n")
     prepared = files.withColumn("_rest", rest).withColumn(
         "_words", F.array_distinct(F.regexp_extract_all("_rest", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
     )

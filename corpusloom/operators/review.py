@@ -9,6 +9,7 @@ from corpusloom.functions import text
 from corpusloom.functions.rows import posexplode_rows
 from corpusloom.functions.secrets import redact_secrets
 from corpusloom.functions.text import strip
+from corpusloom.functions.vectors import bind
 from corpusloom.operators import quality
 from corpusloom.operators.graph import salted_join
 
@@ -89,7 +90,7 @@ def ground(raw: DataFrame, files: DataFrame) -> DataFrame:
     out = (s < 1) | (e > total) | (s > e)
     parts = text.split_lines(F.col("_evidence"))
     first = strip(F.get(parts, 0))
-    at = F.array_position(F.transform("lines", lambda x: x.contains(first)), True).cast("int")
+    at = bind(first, lambda f: F.array_position(F.transform("lines", lambda x: x.contains(f)), True).cast("int"))
     usable = F.char_length("_evidence") >= MIN_EVIDENCE_CHARS
     located = F.when(out & usable & (at > 0), at)
     joined = joined.withColumn("_at", located).withColumn("_n", F.size(parts))

@@ -186,17 +186,20 @@ def _with_id(df: DataFrame) -> DataFrame:
 def _numbered(keyword: str, code_only: bool) -> Column:
     """Candidate lines ``(n, x)``: those with a rule keyword, with the next two lines where a call is left open."""
     opened = r"\(\s*$"
-    rows = F.transform(
-        "lines",
-        lambda x, i: F.when(
-            x.rlike(keyword) & ((F.substr("labels", i + 1, F.lit(1)) == "c") if code_only else F.lit(True)),
-            F.struct(
-                (i + 1).cast("int").alias("n"),
-                F.when(x.rlike(opened), F.array_join(F.slice("lines", i + 1, 3), "\n")).otherwise(x).alias("x"),
+    rows = F.filter(
+        extract.labelled_lines(F.col("lines"), F.col("labels")),
+        lambda r: (r["label"] == "c") & r["x"].rlike(keyword) if code_only else r["x"].rlike(keyword),
+    )
+    return bind(
+        F.col("lines"),
+        lambda lines: F.transform(
+            rows,
+            lambda r: F.struct(
+                r["n"].alias("n"),
+                F.when(r["x"].rlike(opened), F.array_join(F.slice(lines, r["n"], 3), "\n")).otherwise(r["x"]).alias("x"),
             ),
         ),
     )
-    return F.filter(rows, lambda r: r.isNotNull())
 
 
 def code_findings(files: DataFrame) -> DataFrame:
