@@ -59,7 +59,7 @@ _HTTP = r"\b(?:requests|httpx|aiohttp)\.\w+\s*\(|\b(?:get|post|put|delete|reques
 _UNVERIFIED, _CONTEXT = r"\b(?:verify|ssl)\s*=\s*False\b", r"\b_create_unverified_context\s*\("
 
 # Any line that can break a Python or a script rule matches one of these.
-PY_KEYWORDS = r"\b(?:eval|exec|shell|system|popen|execute|executemany|raw|pickle|_pickle|yaml|hashlib|verify|ssl|_create_unverified_context)\b|=\s*[rRuU]?[\"']"
+PY_KEYWORDS = r"\b(?:eval|exec|shell|system|popen|execute|executemany|raw|pickle|_pickle|yaml|hashlib|verify|ssl|_create_unverified_context)\b|=\s*[rRuU]?[\"']|\(\s*$"
 JS_KEYWORDS = r"(?i)\beval\s*\(|rejectUnauthorized|createHash|password|api_?key|secret|token"
 
 
@@ -235,7 +235,7 @@ def silenced_handler_findings(handlers: DataFrame) -> DataFrame:
 def text_credential_findings(files: DataFrame) -> DataFrame:
     """Credential assignments anywhere in the lines of plain text (needs ``lines``); every one of a line is a finding."""
     lines = F.filter(
-        F.transform("lines", lambda x, i: F.when(x.rlike(ASSIGNMENT_ANYWHERE), F.struct((i + 1).cast("int").alias("n"), x.alias("x")))),
+        F.transform("lines", lambda x, i: F.when(x.contains("=") & x.rlike(ASSIGNMENT_ANYWHERE), F.struct((i + 1).cast("int").alias("n"), x.alias("x")))),
         lambda r: r.isNotNull(),
     )
     whole = "(" + ASSIGNMENT_ANYWHERE + ")"
