@@ -327,7 +327,9 @@ def _score_block(q: _QueryBlock, batch: pd.DataFrame, found: dict[str, list]) ->
     return score, flags, n, any_decorator
 
 
-def _best_of_batch(q: _QueryBlock, batch: pd.DataFrame, found: dict[str, list], k: int) -> list[dict]:
+def _best_of_batch(q: _QueryBlock, batch: pd.DataFrame, found: dict[str, list], k: int, best: dict) -> list[dict]:
+    """Hits of a batch that can still enter ``best``; they keep the hit columns of a chunk, never its text."""
+    records = batch[["chunk_id", "decorators", *_META]].to_dict("records")
     score, flags, n, any_decorator = _score_block(q, batch, found)
     ids, tokens = batch["chunk_id"].to_numpy().astype(str), batch["tokens_estimate"].to_numpy()
     priority = np.array([TYPE_PRIORITY.get(t, 1) for t in batch["entity_type"]])
@@ -339,9 +341,14 @@ def _best_of_batch(q: _QueryBlock, batch: pd.DataFrame, found: dict[str, list],
             hit = hit[line >= np.partition(line, len(line) - k)[len(line) - k]]
         hit = hit[np.lexsort((ids[hit], tokens[hit], -priority[hit], -score[hit, j]))][:k]
         terms = np.flatnonzero(q.asks[j])
+        held = best.get(query_id, ())
+        worst = held[-1]["key"] if len(held) >= k else None
         for i in hit:
+            key = (-score[i, j], -priority[i], tokens[i], ids[i])
+            if worst is not None and key > worst:
+                break
             rows.append({
-                "key": (-score[i, j], -priority[i], tokens[i], ids[i]), "query_id": query_id, "row": batch.iloc[i],
+                "key": key, "query_id": query_id, "row": records[i],
                 "score": float(score[i, j]), "counts": {c: int(n[c][i, j]) for c in _COUNTS},
                 "dec_no": min((found["dec"][i][q.terms[t]] for t in terms if q.terms[t] in found["dec"][i]), default=None)
                 if any_decorator[i, j] else None,
@@ -405,9 +412,11 @@ def score_by_matrix(queries: DataFrame, chunks: DataFrame, k: int, terms: pd.Dat
                     ],
                 }
                 for block in blocks:
-                    for hit in _best_of_batch(block, batch, found, k):
+                    for hit in _best_of_batch(block, batch, found, k, best):
                         best.setdefault(hit["query_id"], []).append(hit)
-                best = {q: sorted(hits, key=lambda h: h["key"])[:k] for q, hits in best.items()}
+                for hits in best.values():
+                    hits.sort(key=lambda h: h["key"])
+                    del hits[k:]
         if best:
             yield _emit_hits(best)
 
