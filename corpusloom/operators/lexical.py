@@ -9,6 +9,7 @@ are sent to the tasks only below a checked size; a larger set is joined to the (
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -64,18 +65,21 @@ def _field_terms(terms: list[str]):
     return find
 
 
-def _matcher(terms: list[str]):
+def _matcher(terms: list[str], values: list | None = None):
+    """Function from a text to the distinct values (by default the terms) of the terms that occur in it."""
+    values = terms if values is None else values
     try:
         import ahocorasick
     except ImportError:
-        return lambda text: [t for t in terms if text and t in text]
+        return lambda text: {v for t, v in zip(terms, values) if text and t in text}
     automaton = ahocorasick.Automaton()
-    for term in terms:
-        automaton.add_word(term, term)
+    for term, value in zip(terms, values):
+        automaton.add_word(term, value)
     if not terms:
-        return lambda text: []
+        return lambda text: set()
     automaton.make_automaton()
-    return lambda text: {t for _, t in automaton.iter(text)} if text else ()
+    second = itemgetter(1)
+    return lambda text: set(map(second, automaton.iter(text))) if text else set()
 
 
 def _chunk_hits(chunks: DataFrame, terms: list[str], with_tokens: bool) -> DataFrame:
@@ -281,6 +285,20 @@ class _QueryBlock:
         kinds = first["entity_types"].tolist() if "entity_types" in rows else [None] * len(first)
         self.kinds = [None if k is None or len(k) == 0 else {x.lower() for x in k} for k in kinds]
 
+    def place(self, vocabulary: dict[str, int]) -> None:
+        """Where the terms of the whole vocabulary sit in this block (-1 for those it does not ask for)."""
+        self.whole = np.array([vocabulary[t] for t in self.terms], dtype=np.int64)
+        self.local = np.full(len(vocabulary), -1, dtype=np.int64)
+        self.local[self.whole] = np.arange(len(self.terms))
+
+    def mark_ids(self, id_sets) -> np.ndarray:
+        out = np.zeros((len(id_sets), len(self.terms)), dtype=np.float32)
+        for i, ids in enumerate(id_sets):
+            if ids:
+                at = self.local[np.fromiter(ids, dtype=np.int64, count=len(ids))]
+                out[i, at[at >= 0]] = 1
+        return out
+
     def marks(self, token_lists) -> np.ndarray:
         out = np.zeros((len(token_lists), len(self.terms)), dtype=np.float32)
         for i, tokens in enumerate(token_lists):
@@ -299,12 +317,12 @@ def _score_block(q: _QueryBlock, batch: pd.DataFrame, found: dict[str, list]) ->
         "in_name": name,
         "in_parent": q.marks(batch["parent_tokens"]),
         "in_path": q.marks(batch["path_tokens"]),
-        "in_sig": q.marks(found["sig"]) * (1 - name),
-        "in_doc": q.marks(found["doc"]),
-        "in_body": q.marks(found["body"]) * (1 - name),
+        "in_sig": q.mark_ids(found["sig"]) * (1 - name),
+        "in_doc": q.mark_ids(found["doc"]),
+        "in_body": q.mark_ids(found["body"]) * (1 - name),
         "hint": q.marks([[k] if k in TYPE_HINTS else [] for k in batch["kind"]]),
     }
-    decorated = q.marks([d.keys() for d in found["dec"]])
+    decorated = q.mark_ids(found["dec"])
     n = {
         "n_exact": flags["exact"] @ q.core.T,
         "n_concept": flags["exact"] @ q.asks.T,
@@ -350,7 +368,7 @@ def _best_of_batch(q: _QueryBlock, batch: pd.DataFrame, found: dict[str, list],
             rows.append({
                 "key": key, "query_id": query_id, "row": records[i],
                 "score": float(score[i, j]), "counts": {c: int(n[c][i, j]) for c in _COUNTS},
-                "dec_no": min((found["dec"][i][q.terms[t]] for t in terms if q.terms[t] in found["dec"][i]), default=None)
+                "dec_no": min((found["dec"][i][w] for w in q.whole[terms].tolist() if w in found["dec"][i]), default=None)
                 if any_decorator[i, j] else None,
                 "terms": [q.terms[t] for t in terms], "core": q.core[j, terms] > 0,
                 "flags": {f: flags[f][i, terms] > 0 for f in _FLAGS},
@@ -397,7 +415,10 @@ def score_by_matrix(queries: DataFrame, chunks: DataFrame, k: int, terms: pd.Dat
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blocks = [_QueryBlock(rows) for rows in shared.value]
-        occurring = _matcher(sorted({t for b in blocks for t in b.terms}))
+        words = sorted({t for b in blocks for t in b.terms})
+        occurring = _matcher(words, list(range(len(words))))
+        for block in blocks:
+            block.place({t: i for i, t in enumerate(words)})
         best: dict = {}
         for whole in batches:
             for at in range(0, len(whole), CHUNK_BLOCK):
