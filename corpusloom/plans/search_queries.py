@@ -185,7 +185,7 @@ def hybrid_rrf(spark, sf):
 WITH {_FUSE_SQL}, h AS (SELECT f.*, c.file_path, CAST(c.end_line % 3 AS INTEGER) AS loc FROM fused f JOIN chunks c USING (chunk_id) WHERE rank <= 10),
 d AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, loc ORDER BY rank) = 1),
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS no FROM d)
-SELECT query_id, 'S' || no AS source_id, chunk_id, round(score, 4) AS score FROM n WHERE no <= 5""")
+SELECT query_id, 'S' || no AS source_id, chunk_id, round_even(score, 4) AS score FROM n WHERE no <= 5""")
 def answer_sources(spark, sf):
     # Hits are given one of three locations, so that the removal of repeated locations has work to do.
     hits = _hybrid(spark, sf).withColumn("meta", F.col("meta").withField("file_path", F.lit("f")).withField(
