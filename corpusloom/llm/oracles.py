@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import url_reputation as urls
+from corpusloom.llm import quality_rules as quality, url_reputation as urls
 from corpusloom.llm.common import ASCII_LOWER, ASCII_UPPER
 
 
@@ -63,3 +63,58 @@ fit AS (
 SELECT page_id, u.host, u.path, rule, coalesce(verdict, CASE WHEN bound >= {urls.MIN_GOOD} THEN 'allow' ELSE 'block' END) AS verdict
 FROM u JOIN b ON b.host = u.host LEFT JOIN fit ON fit.host = u.host AND fit.path = u.path
 """
+
+
+def quality_rules() -> str:
+    counts = {
+        "lower": "[a-z]", "upper": "[A-Z]", "letter": "[\\p{L}]", "digit": "[0-9]", "blank": "[\\x20\\x09-\\x0D]",
+        "point": "[-.,;:!?''\\x22()]", "symbol": "[#*$%&|<>]",
+    }
+    sizes = {k: f"(length(t) - length(regexp_replace(t, '{v}', '', 'g')))" for k, v in counts.items()}
+    sizes["letter"] = f"({sizes['letter']} - {sizes['lower']} - {sizes['upper']})"
+    sizes["other"] = "length(t) - " + " - ".join(sizes[c] for c in quality.CHAR_CLASSES if c != "other")
+    classes = ", ".join(f"('{c}', {sizes[c]})" for c in quality.CHAR_CLASSES)
+    term = "(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END)"
+    short = "sqrt(greatest(1, n_words))"
+    return f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+win AS MATERIALIZED (SELECT r, i, w[i:i+2] AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, (VALUES (0), (1), (2)) v(k) GROUP BY r),
+lines AS (
+  SELECT r, count(*) - count(DISTINCT x) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d)
+  WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+base AS (
+  SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words AS base_failed
+  FROM (SELECT r, doc_id, lang, t, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, {sizes["symbol"]}::BIGINT AS n_symbols,
+    coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+    FROM d LEFT JOIN lines USING (r) LEFT JOIN covered USING (r))),
+hist AS MATERIALIZED (
+  SELECT r, lang, base_failed, c.cls, c.n FROM (SELECT *, unnest([{", ".join(f"{{cls: '{c}', n: {sizes[c]}}}" for c in quality.CHAR_CLASSES)}]) AS c FROM base)),
+common AS MATERIALIZED (
+  SELECT r, word, count(*) AS n FROM (SELECT r, unnest(w) AS word FROM d) WHERE word IN {_strings(quality.COMMON_WORDS)} GROUP BY ALL),
+langs AS (
+  SELECT lang FROM base WHERE lang IS NOT NULL AND NOT base_failed GROUP BY lang
+  HAVING count(*) >= {quality.MIN_SHARE} * (SELECT count(*) FROM base WHERE lang IS NOT NULL AND NOT base_failed)),
+refc AS (SELECT lang, cls, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM hist SEMI JOIN langs USING (lang) WHERE NOT base_failed GROUP BY lang, cls),
+refw AS (
+  SELECT lang, word, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM common JOIN base USING (r) SEMI JOIN langs USING (lang)
+  WHERE NOT base_failed GROUP BY lang, word),
+dc AS (
+  SELECT r, refc.lang, sqrt(greatest(0, sum({term})) / 2) AS cd
+  FROM (SELECT r, cls, n / sum(n) OVER (PARTITION BY r) AS p FROM hist) JOIN refc USING (cls) GROUP BY r, refc.lang),
+dw AS (
+  SELECT r, lang, sqrt(greatest(0, sum({term.replace("q", "coalesce(q, 0)")}) + greatest(0, 1 - sum(coalesce(q, 0)))) / 2) AS wd
+  FROM (SELECT r, word, l.lang, n / sum(n) OVER (PARTITION BY r, l.lang) AS p FROM common, (SELECT DISTINCT lang FROM refw) l)
+    LEFT JOIN refw USING (lang, word) GROUP BY r, lang),
+near AS (
+  SELECT r, arg_min(cd, [cd + coalesce(wd, 1)::DOUBLE]) AS cd, arg_min(coalesce(wd, 1), [cd + coalesce(wd, 1)::DOUBLE]) AS wd
+  FROM dc LEFT JOIN dw USING (r, lang) GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (near.r IS NULL OR (
+    (length(t) < {quality.MIN_JUDGED_CHARS} OR cd <= {quality.MAX_CHAR_DISTANCE} + {quality.CHAR_NOISE} / {short})
+    AND (length(t) < {quality.MIN_JUDGED_CHARS} OR n_words < {quality.MIN_JUDGED_WORDS} OR wd <= {quality.MAX_WORD_DISTANCE} + {quality.WORD_NOISE} / {short}))) AS kept
+FROM base LEFT JOIN near USING (r)
+"""

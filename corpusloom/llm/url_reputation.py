@@ -3,7 +3,7 @@
 Labelled page outcomes are counted per host. A host's rate is shrunk through beta-binomial priors: the whole table gives
 the prior of a suffix, the suffix that of a registered domain, the domain that of a host. Prior strengths are moment
 estimates of how much the children of a level differ. A page without a rule is allowed if the lower bound of its host's
-posterior reaches ``min_good``. Only counts are shuffled; the pages meet the host table in one join on the host.
+posterior reaches ``min_good``. Only counts are shuffled; the pages meet the table of hosts in one salted join.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.llm.common import ascii_lower, stored
+from corpusloom.operators.graph import salted_join
 
 #: (verdict, host/path); a rule holds for its host and all subdomains where the path starts with the rule's path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -132,7 +133,7 @@ def judge_urls(
     verdict = F.when(F.col("bound") >= min_good, "allow").otherwise("block")
     for rule, fixed in by_rule.items():
         verdict = F.when(F.col("rule") == rule, fixed).otherwise(verdict)
-    return judged.join(known, "host").select("page_id", "host", "path", "rule", "bound", verdict.alias("verdict"))
+    return salted_join(judged, known, ["host"], ["page_id"], "inner").select("page_id", "host", "path", "rule", "bound", verdict.alias("verdict"))
 
 
 def document_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
