@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import quality_rules as quality, url_reputation as urls
+from corpusloom.llm import licenses, quality_rules as quality, url_reputation as urls
 from corpusloom.llm.common import ASCII_LOWER, ASCII_UPPER
 
 
@@ -118,3 +118,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     AND (length(t) < {quality.MIN_JUDGED_CHARS} OR n_words < {quality.MIN_JUDGED_WORDS} OR wd <= {quality.MAX_WORD_DISTANCE} + {quality.WORD_NOISE} / {short}))) AS kept
 FROM base LEFT JOIN near USING (r)
 """
+
+
+def license_scans() -> str:
+    rows = ", ".join(
+        f"({n}, '{t.label}', {t.exact}, {o}, '{w}', {o in t.key_range}, {len(t.words)})"
+        for n, t in enumerate(licenses.TEMPLATES) for o, w in enumerate(t.words)
+    )
+    return f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), '{licenses.WORD}') AS w
+  FROM documents),
+tw(tpl, label, exact, off, word, in_key, size) AS (VALUES {rows}),
+hits AS MATERIALIZED (
+  SELECT r, pos, word FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d) WHERE word IN (SELECT word FROM tw)),
+weights AS (
+  SELECT word, greatest(1, round({licenses.SCALE} * ln(((SELECT count(*) FROM documents) + 1) / (coalesce(df, 0) + 1))))::BIGINT AS weight
+  FROM (SELECT DISTINCT word FROM tw) LEFT JOIN (SELECT word, count(DISTINCT r) AS df FROM hits GROUP BY word) USING (word)),
+anchors AS (
+  SELECT tpl, word FROM (SELECT DISTINCT tpl, exact, word, weight FROM tw JOIN weights USING (word))
+  QUALIFY row_number() OVER (PARTITION BY tpl ORDER BY weight DESC, word) <= CASE WHEN exact THEN 1 ELSE {licenses.ANCHORS} END),
+t AS (SELECT tw.*, weight, anchors.word IS NOT NULL AS anchor, sum(weight) OVER (PARTITION BY tpl) AS total, count(*) FILTER (in_key) OVER (PARTITION BY tpl) AS key_size
+  FROM tw JOIN weights USING (word) LEFT JOIN anchors USING (tpl, word)),
+places AS (
+  SELECT r, tpl, label, exact, pos - off AS start, sum(weight) / max(total) AS score, count(*) FILTER (in_key) = max(key_size) AS key_found, count(*) = max(size) AS whole
+  FROM hits JOIN t USING (word) GROUP BY ALL HAVING bool_or(anchor) AND (count(*) = max(size) OR NOT exact)),
+found AS (
+  SELECT r, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (key_found AND score >= {licenses.MIN_SCORE}) AS labels, max(score) AS score
+  FROM places GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN found USING (r)
+"""
