@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import licenses, oracles, quality_rules, url_reputation
+from corpusloom.llm import licenses, media, oracles, quality_rules, url_reputation
 from corpusloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracles.license_scans())
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), "doc_id").drop("places")
+
+
+@query()
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(media.stored_media(table(spark, sf_dir, "documents"))).drop("error")
