@@ -47,11 +47,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, learn: Column, max_rows: int) -> DataFrame:
-    """At most ``max_rows`` rows ``(doc_id, text, label)`` with a label, chosen by hash of the id, the same at every run.
+#: Texts longer than this stay out of training samples, which bounds a sample's bytes; they are scored whole like all others.
+MAX_SAMPLE_CHARS = 100_000
 
-    ``learn`` is a condition on ``doc_id``; ids, languages and sources leave with the sample only as the order of rows.
-    The labels are small rows: they are cut to the sample before any text is read.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, learn: Column, max_rows: int) -> list[tuple[str, int]]:
+    """``(text, label)`` of at most ``max_rows`` labelled documents, chosen by hash of the id, the same at every run.
+
+    ``learn`` is a condition on ``doc_id``. The labels are small rows: they are cut to the sample before any text is
+    read, and only the sample's texts leave the executors. Rows that repeat an id with the same text count once.
     """
     wanted = (
         labels.select(F.col("doc_id"), F.col(target).cast("int").alias("label"))
@@ -62,5 +66,46 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, learn: Colu
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "label")
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).filter(F.length("text") <= MAX_SAMPLE_CHARS)
+    rows = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "label", "text").distinct().toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return list(zip(rows["text"].to_pylist(), rows["label"].to_pylist()))
+
+
+def score_texts(docs: DataFrame, keep: list[str], scorer, schema: str) -> DataFrame:
+    """``keep`` columns and, per row, what ``scorer()`` gives for its text (null: empty).
+
+    ``scorer()`` is called once per task and returns a function from a list of texts to a list of Arrow arrays, one per
+    column of ``schema``. Texts are handed over in slices of bounded size, so a task holds one Arrow batch and its scores.
+    """
+    import pyarrow as pa
+
+    kept = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]] + [schema]) if keep else schema
+    names = [*keep, *(x.split()[0] for x in schema.split(", "))]  # no ", " within a column's type
+    n = len(keep)
+
+    def run(batches):
+        score = scorer()
+        for batch in batches:
+            texts, start = batch.column(n), 0
+            while start < batch.num_rows:
+                stop = slice_end(texts, start)
+                columns = [batch.column(i).slice(start, stop - start) for i in range(n)]
+                yield pa.RecordBatch.from_arrays(columns + score(texts.slice(start, stop - start).to_pylist()), names=names)
+                start = stop
+
+    return kept.mapInArrow(run, out)
+
+
+def slice_end(texts, start: int, max_rows: int = 512, max_chars: int = 1 << 20) -> int:
+    """End of the slice from ``start`` with at most ``max_rows`` texts, and one text or at most ``max_chars`` bytes."""
+    import pyarrow.compute as pc
+
+    sizes = pc.binary_length(texts.slice(start, max_rows)).to_pylist()
+    total = 0
+    for i, size in enumerate(sizes):
+        total += size or 0
+        if i and total > max_chars:
+            return start + i
+    return start + len(sizes)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import licenses, media, oracles, quality_rules, url_reputation
-from corpusloom.llm.common import table
+from corpusloom.llm import language_cnn, licenses, media, oracles, quality_net, quality_rules, toxicity, url_reputation
+from corpusloom.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,29 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.stored_media(table(spark, sf_dir, "documents"))).drop("error")
+
+
+@query()
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 4) == 2
+    model = language_cnn.train(language_cnn.training_sample(docs, ~held_out))
+    return language_cnn.predict(docs, model, "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 5) == 0
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score(docs, model, "doc_id")
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
+@query()
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 4) == 2
+    model = quality_net.fitted(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = quality_net.score(docs, model, "doc_id")
+    predicted = F.when(F.col("score") >= quality_net.THRESHOLD, 1).otherwise(0)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
