@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import language_cnn, licenses, media, oracles, quality_net, quality_rules, toxicity, url_reputation
+from corpusloom.llm import bpe, language_cnn, licenses, media, oracles, quality_net, quality_rules, toxicity, url_reputation
 from corpusloom.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +73,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_net.score(docs, model, "doc_id")
     predicted = F.when(F.col("score") >= quality_net.THRESHOLD, 1).otherwise(0)
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query()
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokens = bpe.encode(table(spark, sf_dir, "documents"), path, "doc_id")
+    ids_sha256 = F.sha2("ids", 256).alias("ids_sha256")
+    decoded = bpe.decode(tokens.select("doc_id", "n_tokens", ids_sha256, "ids"), path, "doc_id", "n_tokens", "ids_sha256")
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
