@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, language_cnn, licenses, media, oracles, quality_net, quality_rules, toxicity, url_reputation
+from corpusloom.llm import bpe, language_cnn, licenses, media, oracles, packing, quality_net, quality_rules, toxicity, url_reputation
 from corpusloom.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids_sha256 = F.sha2("ids", 256).alias("ids_sha256")
     decoded = bpe.decode(tokens.select("doc_id", "n_tokens", ids_sha256, "ids"), path, "doc_id", "n_tokens", "ids_sha256")
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query()
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
