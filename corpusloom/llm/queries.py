@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, language_cnn, licenses, media, oracles, packing, quality_net, quality_rules, toxicity, url_reputation
+from corpusloom.llm import bpe, language_cnn, licenses, lsh_forest, media, oracles, packing, quality_net, quality_rules, toxicity, url_reputation
 from corpusloom.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
