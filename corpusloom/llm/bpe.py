@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpusloom.llm.common import score_texts, slice_end
 
@@ -259,5 +259,4 @@ def decode(tokens: DataFrame, path: str, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, texts], names=[*keep, "text"])
                 start = stop
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]]
-    return kept.mapInArrow(run, ", ".join([*fields, "text string"]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields[:-1], T.StructField("text", T.StringType())]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -81,9 +81,8 @@ def score_texts(docs: DataFrame, keep: list[str], scorer, schema: str) -> DataFr
     import pyarrow as pa
 
     kept = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]] + [schema]) if keep else schema
-    names = [*keep, *(x.split()[0] for x in schema.split(", "))]  # no ", " within a column's type
-    n = len(keep)
+    added = T.StructType.fromDDL(schema).fields
+    names, n = [*keep, *(f.name for f in added)], len(keep)
 
     def run(batches):
         score = scorer()
@@ -95,7 +94,7 @@ def score_texts(docs: DataFrame, keep: list[str], scorer, schema: str) -> DataFr
                 yield pa.RecordBatch.from_arrays(columns + score(texts.slice(start, stop - start).to_pylist()), names=names)
                 start = stop
 
-    return kept.mapInArrow(run, out)
+    return kept.mapInArrow(run, T.StructType(kept.schema.fields[:-1] + added))
 
 
 def slice_end(texts, start: int, max_rows: int = 512, max_chars: int = 1 << 20) -> int:
