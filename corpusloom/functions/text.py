@@ -82,14 +82,15 @@ def context_header(
     )
 
 
-def chunk_id(path: Column, name: Column, start: Column, end: Column, parent: Column | None = None) -> Column:
+def chunk_id(repo: Column, path: Column, name: Column, start: Column, end: Column, parent: Column | None = None) -> Column:
+    """``repo:path#[parent.]name#La-Lb``: a table holds many repositories, and paths repeat among them."""
     scope = (
         F.lit("")
         if parent is None
         else F.coalesce(F.concat(F.nullif(parent, F.lit("")), F.lit(".")), F.lit(""))
     )
     return F.concat(
-        path, F.lit("#"), scope, name, F.lit("#L"), start.cast("string"), F.lit("-L"), end.cast("string")
+        repo, F.lit(":"), path, F.lit("#"), scope, name, F.lit("#L"), start.cast("string"), F.lit("-L"), end.cast("string")
     )
 
 

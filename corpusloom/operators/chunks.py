@@ -13,7 +13,7 @@ def entity_chunks(entities: DataFrame) -> DataFrame:
     c = F.col
     return entities.select(
         "repo",
-        text.chunk_id(c("path"), c("name"), c("start_line"), c("end_line"), c("parent")).alias("chunk_id"),
+        text.chunk_id(c("repo"), c("path"), c("name"), c("start_line"), c("end_line"), c("parent")).alias("chunk_id"),
         c("path").alias("file_path"), c("name").alias("entity_name"), c("type").alias("entity_type"), "language", "start_line",
         "end_line", "signature", "docstring", "parent", "parameters", "return_type", "decorators", "visibility",
         c("code").alias("code_content"),

@@ -18,7 +18,6 @@ PY_DECL = r"^(\s*)((?:async\s+)?def|class)\s+([A-Za-z_]\w*)"
 # Parentheses up to three deep; possessive, so a long header cannot backtrack.
 _PARENS = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
 PY_HEADER = r"(?s)^\s*(?:(?:async\s+)?def|class)\s+\w+\s*(?:" + _PARENS + r")?\s*(?:->\s*[^:\n]+)?:"
-HEADER_LINES = 40
 
 JS_FUNCTION = (
     r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?(\([^)]*\))\s*(?::\s*([^{]+?))?\s*(?:\{.*)?$"
@@ -81,8 +80,9 @@ def python_declarations(lines: Column, labels: Column) -> Column:
         content = F.transform(F.filter(rows, lambda r: (r["label"] != "b") & ~r["hash"]), lambda r: r["n"])
         marks = F.filter(rows, lambda r: (r["label"] == "c") & r["x"].rlike(PY_DECL))
 
-        def declaration(r: Column, code: Column, content: Column) -> Column:
-            header = F.regexp_extract(F.array_join(F.slice(lines, r["n"], HEADER_LINES), "\n"), "(" + PY_HEADER + ")", 1)
+        def declaration(r: Column, nxt: Column, code: Column, content: Column) -> Column:
+            # a header ends before the next declaration, so all headers together read the file once
+            header = F.regexp_extract(F.array_join(F.slice(lines, r["n"], nxt - r["n"]), "\n"), "(" + PY_HEADER + ")", 1)
             sig_end = r["n"] + F.length(header) - F.length(F.replace(header, F.lit("\n"), F.lit("")))
             following = bind(
                 sig_end,
@@ -102,7 +102,11 @@ def python_declarations(lines: Column, labels: Column) -> Column:
                 end.cast("int").alias("end"),
             )
 
-        return bind(code, lambda cd: bind(content, lambda ct: F.transform(marks, lambda r: declaration(r, cd, ct))))
+        def each(m: Column, cd: Column, ct: Column) -> Column:
+            after = lambda i: F.coalesce(F.get(m, i + 1)["n"], F.size(lines) + 1)
+            return F.transform(m, lambda r, i: declaration(r, after(i), cd, ct))
+
+        return bind(code, lambda cd: bind(content, lambda ct: bind(marks, lambda m: each(m, cd, ct))))
 
     return bind(numbered, build)
 
@@ -189,16 +193,21 @@ def enclosing(decls: Column, line: Column) -> Column:
 
 
 def _decorators(lines: Column, n: Column) -> Column:
-    before = F.reverse(F.slice(lines, F.greatest(F.lit(1), n - 20), F.least(F.lit(20), n - 1)))
+    """Decorator lines directly above line ``n``; only where twenty lines hold nothing else are all lines above read."""
+    near = _decorators_within(lines, n, F.least(F.lit(20), n - 1))
+    return F.when(n <= 1, F.array().cast("array<string>")).when(F.size(near) < 20, near).otherwise(_decorators_within(lines, n, n - 1))
+
+
+def _decorators_within(lines: Column, n: Column, count: Column) -> Column:
     state = F.aggregate(
-        before,
+        F.reverse(F.slice(lines, n - count, count)),
         F.struct(F.lit(True).alias("go"), F.array().cast("array<string>").alias("kept")),
         lambda s, x: F.when(
             s["go"] & F.ltrim(x).startswith("@"),
             F.struct(F.lit(True).alias("go"), F.concat(F.array(normalize_expr(x)), s["kept"]).alias("kept")),
         ).otherwise(F.struct(F.lit(False).alias("go"), s["kept"].alias("kept"))),
     )
-    return F.when(n > 1, state["kept"]).otherwise(F.array().cast("array<string>"))
+    return state["kept"]
 
 
 def declaration_rows(files: DataFrame) -> DataFrame:
@@ -411,6 +420,8 @@ JS_IMPORT = r"(?s)^\s*import\s+(?:type\s+)?(?:([^'\";]+?)\s+from\s+)?['\"]([^'\"
 
 
 IMPORT_LINE = r"^(?:import|from)\s|^\s+import\s"
+#: A first line that does not hold the whole statement: an open bracket, a continued line, or no module name yet.
+OPEN_IMPORT = r"[({][^)}]*$|\\\s*$|^\s*import\s+(?:type\s+)?[^'\"(]*$"
 
 
 def imports(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -420,7 +431,17 @@ def imports(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """
     numbered = labelled_lines(F.col("lines"), F.col("labels"))
     marks = F.filter(numbered, lambda r: (r["label"] == "c") & r["x"].rlike(IMPORT_LINE))
-    rows = explode_rows(files, marks, "r", "repo", "path", "language", "lines", *keep).select("repo", "path", "language", *keep, F.col("r.n").alias("line_number"), F.array_join(F.slice("lines", F.col("r.n"), HEADER_LINES), "\n").alias("x"))
+
+    def statement(lines: Column, m: Column, r: Column, i: Column) -> Column:
+        # an import ends before the next one; only one that leaves a bracket, a string or a line open is read further
+        after = F.coalesce(F.get(m, i + 1)["n"], F.size(lines) + 1)
+        more = r["x"].rlike(OPEN_IMPORT)
+        return F.struct(r["n"].alias("n"), F.when(more, F.array_join(F.slice(lines, r["n"], after - r["n"]), "\n")).otherwise(r["x"]).alias("x"))
+
+    statements = bind(F.col("lines"), lambda lines: bind(marks, lambda m: F.transform(m, lambda r, i: statement(lines, m, r, i))))
+    rows = explode_rows(files, statements, "r", "repo", "path", "language", *keep).select(
+        "repo", "path", "language", *keep, F.col("r.n").alias("line_number"), F.col("r.x").alias("x")
+    )
     x = F.col("x")
     listed = F.transform(
         F.filter(F.split(F.regexp_replace(F.regexp_extract(x, r"^import\s+([^\n#;]+)", 1), r"\\", ""), ","), lambda p: strip(p) != ""), strip
@@ -483,16 +504,18 @@ def routes(files: DataFrame) -> DataFrame:
     )
 
 
-def symbols(entity_rows: DataFrame, max_files: int = 25) -> DataFrame:
-    """Functions, classes and ``Class.method`` of the first Python files (by path) of each repository."""
+def symbols(entity_rows: DataFrame, max_files: int | None = None) -> DataFrame:
+    """Functions, classes and ``Class.method`` of the Python files, or the first ``max_files`` by path, of each repository."""
     python = entity_rows.filter((F.col("language") == "Python") & F.col("type").isin("function", "class", "method"))
-    order = Window.partitionBy("repo").orderBy("path")
-    chosen = python.select("repo", "path").distinct().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_files)
+    if max_files is not None:
+        order = Window.partitionBy("repo").orderBy("path")
+        chosen = python.select("repo", "path").distinct().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_files)
+        python = python.join(chosen.drop("_n"), ["repo", "path"], "left_semi")
     name = F.when(F.col("type") == "method", F.concat("parent", F.lit("."), "name")).otherwise(F.col("name"))
     signature = F.when(F.col("type") == "class", F.concat(F.lit("class "), "name")).otherwise(
         F.concat(F.lit("def "), "name", F.lit("("), F.array_join("parameters", ", "), F.lit(")"))
     )
-    return python.join(chosen.drop("_n"), ["repo", "path"], "left_semi").select(
+    return python.select(
         "repo", name.alias("name"), F.col("type").alias("symbol_type"), F.col("path").alias("file_path"), "start_line", "end_line",
         signature.alias("signature"), "docstring",
     )
@@ -502,8 +525,8 @@ ENV_VAR = r"(?:os\.environ(?:\.get\(|\[)|os\.getenv\(|process\.env\.)[\"']([A-Z0
 ENV_EXTENSIONS = (".py", ".js", ".ts", ".json", ".example")
 
 
-def env_vars(files: DataFrame, limit: int = 25) -> DataFrame:
-    """Environment variables referenced in a repository, distinct, the first ``limit`` by name."""
+def env_vars(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Environment variables referenced in a repository, distinct, ranked by name; the first ``limit`` where given."""
     found = F.concat(
         F.regexp_extract_all("content", F.lit(ENV_VAR), F.lit(1)), F.regexp_extract_all("content", F.lit(ENV_VAR), F.lit(2))
     )
@@ -514,7 +537,8 @@ def env_vars(files: DataFrame, limit: int = 25) -> DataFrame:
         .distinct()
     )
     order = Window.partitionBy("repo").orderBy("name")
-    return names.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    ranked = names.withColumn("rank", F.row_number().over(order))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 # Manifests and documents picked up at the root of a repository.
@@ -525,11 +549,11 @@ MANIFESTS = (
 DOC_FILES = ("README.md", "README", "CONTRIBUTING.md", "LICENSE", "docs/architecture.md")
 
 
-def manifests(files: DataFrame, limit: int = 4_000) -> DataFrame:
-    """Manifest and document files of each repository, cut to ``limit`` characters."""
+def manifests(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Manifest and document files of each repository, cut to ``limit`` characters where given."""
     kind = F.when(F.col("path").isin(*MANIFESTS), F.lit("manifest")).when(F.col("path").isin(*DOC_FILES), F.lit("document"))
     return files.filter(F.col("path").isin(*MANIFESTS, *DOC_FILES)).select(
-        "repo", "path", kind.alias("kind"), F.left("content", F.lit(limit)).alias("content")
+        "repo", "path", kind.alias("kind"), (F.col("content") if limit is None else F.left("content", F.lit(limit))).alias("content")
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.functions import text
 from corpusloom.functions.rows import explode_rows, posexplode_rows
 from corpusloom.functions.text import strip
+from corpusloom.functions.vectors import bind
 
 BRACE_LANGUAGES = ("javascript", "typescript", "c", "cpp", "csharp", "java", "go")
 BLOCK_LINES = 6
@@ -249,28 +250,36 @@ def duplicate_blocks(
 
 
 def fallback_chunks(files: DataFrame, max_lines: int = FALLBACK_CHUNK_LINES) -> DataFrame:
-    """One module chunk per non-empty file: its first ``max_lines`` lines."""
+    """Module chunks of every non-empty file: all its lines, at most ``max_lines`` in each chunk."""
     from corpusloom.functions import paths
 
-    total = F.size("lines")
-    name, end = paths.stem(F.col("path")), F.least(total, F.lit(max_lines))
-    code = F.array_join(F.slice("lines", 1, max_lines), "\n")
+    name, start, end = paths.stem(F.col("path")), F.col("part.start"), F.col("part.end")
     kind = F.lit("file_module")
     none = F.lit(None).cast("string")
     empty = F.array().cast("array<string>")
-    return files.filter(F.col("content") != "").select(
+    # only the chunk's own lines are carried by its row
+    parts = bind(F.col("lines"), lambda rows: F.transform(
+        F.sequence(F.lit(1), F.size(rows), F.lit(max_lines)),
+        lambda at: F.struct(
+            at.alias("start"), F.least(at + max_lines - 1, F.size(rows)).alias("end"),
+            F.array_join(F.slice(rows, at, F.lit(max_lines)), "\n").alias("code"),
+        ),
+    ))
+    filled = files.filter((F.col("content") != "") & (F.size("lines") > 0))
+    code = F.col("part.code")
+    return explode_rows(filled, parts, "part", "repo", "path", "language").select(
         "repo",
-        text.chunk_id(F.col("path"), name, F.lit(1), total).alias("chunk_id"),
+        text.chunk_id(F.col("repo"), F.col("path"), name, start, end).alias("chunk_id"),
         F.col("path").alias("file_path"),
         name.alias("entity_name"),
         kind.alias("entity_type"),
         F.col("language"),
-        F.lit(1).alias("start_line"),
+        start.alias("start_line"),
         end.alias("end_line"),
         none.alias("signature"), none.alias("docstring"), none.alias("parent"),
         empty.alias("parameters"), none.alias("return_type"), empty.alias("decorators"), none.alias("visibility"),
         code.alias("code_content"),
-        text.context_header(F.col("path"), name, kind, F.lit(1), end).alias("context_header"),
+        text.context_header(F.col("path"), name, kind, start, end).alias("context_header"),
         text.estimate_tokens(code).alias("tokens_estimate"),
     )
 

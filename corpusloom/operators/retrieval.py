@@ -105,8 +105,8 @@ def search(
 
 
 def select_sources(hits: DataFrame, k: int = 5) -> DataFrame:
-    """First hit per (query, file, lines), the k best of them, labelled S1..Sk; ``hits`` were cut to 2k."""
-    place = Window.partitionBy("query_id", "meta.file_path", "meta.start_line", "meta.end_line").orderBy("rank")
+    """First hit per (query, repository, file, lines), the k best of them, labelled S1..Sk; ``hits`` were cut to 2k."""
+    place = Window.partitionBy("query_id", "meta.repo", "meta.file_path", "meta.start_line", "meta.end_line").orderBy("rank")
     order = Window.partitionBy("query_id").orderBy("rank")
     return (
         hits.withColumn("_r", F.row_number().over(place))
@@ -115,7 +115,7 @@ def select_sources(hits: DataFrame, k: int = 5) -> DataFrame:
         .filter(F.col("_n") <= k)
         .select(
             "query_id", F.concat(F.lit("S"), F.col("_n").cast("string")).alias("source_id"), F.col("_n").alias("source_no"),
-            "chunk_id", "meta.file_path", "meta.start_line", "meta.end_line", "meta.entity_name", "meta.entity_type",
+            "chunk_id", "meta.repo", "meta.file_path", "meta.start_line", "meta.end_line", "meta.entity_name", "meta.entity_type",
             "meta.language", "meta.signature", F.bround("score", 4).alias("score"),
         )
     )

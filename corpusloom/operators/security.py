@@ -183,8 +183,32 @@ def _with_id(df: DataFrame) -> DataFrame:
     return df.select(quality.finding_id("title").alias("finding_id"), *FINDING)
 
 
+def _open_call(lines: Column, n: Column) -> Column:
+    """From line ``n`` to the line that closes its brackets; brackets in strings count too, so at the latest the file's end.
+
+    A short stretch nearly always holds the end; only where it does not is the rest of the file read.
+    """
+
+    def closing(count: Column) -> Column:
+        taken = F.slice(lines, n, count)
+        depth = lambda x: F.length(F.translate(x, ")", "")) - F.length(F.translate(x, "(", ""))
+        state = F.aggregate(
+            taken,
+            F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end")),
+            lambda s, x: F.when(s["end"] > 0, s).otherwise(F.struct(
+                (s["depth"] + depth(x)).alias("depth"), (s["at"] + 1).alias("at"),
+                F.when(s["depth"] + depth(x) <= 0, s["at"] + 1).otherwise(F.lit(0)).alias("end"),
+            )),
+        )
+        return state["end"]
+
+    near = closing(F.lit(16))
+    last = bind(near, lambda e: F.when(e > 0, e).otherwise(bind(closing(F.size(lines)), lambda f: F.when(f > 0, f).otherwise(F.size(lines)))))
+    return F.array_join(F.slice(lines, n, last), "\n")
+
+
 def _numbered(keyword: str, code_only: bool) -> Column:
-    """Candidate lines ``(n, x)``: those with a rule keyword, with the next two lines where a call is left open."""
+    """Candidate lines ``(n, x)``: those with a rule keyword, with the lines up to its closing bracket where a call is left open."""
     opened = r"\(\s*$"
     rows = F.filter(
         extract.labelled_lines(F.col("lines"), F.col("labels")),
@@ -196,7 +220,7 @@ def _numbered(keyword: str, code_only: bool) -> Column:
             rows,
             lambda r: F.struct(
                 r["n"].alias("n"),
-                F.when(r["x"].rlike(opened), F.array_join(F.slice(lines, r["n"], 3), "\n")).otherwise(r["x"]).alias("x"),
+                F.when(r["x"].rlike(opened), _open_call(lines, r["n"])).otherwise(r["x"]).alias("x"),
             ),
         ),
     )

@@ -13,7 +13,6 @@ from corpusloom.functions.text import strip
 from corpusloom.operators import extract
 from corpusloom.operators.graph import salted_join
 
-MAX_FRAMES = 50
 MAX_SNIPPETS = 6
 MAX_EVIDENCE_LINES = 500
 MAX_ENTITY_SPAN = 60
@@ -66,8 +65,8 @@ def _plain_frames(c: Column) -> Column:
 
 
 def parse_traces(traces: DataFrame) -> DataFrame:
-    """Add language, error type and message, frames (at most 50, outermost first) and the distinct paths in order."""
-    t = F.left(F.coalesce("text", F.lit("")), F.lit(text.MAX_TRACE_CHARS))
+    """Add language, error type and message, all frames (outermost first) and the distinct paths in order, from the whole text."""
+    t = F.coalesce("text", F.lit(""))
     base = traces.withColumn("raw_trace", t).withColumn("_lines", text.split_lines(F.col("raw_trace")))
     base = (
         base.withColumn("_py", _python_frames(F.col("_lines")))
@@ -115,8 +114,8 @@ def parse_traces(traces: DataFrame) -> DataFrame:
         .withColumn(
             "file_paths", F.array_distinct(F.filter(F.transform("_frames", lambda f: f["file_path"]), lambda p: p != ""))
         )
-        .withColumn("frames", F.slice("_frames", 1, MAX_FRAMES))
-        .drop("_lines", "_py", "_js", "_any", "_form", "_frames")
+        .withColumnRenamed("_frames", "frames")
+        .drop("_lines", "_py", "_js", "_any", "_form")
     )
 
 
@@ -318,15 +317,13 @@ def calibrate_confidence(reported: Column, has_source: Column) -> Column:
 
 
 def filter_related(suggested: Column, located: Column) -> Column:
-    """Suggested files that were located (sorted); all located where none match; where nothing was located, the first
-    ten relative suggestions, redacted."""
+    """Suggested files that were located (sorted); all located where none match; where nothing was located, all
+    relative suggestions, redacted."""
     from corpusloom.functions.secrets import redact_secrets
 
     both = F.array_sort(F.array_distinct(F.array_intersect(suggested, located)))
-    fallback = F.slice(
-        F.transform(
-            F.filter(suggested, lambda p: (p != "") & ~p.startswith("/") & ~p.contains("..")), lambda p: redact_secrets(p, "debug")
-        ), 1, 10,
+    fallback = F.transform(
+        F.filter(suggested, lambda p: (p != "") & ~p.startswith("/") & ~p.contains("..")), lambda p: redact_secrets(p, "debug")
     )
     return F.when(F.size(located) == 0, fallback).when(F.size(both) > 0, both).otherwise(F.array_sort(located))
 

@@ -41,9 +41,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus past the size gate with its language (none for plain text) and line array."""
-    files = src.kept(src.with_skip_reason(corpus(spark, sf_dir)))
-    return src.with_lines(src.with_language(files))
+    """The whole corpus with its language (none for plain text) and line array; the size gate is a query of its own."""
+    return src.with_lines(src.with_language(corpus(spark, sf_dir)))
 
 
 CORPUS_SQL = """corpus AS (
@@ -56,7 +55,7 @@ LINES_SQL = CORPUS_SQL + """, split AS (
   SELECT *, CASE WHEN content = '' THEN []
                  WHEN right(content, 1) = chr(10) THEN string_split(left(content, length(content) - 1), chr(10))
                  ELSE string_split(content, chr(10)) END AS lines
-  FROM corpus WHERE size_bytes <= 1048576), line_table AS (
+  FROM corpus), line_table AS (
   SELECT repo, path, lang, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no FROM split)"""
 
 # The characters Python's strip() removes, as a SQL expression.

@@ -110,7 +110,7 @@ def routes(spark, sf):
     return x.routes(b.code_lines(spark, sf))
 
 
-_SYM_SQL = f"""{_ENT_SQL}, first_files AS (SELECT repo, path FROM (SELECT DISTINCT repo, path FROM ents WHERE is_py) QUALIFY row_number() OVER (PARTITION BY repo ORDER BY path) <= 25),
+_SYM_SQL = f"""{_ENT_SQL}, first_files AS (SELECT repo, path FROM (SELECT DISTINCT repo, path FROM ents WHERE is_py)),
 syms AS (SELECT repo, CASE WHEN type = 'method' THEN parent || '.' || name ELSE name END AS name, type AS symbol_type, path AS file_path, start_line, end_line,
   CASE WHEN type = 'class' THEN 'class ' || name ELSE 'def ' || name || '(' || replace(params, ',', ', ') || ')' END AS signature, docstring
   FROM ents JOIN first_files USING (repo, path) WHERE type IN ('class', 'method', 'function'))"""
@@ -125,7 +125,7 @@ _ENV_SQL = f"""{b.CODE_SQL}, ev AS (SELECT DISTINCT repo, CASE WHEN is_py THEN '
 
 
 @query("env_vars", "EXT8", f"""
-WITH {_ENV_SQL} SELECT repo, name, CAST(row_number() OVER (PARTITION BY repo ORDER BY name) AS INTEGER) AS rank FROM ev QUALIFY rank <= 25""")
+WITH {_ENV_SQL} SELECT repo, name, CAST(row_number() OVER (PARTITION BY repo ORDER BY name) AS INTEGER) AS rank FROM ev""")
 def env_vars(spark, sf):
     return x.env_vars(b.code_corpus(spark, sf))
 
@@ -145,7 +145,7 @@ def project_files(spark, sf):
 
 @query("manifests", "EXT9", f"""
 WITH p AS (SELECT 'd' || (doc_id // 8) AS repo, {list(_ROOT_FILES)}[doc_id % 8 + 1] AS path, CASE WHEN (doc_id // 8) % 3 = 0 THEN 'jest ' || text ELSE text END AS content, doc_id % 8 AS r FROM documents)
-SELECT repo, path, CASE WHEN r < 2 THEN 'manifest' ELSE 'document' END AS kind, md5(left(content, 4000)) AS digest FROM p WHERE r IN (0, 1, 2, 3, 7)""")
+SELECT repo, path, CASE WHEN r < 2 THEN 'manifest' ELSE 'document' END AS kind, md5(content) AS digest FROM p WHERE r IN (0, 1, 2, 3, 7)""")
 def manifests(spark, sf):
     return x.manifests(project_files(spark, sf)).select("repo", "path", "kind", F.md5("content").alias("digest"))
 
@@ -160,7 +160,7 @@ def test_frameworks(spark, sf):
 
 @query("entity_chunks", "JN4 JN5 STR7 STR8 STR9", f"""
 WITH {_ENT_SQL}
-SELECT repo, path || '#' || CASE WHEN parent IS NULL THEN '' ELSE parent || '.' END || name || '#L' || start_line || '-L' || end_line AS chunk_id,
+SELECT repo, repo || ':' || path || '#' || CASE WHEN parent IS NULL THEN '' ELSE parent || '.' END || name || '#L' || start_line || '-L' || end_line AS chunk_id,
   'File: ' || path || CASE WHEN parent IS NULL THEN '' ELSE ' | Scope: ' || parent END || ' | ' ||
   CASE type WHEN 'type_alias' THEN 'Type Alias' ELSE upper(left(type, 1)) || substr(type, 2) END || ': ' || name || ' | Lines: ' || start_line || '-' || end_line
   || ' | Signature: ' || signature AS context_header, CAST(end_line - start_line + 1 AS INTEGER) AS n_lines FROM ents""")

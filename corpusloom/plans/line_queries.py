@@ -99,11 +99,11 @@ def token_estimate(spark, sf):
 
 @query("fallback_chunks", "LIN7 STR8 STR9", f"""
 WITH {b.LINES_SQL}, c AS (
-  SELECT repo, path, CAST(doc_id AS VARCHAR) AS nm, CAST(len(lines) AS INTEGER) AS total,
-         array_to_string(lines[1:40], chr(10)) AS code, CAST(least(len(lines), 40) AS INTEGER) AS end_line
-  FROM split WHERE len(lines) > 0)
-SELECT repo, path || '#' || nm || '#L1-L' || total AS chunk_id, nm AS entity_name, 1 AS start_line, end_line,
-  'File: ' || path || ' | File Module: ' || nm || ' | Lines: 1-' || end_line AS context_header, md5(code) AS digest,
+  SELECT repo, path, CAST(doc_id AS VARCHAR) AS nm, CAST(lo AS INTEGER) AS start_line,
+         array_to_string(lines[lo:lo + 39], chr(10)) AS code, CAST(least(len(lines), lo + 39) AS INTEGER) AS end_line
+  FROM (SELECT *, unnest(generate_series(1, len(lines), 40)) AS lo FROM split WHERE len(lines) > 0))
+SELECT repo, repo || ':' || path || '#' || nm || '#L' || start_line || '-L' || end_line AS chunk_id, nm AS entity_name, start_line, end_line,
+  'File: ' || path || ' | File Module: ' || nm || ' | Lines: ' || start_line || '-' || end_line AS context_header, md5(code) AS digest,
   CASE WHEN code = '' THEN 0 ELSE greatest(1, CAST(round_even(length(code) / 3.8, 0) AS INTEGER)) END AS tokens_estimate FROM c""")
 def fallback_chunks(spark, sf):
     chunks = lines.fallback_chunks(b.corpus_lines(spark, sf), max_lines=40)

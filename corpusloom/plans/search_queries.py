@@ -65,10 +65,11 @@ def chunks(spark, sf):
 
 
 _CHUNKS_SQL = f"""{b.LINES_SQL}, chunks AS (
-  SELECT repo, path || '#' || doc_id || '#L1-L' || len(lines) AS chunk_id, path AS file_path, CAST(doc_id AS VARCHAR) AS entity_name,
-         CAST(least(len(lines), 300) AS INTEGER) AS end_line, array_to_string(lines[1:300], chr(10)) AS code,
+  SELECT repo, repo || ':' || path || '#' || doc_id || '#L' || lo || '-L' || least(len(lines), lo + 299) AS chunk_id, path AS file_path,
+         CAST(doc_id AS VARCHAR) AS entity_name, CAST(lo AS INTEGER) AS start_line,
+         CAST(least(len(lines), lo + 299) AS INTEGER) AS end_line, array_to_string(lines[lo:lo + 299], chr(10)) AS code,
          string_split_regex(lower(path), '[/\\\\_\\-.]+') AS path_tokens, [CAST(doc_id AS VARCHAR)] AS name_tokens
-  FROM split WHERE len(lines) > 0)"""
+  FROM (SELECT *, unnest(generate_series(1, len(lines), 300)) AS lo FROM split WHERE len(lines) > 0))"""
 
 _TOKENS = "CASE WHEN code = '' THEN 0 ELSE greatest(1, CAST(round_even(length(code) / 3.8, 0) AS INTEGER)) END"
 
@@ -152,12 +153,12 @@ def semantic_topk(spark, sf):
 
 
 def _one_sided(df, keep):
-    """Every seventh query loses one pool, to show the per-query fallback."""
+    """The questions that ask this side: all but every seventh."""
     return df.filter(F.col("query_id") % 7 != keep)
 
 
-_FUSE_SQL = f"""{_LEX_SQL}, {_SEM_SQL}, lp AS (SELECT * FROM lex WHERE rank <= 20 AND query_id % 7 <> 1),
-sp AS (SELECT query_id, chunk_id, rank, round(greatest(0, least(1, cosine)), 4) AS score FROM sem WHERE rank <= 20 AND query_id % 7 <> 2),
+_FUSE_SQL = f"""{_LEX_SQL}, {_SEM_SQL}, lp AS (SELECT * FROM lex WHERE rank <= 20 /*lexical side*/),
+sp AS (SELECT query_id, chunk_id, rank, round(greatest(0, least(1, cosine)), 4) AS score FROM sem WHERE rank <= 20 /*semantic side*/),
 fu AS (SELECT query_id, chunk_id, l.rank AS lr, s.rank AS sr, l.score AS ls, s.score AS ss,
   count(l.rank) OVER (PARTITION BY query_id) AS nl, count(s.rank) OVER (PARTITION BY query_id) AS ns FROM lp l FULL JOIN sp s USING (query_id, chunk_id)),
 fs AS (SELECT *, CASE WHEN nl > 0 AND ns > 0 THEN coalesce(0.5::DOUBLE / (60 + lr), 0) + coalesce(0.5::DOUBLE / (60 + sr), 0) ELSE 0 END AS rrf,
@@ -168,10 +169,7 @@ fused AS (SELECT query_id, chunk_id, CASE WHEN nl > 0 AND ns > 0 THEN round(rrf,
 
 
 def _hybrid(spark, sf, limit=10):
-    q, c, pool = _embedded_queries(spark, sf), chunks(spark, sf), retrieval.pool_size(limit)
-    lex = _one_sided(lexical.lexical_search(q, c, pool), 1)
-    sem = _one_sided(retrieval.semantic_search(q, _vectors(spark, sf), c, pool), 2)
-    return retrieval.fuse(lex, sem, limit)
+    return retrieval.search("hybrid", _embedded_queries(spark, sf), chunks(spark, sf), _vectors(spark, sf), limit)
 
 
 @query("hybrid_rrf", "SRCH5 SRCH6 SRCH7 JN10", f"""
@@ -181,22 +179,33 @@ def hybrid_rrf(spark, sf):
     return _hybrid(spark, sf).select("query_id", "rank", "chunk_id", "score", "search_mode")
 
 
+_FALLBACK_SQL = _FUSE_SQL.replace("/*lexical side*/", "AND query_id % 7 <> 1").replace("/*semantic side*/", "AND query_id % 7 <> 2")
+
+
+@query("hybrid_fallback", "SRCH6", f"""
+WITH {_FALLBACK_SQL}
+SELECT query_id, rank, chunk_id, score, search_mode FROM fused WHERE rank <= 10""")
+def hybrid_fallback(spark, sf):
+    """Some questions are asked of one side only; each is answered from the pool it has."""
+    q, c, pool = _embedded_queries(spark, sf), chunks(spark, sf), retrieval.pool_size(10)
+    lex = lexical.lexical_search(_one_sided(q, 1), c, pool)
+    sem = retrieval.semantic_search(_one_sided(q, 2), _vectors(spark, sf), c, pool)
+    return retrieval.fuse(lex, sem, 10).select("query_id", "rank", "chunk_id", "score", "search_mode")
+
+
 @query("answer_sources", "SRCH8", f"""
-WITH {_FUSE_SQL}, h AS (SELECT f.*, c.file_path, CAST(c.end_line % 3 AS INTEGER) AS loc FROM fused f JOIN chunks c USING (chunk_id) WHERE rank <= 10),
-d AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, loc ORDER BY rank) = 1),
-n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS no FROM d)
-SELECT query_id, 'S' || no AS source_id, chunk_id, round_even(score, 4) AS score FROM n WHERE no <= 5""")
+WITH {_FUSE_SQL}
+SELECT query_id, 'S' || f.rank AS source_id, repo, file_path, start_line, end_line, chunk_id, round_even(score, 4) AS score
+FROM fused f JOIN chunks USING (chunk_id) WHERE f.rank <= 5""")
 def answer_sources(spark, sf):
-    # Hits are given one of three locations, so that the removal of repeated locations has work to do.
-    hits = _hybrid(spark, sf).withColumn("meta", F.col("meta").withField("file_path", F.lit("f")).withField(
-        "start_line", F.lit(1)).withField("end_line", F.col("meta.end_line") % 3))
-    return retrieval.select_sources(hits, 5).select("query_id", "source_id", "chunk_id", "score")
+    sources = retrieval.select_sources(_hybrid(spark, sf), 5)
+    return sources.select("query_id", "source_id", "repo", "file_path", "start_line", "end_line", "chunk_id", "score")
 
 
 @query("context_pack", "SRCH9", f"""
 WITH {_LEX_SQL}, s AS (SELECT l.query_id, l.rank, c.* FROM lex l JOIN chunks c USING (chunk_id) WHERE rank <= 5),
 blk AS (SELECT query_id, rank, 'S' || rank AS sid, '--- BEGIN S' || rank || ' ---' || chr(10) || 'SOURCE [S' || rank || ']' || chr(10) || 'File: ' || file_path ||
-  ' (Lines 1-' || end_line || ')' || chr(10) || 'Entity: file_module ' || entity_name || chr(10) || 'Language: text' || chr(10) || chr(10) || '```text' || chr(10) || code ||
+  ' (Lines ' || start_line || '-' || end_line || ')' || chr(10) || 'Entity: file_module ' || entity_name || chr(10) || 'Language: text' || chr(10) || chr(10) || '```text' || chr(10) || code ||
   chr(10) || '```' || chr(10) || '--- END S' || rank || ' ---' AS block FROM s),
 run AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS total FROM blk)
 SELECT query_id, array_to_string(list(sid ORDER BY rank), ',') AS source_ids, md5(array_to_string(list(block ORDER BY rank), chr(10) || chr(10))) AS digest,
