@@ -21,7 +21,7 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Bounds of the training sample and of the traits; rarer ones say nothing.
-MAX_SAMPLE, MAX_TRAITS, MIN_DOCUMENTS, MIN_DEVIATIONS = 8000, 20_000, 3, 4.0
+MAX_SAMPLE, MAX_TRAITS, MIN_DOCUMENTS, MIN_DEVIATIONS = 6000, 20_000, 3, 4.0
 BEGINNINGS = (3, 4, 5)
 EPOCHS, BATCH, RATE, DECAY, SEED = 40, 64, 0.05, 3e-5, 11
 START_BIAS = -6.0
@@ -92,21 +92,26 @@ def train(sample: list[tuple[str, int]]) -> SentenceModel:
     Traits enter the model if they stand in more toxic documents than chance explains: so many that their share exceeds
     that of all documents by ``MIN_DEVIATIONS`` standard deviations.
     """
-    split = [[[t for w in sorted(set(WORD.findall(s.lower()))) for t in traits(w)] for s in SENTENCE.findall(text)] for text, _ in sample]
     labels = np.array([label for _, label in sample])
     if len(set(labels.tolist())) < 2:
         return SentenceModel([])
-    seen, toxic = Counter(), Counter()
-    for d, label in zip(split, labels):
-        found = {t for s in d for t in s}
-        seen.update(found)
-        if label:
-            toxic.update(found)
+
+    def found(text: str) -> set[str]:
+        return {t for w in set(WORD.findall(text.lower())) for t in traits(w)}
+
+    # texts are gone through three times so that only traits that may enter the model are ever held
+    toxic = Counter(t for text, label in sample if label for t in found(text))
+    toxic = {t: k for t, k in toxic.items() if k >= MIN_DOCUMENTS}
+    seen = Counter(t for text, _ in sample for t in found(text) if t in toxic)
     rate = labels.mean()
-    sure = {t: (k - seen[t] * rate) / (seen[t] * rate * (1 - rate)) ** 0.5 for t, k in toxic.items() if seen[t] >= MIN_DOCUMENTS}
+    sure = {t: (k - seen[t] * rate) / (seen[t] * rate * (1 - rate)) ** 0.5 for t, k in toxic.items()}
     chosen = sorted((t for t in sure if sure[t] >= MIN_DEVIATIONS), key=lambda t: (-sure[t], t))[:MAX_TRAITS]
     model = SentenceModel(sorted(chosen))
-    documents = [[[model.words[t] for t in s if t in model.words] for s in d] for d in split]
+    number = model.words
+    documents = [
+        [[number[t] for w in sorted(set(WORD.findall(s.lower()))) for t in traits(w) if t in number] for s in SENTENCE.findall(text)]
+        for text, _ in sample
+    ]
     return model.fit(documents, labels)
 
 
