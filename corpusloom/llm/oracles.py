@@ -98,9 +98,13 @@ common AS MATERIALIZED (
 langs AS (
   SELECT lang FROM base WHERE lang IS NOT NULL AND NOT base_failed GROUP BY lang
   HAVING count(*) >= {quality.MIN_SHARE} * (SELECT count(*) FROM base WHERE lang IS NOT NULL AND NOT base_failed)),
-refc AS (SELECT lang, cls, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM hist SEMI JOIN langs USING (lang) WHERE NOT base_failed GROUP BY lang, cls),
+refc AS (
+  SELECT lang, cls, sum(m) / sum(sum(m)) OVER (PARTITION BY lang) AS q
+  FROM (SELECT *, CAST(floor(n * {quality.MILLION} / sum(n) OVER (PARTITION BY r)) AS BIGINT) AS m FROM hist) SEMI JOIN langs USING (lang)
+  WHERE NOT base_failed GROUP BY lang, cls),
 refw AS (
-  SELECT lang, word, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM common JOIN base USING (r) SEMI JOIN langs USING (lang)
+  SELECT lang, word, sum(m) / sum(sum(m)) OVER (PARTITION BY lang) AS q
+  FROM (SELECT *, CAST(floor(n * {quality.MILLION} / sum(n) OVER (PARTITION BY r)) AS BIGINT) AS m FROM common) JOIN base USING (r) SEMI JOIN langs USING (lang)
   WHERE NOT base_failed GROUP BY lang, word),
 dc AS (
   SELECT r, refc.lang, sqrt(greatest(0, sum({term})) / 2) AS cd

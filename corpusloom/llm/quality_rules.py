@@ -21,7 +21,7 @@ COMMON_WORDS = tuple(sorted(set(
     + "el que y los del se las por un para con no una su al lo como más o pero sus le ya este sí".split()
 )))
 CHAR_CLASSES = ("lower", "upper", "letter", "digit", "blank", "point", "symbol", "other")
-MIN_SHARE = 0.01
+MIN_SHARE, MILLION = 0.01, 1_000_000
 MIN_WORDS = 50
 MAX_REPEATED = 50
 
@@ -113,7 +113,7 @@ def document_counts(docs: DataFrame, *keep: str) -> DataFrame:
         F.size(words).cast("bigint").alias("n_words"),
         F.length(whole).cast("bigint").alias("n_chars_"),
         (F.length(whole) - F.length(unlow)).cast("bigint").alias("_lower"), has("[A-Z]").alias("_upper"),
-        has(r"[^\x00-\x7F&&[\p{L}]]").alias("_letter"), has("[0-9]").alias("_digit"), (F.length(unlow) - F.length(rest)).cast("bigint").alias("_blank"),
+        has(r"[\p{L}&&[^\x00-\x7F]]").alias("_letter"), has("[0-9]").alias("_digit"), (F.length(unlow) - F.length(rest)).cast("bigint").alias("_blank"),
         has(r"[-.,;:!?'\x22()]").alias("_point"), has("[#*$%&|<>]").alias("n_symbols"),
         bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         bind(words, _repeated_words).alias("n_repeat_words"),
@@ -132,19 +132,24 @@ def base_failed() -> Column:
 
 
 def references(counts: DataFrame) -> dict[str, tuple[list[float], dict[str, float]]]:
-    """Per language its shares of character classes and of common words, over all documents that pass the base rules.
+    """Per language the mean shares of character classes and of common words of all documents that pass the base rules.
 
-    ``counts`` as of :func:`document_counts` with ``lang``; rows without a language give no reference. Languages with
+    A document counts by its shares, in whole millionths so that sums do not depend on their order: a very long one weighs
+    no more than others. ``counts`` as of :func:`document_counts` with ``lang``; rows without a language give no reference. Languages with
     fewer than ``MIN_SHARE`` of these documents give none: what reaches the driver is bounded.
     """
     sound = counts.filter(F.col("lang").isNotNull() & ~base_failed())
-    sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(len(CHAR_CLASSES))]
+    n_chars = F.aggregate(F.col("chars"), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    n_common = F.aggregate(F.col("common"), F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
+    share = lambda n, of: F.floor(n.cast("bigint") * MILLION / of).cast("bigint")
+    sums = [F.sum(share(F.col("chars")[i], n_chars)).alias(f"c{i}") for i in range(len(CHAR_CLASSES))]
     chars = sound.groupBy("lang").agg(F.count("*").alias("n"), *sums)
     total = sound.count()
     chars = {r.lang: [float(r[f"c{i}"]) for i in range(len(CHAR_CLASSES))] for r in chars.filter(F.col("n") >= total * MIN_SHARE).collect()}
     shared = sound.filter(F.col("lang").isin(*chars)) if chars else sound.limit(0)
     words = (
-        shared.select("lang", F.explode("common").alias("c")).groupBy("lang", F.col("c.word").alias("word")).agg(F.sum("c.n").alias("n"))
+        shared.select("lang", n_common.alias("of"), F.explode("common").alias("c"))
+        .groupBy("lang", F.col("c.word").alias("word")).agg(F.sum(share(F.col("c.n"), F.col("of"))).alias("n"))
     )
     found = {lang: {} for lang in chars}
     for r in words.collect():
