@@ -225,7 +225,9 @@ def decode_png(media: bytes) -> bytes:
         raise ValueError("not a PNG")
     at, header, body = len(PNG_SIGNATURE), None, []
     while at < len(media):
-        size, kind = struct.unpack_from(">I4s", media, at)
+        size, kind = struct.unpack_from(">I4s", media, at) if at + 12 <= len(media) else (len(media), b"")
+        if at + 12 + size > len(media):
+            raise ValueError("image is cut off")
         data = media[at + 8 : at + 8 + size]
         if struct.unpack_from(">I", media, at + 8 + size)[0] != zlib.crc32(data, zlib.crc32(kind)):
             raise ValueError("damaged chunk")
