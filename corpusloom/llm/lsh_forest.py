@@ -33,7 +33,9 @@ HASHES, TREES, REACH = 64, 16, 2
 DEVIATIONS = 4.5
 BEST = 2
 #: Shingles per side of a block.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 100_000
+#: Bits of the map of ids whose sets are needed (16 MB).
+MAX_FILTER_BITS = 1 << 27
 
 _RANDOM = np.random.default_rng(20)
 _FACTORS = _RANDOM.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,11 +96,28 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``node, set``: the full shingle set of every row, sorted."""
+def shingle_sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
+    """``node, set``: the full shingle set, sorted, of every row whose id is in ``wanted(node)``.
+
+    The wanted ids become a bit map of bounded size, with which the tasks leave out most other rows where they stand, so
+    that only few sets are moved for the join with ``wanted`` that decides. With more ids than the map can tell apart it
+    only leaves out less.
+    """
+    count = wanted.count()
+    bits = min(MAX_FILTER_BITS, max(1 << 10, 1 << (16 * count).bit_length()))
+    slots = [F.pmod(F.xxhash64("node", F.lit(k)), F.lit(bits)).alias(f"slot{k}") for k in range(2)]
+    marks = wanted.select(F.explode(F.array(*slots)).alias("slot"))
+    words = marks.groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()  # at most MAX_FILTER_BITS / 64 numbers
+
+    def marked(slot: np.ndarray) -> np.ndarray:
+        return (bitmap[slot >> 6] >> (slot & 63)) & 1 == 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keep = marked(batch.column(2).to_numpy()) & marked(batch.column(3).to_numpy())
+            batch = batch.filter(pa.array(keep))
             ids, texts, start = batch.column(0), batch.column(1), 0
             while start < batch.num_rows:
                 stop = slice_end(texts, start)
@@ -108,7 +127,8 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), arrays], names=["node", "set"])
                 start = stop
 
-    return _texts(docs).mapInArrow(run, "node bigint, set array<bigint>")
+    texts = _texts(docs).filter("doc_id is not null").withColumnRenamed("doc_id", "node").select("node", "text", *slots)
+    return texts.mapInArrow(run, "node bigint, set array<bigint>").join(wanted, "node", "left_semi")
 
 
 # ---- the forest -----------------------------------------------------------------------------------------------------
@@ -267,9 +287,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     groups = stored(groups, "sets")
     candidates = stored(forest_candidates(groups.select("node", "signature"), percent), "candidates")
     # only documents with a candidate need their sets
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    near_texts = _texts(docs).join(wanted, "doc_id", "left_semi")
-    sets = stored(shingle_sets(near_texts, size), "shingles")
+    wanted = stored(candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    sets = stored(shingle_sets(docs, size, wanted), "shingles")
     # copies have the same set, whichever of them the forest has met; an id that has two sets is linked by either
     directed = candidates.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "agreement", "a", "b")
     rank = Window.partitionBy("p.x").orderBy(F.desc("agreement"), "p.y")
@@ -279,10 +298,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     linked = components(links)
     nodes = clusters.join(linked, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component"))
     rest = stored(remaining_links(nodes, sets, percent), "links")
-    final = components(links.union(rest))
+    # what the rest joins are components, so a graph of these few decides
+    label = lambda side: linked.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component"))
+    joined = rest.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    joined = joined.select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
+    merged = components(joined).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    ends = nodes.select("node", "component").join(merged, "component", "left")
+    final = ends.select("node", F.coalesce("merged", "component").alias("component")).filter("node <> component")
 
     copies = groups.filter("n > 1").select("fingerprint", "node")
     placed = salted_join(signed, copies, ["fingerprint"], ["doc_id"], "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"))
     placed = salted_join(placed, final, ["node"], ["doc_id"], "left")
-    component = F.coalesce("component", "node")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
