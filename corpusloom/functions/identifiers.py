@@ -46,6 +46,7 @@ SYNONYMS = {
     "server": ("server", "service", "backend"),
 }
 
+# Fixed value: the pieces of a camel-case name.
 CAMEL_PIECES = r"(?U)([A-Z]?[a-z]+|[A-Z]+(?=[A-Z][a-z]|\b)|\d+)"
 
 

@@ -132,6 +132,7 @@ def collection_key(url: Column) -> Column:
     return F.concat(F.lit("repo_"), F.left(F.sha2(F.encode(clean, "UTF-8"), 256), F.lit(24)))
 
 
+# What owners, names and hosts may look like.
 OWNER_PATTERN = r"^[a-zA-Z0-9](?:[a-zA-Z0-9]|-(?=[a-zA-Z0-9])){0,38}$"
 NAME_PATTERN = r"^[a-zA-Z0-9_.-]{1,100}$"
 DEFAULT_HOSTS = ("github.com", "www.github.com")

@@ -53,6 +53,7 @@ def is_credential(name: Column, value: Column) -> Column:
     )
 
 
+# Fixed values, here and in the functions below: the patterns of secrets and of temporary paths, and their replacements.
 ASSIGNED_SECRET = r"(?i)(password|secret|token|api_key|access_token)\s*=\s*['\"][^'\"]{8,}['\"]"
 
 

@@ -481,6 +481,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     return posexplode_rows(pages, links, "pos", "module", "page_id", F.col("url").alias("path"))
 
 
+# Route decorators and calls.
 PY_ROUTE = r"(?i)@(?:router|app)\.(get|post|put|delete|patch|options|head)\(\s*[\"']([^\"']+)[\"']"
 JS_ROUTE = r"(?i)(?:router|app)\.(get|post|put|delete|patch)\(\s*[\"']([^\"']+)[\"']"
 HANDLER = r"def\s+([A-Za-z0-9_]+)\s*\("
@@ -521,6 +522,7 @@ def symbols(entity_rows: DataFrame, max_files: int | None = None) -> DataFrame:
     )
 
 
+# How environment variables are read, and in which files.
 ENV_VAR = r"(?:os\.environ(?:\.get\(|\[)|os\.getenv\(|process\.env\.)[\"']([A-Z0-9_]{3,})[\"']|process\.env\.([A-Z0-9_]{3,})"
 ENV_EXTENSIONS = (".py", ".js", ".ts", ".json", ".example")
 

@@ -10,6 +10,7 @@ from corpusloom.functions.rows import explode_rows
 from corpusloom.functions.secrets import sanitize_log
 from corpusloom.functions.text import strip
 
+# Outcome lines, collection errors and missing modules of a test log.
 OUTCOME = r"(?m)^([^\s]+::([^\s]+))\s+(PASSED|FAILED|SKIPPED|ERROR)"
 COLLECTION_ERROR = r"(?:ERROR collecting|CollectionError:|ImportError:|ModuleNotFoundError:)\s*[^\n]+"
 MISSING_MODULE = r"No module named\s+['\"]([^'\"]+)['\"]"

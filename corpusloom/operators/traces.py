@@ -17,6 +17,7 @@ MAX_SNIPPETS = 6
 MAX_EVIDENCE_LINES = 500
 MAX_ENTITY_SPAN = 60
 
+# Headers, frames and errors of traces.
 PY_HEADER = r"(?m)^Traceback \(most recent call last\):"
 PY_FRAME = r"^\s*File \"([^\"]+)\", line (\d+)(?:, in (.+))?$"
 _ERROR_NAME = r"[A-Za-z_][A-Za-z0-9_.]*(?:Error|Exception|Warning|Fault|Interrupt)"

@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusloom.functions.vectors import is_valid_vector
 
 MAX_QUERY_BYTES = 64 * 1024 * 1024
-VECTORS_PER_FRAGMENT = 200_000
+VECTORS_PER_FRAGMENT = 20_000
 QUERIES_PER_FRAGMENT = 5_000
+# One score matrix: at most so many queries times vectors, 16 MB of doubles, however large the batch or the query set.
+QUERY_ROWS, VECTOR_ROWS = 512, 4_096
 # Scores are ranked at nine decimals, so equal vectors tie (and fall to the id) however the sums were grouped.
 RANK_DECIMALS = 9
 
@@ -35,29 +37,43 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _block_top_k(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Best k of one vector batch for every query of the same collection; filters by entity type where asked."""
+    """Best k of one vector batch for every query of the same collection; filters by entity type where asked.
+
+    Both sides are taken in blocks, so the scores held at once are bounded; the best k are merged from block to block.
+    """
     parts = []
     for collection, q in queries.groupby("collection", sort=False):
         rows = vectors[vectors["collection"] == collection]
-        if rows.empty:
-            continue
-        scores = np.round(_unit(_matrix(q["embedding"])) @ _unit(_matrix(rows["embedding"])).T, RANK_DECIMALS)
-        ids, types = rows["chunk_id"].to_numpy(), rows["entity_type"].to_numpy()
-        for i, (query_id, wanted) in enumerate(zip(q["query_id"], q["entity_types"])):
-            line, names = scores[i], ids
-            if wanted is not None and len(wanted):
-                mask = np.isin(types, list(wanted))
-                line, names = line[mask], ids[mask]
-            if len(line) > k:
-                # Keep everything that ties with the k-th score; the final rank decides by id.
-                floor = np.partition(line, len(line) - k)[len(line) - k]
-                best = line >= floor
-                line, names = line[best], names[best]
-            order = np.lexsort((names.astype(str), -line))[:k]
-            parts.append(pd.DataFrame({"query_id": query_id, "chunk_id": names[order], "cosine": line[order]}))
+        for a in range(0, len(q) if len(rows) else 0, QUERY_ROWS):
+            some, best = q.iloc[a : a + QUERY_ROWS], None
+            wanted_side = _unit(_matrix(some["embedding"]))
+            for b in range(0, len(rows), VECTOR_ROWS):
+                best = _merge(best, _cell_top_k(some, wanted_side, rows.iloc[b : b + VECTOR_ROWS], k), k)
+            parts.append(best)
     return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "chunk_id": [], "cosine": []})
 
 
+def _cell_top_k(q: pd.DataFrame, unit_queries: np.ndarray, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    scores = np.round(unit_queries @ _unit(_matrix(rows["embedding"])).T, RANK_DECIMALS)
+    ids, types = rows["chunk_id"].to_numpy(), rows["entity_type"].to_numpy()
+    query_ids, names_out, lines_out = [], [], []
+    for i, (query_id, wanted) in enumerate(zip(q["query_id"], q["entity_types"])):
+        line, names = scores[i], ids
+        if wanted is not None and len(wanted):
+            mask = np.isin(types, list(wanted))
+            line, names = line[mask], ids[mask]
+        if len(line) > k:
+            # Keep everything that ties with the k-th score; the final rank decides by id.
+            floor = np.partition(line, len(line) - k)[len(line) - k]
+            best = line >= floor
+            line, names = line[best], names[best]
+        order = np.lexsort((names.astype(str), -line))[:k]
+        query_ids.append(np.full(len(order), query_id, np.int64))
+        names_out.append(names[order])
+        lines_out.append(line[order])
+    return pd.DataFrame({"query_id": np.concatenate(query_ids), "chunk_id": np.concatenate(names_out), "cosine": np.concatenate(lines_out)})
+
+
 def _merge(best: pd.DataFrame | None, new: pd.DataFrame, k: int) -> pd.DataFrame:
     both = new if best is None else pd.concat([best, new])
     both = both.sort_values(["query_id", "cosine", "chunk_id"], ascending=[True, False, True], kind="stable")
@@ -138,17 +154,16 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
 
 
 def approx_top_k(
-    queries: DataFrame, vectors: DataFrame, k: int = 10, dimension: int = 64, tables: int = 24, bits: int | None = None,
+    queries: DataFrame, vectors: DataFrame, k: int = 10, dimension: int = 64, tables: int = 24, bits: int = 7,
     seed: int = 42,
 ) -> DataFrame:
     """Approximate top-k: random-hyperplane buckets, then an exact re-rank of the candidates.
 
     A vector is a candidate of a query where they share the bucket of at least one hash table. Candidates are joined on
     (collection, table, bucket) with the vectors salted, so a bucket that holds a large share of all vectors is split.
-    ``bits`` (bucket fineness) follows the number of vectors unless given: about 64 vectors per bucket.
+    Only ids and bucket numbers go through that join; vectors are fetched for its candidates. ``bits`` is the bucket
+    fineness: a collection of n vectors has about ``n / 2 ** bits`` of them in a bucket, and a finer one costs recall.
     """
-    if bits is None:
-        bits = int(min(24, max(3, np.log2(max(1, vectors.count()) / 64))))
     rng = np.random.default_rng(seed)
     planes = rng.standard_normal((tables, bits, dimension))
 
@@ -161,16 +176,16 @@ def approx_top_k(
         return hashed(embedding)
 
     salts = 16
+    prepared = _prepare_queries(queries)
     q = (
-        _prepare_queries(queries)
-        .select("query_id", "collection", F.col("embedding").alias("q"), "entity_types", buckets(F.col("embedding")).alias("qb"))
+        prepared.select("query_id", "collection", "entity_types", buckets(F.col("embedding")).alias("qb"))
         .select("*", F.posexplode_outer("qb").alias("t", "b"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     v = (
         vectors.select(
-            "collection", "chunk_id", F.lower("entity_type").alias("entity_type"), F.col("embedding").alias("v"),
-            buckets(F.col("embedding")).alias("vb"), F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int").alias("salt"),
+            "collection", "chunk_id", F.lower("entity_type").alias("entity_type"), buckets(F.col("embedding")).alias("vb"),
+            F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int").alias("salt"),
         )
         .select("*", F.posexplode_outer("vb").alias("t", "b"))
     )
@@ -182,9 +197,10 @@ def approx_top_k(
     # A pair that shares several buckets is kept only at the first of them, so it is scored once and needs no distinct.
     first_shared = F.array_position(F.zip_with("qb", "vb", lambda x, y: x == y), True) == F.col("t") + 1
     wanted = F.col("entity_types").isNull() | (F.size("entity_types") == 0) | F.array_contains("entity_types", F.col("entity_type"))
+    candidates = q.join(v, ["collection", "t", "b", "salt"]).filter(first_shared & wanted).select("collection", "query_id", "chunk_id")
     scored = (
-        q.join(v, ["collection", "t", "b", "salt"])
-        .filter(first_shared & wanted)
+        candidates.join(vectors.select("collection", "chunk_id", F.col("embedding").alias("v")), ["collection", "chunk_id"])
+        .join(prepared.select("query_id", "collection", F.col("embedding").alias("q")), ["query_id", "collection"])
         .select("query_id", "chunk_id", cosine("q", "v").alias("cosine"))
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "chunk_id")

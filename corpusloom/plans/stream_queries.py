@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,13 +9,13 @@ from pyspark.sql import functions as F
 from corpusloom.plans import bindings as b
 from corpusloom.plans.log_queries import traces
 from corpusloom.plans.registry import query
+from corpusloom.session import shared_folder
 from corpusloom.streaming import history, index, logs
 
 
 def _work_dir(spark) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="corpusloom-")
+    """A fresh folder below the shared one."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark, sf, name):
