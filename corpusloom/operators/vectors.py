@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.vectors import is_valid_vector
+from corpusloom.session import durable
 
 MAX_QUERY_BYTES = 64 * 1024 * 1024
 VECTORS_PER_FRAGMENT = 20_000
@@ -163,6 +164,7 @@ def approx_top_k(
     (collection, table, bucket) with the vectors salted, so a bucket that holds a large share of all vectors is split.
     Only ids and bucket numbers go through that join; vectors are fetched for its candidates. ``bits`` is the bucket
     fineness: a collection of n vectors has about ``n / 2 ** bits`` of them in a bucket, and a finer one costs recall.
+    Queries with fewer than k candidates are answered exactly.
     """
     rng = np.random.default_rng(seed)
     planes = rng.standard_normal((tables, bits, dimension))
@@ -204,9 +206,11 @@ def approx_top_k(
         .select("query_id", "chunk_id", cosine("q", "v").alias("cosine"))
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
-        "query_id", "rank", "chunk_id", "cosine"
-    )
+    ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    near = durable(ranked.select("query_id", "rank", "chunk_id", "cosine"))
+    full = near.filter(F.col("rank") == k).select("query_id")
+    rest = queries.join(full, "query_id", "left_anti")
+    return near.join(full, "query_id", "left_semi").unionByName(cosine_top_k(rest, vectors, k))
 
 
 def validate_vectors(vectors: DataFrame, dimension: int) -> tuple[DataFrame, DataFrame]:

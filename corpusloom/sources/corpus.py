@@ -9,13 +9,37 @@ from corpusloom.functions import paths, text
 MAX_FILE_BYTES = 1024 * 1024
 
 
-def read_corpus(spark: SparkSession, location: str, repo: str | None = None, profile: str = "scan") -> DataFrame:
+def read_corpus(
+    spark: SparkSession, location: str, repo: str | None = None, profile: str = "scan", max_bytes: int | None = MAX_FILE_BYTES,
+    extensions: tuple[str, ...] = (),
+) -> DataFrame:
     """Files below ``location`` as ``(repo, path, size_bytes, raw)``.
 
-    Size and name are filtered on the file listing, so the content of a pruned or oversized file is never read.
-    ``repo`` names a single repository; without it the first path segment below ``location`` is the repository.
+    The size bound and ``extensions`` reach the scan: files over ``max_bytes`` (``None``: no bound) or with another
+    extension are listed but not read; :func:`oversized` gives the former. Files in ignored directories are dropped after
+    the scan, which knows file names only. ``repo`` names a single repository; without it the first path segment below
+    ``location`` is the repository.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(location)
+    named = _listed(spark, location, repo, extensions, max_bytes, F.col("content").alias("raw"))
+    return named.filter(~paths.in_ignored_dir(F.col("path"), profile) & ~paths.is_ignored_file(F.col("path")))
+
+
+def oversized(
+    spark: SparkSession, location: str, repo: str | None = None, max_bytes: int = MAX_FILE_BYTES, extensions: tuple[str, ...] = ()
+) -> DataFrame:
+    """``(repo, path, size_bytes, skip_reason)`` of the files that :func:`read_corpus` leaves out for their size, from a
+    scan that reads no content."""
+    files = _listed(spark, location, repo, extensions, None)
+    return files.filter(F.col("size_bytes") > max_bytes).withColumn("skip_reason", F.lit("too_large"))
+
+
+def _listed(spark: SparkSession, location: str, repo: str | None, extensions: tuple[str, ...], max_bytes: int | None, *more: Column) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if extensions:
+        reader = reader.option("pathGlobFilter", "*{" + ",".join(extensions) + "}")
+    files = reader.load(location)
+    if max_bytes is not None:
+        files = files.filter(F.col("length") <= max_bytes)
     root = location.rstrip("/") + "/"
     relative = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*(?=/)", "")
     relative = F.element_at(F.split(relative, F.concat(F.lit(r"\Q"), F.lit(root), F.lit(r"\E")), 2), -1)
@@ -23,10 +47,7 @@ def read_corpus(spark: SparkSession, location: str, repo: str | None = None, pro
         repo_col, path_col = F.substring_index(relative, "/", 1), F.regexp_replace(relative, "^[^/]*/", "")
     else:
         repo_col, path_col = F.lit(repo), relative
-    named = files.select(
-        repo_col.alias("repo"), path_col.alias("path"), F.col("length").alias("size_bytes"), F.col("content").alias("raw")
-    )
-    return named.filter(~paths.in_ignored_dir(F.col("path"), profile) & ~paths.is_ignored_file(F.col("path")))
+    return files.select(repo_col.alias("repo"), path_col.alias("path"), F.col("length").alias("size_bytes"), *more)
 
 
 def read_corpus_table(spark: SparkSession, location: str) -> DataFrame:
@@ -74,7 +95,10 @@ def syntax_problem(path: Column, content: Column) -> Column:
         return F.length(F.translate(bare, chars, "")) - F.length(bare)
 
     unbalanced = (count("(") != count(")")) | (count("[") != count("]")) | (count("{") != count("}"))
-    unfinished = bare.rlike(r"(?m)^\s*(?:def|class)\s+\w+[^:\n]*$") & ~bare.rlike(r"(?m)^\s*(?:def|class)\s+\w+\s*\([^)]*$")
+    # decided per definition: what follows its name may be bracketed over lines, but a colon has to come before a bare line end
+    header = r"(?m)^[ \t]*(?:async[ \t]+)?(?:def|class)[ \t]+\w+"
+    brackets = r"\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\)"
+    unfinished = bare.rlike(header + r"[ \t]*+(?:\[[^\]]*+\])?+[ \t]*+(?:" + brackets + r")?+[^:\n(]*+$")
     return F.when(
         language == "Python",
         F.when(unbalanced, F.lit("unbalanced brackets")).when(unfinished, F.lit("definition without ':'")),
