@@ -190,13 +190,11 @@ def collection_key(spark, sf):
 
 
 @query("decoded_text", "SRC5", f"""
-SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN left(text, 200)
-  ELSE regexp_replace(left(text, 200), '[^\\x00-\\x7F]', '?', 'g') END) AS digest FROM documents""")
+SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '[^\\x{{0}}-\\x{{FF}}]', '?', 'g') END) AS digest FROM documents""")
 def decoded_text(spark, sf):
-    # Even documents are stored as UTF-8, odd ones as bytes of a one-byte code with its foreign characters as '?'.
-    head = F.left("text", F.lit(200))
-    ascii_head = F.regexp_replace(head, r"[^\x00-\x7F]", "?")
-    raw = F.when(F.col("doc_id") % 2 == 0, F.encode(head, "UTF-8")).otherwise(F.encode(ascii_head, "ISO-8859-1"))
+    # Even documents are stored as UTF-8, odd ones in a one-byte code, accents and all, with what it lacks as '?'.
+    one_byte = F.encode(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), "ISO-8859-1")
+    raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(one_byte)
     return b.table(spark, sf, "documents").select(
         "doc_id", F.sha2(F.encode(src.decode(raw), "UTF-8"), 256).alias("digest")
     )

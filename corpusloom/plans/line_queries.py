@@ -131,13 +131,13 @@ def context_windows(spark, sf):
 
 @query("truncated_text", "STR12", """
 SELECT doc_id, length(left(text, 15000)) AS trace_chars,
-  md5(CASE WHEN length(text) > 2400 THEN left(text, 2400) || '...' ELSE text END) AS cut, md5(left(text, 500)) AS message,
+  md5(CASE WHEN length(text) > 24000 THEN left(text, 24000) || '...' ELSE text END) AS cut, md5(left(text, 500)) AS message,
   md5(left(text, 4000)) AS manifest FROM documents""")
 def truncated_text(spark, sf):
     t = F.col("text")
     return b.table(spark, sf, "documents").select(
         "doc_id", F.char_length(text.truncate(t, text.MAX_TRACE_CHARS)).alias("trace_chars"),
-        F.md5(text.truncate(t, 2400, "...")).alias("cut"), F.md5(text.truncate(t, text.MAX_MESSAGE_CHARS)).alias("message"),
+        F.md5(text.truncate(t, text.MAX_REVIEW_CHARS, "...")).alias("cut"), F.md5(text.truncate(t, text.MAX_MESSAGE_CHARS)).alias("message"),
         F.md5(text.truncate(t, text.MAX_MANIFEST_CHARS)).alias("manifest"),
     )
 
