@@ -10,7 +10,6 @@ pieces share is spread over many groups, and no document's tokens are shuffled.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections import Counter
@@ -19,9 +18,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from corpusloom.llm.common import slice_end, stored
 
@@ -33,9 +33,11 @@ SALTS, ROWS_PER_SALT = 32, 100_000
 
 # Fixed value: the piece pattern in the vocabulary's file.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts with characters that the library's normalizer may treat otherwise than ``str.lower`` and ``str.split`` go to it whole.
-UNUSUAL = re.compile("[\x1c-\x1fƀ-\U0010ffff]|<\\|")
-CACHED_WORDS = 200_000
+#: Texts with characters that the library's normalizer may treat otherwise than Arrow's lower case and split, or with marks
+#: of special tokens, go to the library whole.
+UNUSUAL = "[\x1c-\x1f\u0130\u0180-\U0010ffff]|<\\|"
+POINTS = frozenset(".,;:!?")
+CACHED_WORDS = 500_000
 
 
 @lru_cache(maxsize=2)
@@ -47,39 +49,61 @@ def _tokenizer(path: str) -> Tokenizer:
 
 
 class WordTokens:
-    """Ids of texts, by a bounded cache of the ids of their blank-separated words; unknown words are encoded together.
+    """Ids of texts, by a bounded cache of the ids of their blank-separated words and of the pieces of these.
 
-    Blanks never lie within a token and every piece's last token carries the word-end mark, so the ids of many words
-    encoded as one text fall apart at those marks.
+    Blanks never lie within a token and every piece's last token carries the word-end mark, so the ids of many new pieces
+    encoded as one text fall apart at those marks. Pieces are normalized and split already, so they are encoded by a copy
+    of the tokenizer that does neither again.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
         """Per text its ids as packed little-endian unsigned 32-bit numbers."""
-        words = [None if UNUSUAL.search(t) else t.lower().split() for t in texts]
-        needed = set().union(*(w for w in words if w))
-        missing = [w for w in needed if w not in self.known]
-        if len(self.known) + len(missing) > CACHED_WORDS:
-            self.known = {w: self.known[w] for w in needed if w in self.known}
+        odd = pc.match_substring_regex(texts, UNUSUAL)
+        words = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", texts)))
+        coded = words.values.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        packed = list(map(self.known.get, distinct))
+        missing = {w for w, p in zip(distinct, packed) if p is None}
         if missing:
-            ids = np.array(self.tokenizer.encode(" ".join(missing), add_special_tokens=False).ids, np.uint32)
-            pieces = np.fromiter((1 if w.isalpha() else len(PIECES.findall(w)) for w in missing), np.int64, len(missing))
-            stops = (np.flatnonzero(self.ends[ids]) + 1)[np.cumsum(pieces) - 1].tolist()
-            packed, start = ids.tobytes(), 0
-            for word, stop in zip(missing, stops):
-                self.known[word] = packed[4 * start : 4 * stop]
-                start = stop
+            if len(self.known) + len(missing) > CACHED_WORDS:
+                self.known = {"": b""} | {w: p for w, p in zip(distinct, packed) if p is not None}
+            self._learn(missing)
+            packed = [self.known[w] if p is None else p for w, p in zip(distinct, packed)]
+        # the tokens of all words in a row, taken from those of the distinct words
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        tokens, starts = np.frombuffer(b"".join(packed), np.uint32), np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        which = coded.indices.to_numpy()
+        lengths = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        flat = tokens[np.repeat(starts[which] - ends[:-1], lengths) + np.arange(ends[-1])]
+        bounds = ends[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        out = [flat[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+            out[i] = array("I", self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids).tobytes()
+        return out
+
+    def _learn(self, missing: set[str]) -> None:
+        new = set(filter(str.isalpha, missing))  # a word of letters is one piece
+        split = {w: (w[:-1], w[-1]) if w[-1] in POINTS and w[:-1].isalpha() else PIECES.findall(w) for w in missing - new}
+        new = list(new.union(*split.values()).difference(self.known))
+        if new:
+            ids = np.array(self.model.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
+            stops, packed = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), ids.tobytes()
+            self.known.update(zip(new, map(packed.__getitem__, map(slice, [0, *stops], stops))))
         look_up = self.known.__getitem__
-        return [
-            b"".join(map(look_up, w)) if w is not None else array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
-            for t, w in zip(texts, words)
-        ]
+        self.known.update([(w, b"".join(map(look_up, parts))) for w, parts in split.items()])
 
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -99,9 +123,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         for batch in batches:
             ids, texts, start = batch.column(0).to_pylist(), batch.column(1), 0
             while start < batch.num_rows:
-                stop = slice_end(texts, start)
+                stop = slice_end(texts, start, 2048, 4 << 20)
                 rows = []
-                for doc_id, packed in zip(ids[start:stop], tokens.encode(texts.slice(start, stop - start).to_pylist())):
+                for doc_id, packed in zip(ids[start:stop], tokens.encode(texts.slice(start, stop - start))):
                     packed += end
                     for k, at in enumerate(range(0, len(packed), limit)):
                         part = packed[at : at + limit]
