@@ -294,16 +294,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     rank = Window.partitionBy("p.x").orderBy(F.desc("agreement"), "p.y")
     best = directed.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= BEST).select("a", "b").distinct()
     links = stored(confirmed_links(best, sets, percent), "links")
-    clusters = components(candidates).withColumnRenamed("component", "cluster")
     linked = components(links)
-    nodes = clusters.join(linked, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component"))
-    rest = stored(remaining_links(nodes, sets, percent), "links")
-    # what the rest joins are components, so a graph of these few decides
-    label = lambda side: linked.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component"))
-    joined = rest.join(label("a"), "a", "left").join(label("b"), "b", "left")
-    joined = joined.select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
-    merged = components(joined).select(F.col("node").alias("component"), F.col("component").alias("merged"))
-    ends = nodes.select("node", "component").join(merged, "component", "left")
+    nodes = stored(wanted.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
+
+    def contracted(edges: DataFrame) -> DataFrame:
+        """Edges between the components that the nodes of ``edges`` are in."""
+        label = lambda side: nodes.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component"))
+        joined = edges.select("a", "b").join(label("a"), "a").join(label("b"), "b")
+        return joined.select(F.col("a_component").alias("a"), F.col("b_component").alias("b")).filter("a <> b").distinct()
+
+    # components that candidates tie together, and what the exact comparison joins of them: both graphs are small
+    clusters = components(contracted(candidates)).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    rest = stored(remaining_links(salted_join(nodes, clusters, ["component"], ["node"], "inner"), sets, percent), "links")
+    merged = components(contracted(rest)).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    ends = salted_join(nodes, merged, ["component"], ["node"], "left")
     final = ends.select("node", F.coalesce("merged", "component").alias("component")).filter("node <> component")
 
     copies = groups.filter("n > 1").select("fingerprint", "node")

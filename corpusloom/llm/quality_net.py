@@ -21,7 +21,7 @@ TOKEN = re.compile(r"\S+")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 #: Bounds of the training sample and of the vocabulary of context vectors.
-MAX_SAMPLE, MAX_WORDS, MIN_COUNT = 6000, 20_000, 5
+MAX_SAMPLE, MAX_WORDS, MIN_COUNT = 2500, 20_000, 5
 DIMENSION, SIGNS, REACH = 64, 4, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 40, 64, 0.01, 1e-4, 5
 #: Share of the sample kept aside for the temperature.
@@ -64,13 +64,15 @@ def bare_words(text: str) -> list[str]:
 
 def context_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """Random indexing over the sample: per frequent word the unit sum of the sign vectors within ``REACH`` words."""
-    words = [bare_words(t) for t in texts]
-    counts = Counter(w for ws in words for w in ws)
+    counts: Counter[str] = Counter()
+    for text in texts:  # one text's words at a time, here and below
+        counts.update(bare_words(text))
     known = {w: i for i, w in enumerate(sorted(w for w, n in counts.most_common(MAX_WORDS) if n >= MIN_COUNT))}
+    del counts
     signs = np.array([sign_vector(w) for w in known], np.float32).reshape(-1, DIMENSION)
     vectors = np.zeros((len(known), DIMENSION), np.float32)
-    for ws in words:
-        at = np.array([known.get(w, -1) for w in ws])
+    for text in texts:
+        at = np.array([known.get(w, -1) for w in bare_words(text)], np.int64)
         for d in range(1, REACH + 1):
             a, b = at[:-d], at[d:]
             both = (a >= 0) & (b >= 0)
