@@ -31,7 +31,7 @@ RUN_END = re.compile(rf"(?<=[^{BLANKS}])(?=[{BLANKS}])")
 SHIFT, MASK, NEVER = 20, (1 << 20) - 1, 1 << 62
 BLOCK_CHARS = 1 << 16
 #: Entries of the two caches of a task.
-CACHED_RUNS, CACHED_PIECES = 200_000, 100_000
+CACHED_RUNS, CACHED_PIECES = 600_000, 300_000
 
 
 def byte_characters() -> dict[str, int]:
