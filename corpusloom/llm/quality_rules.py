@@ -1,14 +1,15 @@
 """Quality rules: counts per document, and Jensen-Shannon distance of its histograms from language references.
 
 Each text is read once: its words, lines and characters become a short row of counts, which is written to the shared
-folder. References are the summed histograms of all documents of a language that pass the base rules; only languages
-with at least ``MIN_SHARE`` of those documents give one, so there are at most ``1 / MIN_SHARE`` of them. The verdict is
-then arithmetic on the stored counts and the references as literals.
+folder. References are the summed histograms of all documents of a language that pass the base rules. Those of languages
+with at least ``MIN_SHARE`` of those documents, at most ``1 / MIN_SHARE``, meet every document as literals. Every other language of
+``MIN_ROWS`` rows, and each that ``COMMON_WORDS`` hardly covers, has a reference over the common words of its own rows, in a
+table joined by language. A language of fewer rows gives no reference: only the base rules judge its documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.vectors import bind
 from corpusloom.llm.common import BLANK_WORD, stored
@@ -22,6 +23,12 @@ COMMON_WORDS = tuple(sorted(set(
 )))
 CHAR_CLASSES = ("lower", "upper", "letter", "digit", "blank", "point", "symbol", "other")
 MIN_SHARE, MILLION = 0.01, 1_000_000
+#: ``COMMON_WORDS`` serve a language if they are at least this share of its words; others take words of their own rows.
+MIN_COVER = 0.1
+#: Rows that give a language a reference over its own words; how many words it has at most, and in what share of the rows each occurs.
+MIN_ROWS, OWN_WORDS, OWN_SHARE = 20, 64, 0.1
+#: Share of common words in a text for which ``WORD_NOISE`` holds; own words that are rarer or more frequent are noisier or less so.
+USUAL_COVER = 0.4
 MIN_WORDS = 50
 MAX_REPEATED = 50
 
@@ -91,14 +98,16 @@ def _runs(values: Column) -> Column:
     return F.when(F.size(values) == 0, empty).otherwise(bind(F.sort_array(values), count))
 
 
-def document_counts(docs: DataFrame, *keep: str) -> DataFrame:
+def document_counts(docs: DataFrame, *keep: str, listed: str | None = None) -> DataFrame:
     """``keep`` columns, the base counts and the histograms of every row of ``docs``; a null text has no words or lines.
 
-    ``chars``: counts by ``CHAR_CLASSES``. ``common``: ``(word, n)`` of the ``COMMON_WORDS`` that occur.
+    ``chars``: counts by ``CHAR_CLASSES``. ``common``: ``(word, n)`` of the ``COMMON_WORDS`` that occur. ``own``, if ``listed``
+    names a column with an array of words: the same of these.
     """
+    added = [listed] if listed else []
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.select(
-        *keep, text.alias("_text"), F.regexp_extract_all(text, F.lit(BLANK_WORD), F.lit(0)).alias("_words"),
+        *keep, *added, text.alias("_text"), F.regexp_extract_all(text, F.lit(BLANK_WORD), F.lit(0)).alias("_words"),
         F.regexp_replace(text, "[a-z]+", "").alias("_unlow"),
     )
     split = split.withColumn("_rest", F.regexp_replace("_unlow", r"[\x20\x09-\x0D]+", ""))
@@ -118,12 +127,13 @@ def document_counts(docs: DataFrame, *keep: str) -> DataFrame:
         bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         bind(words, _repeated_words).alias("n_repeat_words"),
         _runs(F.filter(words, lambda w: w.isin(*COMMON_WORDS))).alias("common"),
+        *[bind(F.array_intersect(words, c), lambda found: _runs(F.filter(words, lambda w: F.array_contains(found, w)))).alias("own") for c in added],
     )
     known = [F.col(f"_{c}") if c != "symbol" else F.col("n_symbols") for c in CHAR_CLASSES[:-1]]
     other = F.col("n_chars_") - sum(known[1:], known[0])
     return counted.select(
         *keep, "n_words", (F.col("n_chars_") - F.col("_blank")).alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.array(*known, other).alias("chars"), "common",
+        F.array(*known, other).alias("chars"), "common", *["own" for _ in added],
     )
 
 
@@ -131,26 +141,50 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
 
 
-def references(counts: DataFrame) -> dict[str, tuple[list[float], dict[str, float]]]:
-    """Per language the mean shares of character classes and of common words of all documents that pass the base rules.
+def _total(histogram: str) -> Column:
+    return F.aggregate(F.col(histogram), F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
+
+
+def _n_chars() -> Column:
+    return F.aggregate(F.col("chars"), F.lit(0).cast("bigint"), lambda s, x: s + x)
+
+
+def _share(n: Column, of: Column) -> Column:
+    return F.floor(n.cast("bigint") * MILLION / of).cast("bigint")
+
+
+def _sound(counts: DataFrame) -> DataFrame:
+    return counts.filter(F.col("lang").isNotNull() & ~base_failed())
+
+
+def language_sums(counts: DataFrame, histogram: str) -> DataFrame:
+    """Per language of documents that pass the base rules: rows, summed shares of characters, and the share ``cover`` of the histogram's words.
 
     A document counts by its shares, in whole millionths so that sums do not depend on their order: a very long one weighs
-    no more than others. ``counts`` as of :func:`document_counts` with ``lang``; rows without a language give no reference. Languages with
-    fewer than ``MIN_SHARE`` of these documents give none: what reaches the driver is bounded.
+    no more than others. ``counts`` as of :func:`document_counts` with ``lang``; rows without a language give no reference.
     """
-    sound = counts.filter(F.col("lang").isNotNull() & ~base_failed())
-    n_chars = F.aggregate(F.col("chars"), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    n_common = F.aggregate(F.col("common"), F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
-    share = lambda n, of: F.floor(n.cast("bigint") * MILLION / of).cast("bigint")
-    sums = [F.sum(share(F.col("chars")[i], n_chars)).alias(f"c{i}") for i in range(len(CHAR_CLASSES))]
-    chars = sound.groupBy("lang").agg(F.count("*").alias("n"), *sums)
-    total = sound.count()
-    chars = {r.lang: [float(r[f"c{i}"]) for i in range(len(CHAR_CLASSES))] for r in chars.filter(F.col("n") >= total * MIN_SHARE).collect()}
-    shared = sound.filter(F.col("lang").isin(*chars)) if chars else sound.limit(0)
-    words = (
-        shared.select("lang", n_common.alias("of"), F.explode("common").alias("c"))
-        .groupBy("lang", F.col("c.word").alias("word")).agg(F.sum(share(F.col("c.n"), F.col("of"))).alias("n"))
+    sums = [F.sum(_share(F.col("chars")[i], _n_chars())).alias(f"c{i}") for i in range(len(CHAR_CLASSES))]
+    cover = (F.sum(_total(histogram)) / F.sum("n_words")).alias("cover")
+    return _sound(counts).groupBy("lang").agg(F.count("*").alias("n"), cover, *sums)
+
+
+def word_sums(counts: DataFrame, histogram: str) -> DataFrame:
+    """``(lang, word, n)``: the summed shares of a histogram's words in the documents that pass the base rules."""
+    return (
+        _sound(counts).select("lang", _total(histogram).alias("of"), F.explode(histogram).alias("c"))
+        .groupBy("lang", F.col("c.word").alias("word")).agg(F.sum(_share(F.col("c.n"), F.col("of"))).alias("n"))
     )
+
+
+def references(counts: DataFrame, languages: DataFrame) -> dict[str, tuple[list[float], dict[str, float]]]:
+    """Per language the mean shares of character classes and of ``COMMON_WORDS`` of all documents that pass the base rules.
+
+    ``languages`` as of :func:`language_sums`. Languages with fewer than ``MIN_SHARE`` of these documents are left to
+    :func:`own_references`: what reaches the driver is bounded.
+    """
+    total = languages.agg(F.sum("n")).first()[0] or 0
+    chars = {r.lang: [float(r[f"c{i}"]) for i in range(len(CHAR_CLASSES))] for r in languages.filter(F.col("n") >= total * MIN_SHARE).collect()}
+    words = word_sums(counts.filter(F.col("lang").isin(*chars)) if chars else counts.limit(0), "common")
     found = {lang: {} for lang in chars}
     for r in words.collect():
         found[r.lang][r.word] = float(r.n)
@@ -162,6 +196,44 @@ def references(counts: DataFrame) -> dict[str, tuple[list[float], dict[str, floa
     return out
 
 
+def own_lists(docs: DataFrame, languages: DataFrame) -> DataFrame:
+    """``(lang_, listed_)``: the words found in most rows of each of ``languages``; under the null language those of all.
+
+    A row counts a word once, so that repeats in one text do not make a word common. ``docs``: ``text``, ``lang_``.
+    """
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(BLANK_WORD), F.lit(0))
+    texts = docs.join(F.broadcast(languages.select(F.col("lang").alias("lang_"))), "lang_").select("lang_", words.alias("w")).filter(F.size("w") >= MIN_WORDS)
+    found = texts.select("lang_", F.explode(F.array_distinct("w")).alias("word")).groupBy("lang_", "word").count()
+    found = found.join(F.broadcast(languages.select(F.col("lang").alias("lang_"), "n")), "lang_").filter(F.col("count") >= OWN_SHARE * F.col("n"))
+    first = F.row_number().over(Window.partitionBy("lang_").orderBy(F.desc("count"), "word"))
+    lists = found.withColumn("k", first).filter(F.col("k") <= OWN_WORDS).groupBy("lang_").agg(F.collect_list("word").alias("listed_"))
+    none = F.array().cast("array<string>")
+    lists = languages.select(F.col("lang").alias("lang_")).join(lists, "lang_", "left").withColumn("listed_", F.coalesce("listed_", none))
+    lists = stored(lists, "quality-words")
+    whole = lists.agg(F.array_distinct(F.flatten(F.collect_list("listed_"))).alias("listed_"))
+    return lists.unionByName(whole.select(F.lit(None).cast("string").alias("lang_"), "listed_"))
+
+
+def own_references(counts: DataFrame) -> DataFrame:
+    """``(lang_, references_)``: the reference over its own words of every language; under the null language those of all.
+
+    ``counts`` as of :func:`document_counts` with ``lang`` and ``own``.
+    """
+    sums = language_sums(counts, "own")
+    whole = sum((F.col(f"c{i}") for i in range(1, len(CHAR_CLASSES))), F.col("c0")).cast("double")
+    words = word_sums(counts, "own").groupBy("lang").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", F.col("n").cast("double"))))).alias("sums"), F.sum("n").alias("w"))
+    words = words.select("lang", F.transform_values("sums", lambda _, n: n / F.col("w")).alias("words"))
+    refs = sums.join(words, "lang", "left").select(
+        "lang", F.array(*[F.col(f"c{i}") / whole for i in range(len(CHAR_CLASSES))]).alias("chars"),
+        F.coalesce("words", F.create_map().cast("map<string,double>")).alias("words"), "cover",
+    )
+    refs = stored(refs, "quality-references")
+    one = F.collect_list(F.struct("lang", "chars", "words", "cover")).alias("references_")
+    alone = refs.groupBy(F.col("lang").alias("lang_")).agg(one)
+    return alone.unionByName(refs.agg(one).select(F.lit(None).cast("string").alias("lang_"), "references_"))
+
+
 def _term(p: Column, q: Column) -> Column:
     """What a bin of shares ``p`` and ``q`` adds to twice the Jensen-Shannon divergence, in bits."""
     half = (p + q) / 2
@@ -188,37 +260,93 @@ def _distances(lang: tuple[list[float], dict[str, float]]) -> tuple[Column, Colu
     return F.when(n_chars > 0, root(char)).otherwise(1.0), F.when(n_common > 0, root(word)).otherwise(1.0)
 
 
+NEAREST = "struct<both:double,lang:string,char:double,word:double>"
+
+
+def _own_distances(ref: Column) -> Column:
+    """``NEAREST`` of a row and a reference over own words, and ``ok``: whether both distances are within their bounds."""
+    root = lambda twice: F.sqrt(F.greatest(F.lit(0.0), twice) / 2)
+    plus = lambda s, x: s + x
+    char = root(F.aggregate(F.zip_with("chars", ref["chars"], lambda n, q: _term(n / F.col("n_all"), q)), F.lit(0.0), plus))
+    hits = F.filter("own", lambda x: F.map_contains_key(ref["words"], x["word"]))
+
+    def word(found):
+        def add(state, x):
+            q = F.element_at(ref["words"], x["word"])
+            return F.struct((state["d"] + _term(x["n"] / state["n"], q)).alias("d"), (state["q"] + q).alias("q"), state["n"].alias("n"))
+
+        n = F.aggregate(found, F.lit(0.0), lambda s, x: s + x["n"])
+        start = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("q"), n.alias("n"))
+        return F.when(F.size(found) == 0, 1.0).otherwise(root(F.aggregate(found, start, add, lambda s: s["d"] + F.greatest(F.lit(0.0), 1.0 - s["q"]))))
+
+    def judged(d):
+        noise = WORD_NOISE * F.sqrt(F.try_divide(F.lit(USUAL_COVER), ref["cover"] * F.col("n_words")))
+        # without words of its own (no blanks between words, say) a language has no histogram to compare
+        ok = _within(d["char"], d["word"], F.coalesce(MAX_WORD_DISTANCE + noise, F.lit(1.0)))
+        return F.struct((d["char"] + d["word"]).alias("both"), ref["lang"].alias("lang"), d["char"].alias("char"), d["word"].alias("word"), ok.alias("ok"))
+
+    return bind(F.struct(F.when(F.col("n_all") > 0, char).otherwise(1.0).alias("char"), bind(hits, word).alias("word")), judged)
+
+
 def judge(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns, base counts, ``base_failed``, the nearest language, its two distances, and ``kept``.
 
     ``docs``: ``text``, ``lang``; other columns only as ``keep``, whose names must not be those of the result. A document
     that passes the base rules is kept if, for some reference, its character distance is at most
     ``MAX_CHAR_DISTANCE + CHAR_NOISE / sqrt(words)`` and its word distance within the like bound of words. Under ``MIN_JUDGED_CHARS`` characters
-    neither is judged, under ``MIN_JUDGED_WORDS`` words only the characters. Without any reference (empty table, no
-    languages) every document that passes the base rules is kept. A null or empty text has no words and fails them.
-    Repeated rows are judged alike.
+    neither is judged, under ``MIN_JUDGED_WORDS`` words only the characters. References are those of the frequent
+    languages and, where these leave a language out, that of the document's own one (of all such if it names none). A document whose
+    language is known but has no reference, and every document where there is none at all, is kept if it passes the base
+    rules. A null or empty text has no words and fails them. Repeated rows are judged alike.
     """
-    counts = stored(document_counts(docs.select("text", F.col("lang").alias("lang_"), *keep), "lang_", *keep), "quality-counts")
-    langs = references(counts.withColumnRenamed("lang_", "lang"))
-    counts = counts.withColumn("n_common_", F.aggregate(F.col("common"), F.lit(0).cast("bigint"), lambda s, x: s + x["n"]))
-    nearest = None
+    docs = docs.select("text", F.col("lang").alias("lang_"), *keep)
+    counts = stored(document_counts(docs, "lang_", *keep), "quality-counts")
+    languages = stored(language_sums(counts.withColumnRenamed("lang_", "lang"), "common"), "quality-languages")
+    langs = references(counts.withColumnRenamed("lang_", "lang"), languages)
+    covered = [r.lang for r in languages.filter(F.col("lang").isin(*langs) & (F.col("cover") >= MIN_COVER)).collect()] if langs else []
+    others = languages.filter(~F.col("lang").isin(*covered) & (F.col("n") >= MIN_ROWS))
+    no_own = F.array().cast(f"array<{NEAREST[:-1]},ok:boolean>>")
+    if others.isEmpty():
+        return _judged(counts.withColumn("own_", no_own), langs, covered, not langs, keep)
+    listed = docs.join(F.broadcast(own_lists(docs, others)).withColumnRenamed("lang_", "of_"), F.col("lang_").eqNullSafe(F.col("of_"))).drop("of_")
+    own = stored(document_counts(listed, "lang_", *keep, listed="listed_"), "quality-own-counts")
+    refs = F.broadcast(own_references(own.withColumnRenamed("lang_", "lang"))).withColumnRenamed("lang_", "of_")
+    own = own.join(refs, F.col("lang_").eqNullSafe(F.col("of_"))).withColumn("n_all", _n_chars())
+    own = own.withColumn("own_", F.transform("references_", _own_distances)).drop("own", "of_", "references_", "n_all")
+    rest = counts.filter("lang_ is not null").join(F.broadcast(others.select(F.col("lang").alias("lang_"))), "lang_", "left_anti")
+    return _judged(rest.withColumn("own_", no_own).unionByName(own), langs, covered, False, keep)
+
+
+def _judged(counts: DataFrame, langs: dict, covered: list[str], none: bool, keep: tuple[str, ...]) -> DataFrame:
+    """``counts`` with the array ``own_`` of :func:`_own_distances`, judged by these and ``langs``. ``none``: there is no reference at all."""
+    counts = counts.withColumn("n_common_", _total("common"))
+    nearest = F.lit(None).cast(NEAREST)
     if langs:
         found = []
         for lang, shares in langs.items():
             c, w = _distances(shares)
             found.append(F.struct((c + w).alias("both"), F.lit(lang).alias("lang"), c.alias("char"), w.alias("word")))
         nearest = F.array_min(F.array(*found))
-    return counts.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
-                         (F.lit(None).cast("struct<both:double,lang:string,char:double,word:double>") if nearest is None else nearest).alias("nearest"),
-                         F.aggregate(F.col("chars"), F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n_all"),
-                         ).withColumn("kept", ~F.col("base_failed") & within_reference())
+    unknown = F.lit(none) | (F.col("lang_").isNotNull() & ~F.col("lang_").isin(*covered) & (F.size("own_") == 0))
+    near = F.array_min(F.transform("own_", lambda x: F.struct(x["both"].alias("both"), x["lang"].alias("lang"), x["char"].alias("char"), x["word"].alias("word"))))
+    judged = counts.select(
+        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
+        nearest.alias("nearest"), _n_chars().alias("n_all"), near.alias("own_near_"),
+        (unknown | F.exists("own_", lambda x: x["ok"])).alias("own_kept_"),
+    ).withColumn("kept", ~F.col("base_failed") & (F.col("own_kept_") | within_reference()))
+    return judged.withColumn("nearest", F.array_min(F.array("nearest", "own_near_"))).drop("own_near_", "own_kept_")
+
+
+def _within(char: Column, word: Column, word_bound: Column) -> Column:
+    short = F.col("n_all") < MIN_JUDGED_CHARS
+    char_ok = short | (char <= MAX_CHAR_DISTANCE + F.lit(CHAR_NOISE) / _root_of_words())
+    return char_ok & (short | (F.col("n_words") < MIN_JUDGED_WORDS) | (word <= word_bound))
+
+
+def _root_of_words() -> Column:
+    return F.sqrt(F.greatest(F.lit(1), F.col("n_words")).cast("double"))
 
 
 def within_reference() -> Column:
-    near, short = F.col("nearest"), F.sqrt(F.greatest(F.lit(1), F.col("n_words")).cast("double"))
-    char_ok = (F.col("n_all") < MIN_JUDGED_CHARS) | (near["char"] <= MAX_CHAR_DISTANCE + F.lit(CHAR_NOISE) / short)
-    word_ok = (
-        (F.col("n_all") < MIN_JUDGED_CHARS) | (F.col("n_words") < MIN_JUDGED_WORDS)
-        | (near["word"] <= MAX_WORD_DISTANCE + F.lit(WORD_NOISE) / short)
-    )
-    return near.isNull() | (char_ok & word_ok)
+    near = F.col("nearest")
+    return near.isNotNull() & _within(near["char"], near["word"], MAX_WORD_DISTANCE + F.lit(WORD_NOISE) / _root_of_words())

@@ -1,5 +1,6 @@
 """Operators on DataFrame functions: rows against plain Python on odd rows; the oracles on the smallest driver tables."""
 
+import random
 import re
 from pathlib import Path
 
@@ -66,6 +67,30 @@ def test_quality_verdicts_on_odd_rows(mixed_docs, odd_docs, no_docs):
     assert all(r.kept != r.base_failed for r in alone.collect())
 
 
+RUSSIAN = "и в не на я что он с как это по но они мы из у за вы так же от для до бы ты к ещё о когда только".split()
+GREEK = "και το να του η της με που την από για είναι οι στο θα τα δεν των σε ότι τον μια αλλά πως".split()
+
+
+def test_every_language_is_judged_by_its_own_words(spark):
+    """Frequent languages of other words, rare ones and those of a few rows keep their clean documents and lose others."""
+    rng = random.Random(5)
+    prose = lambda words, n=90: " ".join(rng.choice(words) for _ in range(n)) + "."
+    names = ["в" + "".join(rng.choice("абвгдежз") for _ in range(5)) for _ in range(3000)]
+    lone = lambda: " ".join("".join(rng.choice("天地玄黄宇宙洪荒日月") for _ in range(9)) for _ in range(60))
+    rows = [(k, prose("the of and to in that is for it was on are as with his they at be".split(), 60), "en") for k in range(2600)]
+    rows += [(3000 + k, prose(RUSSIAN + names[:30]), "ru") for k in range(300)]
+    rows += [(4000 + k, prose(GREEK), "el") for k in range(24)] + [(5000 + k, prose(GREEK, 55), "gr") for k in range(3)]
+    rows += [(5100 + k, lone(), "zh") for k in range(60)] + [(5200, prose(RUSSIAN + names[:30]), None), (5201, prose(GREEK), None)]
+    poor = [(6000, " ".join(f"#{i}$ {i * 7919}%" for i in range(80)), "ru"), (6001, " ".join(names[100:300]), "ru"), (6002, " ".join(f"#{i}$ {i * 7919}%" for i in range(80)), None)]
+    docs = spark.createDataFrame(rows + poor, "doc_id int, text string, lang string").repartition(4)
+    got = {r.doc_id: r for r in quality_rules.judge(docs, "doc_id").collect()}
+    assert len(got) == len(rows) + len(poor)
+    lost = [(r[0], got[r[0]].nearest) for r in rows if not got[r[0]].base_failed and not got[r[0]].kept]
+    assert not lost and not any(got[r[0]].base_failed for r in rows if r[0] > 2600), lost[:5]
+    assert not any(got[r[0]].kept or got[r[0]].base_failed for r in poor[:2]) and not got[6002].kept
+    assert got[3000].nearest.lang == "ru" and got[5201].nearest.lang == "el"
+
+
 def places(text, phrase):
     words, p = LICENCE_WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or "")), phrase.split()
     return len(words), [i for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
