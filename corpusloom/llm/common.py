@@ -72,6 +72,37 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, learn: Colu
     return list(zip(rows["text"].to_pylist(), rows["label"].to_pylist()))
 
 
+def class_sample(docs: DataFrame, labels: DataFrame, target: str, learn: Column, max_rows: int) -> list[tuple[str, int]]:
+    """``(text, label)`` of at most ``max_rows`` labelled rows of ``docs``, by hash of the id, the same at every run.
+
+    Only ids that ``docs`` holds with a text to learn from count towards the bound; their ids are joined before the cut. Half
+    of the bound is reserved for either class, and what one class leaves free the other fills, so a rare class is taken
+    whole up to ``max_rows / 2``. Rows that repeat an id with the same text count once.
+    """
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).filter(F.length("text") <= MAX_SAMPLE_CHARS)
+    labelled = (
+        labels.select(F.col("doc_id"), F.col(target).cast("int").alias("label"))
+        .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+        .filter(learn)
+        .groupBy("doc_id")
+        .agg(F.max("label").alias("label"))
+        .join(texts.select("doc_id"), "doc_id", "left_semi")
+    )
+    labelled = stored(labelled, "labelled")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    # of each class its first rows at most leave the tasks
+    classes = [labelled.filter(F.col("label") == k).orderBy(*order).limit(max_rows).collect() for k in (0, 1)]
+    n = [len(c) for c in classes]
+    take = [min(n[k], max(max_rows // 2, max_rows - n[1 - k])) for k in (0, 1)]
+    wanted = [(r.doc_id, r.label) for c, k in zip(classes, take) for r in c[:k]]
+    if not wanted:
+        return []
+    chosen = docs.sparkSession.createDataFrame(wanted, labelled.schema)
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").distinct().toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return list(zip(rows["text"].to_pylist(), rows["label"].to_pylist()))
+
+
 def score_texts(docs: DataFrame, keep: list[str], scorer, schema: str) -> DataFrame:
     """``keep`` columns and, per row, what ``scorer()`` gives for its text (null: empty).
 

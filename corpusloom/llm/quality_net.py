@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from corpusloom.llm.common import labelled_sample, score_texts
+from corpusloom.llm.common import class_sample, score_texts
 
 TOKEN = re.compile(r"\S+")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -152,7 +152,7 @@ def train(sample: list[tuple[str, int]]) -> QualityModel:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_SAMPLE) -> QualityModel:
-    return train(labelled_sample(docs, labels, "quality", learn, max_rows))
+    return train(class_sample(docs, labels, "quality", learn, max_rows))
 
 
 def score(docs: DataFrame, model: QualityModel, *keep: str) -> DataFrame:

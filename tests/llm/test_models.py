@@ -5,8 +5,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from corpusloom.llm import language_cnn, quality_net, queries, toxicity
+import corpus_pipeline
+from corpusloom.llm import common, language_cnn, quality_net, queries, toxicity
 
 FORMS = {"en": ["the", "ing", "and", "th", "er"], "de": ["sch", "ung", "ein", "ich", "ä"], "fr": ["eau", "qu", "é", "les", "ou"]}
 
@@ -133,3 +135,21 @@ def test_contexts_shape_the_word_vectors():
     known, vectors = quality_net.context_vectors(texts)
     near = vectors[known["red"]] @ vectors[known["green"]]
     assert near > vectors[known["red"]] @ vectors[known["fast"]]
+
+
+def test_poor_survivors_reach_the_sample(spark, monkeypatch):
+    """Labels of rows that are not in the stage's documents take no place, and a rare class is taken whole."""
+    rows = planted(6, 900)
+    docs = spark.createDataFrame([(i, t, g) for i, t, g, _, _ in rows], "doc_id bigint, text string, lang string")
+    poor = [i for i, _, _, q, _ in rows if not q][:40]
+    stage = docs.join(spark.createDataFrame([(i,) for i, _, _, q, _ in rows if q or i in poor], "doc_id bigint"), "doc_id", "left_semi")
+    labels = [(i, q) for i, _, _, q, _ in rows] + [(10_000 + k, 0) for k in range(4000)]
+    sampled = common.class_sample(stage, spark.createDataFrame(labels, "doc_id bigint, quality int"), "quality", F.lit(True), 200)
+    assert len(sampled) == 200 and sum(not label for _, label in sampled) == 40
+    assert {t for t, label in sampled if not label} == {rows[i][1] for i in poor}
+
+    monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf, name: spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    monkeypatch.setattr(quality_net.fitted, "__defaults__", (200,))
+    kept = {r.doc_id for r in corpus_pipeline.quality_classifier_stage(spark, stage, "").collect()}
+    good = {i for i, _, _, q, _ in rows if q}
+    assert len(kept & set(poor)) <= 4 and len(kept & good) > 0.9 * len(good)
