@@ -328,8 +328,12 @@ def structure_map(spark, sf):
 
 
 def _evidence(spark, sf):
+    """With the bounds that the survey words and the statements hold; ``doc_evidence_rows`` is without any."""
     files = declared(spark, sf)
-    return docs.evidence(files, x.routes(files), x.symbols(x.entities(files)), x.env_vars(files))
+    return docs.evidence(
+        files, x.routes(files), x.symbols(x.entities(files)), x.env_vars(files),
+        max_routes=docs.MAX_ROUTES, max_symbols=docs.MAX_SYMBOLS, max_env_vars=docs.MAX_ENV_VARS,
+    )
 
 
 @query("doc_evidence", "AGG18", f"""
@@ -353,12 +357,21 @@ SELECT repo, md5('# ' || repo || ' — API Reference' || chr(10) || chr(10) || '
   array_to_string(list('## `GET ' || route || '`' || chr(10) || chr(10) || '- **Handler**: `' || h || '()`' || chr(10) || '- **Location**: `' || path || ':' || ln || '`' || chr(10) ORDER BY path, ln), chr(10))) AS digest
 FROM rt GROUP BY repo""")
 def api_reference(spark, sf):
-    return docs.api_reference(_evidence(spark, sf)).select("repo", F.md5("document").alias("digest"))
+    return docs.api_reference(_evidence(spark, sf), docs.LISTED_SYMBOLS).select("repo", F.md5("document").alias("digest"))
 
 
 @query("function_reference", "AGG19")
 def function_reference(spark, sf):
-    return docs.function_reference(_evidence(spark, sf), "Service").select("repo", F.md5("document").alias("digest"))
+    files = declared(spark, sf)
+    symbols = x.symbols(x.entities(files)).filter(F.col("name").contains("Service"))
+    whole = docs.evidence(files, x.routes(files), symbols, x.env_vars(files))
+    return docs.function_reference(whole, "Service").select("repo", F.md5("document").alias("digest"))
+
+
+@query("doc_evidence_rows", "AGG18")
+def doc_evidence_rows(spark, sf):
+    files = declared(spark, sf)
+    return docs.evidence_rows(x.routes(files), x.symbols(x.entities(files)), x.env_vars(files))
 
 
 # Markdown derived from the documents: a title, a summary paragraph, and a section per kind of note.
