@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import licenses, quality_rules as quality, url_reputation as urls
+from corpusloom.llm import collocations, licenses, quality_rules as quality, url_reputation as urls
 from corpusloom.llm.common import ASCII_LOWER, ASCII_UPPER
 
 
@@ -157,3 +157,32 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM d LEFT JOIN found USING (r)
 """
+
+
+def collocations_of(order: int, min_count: int, top: int) -> str:
+    longer = " UNION ALL ".join(f"SELECT lang, w[i:i+{k - 1}] AS w FROM places WHERE len(w[i:i+{k - 1}]) = {k}" for k in range(1, order + 1))
+    return f"""
+WITH pieces AS (
+  SELECT coalesce(lang, '{collocations.NO_LANGUAGE}') AS lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(translate(text, '{ASCII_UPPER}', '{ASCII_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+places AS MATERIALIZED (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM pieces),
+totals AS (SELECT lang, count(*) AS n FROM places GROUP BY lang),
+counts AS MATERIALIZED (
+  SELECT lang, w, count(*) AS f FROM ({longer}) GROUP BY ALL HAVING count(*) >= {min_count}),
+cuts AS (
+  SELECT c.lang, c.w, c.f AS a, k, x.f AS l, y.f AS r, n, ((1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(generate_series(1, len(w) - 1)) AS k FROM counts WHERE len(w) > 1) c
+    JOIN counts x ON x.lang = c.lang AND x.w = c.w[1:k] JOIN counts y ON y.lang = c.lang AND y.w = c.w[k+1:] JOIN totals t ON t.lang = c.lang),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+inner_of AS (
+  SELECT lang, w[s:s+m-1] AS w, max(f) AS f
+  FROM (SELECT lang, w, f, m, unnest(generate_series(1, len(w) - m + 1)) AS s
+    FROM (SELECT lang, w, f, unnest(generate_series(2, len(w) - 1)) AS m FROM counts WHERE len(w) > 2))
+  GROUP BY ALL),
+kept AS (
+  SELECT weakest.* FROM weakest LEFT JOIN inner_of i ON i.lang = weakest.lang AND i.w = weakest.w
+  WHERE i.f IS NULL OR 100 * i.f < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank, array_to_string(w, ' ') AS phrase,
+  a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score
+FROM kept QUALIFY rank <= {top}
+"""

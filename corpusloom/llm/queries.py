@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, language_cnn, licenses, lsh_forest, media, oracles, packing, quality_net, quality_rules, toxicity, url_reputation
+from corpusloom.llm import bpe, collocations, language_cnn, licenses, lsh_forest, media, oracles, packing, quality_net, quality_rules, toxicity, url_reputation
 from corpusloom.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+@query(oracles.collocations_of(collocations.ORDER, collocations.MIN_COUNT, collocations.TOP))
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
