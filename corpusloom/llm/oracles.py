@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import collocations, licenses, quality_rules as quality, url_reputation as urls
+from corpusloom.llm import collocations, licenses, quality_rules as quality, secret_ledger as secrets, url_reputation as urls, variants
 from corpusloom.llm.common import ASCII_LOWER, ASCII_UPPER
 
 
@@ -186,3 +186,69 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, a
   a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score
 FROM kept QUALIFY rank <= {top}
 """
+
+
+def secret_scans() -> str:
+    kinds = ", ".join(f"({k}, '{r.kind}', '{r.pattern.replace(chr(39), chr(39) * 2)}', {r.least})" for k, r in enumerate(secrets.RULES))
+    values = " ".join(f"WHEN {k} THEN regexp_extract_all(t, p, {r.group})" for k, r in enumerate(secrets.RULES))
+    base = _strings(secrets.BASE_KINDS)
+    joined = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k)"
+    count = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in secrets.BASE_KINDS)
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+kinds(k, kind, p, least) AS (VALUES {kinds}),
+hits AS (
+  SELECT r, k, kind, least, regexp_extract_all(t, p) AS m, CASE k {values} END AS v, regexp_split_to_array(t, p) AS gaps
+  FROM d, kinds WHERE regexp_matches(t, p)),
+spans AS (
+  SELECT *, start + length(m) AS stop FROM (
+    SELECT r, k, kind, least, m[i] AS m, v[i] AS v,
+      (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT AS start
+    FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM hits))
+  WHERE length(v) >= least),
+found AS (SELECT r, {count}, {joined} FILTER (kind IN {base}) AS base, {joined} AS spans FROM spans GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in secrets.BASE_KINDS)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN found USING (r)
+"""
+
+
+def spelling_variants() -> str:
+    step = "CASE WHEN {c} % 2 = 1 THEN xor({c} // 2, 3988292384) ELSE {c} // 2 END"
+    table = "c"
+    for _ in range(8):
+        table = f"(SELECT i, {step.format(c='c')} AS c FROM {table})" if table != "c" else f"(SELECT i, {step.format(c='c')} AS c FROM (SELECT i, i AS c FROM range(256) t(i)))"
+    letters = "A-Za-z\u00C0-\u00FF"
+    return f"""
+WITH RECURSIVE bytes AS MATERIALIZED (SELECT list(c::BIGINT ORDER BY i) AS crc FROM {table}),
+runs AS (
+  SELECT doc_id, translate(run, '{ASCII_UPPER}', '{ASCII_LOWER}') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[{letters}]{{{variants.LEAST_LENGTH},}}')) AS run FROM documents) GROUP BY ALL),
+coded AS (
+  SELECT *, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END)) AS b
+  FROM runs),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(b, lambda x: x::BIGINT)), lambda s, x: xor(s // 256, crc[(xor(s, x) % 256) + 1])), 4294967295) AS h
+  FROM coded, bytes),
+w AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT n, CASE WHEN h % {variants.DROP_ONE_IN} = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= {variants.LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {variants.LEAST_COUNT}),
+less AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(generate_series(1, length(word))) AS i FROM w)),
+pairs AS (
+  SELECT less.word AS a, w.word AS b FROM less JOIN w ON w.word = less.rest
+  UNION SELECT w.word, less.word FROM less JOIN w ON w.word = less.rest
+  UNION SELECT x.word, y.word FROM less x JOIN less y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word),
+near AS (
+  SELECT a AS word, count(*) AS n_near, arg_min(b, struct_pack(m := -w.n, b := b)) AS best, max(w.n) AS best_n
+  FROM pairs JOIN w ON w.word = b GROUP BY a),
+led AS MATERIALIZED (
+  SELECT word, CASE WHEN best_n >= {variants.FORM_FACTOR} * n THEN best END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN best_n >= {variants.FORM_FACTOR} * n THEN best_n END AS form_n
+  FROM w LEFT JOIN near USING (word)),
+walk AS (
+  SELECT word, word AS here FROM led
+  UNION ALL SELECT walk.word, led.form FROM walk JOIN led ON led.word = walk.here WHERE led.form IS NOT NULL)
+SELECT led.word, form, here AS root, n, n_near, form_n
+FROM led JOIN (SELECT walk.word, here FROM walk JOIN led ON led.word = walk.here WHERE led.form IS NULL) e ON e.word = led.word
+"""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, collocations, language_cnn, licenses, lsh_forest, media, oracles, packing, quality_net, quality_rules, toxicity, url_reputation
-from corpusloom.llm.common import id_remainder, table
+from corpusloom.llm import bpe, collocations, language_cnn, licenses, lsh_forest, media, oracles, packing, quality_net, quality_rules, secret_ledger, toxicity, url_reputation, variants
+from corpusloom.llm.common import id_remainder, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +98,23 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracles.collocations_of(collocations.ORDER, collocations.MIN_COUNT, collocations.TOP))
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query(oracles.secret_scans())
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = f"{shared_folder(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    scanned = secret_ledger.scan(table(spark, sf_dir, "documents"), ledger, "doc_id")
+    base = F.filter("findings", lambda x: x["kind"].isin(*secret_ledger.BASE_KINDS))
+
+    def count(kind: str):
+        return F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return scanned.select(
+        "doc_id", *map(count, secret_ledger.BASE_KINDS), F.sha2(secret_ledger.digest(base), 256).alias("base_sha256"),
+        secret_ledger.digest(F.col("findings")).alias("spans"),
+    )
+
+
+@query(oracles.spelling_variants())
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
