@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.llm.common import stored
 
@@ -187,11 +187,17 @@ def phrase_counts(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUN
     return sums.withColumn("words", level).filter("words is not null").select("lang", "words", phrase.alias("phrase"), "f")
 
 
+def cut_score() -> Column:
+    """``floor(1000 a n / (l r))`` of the columns of these names, exact while the products have 38 digits at most."""
+    wide = {c: f"cast({c} AS decimal(19, 0))" for c in "alrn"}
+    return F.expr(f"(cast(1000 AS decimal(4, 0)) * {wide['a']} * {wide['n']}) div ({wide['l']} * {wide['r']})")
+
+
 def collocations(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, top: int = TOP) -> DataFrame:
     """Each language's first ``top`` phrases of 2 to ``order`` words: ``lang, rank, phrase, a, l, r, n, score``.
 
     ``a`` occurrences of the phrase, ``l`` and ``r`` of the two parts of its weakest cut, ``n`` words of the language; the score
-    is ``floor(1000 a n / (l r))``, in decimals of 38 digits. A phrase that a longer one contains as often as it occurs is left
+    is that of :func:`cut_score`. A phrase that a longer one contains as often as it occurs is left
     out. Ties go by ``a``, then by the phrase's bytes. Rows without words, and tables without rows, give nothing.
     """
     counts = stored(phrase_counts(docs, order, min_count), "phrase-counts")
@@ -206,9 +212,7 @@ def collocations(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT
     cut = cut.join(known.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")), ["lang", "first"])
     cut = cut.join(known.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
     cut = cut.join(totals, "lang")
-    wide = {c: f"cast({c} AS decimal(19, 0))" for c in "alrn"}
-    score = F.expr(f"(cast(1000 AS decimal(4, 0)) * {wide['a']} * {wide['n']}) div ({wide['l']} * {wide['r']})")
-    cut = stored(cut.withColumn("score", score), "phrase-cuts")
+    cut = stored(cut.withColumn("score", cut_score()), "phrase-cuts")
 
     # one word less at either end suffices: what lies between a phrase and a longer one of its count has that count, too
     begun = cut.filter("words > 2 AND k = words - 1 AND a >= l").select("lang", F.col("first").alias("phrase"))
