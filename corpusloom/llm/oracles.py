@@ -114,12 +114,10 @@ dw AS (
   FROM (SELECT r, word, l.lang, n / sum(n) OVER (PARTITION BY r, l.lang) AS p FROM common, (SELECT DISTINCT lang FROM refw) l)
     LEFT JOIN refw USING (lang, word) GROUP BY r, lang),
 near AS (
-  SELECT r, arg_min(cd, [cd + coalesce(wd, 1)::DOUBLE]) AS cd, arg_min(coalesce(wd, 1), [cd + coalesce(wd, 1)::DOUBLE]) AS wd
-  FROM dc LEFT JOIN dw USING (r, lang) GROUP BY r)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND (near.r IS NULL OR (
-    (length(t) < {quality.MIN_JUDGED_CHARS} OR cd <= {quality.MAX_CHAR_DISTANCE} + {quality.CHAR_NOISE} / {short})
-    AND (length(t) < {quality.MIN_JUDGED_CHARS} OR n_words < {quality.MIN_JUDGED_WORDS} OR wd <= {quality.MAX_WORD_DISTANCE} + {quality.WORD_NOISE} / {short}))) AS kept
+  SELECT r, bool_or((length(t) < {quality.MIN_JUDGED_CHARS} OR cd <= {quality.MAX_CHAR_DISTANCE} + {quality.CHAR_NOISE} / {short})
+    AND (length(t) < {quality.MIN_JUDGED_CHARS} OR n_words < {quality.MIN_JUDGED_WORDS} OR coalesce(wd, 1) <= {quality.MAX_WORD_DISTANCE} + {quality.WORD_NOISE} / {short})) AS ok
+  FROM dc JOIN base USING (r) LEFT JOIN dw ON dw.r = base.r AND dw.lang = dc.lang GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (near.r IS NULL OR ok) AS kept
 FROM base LEFT JOIN near USING (r)
 """
 

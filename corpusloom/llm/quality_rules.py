@@ -4,7 +4,8 @@ Each text is read once: its words, lines and characters become a short row of co
 folder. References are the summed histograms of all documents of a language that pass the base rules. Those of languages
 with at least ``MIN_SHARE`` of those documents, at most ``1 / MIN_SHARE``, meet every document as literals. Every other language of
 ``MIN_ROWS`` rows, and each that ``COMMON_WORDS`` hardly covers, has a reference over the common words of its own rows, in a
-table joined by language. A language of fewer rows gives no reference: only the base rules judge its documents.
+table joined by language. A language of fewer rows gives no reference: only the base rules judge its documents. Documents
+that name no language meet the ``MET`` most frequent of these, so what a row meets is bounded.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.vectors import bind
 from corpusloom.llm.common import BLANK_WORD, stored
+from corpusloom.operators.graph import salted_join
 
 #: Frequent short words; a document's histogram counts those it holds, as they stand between blanks.
 COMMON_WORDS = tuple(sorted(set(
@@ -27,6 +29,8 @@ MIN_SHARE, MILLION = 0.01, 1_000_000
 MIN_COVER = 0.1
 #: Rows that give a language a reference over its own words; how many words it has at most, and in what share of the rows each occurs.
 MIN_ROWS, OWN_WORDS, OWN_SHARE = 20, 64, 0.1
+#: How many references of own words, those of most rows, meet a document that names no language.
+MET = 100
 #: Share of common words in a text for which ``WORD_NOISE`` holds; own words that are rarer or more frequent are noisier or less so.
 USUAL_COVER = 0.4
 MIN_WORDS = 50
@@ -196,26 +200,38 @@ def references(counts: DataFrame, languages: DataFrame) -> dict[str, tuple[list[
     return out
 
 
-def own_lists(docs: DataFrame, languages: DataFrame) -> DataFrame:
-    """``(lang_, listed_)``: the words found in most rows of each of ``languages``; under the null language those of all.
+def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Inner join on ``lang_``, null matching null, of ``right``'s one row per language.
 
-    A row counts a word once, so that repeats in one text do not make a word common. ``docs``: ``text``, ``lang_``.
+    Nothing is broadcast by order: Spark does it where the measured size of ``right`` allows, and else a language of very
+    many rows is spread over several tasks.
+    """
+    marked = [t.withColumn("none_", F.col("lang_").isNull()).withColumn("name_", F.coalesce("lang_", F.lit(""))) for t in (left, right.withColumnRenamed("lang_", "of_").withColumn("lang_", F.col("of_")))]
+    return salted_join(marked[0], marked[1].drop("lang_", "of_"), ["none_", "name_"], ["place_"], "inner").drop("none_", "name_")
+
+
+def own_lists(docs: DataFrame, languages: DataFrame, frequent: list[str]) -> DataFrame:
+    """``(lang_, listed_)``: the words found in most rows of each of ``languages``; under the null language those of ``frequent``.
+
+    A row counts a word once, so that repeats in one text do not make a word common. ``docs``: ``text``, ``lang_``, ``place_``.
     """
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(BLANK_WORD), F.lit(0))
-    texts = docs.join(F.broadcast(languages.select(F.col("lang").alias("lang_"))), "lang_").select("lang_", words.alias("w")).filter(F.size("w") >= MIN_WORDS)
+    rows = languages.select(F.col("lang").alias("lang_"), "n")
+    texts = _joined(docs.select("lang_", "text", "place_"), rows.select("lang_")).select("lang_", words.alias("w")).filter(F.size("w") >= MIN_WORDS)
     found = texts.select("lang_", F.explode(F.array_distinct("w")).alias("word")).groupBy("lang_", "word").count()
-    found = found.join(F.broadcast(languages.select(F.col("lang").alias("lang_"), "n")), "lang_").filter(F.col("count") >= OWN_SHARE * F.col("n"))
+    found = found.join(rows, "lang_").filter(F.col("count") >= OWN_SHARE * F.col("n"))
     first = F.row_number().over(Window.partitionBy("lang_").orderBy(F.desc("count"), "word"))
     lists = found.withColumn("k", first).filter(F.col("k") <= OWN_WORDS).groupBy("lang_").agg(F.collect_list("word").alias("listed_"))
     none = F.array().cast("array<string>")
     lists = languages.select(F.col("lang").alias("lang_")).join(lists, "lang_", "left").withColumn("listed_", F.coalesce("listed_", none))
     lists = stored(lists, "quality-words")
-    whole = lists.agg(F.array_distinct(F.flatten(F.collect_list("listed_"))).alias("listed_"))
+    whole = lists.filter(F.col("lang_").isin(*frequent)) if frequent else lists.limit(0)
+    whole = whole.agg(F.array_distinct(F.flatten(F.collect_list("listed_"))).alias("listed_"))
     return lists.unionByName(whole.select(F.lit(None).cast("string").alias("lang_"), "listed_"))
 
 
-def own_references(counts: DataFrame) -> DataFrame:
-    """``(lang_, references_)``: the reference over its own words of every language; under the null language those of all.
+def own_references(counts: DataFrame, frequent: list[str]) -> DataFrame:
+    """``(lang_, references_)``: the reference over its own words of every language; under the null language those of ``frequent``.
 
     ``counts`` as of :func:`document_counts` with ``lang`` and ``own``.
     """
@@ -231,7 +247,8 @@ def own_references(counts: DataFrame) -> DataFrame:
     refs = stored(refs, "quality-references")
     one = F.collect_list(F.struct("lang", "chars", "words", "cover")).alias("references_")
     alone = refs.groupBy(F.col("lang").alias("lang_")).agg(one)
-    return alone.unionByName(refs.agg(one).select(F.lit(None).cast("string").alias("lang_"), "references_"))
+    known = refs.filter(F.col("lang").isin(*frequent)) if frequent else refs.limit(0)
+    return alone.unionByName(known.agg(one).select(F.lit(None).cast("string").alias("lang_"), "references_"))
 
 
 def _term(p: Column, q: Column) -> Column:
@@ -260,7 +277,7 @@ def _distances(lang: tuple[list[float], dict[str, float]]) -> tuple[Column, Colu
     return F.when(n_chars > 0, root(char)).otherwise(1.0), F.when(n_common > 0, root(word)).otherwise(1.0)
 
 
-NEAREST = "struct<both:double,lang:string,char:double,word:double>"
+NEAREST = "struct<both:double,lang:string,char:double,word:double,ok:boolean>"
 
 
 def _own_distances(ref: Column) -> Column:
@@ -293,9 +310,9 @@ def judge(docs: DataFrame, *keep: str) -> DataFrame:
 
     ``docs``: ``text``, ``lang``; other columns only as ``keep``, whose names must not be those of the result. A document
     that passes the base rules is kept if, for some reference, its character distance is at most
-    ``MAX_CHAR_DISTANCE + CHAR_NOISE / sqrt(words)`` and its word distance within the like bound of words. Under ``MIN_JUDGED_CHARS`` characters
+    ``MAX_CHAR_DISTANCE + CHAR_NOISE / sqrt(words)`` and its word distance from the same one within the like bound of words. Under ``MIN_JUDGED_CHARS`` characters
     neither is judged, under ``MIN_JUDGED_WORDS`` words only the characters. References are those of the frequent
-    languages and, where these leave a language out, that of the document's own one (of all such if it names none). A document whose
+    languages and, where these leave a language out, that of the document's own one (of the frequent such if it names none). A document whose
     language is known but has no reference, and every document where there is none at all, is kept if it passes the base
     rules. A null or empty text has no words and fails them. Repeated rows are judged alike.
     """
@@ -305,36 +322,39 @@ def judge(docs: DataFrame, *keep: str) -> DataFrame:
     langs = references(counts.withColumnRenamed("lang_", "lang"), languages)
     covered = [r.lang for r in languages.filter(F.col("lang").isin(*langs) & (F.col("cover") >= MIN_COVER)).collect()] if langs else []
     others = languages.filter(~F.col("lang").isin(*covered) & (F.col("n") >= MIN_ROWS))
-    no_own = F.array().cast(f"array<{NEAREST[:-1]},ok:boolean>>")
+    frequent = [r.lang for r in others.orderBy(F.desc("n"), "lang").limit(MET).select("lang").collect()]
+    no_own = F.array().cast(f"array<{NEAREST}>")
     if others.isEmpty():
         return _judged(counts.withColumn("own_", no_own), langs, covered, not langs, keep)
-    listed = docs.join(F.broadcast(own_lists(docs, others)).withColumnRenamed("lang_", "of_"), F.col("lang_").eqNullSafe(F.col("of_"))).drop("of_")
+    place = F.pmod(F.xxhash64("text"), F.lit(1024)).alias("place_")
+    docs = docs.select("*", place)
+    listed = _joined(docs, own_lists(docs, others, frequent)).drop("place_")
     own = stored(document_counts(listed, "lang_", *keep, listed="listed_"), "quality-own-counts")
-    refs = F.broadcast(own_references(own.withColumnRenamed("lang_", "lang"))).withColumnRenamed("lang_", "of_")
-    own = own.join(refs, F.col("lang_").eqNullSafe(F.col("of_"))).withColumn("n_all", _n_chars())
-    own = own.withColumn("own_", F.transform("references_", _own_distances)).drop("own", "of_", "references_", "n_all")
-    rest = counts.filter("lang_ is not null").join(F.broadcast(others.select(F.col("lang").alias("lang_"))), "lang_", "left_anti")
+    refs = own_references(own.withColumnRenamed("lang_", "lang"), frequent)
+    own = _joined(own.withColumn("place_", F.pmod(F.xxhash64("chars", "word_chars"), F.lit(1024))), refs).drop("place_").withColumn("n_all", _n_chars())
+    own = own.withColumn("own_", F.transform("references_", _own_distances)).drop("own", "references_", "n_all")
+    rest = counts.filter("lang_ is not null").join(others.select(F.col("lang").alias("lang_")), "lang_", "left_anti")
     return _judged(rest.withColumn("own_", no_own).unionByName(own), langs, covered, False, keep)
 
 
 def _judged(counts: DataFrame, langs: dict, covered: list[str], none: bool, keep: tuple[str, ...]) -> DataFrame:
     """``counts`` with the array ``own_`` of :func:`_own_distances`, judged by these and ``langs``. ``none``: there is no reference at all."""
-    counts = counts.withColumn("n_common_", _total("common"))
-    nearest = F.lit(None).cast(NEAREST)
-    if langs:
-        found = []
-        for lang, shares in langs.items():
-            c, w = _distances(shares)
-            found.append(F.struct((c + w).alias("both"), F.lit(lang).alias("lang"), c.alias("char"), w.alias("word")))
-        nearest = F.array_min(F.array(*found))
+    counts = counts.withColumn("n_common_", _total("common")).withColumn("n_all", _n_chars())
+
+    def from_reference(lang: str) -> Column:
+        c, w = _distances(langs[lang])
+        return bind(F.struct(c.alias("char"), w.alias("word")), lambda d: F.struct(
+            (d["char"] + d["word"]).alias("both"), F.lit(lang).alias("lang"), d["char"].alias("char"), d["word"].alias("word"),
+            _within(d["char"], d["word"], MAX_WORD_DISTANCE + F.lit(WORD_NOISE) / _root_of_words()).alias("ok")))
+
+    found = [from_reference(lang) for lang in langs]
+    counts = counts.withColumn("refs_", F.concat(F.array(*found).cast(f"array<{NEAREST}>"), "own_"))
     unknown = F.lit(none) | (F.col("lang_").isNotNull() & ~F.col("lang_").isin(*covered) & (F.size("own_") == 0))
-    near = F.array_min(F.transform("own_", lambda x: F.struct(x["both"].alias("both"), x["lang"].alias("lang"), x["char"].alias("char"), x["word"].alias("word"))))
-    judged = counts.select(
+    return counts.select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
-        nearest.alias("nearest"), _n_chars().alias("n_all"), near.alias("own_near_"),
-        (unknown | F.exists("own_", lambda x: x["ok"])).alias("own_kept_"),
-    ).withColumn("kept", ~F.col("base_failed") & (F.col("own_kept_") | within_reference()))
-    return judged.withColumn("nearest", F.array_min(F.array("nearest", "own_near_"))).drop("own_near_", "own_kept_")
+        F.array_min("refs_").dropFields("ok").alias("nearest"), "n_all",
+        (~base_failed() & (unknown | F.exists("refs_", lambda x: x["ok"]))).alias("kept"),
+    )
 
 
 def _within(char: Column, word: Column, word_bound: Column) -> Column:
@@ -346,7 +366,3 @@ def _within(char: Column, word: Column, word_bound: Column) -> Column:
 def _root_of_words() -> Column:
     return F.sqrt(F.greatest(F.lit(1), F.col("n_words")).cast("double"))
 
-
-def within_reference() -> Column:
-    near = F.col("nearest")
-    return near.isNotNull() & _within(near["char"], near["word"], MAX_WORD_DISTANCE + F.lit(WORD_NOISE) / _root_of_words())

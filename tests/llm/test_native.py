@@ -156,3 +156,17 @@ def test_urls(spark):
     assert verdicts[1].bound > verdicts[3].bound > verdicts[2].bound
     assert urls.judge_urls(probe, outcomes.limit(0)).count() == 4
     assert urls.judge_urls(pages.limit(0), outcomes).count() == 0
+
+
+def test_both_distances_are_held_by_one_reference(spark):
+    """A document is kept if some reference is near in both, though another one is nearer in their sum."""
+    row = [(1, 100, 1000, 0, 0, 0, [900, 20, 0, 0, 70, 10, 0, 0], [("the", 40), ("of", 10)], "en", [])]
+    schema = ("doc_id int, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, chars array<bigint>, "
+              f"common array<struct<word:string,n:int>>, lang_ string, own_ array<{quality_rules.NEAREST}>")
+    df = spark.createDataFrame(row, schema)
+    near_words = ([.4, .3, .0, .0, .2, .1, .0, .0], {"the": .8, "of": .2})  # char distance over its bound, words equal
+    near_both = ([.9, .02, .0, .0, .07, .01, .0, .0], {"the": .35, "of": .15, "and": .3, "to": .2})
+    get = lambda langs: quality_rules._judged(df, langs, ["en"], False, ("doc_id",)).first()
+    assert not get({"a": near_words}).kept and get({"b": near_both}).kept
+    both = get({"a": near_words, "b": near_both})
+    assert both.kept and both.nearest.lang == min(((get({"a": near_words}).nearest.both, "a"), (get({"b": near_both}).nearest.both, "b")))[1] == "a"
