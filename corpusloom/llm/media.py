@@ -1,8 +1,9 @@
 """Media columns kept in archives, behind a custom Spark data source.
 
 Writing: each task packs its members into ZIP archives (members stored as they are) in a folder that all executors share;
-an archive ends at ``archiveBytes``, so its directory stays small. Task attempts write under names of their own, and the
-manifest that the driver writes on commit names the archives of the successful ones, so lost executors leave no rows.
+an archive ends at ``archiveBytes``, so its directory stays small. Task attempts write under names of their own, and each
+commit adds a manifest that names the archives of the successful ones, so lost executors leave no rows and appends add up; an
+overwriting commit's manifest names the manifests it replaces.
 
 Reading: a partition is a byte range of an archive. It reads the archive's directory, takes the members whose offset lies
 in its range, and streams them in Arrow batches. A member that cannot be read is tried again by its offset, on a newly
@@ -37,7 +38,7 @@ RETRIES = 3
 
 MEMBER_SCHEMA = "doc_id bigint, n_bytes bigint, media binary, error string"
 ARROW_MEMBERS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("error", pa.string())])
-MANIFEST = "_archives.json"
+MANIFEST = "_archives-"
 
 WIDTH = 192
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -76,12 +77,12 @@ class MediaArchives(DataSource):
         return ArchiveReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(self.options)
+        return ArchiveWriter(self.options, overwrite)
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, options):
-        self.path = options["path"].rstrip("/")
+    def __init__(self, options, overwrite: bool = False):
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
         self.limit = int(options.get("archiveBytes", ARCHIVE_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -114,13 +115,24 @@ class ArchiveWriter(DataSourceArrowWriter):
         store, folder = _filesystem(self.path)
         store.create_dir(folder, recursive=True)
         archives = sorted(a for m in messages if m is not None for a in m.archives)
-        with store.open_output_stream(f"{folder}/{MANIFEST}") as out:
-            out.write(json.dumps(archives).encode())
+        replaces = sorted(_manifests(store, folder)) if self.overwrite else []
+        with store.open_output_stream(f"{folder}/{MANIFEST}{uuid.uuid4().hex}.json") as out:
+            out.write(json.dumps({"archives": archives, "replaces": replaces}).encode())
 
     def abort(self, messages) -> None:
         """Nothing to undo: archives that no manifest names are never read."""
 
 
+def _manifests(store, folder: str) -> dict[str, dict]:
+    """The manifests of all commits by file name; one per commit, however many archives it has."""
+    found = {}
+    for info in store.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+        if info.base_name.startswith(MANIFEST):
+            with store.open_input_file(info.path) as f:
+                found[info.base_name] = json.loads(f.read())
+    return found
+
+
 class _Forward:
     """An output stream without seek, as ``zipfile`` wants to see it."""
 
@@ -146,8 +158,9 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[ByteRange]:
         store, folder = _filesystem(self.path)
-        with store.open_input_file(f"{folder}/{MANIFEST}") as f:
-            archives = json.loads(f.read())
+        commits = _manifests(store, folder)
+        replaced = {name for m in commits.values() for name in m["replaces"]}
+        archives = sorted((name, size) for commit, m in commits.items() if commit not in replaced for name, size in m["archives"])
         ranges = [ByteRange(name, a, min(a + self.range, size)) for name, size in archives for a in range(0, size, self.range)]
         return ranges or [ByteRange("", 0, 0)]
 
@@ -282,9 +295,9 @@ def text_media(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(encode, "doc_id bigint, n_bytes bigint, media binary")
 
 
-def write_archives(media: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write_archives(media: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, mode: str = "append") -> None:
     media.sparkSession.dataSource.register(MediaArchives)
-    media.write.format("media_archives").mode("append").option("path", path).option("archiveBytes", archive_bytes).save()
+    media.write.format("media_archives").mode(mode).option("path", path).option("archiveBytes", archive_bytes).save()
 
 
 def read_archives(spark, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:

@@ -47,7 +47,7 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.stored_media(table(spark, sf_dir, "documents"))).drop("error")
+    return media.media_features(media.stored_media(table(spark, sf_dir, "documents")))
 
 
 @query()
@@ -63,7 +63,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fitted(docs, table(spark, sf_dir, "labels"), ~held_out)
     scored = toxicity.score(docs, model, "doc_id")
     return scored.select(
-        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "offending"
     )
 
 

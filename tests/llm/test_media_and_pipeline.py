@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zipfile
 import zlib
 
@@ -52,6 +53,32 @@ def test_ranges_and_damaged_members(odd_docs, tmp_path):
     assert len(rows) == odd_docs.count() and len(broken) == 1 and broken[0].payload_sha256 is None and "damaged" in broken[0].error
 
 
+def test_appends_add_up_and_overwriting_replaces(odd_docs, tmp_path):
+    spark, path = odd_docs.sparkSession, f"file://{tmp_path}/archives"
+    part = lambda n: media.text_media(odd_docs.filter(f"doc_id = {n}"))
+    ids = lambda: sorted(r.doc_id for r in media.read_archives(spark, path).collect())
+    media.write_archives(part(1), path)
+    media.write_archives(part(3), path)
+    media.write_archives(part(777), path)  # a commit without members
+    assert ids() == [1, 1, 3]
+    media.write_archives(part(4), path, mode="overwrite")
+    assert ids() == [4]
+    media.write_archives(part(5), path)
+    assert ids() == [4, 5]
+
+
+def test_features_equal_plain_loops():
+    for raw in (b"", b"abc" * 100, bytes(range(256)) * 7, "é漢🙂 ".encode() * 333, b"z" * 192):
+        payload = media.padded(raw)
+        n = len(payload)
+        mean = sum(payload) / n
+        spread = max(0.0, sum(b * b for b in payload) / n - mean * mean) ** 0.5
+        shares = [payload.count(bytes([v])) / n for v in range(256)]
+        entropy = abs(-sum(p * math.log2(p) for p in shares if p))
+        bits = "".join("1" if sum(payload[a:b]) / (b - a) > mean else "0" for a, b in ((k * n // 64, (k + 1) * n // 64) for k in range(64)))
+        assert media.features(payload) == f"rows={n // 192};mean={mean:.4f};std={spread:.4f};entropy={entropy:.4f};blocks={int(bits, 2):016x}"
+
+
 def test_pipeline_keeps_columns_and_drops_copies(spark, mixed_docs, no_docs, no_labels, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf, name: no_labels)
     docs = mixed_docs
