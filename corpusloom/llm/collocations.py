@@ -3,9 +3,9 @@
 At every word a window holds the word and those after it in its piece (the lead columns ``w2`` to ``w5``), padded with
 nulls at the piece's end. Only such longest windows are counted. A phrase's occurrences are the windows that begin with it,
 so ``ROLLUP (lang, w1, …, w5)`` sums them to the counts of all shorter prefixes, and no n-grams are exploded length by
-length. A phrase cannot be frequent if a pair of neighbours in it is rare; so a first pass adds up hashed pairs, and windows
-are padded from the first rare pair on, too. The frequent pairs travel as a bitmap of fixed size: equal hashes and shared bits
-only leave a window longer than needed and never lose a count.
+length. A phrase cannot be frequent if a word, pair or triple in it is rare; so passes before it add up hashes of these, and
+windows are padded from the first rare part on, too. The frequent parts travel as a bitmap of fixed size: equal hashes and
+shared bits only leave a window longer than needed and never lose a count.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from corpusloom.llm.common import stored
 
 ORDER, MIN_COUNT, TOP = 5, 100, 2000
 NO_LANGUAGE = "und"
-#: Bits of the map of frequent pairs (8 MB, whatever the corpus), and bytes of text counted at once.
-PAIR_BITS, BLOCK_BYTES = 1 << 26, 4 << 20
+#: Longest parts whose frequency bounds the windows.
+PART = 3
+#: Bits of the map of frequent parts (8 MB, whatever the corpus), and bytes of text counted at once.
+PART_BITS, BLOCK_BYTES = 1 << 26, 4 << 20
 
 # What parts pieces, what parts words.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -57,12 +59,30 @@ class _Words:
         self.ids, self.known = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
         self.joined = self.piece[1:] == self.piece[:-1]
 
-    def pairs(self, lang_hash: np.ndarray) -> np.ndarray:
-        """A hash of language and words per place of two neighbours in a piece, where ``joined`` holds."""
-        hashed = _hashes(self.known.to_pylist())[self.ids]
-        at = np.flatnonzero(self.joined)
-        mixed = hashed[at] * _ODD_1 + (hashed[at + 1] ^ lang_hash[self.lang[at]]) * _ODD_2
-        return (mixed ^ (mixed >> np.uint64(31))) * _ODD_3
+    def parts(self, lang_hash: np.ndarray, longest: int) -> list[np.ndarray]:
+        """Hashes of language and words of the parts of 1, 2, … ``longest`` words that begin at each word."""
+        word = _hashes(self.known.to_pylist())[self.ids]
+        mixed = [_mix(word * _ODD_1 ^ lang_hash[self.lang])]
+        for k in range(1, longest):
+            mixed.append(_mix(mixed[-1][:-1] * _ODD_2 + word[k:]) if len(mixed[-1]) else mixed[-1])
+        return mixed
+
+    def whole(self, k: int) -> np.ndarray:
+        """Whether the part of ``k`` words at each word lies in one piece."""
+        n = max(0, len(self.ids) - k + 1)
+        inside = np.ones(n, bool)
+        for j in range(k - 1):
+            inside &= self.joined[j : j + n]
+        return inside
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(31))) * _ODD_3
+
+
+def _marked(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    at = hashed & np.uint64(PART_BITS - 1)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
 def _hashes(values: list[str]) -> np.ndarray:
@@ -118,43 +138,65 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(lang, F.col("text").cast("string").alias("text")).filter(F.length("text") > 0)
 
 
-def frequent_pairs(docs: DataFrame, min_count: int) -> np.ndarray:
-    """Bits at the hashes, modulo ``PAIR_BITS``, of the neighbours that stand together at least ``min_count`` times in a language."""
+def _counted(docs: DataFrame, sizes: tuple[int, ...], min_count: int, shared) -> np.ndarray:
+    """Bits of the parts of ``sizes`` words that occur ``min_count`` times; ``shared``: bits of those one word shorter, if known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value if shared else None
         for words, _, hashed in _blocks(batches):
-            pair, n = np.unique(words.pairs(hashed), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
-
-    counts = _texts(docs).mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    bit = F.col("pair").bitwiseAND(PAIR_BITS - 1)
-    # at most PAIR_BITS / 64 rows reach the driver, whatever the corpus
+            parts = words.parts(hashed, max(sizes))
+            for k in sizes:
+                wanted = words.whole(k)
+                if shared:
+                    shorter = _marked(bits, parts[k - 2])
+                    wanted &= shorter[:-1] & shorter[1:]
+                part, n = np.unique(parts[k - 1][wanted], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(n.astype(np.int64))], names=["part", "n"])
+
+    counts = _texts(docs).mapInArrow(run, "part bigint, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
+    bit = F.col("part").bitwiseAND(PART_BITS - 1)
+    # at most PART_BITS / 64 rows reach the driver, whatever the corpus
     cells = (
-        counts.filter(F.col("n") >= min_count).select(F.shiftright(bit, 6).alias("cell"), F.expr("shiftleft(1L, cast(pair & 63 AS int))").alias("mask"))
+        counts.filter(F.col("n") >= min_count).select(F.shiftright(bit, 6).alias("cell"), F.expr("shiftleft(1L, cast(part & 63 AS int))").alias("mask"))
         .groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
     )
-    bits = np.zeros(PAIR_BITS // 64, np.uint64)
-    bits[cells["cell"].to_numpy()] = cells["mask"].to_numpy().view(np.uint64)
-    return bits
+    found = np.zeros(PART_BITS // 64, np.uint64)
+    found[cells["cell"].to_numpy()] = cells["mask"].to_numpy().view(np.uint64)
+    return found
 
 
-def longest_windows(docs: DataFrame, order: int, frequent: np.ndarray) -> DataFrame:
-    """``(lang, w1, …, wN, n)``: windows with their counts in a block, padded after a piece's end and after a rare pair."""
+def frequent_parts(docs: DataFrame, min_count: int, longest: int = PART) -> np.ndarray:
+    """Bits, at hashes modulo ``PART_BITS``, of words, pairs, … of ``longest`` words that stand ``min_count`` times in a language.
+
+    Words and pairs are added up in one pass; each longer part in a pass of its own, only where both its shorter parts are frequent.
+    """
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast(frequent)
+    bits = _counted(docs, (1, 2), min_count, None)
+    for k in range(3, longest + 1):
+        bits = bits | _counted(docs, (k,), min_count, context.broadcast(bits))
+    return bits
+
+
+def longest_windows(docs: DataFrame, order: int, frequent: np.ndarray, longest: int = PART) -> DataFrame:
+    """``(lang, w1, …, wN, n)``: windows with their counts, padded after a piece's end and from the first rare part on.
+
+    A rare word gives a window of padding only, which counts for its language.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
     columns = [f"w{k + 1}" for k in range(order)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for words, names, hashed in _blocks(batches):
-            pair = words.pairs(hashed) & np.uint64(PAIR_BITS - 1)
-            linked = np.zeros(len(words.ids), bool)  # with the next word
-            linked[np.flatnonzero(words.joined)] = (bits[pair >> np.uint64(6)] >> (pair & np.uint64(63))) & np.uint64(1) != 0
-            leads, open_ = [words.ids], np.ones(len(words.ids), bool)
-            for k in range(1, order):
-                open_ = open_ & np.concatenate([linked[k - 1 :], np.zeros(k - 1, bool)])
-                lead = np.concatenate([words.ids[k:], np.zeros(k, words.ids.dtype)])[: len(words.ids)]
-                leads.append(np.where(open_, lead, -1))
+            n = len(words.ids)
+            usual = []  # per size, whether the part at a word is whole and frequent
+            for k, part in enumerate(words.parts(hashed, longest), 1):
+                usual.append(np.concatenate([words.whole(k) & _marked(bits, part), np.zeros(n - len(part), bool)]))
+            open_, leads = np.ones(n, bool), []
+            for j in range(order):
+                for k in range(1, min(longest, j + 1) + 1):  # the parts that end with the window's word j
+                    open_ = open_ & np.concatenate([usual[k - 1][j - k + 1 :], np.zeros(min(n, j - k + 1), bool)])
+                leads.append(np.where(open_, np.concatenate([words.ids[j:], np.zeros(min(n, j), words.ids.dtype)]), -1))
             table = pa.table([pa.array(words.lang), *map(pa.array, leads)], names=["lang", *columns])
             counted = table.group_by(["lang", *columns], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
             known = words.known.cast(pa.string())
@@ -163,10 +205,10 @@ def longest_windows(docs: DataFrame, order: int, frequent: np.ndarray) -> DataFr
                 ids = counted[c].combine_chunks().to_numpy()
                 out.append(known.take(pa.array(ids, mask=ids < 0)))
             out.append(counted["count_all"].combine_chunks().cast(pa.int64()))
-            for a in range(0, len(out[0]), 65536):
-                yield pa.RecordBatch.from_arrays([c.slice(a, 65536) for c in out], names=["lang", *columns, "n"])
+            yield pa.RecordBatch.from_arrays(out, names=["lang", *columns, "n"])
 
-    return _texts(docs).mapInArrow(run, "lang string, " + ", ".join(f"{c} string" for c in columns) + ", n bigint")
+    windows = _texts(docs).mapInArrow(run, "lang string, " + ", ".join(f"{c} string" for c in columns) + ", n bigint")
+    return windows.groupBy("lang", *columns).agg(F.sum("n").alias("n"))
 
 
 def phrase_counts(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> DataFrame:
@@ -176,7 +218,7 @@ def phrase_counts(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUN
     ``und``); null and empty texts have no words; repeated rows count each; an empty table gives no rows.
     """
     columns = [f"w{k + 1}" for k in range(order)]
-    windows = longest_windows(docs, order, frequent_pairs(docs, min_count))
+    windows = longest_windows(docs, order, frequent_parts(docs, min_count))
     sums = windows.rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     # a prefix of k words has the low order - k bits set; one that ends in padding is a shorter phrase, counted as such
     level = F.lit(None).cast("int")

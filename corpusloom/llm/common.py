@@ -51,27 +51,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 MAX_SAMPLE_CHARS = 100_000
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, learn: Column, max_rows: int) -> list[tuple[str, int]]:
-    """``(text, label)`` of at most ``max_rows`` labelled documents, chosen by hash of the id, the same at every run.
-
-    ``learn`` is a condition on ``doc_id``. The labels are small rows: they are cut to the sample before any text is
-    read, and only the sample's texts leave the executors. Rows that repeat an id with the same text count once.
-    """
-    wanted = (
-        labels.select(F.col("doc_id"), F.col(target).cast("int").alias("label"))
-        .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
-        .filter(learn)
-        .groupBy("doc_id")
-        .agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_rows)
-    )
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).filter(F.length("text") <= MAX_SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "label", "text").distinct().toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return list(zip(rows["text"].to_pylist(), rows["label"].to_pylist()))
-
-
 def class_sample(docs: DataFrame, labels: DataFrame, target: str, learn: Column, max_rows: int) -> list[tuple[str, int]]:
     """``(text, label)`` of at most ``max_rows`` labelled rows of ``docs``, by hash of the id, the same at every run.
 

@@ -12,34 +12,39 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.llm.common import score_texts
+from corpusloom.llm.common import score_texts, stored
 
 UNKNOWN = "und"
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS, DIMENSION = 8, 8
-#: Bounds of the training sample: languages (the most frequent), documents of each, bytes of a document's windows.
-MAX_LANGUAGES, DOCS_PER_LANGUAGE, WINDOWS_PER_DOC = 100, 400, 4
+#: Bounds of the training sample: documents of a language, of all languages (one of each at least), windows of a document.
+DOCS_PER_LANGUAGE, SAMPLE_DOCS, WINDOWS_PER_DOC = 400, 40_000, 4
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.004, 7
 
 
 def training_sample(docs: DataFrame, learn: Column) -> list[tuple[str, bytes]]:
-    """``(lang, window bytes)`` of at most ``MAX_LANGUAGES * DOCS_PER_LANGUAGE`` documents, chosen by hash of the id.
+    """``(lang, window bytes)`` of some documents of every language, chosen by hash of the id.
+
+    A language gives at most ``DOCS_PER_LANGUAGE`` of them, or its part of ``SAMPLE_DOCS`` where there are many languages, and
+    at least one.
 
     From each document come at most ``WINDOWS_PER_DOC`` windows, evenly spaced over the whole text and cut on the
     executors.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).filter(learn).select("doc_id", F.col("lang").alias("lang_"))
-    counts = known.groupBy("lang_").count().orderBy(F.desc("count"), "lang_").limit(MAX_LANGUAGES).collect()
-    if not counts:
+    counts = stored(known.groupBy("lang_").count(), "languages")
+    languages = counts.count()
+    if not languages:
         return []
+    each = min(DOCS_PER_LANGUAGE, max(1, SAMPLE_DOCS // languages))
     # a cut on the hash leaves about twice the wanted rows of a language, however many it has, before any row is moved
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    cut = F.create_map(*[F.lit(x) for r in counts for x in (r.lang_, min(1.0, 2.0 * DOCS_PER_LANGUAGE / r["count"]))])
+    cut = counts.select("lang_", F.least(F.lit(1.0), F.lit(2.0 * each + 20) / F.col("count")).alias("_cut"))
     order = Window.partitionBy("lang_").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (
-        known.filter(part < F.try_element_at(cut, F.col("lang_"))).withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= DOCS_PER_LANGUAGE).select("doc_id", "lang_").distinct()
+        known.join(cut, "lang_").filter(part < F.col("_cut")).withColumn("_rank", F.row_number().over(order))
+        .filter(F.col("_rank") <= each).select("doc_id", "lang_").distinct()
     )
     raw = F.encode(F.col("text"), "UTF-8")
     step = F.greatest(F.lit(WINDOW), F.floor(F.octet_length(raw) / WINDOWS_PER_DOC)).cast("int")

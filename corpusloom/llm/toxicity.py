@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from corpusloom.llm.common import labelled_sample, score_texts
+from corpusloom.llm.common import class_sample, score_texts
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -116,7 +116,7 @@ def train(sample: list[tuple[str, int]]) -> SentenceModel:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_SAMPLE) -> SentenceModel:
-    return train(labelled_sample(docs, labels, "toxic", learn, max_rows))
+    return train(class_sample(docs, labels, "toxic", learn, max_rows))
 
 
 def score(docs: DataFrame, model: SentenceModel, *keep: str) -> DataFrame:

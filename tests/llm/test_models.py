@@ -153,3 +153,62 @@ def test_poor_survivors_reach_the_sample(spark, monkeypatch):
     kept = {r.doc_id for r in corpus_pipeline.quality_classifier_stage(spark, stage, "").collect()}
     good = {i for i, _, _, q, _ in rows if q}
     assert len(kept & set(poor)) <= 4 and len(kept & good) > 0.9 * len(good)
+
+
+def test_toxicity_scores_equal_plain_loops(odd_docs):
+    """Each row's score and spans by a loop over its sentences and words."""
+    model = toxicity.SentenceModel(sorted({"the", "th-", "and-", "wor-", "word", "漢字"}))
+    model.weights = np.linspace(-1.0, 4.0, len(model.words))
+    rows = {(r.doc_id, r.text): r for r in toxicity.score(odd_docs, model, "doc_id", "text").collect()}
+    assert len(rows) == odd_docs.select("doc_id", "text").distinct().count()
+    for (_, text), r in rows.items():
+        miss, spans, at = 1.0, [], 0
+        for end in [i for i, c in enumerate(text or "") if c in ".!?\n"] + [len(text or "")]:
+            if end > at:
+                words = {w.lower() for w in "".join(c if c.isalpha() else " " for c in text[at:end]).split()}
+                z = model.bias
+                for w in words:
+                    for trait in [w] + [w[:n] + "-" for n in (3, 4, 5) if len(w) >= n]:
+                        z += model.weights[model.words[trait]] if trait in model.words else 0.0
+                p = 1 / (1 + np.exp(-z))
+                miss *= 1 - p
+                if p >= 0.5:
+                    spans.append((at, end))
+            at = end + 1
+        assert abs(r.score - (1 - miss)) < 1e-6 and [(s.start, s.end) for s in r.offending] == spans
+
+
+def test_quality_scores_equal_plain_loops(odd_docs):
+    rows = planted(9, 200)
+    model = quality_net.train([(t, q) for _, t, _, q, _ in rows])
+    got = {(r.doc_id, r.text): r.score for r in quality_net.score(odd_docs, model, "doc_id", "text").collect()}
+    p = model.layers
+    for (_, text), score in got.items():
+        tokens = (text or "").split()
+        total, known, forms = np.zeros(quality_net.DIMENSION), 0, [0] * len(quality_net.FORMS)
+        for token, before in zip(tokens, ["", *tokens]):
+            forms[quality_net.form(token, before)] += 1
+            if token.lower() in model.known:
+                total += model.vectors[model.known[token.lower()]]
+                known += 1
+        n = max(len(tokens), 1)
+        x = [*(total / max(known, 1)), known / n, *(k / n for k in forms), np.log1p(len(tokens))]
+        z = [(v - c) / s for v, c, s in zip(x, model.centre, model.scale)]
+        out = p["b2"][0]
+        for h in range(quality_net.HIDDEN):
+            out += max(0.0, p["b1"][h] + sum(v * w for v, w in zip(z, p["w1"][:, h]))) * p["w2"][h]
+        assert abs(score - 1 / (1 + np.exp(-out / model.temperature))) < 1e-4
+
+
+def test_many_languages(spark):
+    """A language of few rows among very many is learnt, too."""
+    rows = [(k, "qx zv " * 30, f"l{k:03d}") for k in range(250)] + [(1000 + k, "der ung sch " * 20, "rare") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sample = language_cnn.training_sample(docs, F.lit(True))
+    assert {lang for lang, _ in sample} == {r[2] for r in rows}
+    monkey = language_cnn.SAMPLE_DOCS
+    language_cnn.SAMPLE_DOCS = 300
+    try:
+        assert {lang for lang, _ in language_cnn.training_sample(docs, F.lit(True))} == {r[2] for r in rows}
+    finally:
+        language_cnn.SAMPLE_DOCS = monkey
