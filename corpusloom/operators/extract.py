@@ -1,40 +1,21 @@
-"""Definitions, imports, routes, symbols and environment variables by line patterns.
+"""Definitions, imports, routes, symbols and environment variables.
 
-Patterns over the line array of a file, not a parser: strings that hold code and exotic layouts can differ from a syntax
-tree. Everything runs inside the file's row, so extraction needs no shuffle and no join.
+Declarations come from one linear scan of a file with strings and comments masked and brackets matched
+(``functions.scanner``); imports, variables and routes from line patterns. Everything runs inside the file's row, so
+extraction needs no shuffle and no join, and what leaves the row are small structs, never its line array.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.functions import paths
+from corpusloom.functions import paths, scanner
 from corpusloom.functions.rows import explode_rows, posexplode_rows
 from corpusloom.functions.text import strip
 from corpusloom.functions.vectors import bind
 from corpusloom.operators import lines as line_ops
 
-PY_DECL = r"^(\s*)((?:async\s+)?def|class)\s+([A-Za-z_]\w*)"
-# Parentheses up to three deep; possessive, so a long header cannot backtrack.
-_PARENS = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
-PY_HEADER = r"(?s)^\s*(?:(?:async\s+)?def|class)\s+\w+\s*(?:" + _PARENS + r")?\s*(?:->\s*[^:\n]+)?:"
-
-JS_FUNCTION = (
-    r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?(\([^)]*\))\s*(?::\s*([^{]+?))?\s*(?:\{.*)?$"
-)
-JS_CLASS = r"^\s*(?:export\s+)?(?:default\s+)?class\s+([A-Za-z_$][\w$]*)"
-JS_INTERFACE = r"^\s*(?:export\s+)?(?:default\s+)?interface\s+([A-Za-z_$][\w$]*)"
-JS_TYPE = r"^\s*(?:export\s+)?type\s+([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\s*="
-JS_ARROW = (
-    r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s+)?"
-    r"(?:function\s*\w*\s*)?(\([^)]*\)|[\w$]+)\s*(?::\s*([^={]+?))?\s*(?:=>|\{).*$"
-)
-JS_METHOD = (
-    r"^\s*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*(?!(?:if|for|while|switch|catch|function|return)\b)"
-    r"([A-Za-z_$#][\w$]*)\s*(?:<[^>]*>)?(\([^)]*\))\s*(?::\s*([^{]+?))?\s*\{.*$"
-)
-
-_DECL = "struct<n:int,ind:int,kind:string,name:string,sig_end:int,end:int>"
+DECLARATION_ITEM = "struct<" + scanner.DECLARATION.replace(" ", ":").replace(",:", ",") + ",header:string,body:string>"
 
 
 def _indent(line: Column) -> Column:
@@ -60,131 +41,14 @@ def normalize_expr(c: Column) -> Column:
     return F.regexp_replace(strip(c), "\"([^\"'\\\\]*)\"", "'$1'")
 
 
-def python_declarations(lines: Column, labels: Column) -> Column:
-    """``def`` and ``class`` lines of a Python file with the end of their header and of their block.
-
-    A block ends at its last line before the next code line indented no deeper than the declaration.
-    """
-    numbered = F.transform(
-        labelled_lines(lines, labels),
-        lambda r: F.struct(
-            r["n"].alias("n"), _indent(r["x"]).alias("ind"), r["label"].alias("label"),
-            strip(r["x"]).startswith("#").alias("hash"), r["x"].alias("x"),
-        ),
-    )
-
-    def build(rows: Column) -> Column:
-        code = F.transform(
-            F.filter(rows, lambda r: (r["label"] == "c")), lambda r: F.struct(r["n"], r["ind"])
-        )
-        content = F.transform(F.filter(rows, lambda r: (r["label"] != "b") & ~r["hash"]), lambda r: r["n"])
-        marks = F.filter(rows, lambda r: (r["label"] == "c") & r["x"].rlike(PY_DECL))
-
-        def declaration(r: Column, nxt: Column, code: Column, content: Column) -> Column:
-            # a header ends before the next declaration, so all headers together read the file once
-            header = F.regexp_extract(F.array_join(F.slice(lines, r["n"], nxt - r["n"]), "\n"), "(" + PY_HEADER + ")", 1)
-            sig_end = r["n"] + F.length(header) - F.length(F.replace(header, F.lit("\n"), F.lit("")))
-            following = bind(
-                sig_end,
-                lambda e: F.coalesce(
-                    F.array_min(F.transform(F.filter(code, lambda c: (c["n"] > e) & (c["ind"] <= r["ind"])), lambda c: c["n"])),
-                    F.size(lines) + 1,
-                ),
-            )
-            end = bind(
-                following,
-                lambda nxt: F.array_max(F.filter(content, lambda n: (n < nxt) & (n >= r["n"]))),
-            )
-            kind = F.regexp_replace(F.regexp_extract(r["x"], PY_DECL, 2), r"\s+", " ")
-            return F.struct(
-                r["n"].alias("n"), r["ind"].cast("int").alias("ind"), kind.alias("kind"),
-                F.regexp_extract(r["x"], PY_DECL, 3).alias("name"), sig_end.cast("int").alias("sig_end"),
-                end.cast("int").alias("end"),
-            )
-
-        def each(m: Column, cd: Column, ct: Column) -> Column:
-            after = lambda i: F.coalesce(F.get(m, i + 1)["n"], F.size(lines) + 1)
-            return F.transform(m, lambda r, i: declaration(r, after(i), cd, ct))
-
-        return bind(code, lambda cd: bind(content, lambda ct: bind(marks, lambda m: each(m, cd, ct))))
-
-    return bind(numbered, build)
-
-
-def brace_declarations(lines: Column) -> Column:
-    """Function, class, interface, type and arrow-function lines of a JS/TS file, blocks ended by brace counting."""
-    bare = F.transform(
-        lines, lambda x: F.regexp_replace(F.regexp_replace(x, r"\"[^\"\n]*\"|'[^'\n]*'", ""), r"//.*$", "")
-    )
-    deltas = F.transform(
-        bare,
-        lambda x: (F.length(F.replace(x, F.lit("}"), F.lit(""))) - F.length(F.replace(x, F.lit("{"), F.lit("")))).cast("int"),
-    )
-    comment = lambda x: F.ltrim(x).startswith("//") | F.ltrim(x).startswith("*") | F.ltrim(x).startswith("/*")
-    kinds = (("function", JS_FUNCTION), ("class", JS_CLASS), ("interface", JS_INTERFACE), ("type_alias", JS_TYPE),
-             ("arrow", JS_ARROW), ("method", JS_METHOD))
-
-    def mark(x: Column, i: Column) -> Column:
-        column = F.when(comment(x), F.lit(None).cast("string"))
-        name = F.when(comment(x), F.lit(None).cast("string"))
-        for kind, pattern in kinds:
-            column = column.when(x.rlike(pattern), F.lit(kind))
-            name = name.when(x.rlike(pattern), F.regexp_extract(x, pattern, 1))
-        return F.struct(
-            (i + 1).cast("int").alias("n"), _indent(x).cast("int").alias("ind"), column.alias("kind"), name.alias("name")
-        )
-
-    def end_of(d: Column, n: Column) -> Column:
-        state = F.aggregate(
-            F.slice(d, n, F.size(d)),
-            F.struct(F.lit(0).alias("depth"), n.cast("int").alias("at"), F.lit(0).alias("end")),
-            lambda s, x: F.when(s["end"] > 0, s).otherwise(
-                F.struct(
-                    (s["depth"] + x).alias("depth"), (s["at"] + 1).alias("at"),
-                    F.when(s["depth"] + x <= 0, s["at"]).otherwise(F.lit(0)).alias("end"),
-                )
-            ),
-        )
-        return F.when(state["end"] > 0, state["end"]).otherwise(F.size(d)).cast("int")
-
-    marks = F.filter(F.transform(lines, mark), lambda m: m["kind"].isNotNull())
-    return bind(
-        deltas,
-        lambda d: F.transform(
-            marks,
-            lambda m: F.struct(
-                m["n"].alias("n"), m["ind"].alias("ind"), m["kind"].alias("kind"), m["name"].alias("name"),
-                m["n"].alias("sig_end"), end_of(d, m["n"]).alias("end"),
-            ),
-        ),
-    )
-
-
 def with_declarations(files: DataFrame) -> DataFrame:
-    """Add ``labels`` and the ``decls`` array (needs ``lines``, ``content``, ``language``).
+    """Add ``labels``, the ``decls`` array and the ``handlers`` array (needs ``lines``, ``content``, ``language``).
 
     For JS and TS, what lies inside a function, class, interface or type is no declaration of its own, except methods,
     which are kept directly inside a class.
     """
-    labelled = line_ops.classify_lines(files)
-    python = python_declarations(F.col("lines"), F.col("labels"))
-    braces = brace_declarations(F.col("lines"))
-
-    def inside(d: Column, all_decls: Column, kinds: tuple[str, ...]) -> Column:
-        return F.exists(all_decls, lambda e: e["kind"].isin(*kinds) & (e["n"] < d["n"]) & (d["n"] <= e["end"]))
-
-    def keep(d: Column, every: Column) -> Column:
-        closed = ("function", "interface", "type_alias")
-        return F.when(
-            d["kind"] == "method",
-            inside(d, every, ("class",)) & ~inside(d, every, closed + ("arrow", "method")),
-        ).otherwise(~inside(d, every, closed + ("class",)))
-
-    kept = bind(braces, lambda every: F.filter(every, lambda d: keep(d, every)))
-    decls = F.when(F.col("language") == "Python", python).when(
-        F.col("language").isin("JavaScript", "TypeScript"), kept
-    ).otherwise(F.array().cast(f"array<{_DECL}>"))
-    return labelled.withColumn("decls", decls)
+    found = line_ops.classify_lines(files).withColumn("_scan", scanner.scanned(F.col("lines"), F.col("language")))
+    return found.withColumn("decls", F.col("_scan.decls")).withColumn("handlers", F.col("_scan.handlers")).drop("_scan")
 
 
 def enclosing(decls: Column, line: Column) -> Column:
@@ -192,43 +56,39 @@ def enclosing(decls: Column, line: Column) -> Column:
     return F.try_element_at(F.filter(decls, lambda d: (d["n"] <= line) & (line <= d["end"])), F.lit(-1))
 
 
-def _decorators(lines: Column, n: Column) -> Column:
-    """Decorator lines directly above line ``n``; only where twenty lines hold nothing else are all lines above read."""
-    near = _decorators_within(lines, n, F.least(F.lit(20), n - 1))
-    return F.when(n <= 1, F.array().cast("array<string>")).when(F.size(near) < 20, near).otherwise(_decorators_within(lines, n, n - 1))
+def declaration_items(lines: Column, decls: Column) -> Column:
+    """The ``decls`` with their ``header`` and ``body`` text, cut from the file's own line array."""
 
+    def item(d: Column, rows: Column) -> Column:
+        header = F.array_join(F.slice(rows, d["n"], d["sig_end"] - d["n"] + 1), "\n")
+        body = F.array_join(F.slice(rows, d["sig_end"] + 1, F.greatest(F.lit(0), d["end"] - d["sig_end"])), "\n")
+        return d.withField("header", header).withField("body", body)
 
-def _decorators_within(lines: Column, n: Column, count: Column) -> Column:
-    state = F.aggregate(
-        F.reverse(F.slice(lines, n - count, count)),
-        F.struct(F.lit(True).alias("go"), F.array().cast("array<string>").alias("kept")),
-        lambda s, x: F.when(
-            s["go"] & F.ltrim(x).startswith("@"),
-            F.struct(F.lit(True).alias("go"), F.concat(F.array(normalize_expr(x)), s["kept"]).alias("kept")),
-        ).otherwise(F.struct(F.lit(False).alias("go"), s["kept"].alias("kept"))),
-    )
-    return state["kept"]
+    return bind(lines, lambda rows: F.transform(decls, lambda d: item(d, rows)))
 
 
 def declaration_rows(files: DataFrame) -> DataFrame:
     """One row per declaration with its header, body text, decorators and enclosing declaration.
 
-    ``files`` come from :func:`with_declarations`. A body is sliced from the file's own line array, not joined.
+    ``files`` come from :func:`with_declarations`.
     """
-    n, sig_end, end = F.col("d.n"), F.col("d.sig_end"), F.col("d.end")
-    outer = F.try_element_at(
-        F.filter("decls", lambda e: (e["n"] < F.col("d.n")) & (F.col("d.n") <= e["end"]) & (e["ind"] < F.col("d.ind"))), F.lit(-1)
-    )
-    return explode_rows(files, "decls", "d", "*").select(
-        "repo", "path", "language", n.alias("start_line"), end.alias("end_line"), F.col("d.ind").alias("indent"),
-        F.col("d.kind").alias("kind"), F.col("d.name").alias("name"),
-        F.array_join(F.slice("lines", n, sig_end - n + 1), "\n").alias("header"),
-        F.array_join(F.slice("lines", sig_end + 1, F.greatest(F.lit(0), end - sig_end)), "\n").alias("body"),
-        _decorators(F.col("lines"), n).alias("decorators"),
-        outer.alias("outer"),
+    return explode_rows(files, declaration_items(F.col("lines"), F.col("decls")), "d", "repo", "path", "language").select(
+        "repo", "path", "language", *declaration_columns("d")
     )
 
 
+def declaration_columns(d: str) -> list[Column]:
+    """The columns of :func:`declaration_rows` from one of :func:`declaration_items`."""
+    field = lambda name: F.col(f"{d}.{name}")
+    outer = F.struct(field("outer_kind").alias("kind"), field("outer_name").alias("name"), field("outer_ind").alias("ind"))
+    return [
+        field("n").alias("start_line"), field("end").alias("end_line"), field("ind").alias("indent"), field("kind").alias("kind"),
+        field("name").alias("name"), field("header").alias("header"), field("body").alias("body"),
+        F.transform(field("decorators"), normalize_expr).alias("decorators"), outer.alias("outer"),
+        field("params").alias("params"), field("returns").alias("returns"),
+    ]
+
+
 # A comma that separates parameters: the next bracket after it does not close.
 _COMMA = r",(?![^\[\](){}]*[\])}])"
 
@@ -331,23 +191,18 @@ def entities(files: DataFrame) -> DataFrame:
         .when((kind != "class") & (F.col("indent") == 0), F.lit("function"))
         .when((kind != "class") & (F.col("outer.kind") == "class") & (F.col("outer.ind") == 0), F.lit("method")),
     ).filter(F.col("type").isNotNull()).select(
-        "repo", "path", "name", "type", "start_line", "end_line", python_signature(kind, name, header).alias("signature"),
+        "repo", "path", "name", "type", "start_line", "end_line", python_signature(kind, name, F.col("params")).alias("signature"),
         docstring(body).alias("docstring"), F.when(F.col("type") == "method", F.col("outer.name")).alias("parent"), "decorators",
-        F.when(kind == "class", empty).otherwise(python_parameters(header)).alias("parameters"),
-        F.when(kind != "class", return_type(header)).alias("return_type"), paths.visibility(name).alias("visibility"), "language",
+        F.when(kind == "class", empty).otherwise(python_parameters(F.col("params"))).alias("parameters"),
+        F.when(kind != "class", return_type(F.col("params"))).alias("return_type"), paths.visibility(name).alias("visibility"), "language",
         code.alias("code"),
     )
-    first = F.substring_index(header, "\n", 1)
-
-    def ret(pattern: str) -> Column:
-        return F.nullif(strip(F.regexp_extract(first, pattern, 3)), F.lit(""))
-
-    returns = F.when(kind == "function", ret(JS_FUNCTION)).when(kind == "arrow", ret(JS_ARROW)).when(kind == "method", ret(JS_METHOD))
+    params, returns = F.col("params"), F.col("returns")
     tail = F.coalesce(F.concat(F.lit(": "), returns), F.lit(""))
     signature = (
-        F.when(kind == "function", F.concat(F.lit("function "), name, F.regexp_extract(first, JS_FUNCTION, 2), tail))
-        .when(kind == "arrow", F.concat(F.lit("const "), name, F.lit(" = "), F.regexp_extract(first, JS_ARROW, 2), F.lit(" => ..."), tail))
-        .when(kind == "method", F.concat(name, F.regexp_extract(first, JS_METHOD, 2), tail))
+        F.when(kind == "function", F.concat(F.lit("function "), name, params, tail))
+        .when(kind == "arrow", F.concat(F.lit("const "), name, F.lit(" = "), params, F.lit(" => ..."), tail))
+        .when(kind == "method", F.concat(name, params, tail))
         .when(kind == "type_alias", F.concat(F.lit("type "), name, F.lit(" = ...")))
         .otherwise(F.concat(kind, F.lit(" "), name))
     )
@@ -424,55 +279,55 @@ IMPORT_LINE = r"^(?:import|from)\s|^\s+import\s"
 OPEN_IMPORT = r"[({][^)}]*$|\\\s*$|^\s*import\s+(?:type\s+)?[^'\"(]*$"
 
 
-def imports(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The imports table (needs ``labels``). A plain Python import of several modules gives a row each.
+_IMPORT = "array<struct<module:string,imported_names:array<string>,alias:string,is_relative:boolean>>"
 
-    ``keep`` names columns of the file row to carry along.
-    """
-    numbered = labelled_lines(F.col("lines"), F.col("labels"))
+
+def import_statements(lines: Column, labels: Column) -> Column:
+    """``array<struct<n, x>>``: import lines of code, read up to the next import where the first line leaves them open."""
+    numbered = labelled_lines(lines, labels)
     marks = F.filter(numbered, lambda r: (r["label"] == "c") & r["x"].rlike(IMPORT_LINE))
 
-    def statement(lines: Column, m: Column, r: Column, i: Column) -> Column:
-        # an import ends before the next one; only one that leaves a bracket, a string or a line open is read further
-        after = F.coalesce(F.get(m, i + 1)["n"], F.size(lines) + 1)
+    def statement(rows: Column, m: Column, r: Column, i: Column) -> Column:
+        after = F.coalesce(F.get(m, i + 1)["n"], F.size(rows) + 1)
         more = r["x"].rlike(OPEN_IMPORT)
-        return F.struct(r["n"].alias("n"), F.when(more, F.array_join(F.slice(lines, r["n"], after - r["n"]), "\n")).otherwise(r["x"]).alias("x"))
+        return F.struct(r["n"].alias("n"), F.when(more, F.array_join(F.slice(rows, r["n"], after - r["n"]), "\n")).otherwise(r["x"]).alias("x"))
 
-    statements = bind(F.col("lines"), lambda lines: bind(marks, lambda m: F.transform(m, lambda r, i: statement(lines, m, r, i))))
-    rows = explode_rows(files, statements, "r", "repo", "path", "language", *keep).select(
-        "repo", "path", "language", *keep, F.col("r.n").alias("line_number"), F.col("r.x").alias("x")
-    )
-    x = F.col("x")
-    listed = F.transform(
-        F.filter(F.split(F.regexp_replace(F.regexp_extract(x, r"^import\s+([^\n#;]+)", 1), r"\\", ""), ","), lambda p: strip(p) != ""), strip
-    )
-    plain = (
-        explode_rows(
-            rows.filter((F.col("language") == "Python") & x.rlike(r"^import\s")), listed, "p",
-            "repo", "path", "line_number", "language", *keep,
-        ).select(
-            "repo", "path", F.regexp_extract("p", r"^([\w.]+)", 1).alias("module"),
-            F.array(F.regexp_extract("p", r"^([\w.]+)", 1)).alias("imported_names"),
-            F.nullif(F.regexp_extract("p", r"\sas\s+(\w+)", 1), F.lit("")).alias("alias"), F.lit(False).alias("is_relative"),
-            "line_number", "language", *keep,
-        )
-    )
+    return bind(lines, lambda rows: bind(marks, lambda m: F.transform(m, lambda r, i: statement(rows, m, r, i))))
+
+
+def imported(x: Column, language: Column) -> Column:
+    """The imports of one statement; a plain Python import of several modules gives several."""
+    none, text = F.lit(None).cast("string"), lambda c: F.nullif(c, F.lit(""))
+
+    def row(module: Column, names: Column, alias: Column, relative: Column) -> Column:
+        return F.struct(module.alias("module"), names.alias("imported_names"), alias.alias("alias"), relative.alias("is_relative"))
+
+    def words(list_: Column) -> Column:
+        return F.filter(F.transform(F.split(list_, ","), strip), lambda p: p != "")
+
+    listed = words(F.regexp_replace(F.regexp_extract(x, r"^import\s+([^\n#;]+)", 1), r"\\", ""))
+    module = lambda p: F.regexp_extract(p, r"^([\w.]+)", 1)
+    plain = F.transform(listed, lambda p: row(module(p), F.array(module(p)), text(F.regexp_extract(p, r"\sas\s+(\w+)", 1)), F.lit(False)))
     body = F.regexp_replace(F.concat(F.regexp_extract(x, PY_FROM, 3), F.regexp_extract(x, PY_FROM, 4)), r"#[^\n]*|\\", "")
-    parts = F.filter(F.transform(F.split(body, ","), strip), lambda p: p != "")
-    from_rows = rows.filter((F.col("language") == "Python") & x.rlike(PY_FROM)).withColumn("parts", parts).select(
-        "repo", "path", F.regexp_extract(x, PY_FROM, 2).alias("module"),
-        F.transform("parts", lambda p: F.regexp_extract(p, r"^(\*|\w+)", 1)).alias("imported_names"),
-        F.when(F.size("parts") == 1, F.nullif(F.regexp_extract(F.get("parts", 0), r"\sas\s+(\w+)", 1), F.lit(""))).alias("alias"),
-        (F.regexp_extract(x, PY_FROM, 1) != "").alias("is_relative"), "line_number", "language", *keep,
-    )
-    clause = F.translate(F.regexp_extract(x, JS_IMPORT, 1), "{}", "")
-    script = rows.filter((F.col("language") != "Python") & x.rlike(JS_IMPORT)).select(
-        "repo", "path", F.regexp_extract(x, JS_IMPORT, 2).alias("module"),
-        F.transform(F.filter(F.split(clause, ","), lambda p: strip(p) != ""), lambda p: F.substring_index(strip(p), " ", 1)).alias("imported_names"),
-        F.lit(None).cast("string").alias("alias"), F.regexp_extract(x, JS_IMPORT, 2).startswith(".").alias("is_relative"),
-        "line_number", "language", *keep,
+    chosen = bind(words(body), lambda parts: F.array(row(
+        F.regexp_extract(x, PY_FROM, 2), F.transform(parts, lambda p: F.regexp_extract(p, r"^(\*|\w+)", 1)),
+        F.when(F.size(parts) == 1, text(F.regexp_extract(F.get(parts, 0), r"\sas\s+(\w+)", 1))), F.regexp_extract(x, PY_FROM, 1) != "")))
+    clause = words(F.translate(F.regexp_extract(x, JS_IMPORT, 1), "{}", ""))
+    script = F.array(row(
+        F.regexp_extract(x, JS_IMPORT, 2), F.transform(clause, lambda p: F.substring_index(p, " ", 1)), none,
+        F.regexp_extract(x, JS_IMPORT, 2).startswith(".")))
+    python = language == "Python"
+    return (
+        F.when(python & x.rlike(r"^import\s"), plain.cast(_IMPORT)).when(python & x.rlike(PY_FROM), chosen.cast(_IMPORT))
+        .when(~python & x.rlike(JS_IMPORT), script.cast(_IMPORT))
     )
-    return plain.unionByName(from_rows).unionByName(script)
+
+
+def imports(files: DataFrame) -> DataFrame:
+    """The imports table (needs ``labels``). A plain Python import of several modules gives a row each."""
+    lines = explode_rows(files, import_statements(F.col("lines"), F.col("labels")), "r", "repo", "path", "language")
+    rows = explode_rows(lines, imported(F.col("r.x"), F.col("language")), "i", "repo", "path", "language", F.col("r.n").alias("line_number"))
+    return rows.select("repo", "path", "i.module", "i.imported_names", "i.alias", "i.is_relative", "line_number", "language")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -485,23 +340,28 @@ def page_links(pages: DataFrame) -> DataFrame:
 PY_ROUTE = r"(?i)@(?:router|app)\.(get|post|put|delete|patch|options|head)\(\s*[\"']([^\"']+)[\"']"
 JS_ROUTE = r"(?i)(?:router|app)\.(get|post|put|delete|patch)\(\s*[\"']([^\"']+)[\"']"
 HANDLER = r"def\s+([A-Za-z0-9_]+)\s*\("
-HANDLER_LINES = 6
+#: Lines read first for a route's handler; only where these hold none is the rest of the file read.
+NEAR_LINES = 6
 
 
 def routes(files: DataFrame) -> DataFrame:
-    """HTTP routes: decorator routes with the first function in the next six lines, and script routes."""
+    """HTTP routes: decorator routes with the next function below them, and script routes."""
     python = F.col("language") == "Python"
     pattern = lambda x: F.when(python, x.rlike(PY_ROUTE)).otherwise(x.rlike(JS_ROUTE))
     numbered = F.transform("lines", lambda x, i: F.struct((i + 1).cast("int").alias("n"), x.alias("x")))
-    found = explode_rows(files, F.filter(numbered, lambda r: pattern(r["x"])), "r", "repo", "path", "language", "lines")
+    marks = F.filter(numbered, lambda r: pattern(r["x"]))
+
+    def handler(lines: Column, n: Column) -> Column:
+        below = lambda count: F.nullif(F.regexp_extract(F.array_join(F.slice(lines, n + 1, count), "\n"), HANDLER, 1), F.lit(""))
+        return F.coalesce(below(F.lit(NEAR_LINES)), below(F.size(lines)), F.lit("handler"))
+
+    named = bind(F.col("lines"), lambda lines: F.transform(marks, lambda r: F.struct(
+        r["n"].alias("n"), r["x"].alias("x"), F.when(python, handler(lines, r["n"])).otherwise(F.lit("route_handler")).alias("handler"))))
     x = F.col("r.x")
-    after = F.array_join(F.slice("lines", F.col("r.n") + 1, HANDLER_LINES), "\n")
-    handler = F.coalesce(F.nullif(F.regexp_extract(after, HANDLER, 1), F.lit("")), F.lit("handler"))
-    return found.select(
+    return explode_rows(files, named, "r", "repo", "path", "language").select(
         "repo", F.upper(F.when(python, F.regexp_extract(x, PY_ROUTE, 1)).otherwise(F.regexp_extract(x, JS_ROUTE, 1))).alias("method"),
         F.when(python, F.regexp_extract(x, PY_ROUTE, 2)).otherwise(F.regexp_extract(x, JS_ROUTE, 2)).alias("route"),
-        F.when(python, handler).otherwise(F.lit("route_handler")).alias("handler_name"), F.col("path").alias("file_path"),
-        F.col("r.n").alias("line_number"),
+        F.col("r.handler").alias("handler_name"), F.col("path").alias("file_path"), F.col("r.n").alias("line_number"),
     )
 
 

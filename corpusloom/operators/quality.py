@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.functions import paths, text
-from corpusloom.functions.rows import explode_rows, where_computed
+from corpusloom.functions import paths, scanner, text
+from corpusloom.functions.rows import explode_rows
 from corpusloom.functions.text import strip
 from corpusloom.functions.vectors import bind
 from corpusloom.operators import extract, lines as line_ops
@@ -51,6 +51,23 @@ def _finish(df: DataFrame) -> DataFrame:
     return df.select(finding_id("entity_name").alias("finding_id"), *FINDING)
 
 
+def _found(rule_id, category, severity, start, end, message, suggestion, name=None, kind=None, value=None, limit=None) -> Column:
+    """A finding but for its file. Plain strings are literals."""
+    text = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("string")
+    number = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("double")
+    return F.struct(
+        text(rule_id).alias("rule_id"), text(category).alias("category"), text(severity).alias("severity"), start.cast("int").alias("start_line"),
+        end.cast("int").alias("end_line"), text(name).alias("entity_name"), text(kind).alias("entity_type"), text(message).alias("message"),
+        text(suggestion).alias("suggestion"), number(value).alias("metric_value"), number(limit).alias("threshold"),
+    )
+
+
+def _exploded(rows: DataFrame, findings: Column) -> DataFrame:
+    """The findings table of rows with ``repo`` and ``path`` and an array of :func:`_found`."""
+    found = explode_rows(rows, findings, "f", "repo", "path")
+    return _finish(found.select("repo", "path", *[F.col(f"f.{c}").alias(c) for c in FINDING if c not in ("repo", "path")]))
+
+
 def _two_level(value: Column, limits: tuple[int, int]) -> tuple[Column, Column]:
     """Severity and the limit reached (both null below the first limit)."""
     warn, error = limits
@@ -58,24 +75,20 @@ def _two_level(value: Column, limits: tuple[int, int]) -> tuple[Column, Column]:
     return severity, F.when(value >= error, F.lit(float(error))).when(value >= warn, F.lit(float(warn)))
 
 
-def file_size_findings(counts: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """FILE_TOO_LARGE from the per-file line counts."""
-    total = F.col("total_lines")
+def _size_finding(total: Column, t: Thresholds) -> Column:
     severity, limit = _two_level(total, t.file_lines)
     word = F.when(total >= t.file_lines[1], F.lit("error")).otherwise(F.lit("warning"))
-    return _finish(
-        where_computed(counts, total >= t.file_lines[0]).select(
-            F.lit("FILE_TOO_LARGE").alias("rule_id"), F.lit("size").alias("category"), severity.alias("severity"), "repo", "path",
-            F.lit(1).alias("start_line"), total.cast("int").alias("end_line"), F.lit(None).cast("string").alias("entity_name"),
-            F.lit(None).cast("string").alias("entity_type"),
-            F.concat(
-                F.lit("File has "), total.cast("string"), F.lit(" lines (exceeds "), word, F.lit(" threshold of "),
-                limit.cast("int").cast("string"), F.lit(" lines)."),
-            ).alias("message"),
-            F.lit("Split the file along its responsibilities.").alias("suggestion"),
-            total.cast("double").alias("metric_value"), limit.alias("threshold"),
-        )
+    message = F.concat(
+        F.lit("File has "), total.cast("string"), F.lit(" lines (exceeds "), word, F.lit(" threshold of "),
+        limit.cast("int").cast("string"), F.lit(" lines)."),
     )
+    return F.when(severity.isNotNull(), _found(
+        "FILE_TOO_LARGE", "size", severity, F.lit(1), total, message, "Split the file along its responsibilities.", value=total, limit=limit))
+
+
+def file_size_findings(counts: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """FILE_TOO_LARGE from the per-file line counts."""
+    return _exploded(counts, F.array(_size_finding(F.col("total_lines"), t)))
 
 
 def bare_code(code: Column) -> Column:
@@ -134,41 +147,44 @@ def entity_metrics(files: DataFrame) -> DataFrame:
     Functions of Python files are all typed ``function``; in JS and TS the entity type is kept, and neither docstring nor
     parameters are known.
     """
-    rows = extract.declaration_rows(files)
-    python, cls = F.col("language") == "Python", F.col("kind") == "class"
-    kind = F.when(cls, F.lit("class")).when(python | F.col("kind").isin("function", "arrow"), F.lit("function")).when(
-        F.col("kind") == "method", F.lit("method")
+    rows = extract.declaration_rows(files).withColumn("entity_type", _entity_type())
+    return rows.filter(F.col("entity_type").isNotNull()).select(
+        "repo", "path", "language", F.col("name").alias("entity_name"), "entity_type", "start_line", "end_line", *_metrics(),
+        F.substring_index("header", "\n", 1).alias("first_line"),
+    )
+
+
+def _entity_type() -> Column:
+    python, kind = F.col("language") == "Python", F.col("kind")
+    return F.when(kind == "class", F.lit("class")).when(kind.isNotNull() & (python | kind.isin("function", "arrow")), F.lit("function")).when(
+        kind == "method", F.lit("method")
     )
+
+
+def _metrics() -> list[Column]:
+    """The measured columns of a row of ``extract.declaration_columns`` with ``language``."""
+    python, cls = F.col("language") == "Python", F.col("kind") == "class"
     code = F.concat_ws("\n", "header", "body")
     name = F.col("name")
     public = F.when(cls | ~python, paths.is_public_class(name)).otherwise(paths.is_public_function(name))
-    return rows.withColumn("entity_type", kind).filter(F.col("entity_type").isNotNull()).select(
-        "repo", "path", "language", name.alias("entity_name"), "entity_type", "start_line", "end_line",
+    return [
         F.greatest(F.lit(1), F.col("end_line") - F.col("start_line") + 1).alias("lines_count"),
         F.when(~cls & python, python_complexity(code)).when(~cls, text.branch_complexity(code)).alias("cyclomatic_complexity"),
         F.when(~cls & python, python_nesting(F.col("body"))).when(~cls, text.brace_depth(code)).alias("max_nesting_depth"),
-        F.when(~cls & python, F.size(extract.python_parameters(F.col("header")))).when(~cls, F.lit(0)).alias("parameter_count"),
+        F.when(~cls & python, F.size(extract.python_parameters(F.col("params")))).when(~cls, F.lit(0)).alias("parameter_count"),
         (python & extract.docstring(F.col("body")).isNotNull()).alias("has_docstring"), public.alias("is_public"),
-        F.substring_index("header", "\n", 1).alias("first_line"),
-    )
+    ]
 
 
-def entity_findings(metrics: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """All rules on entity metrics in one pass: each row builds the array of rules it breaks."""
+def _entity_rules(t: Thresholds) -> Column:
+    """The findings of a row of :func:`entity_metrics`."""
     function = F.col("entity_type") != "class"
     quoted = F.concat(F.lit("'"), F.col("entity_name"), F.lit("'"))
     title = F.initcap("entity_type")
 
     def rule(rule_id, category, severity, value, limit, message, suggestion) -> Column:
-        return F.when(
-            severity.isNotNull(),
-            F.struct(
-                F.lit(rule_id).alias("rule_id"), F.lit(category).alias("category"), severity.alias("severity"),
-                message.alias("message"), F.lit(suggestion).alias("suggestion"),
-                (F.lit(None) if value is None else value).cast("double").alias("metric_value"),
-                (F.lit(None) if limit is None else limit).cast("double").alias("threshold"),
-            ),
-        )
+        return F.when(severity.isNotNull(), _found(
+            rule_id, category, severity, F.col("start_line"), F.col("end_line"), message, suggestion, F.col("entity_name"), F.col("entity_type"), value, limit))
 
     def graded(rule_id, category, column, limits, verb, unit, suggestion) -> Column:
         value = F.col(column)
@@ -180,132 +196,95 @@ def entity_findings(metrics: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
         return rule(rule_id, category, severity, value, limit, message, suggestion)
 
     params = F.col("parameter_count")
-    too_many = F.when(function & (params >= t.parameters), F.lit("warning"))
-    undocumented = F.when(~F.col("has_docstring") & F.col("is_public_rule"), F.lit("info"))
-    broken = F.array_compact(
-        F.array(
-            graded("FUNCTION_TOO_LONG", "size", "lines_count", t.function_lines, "spans", " lines",
-                   "Extract parts of the function into helpers."),
-            graded("HIGH_CYCLOMATIC_COMPLEXITY", "complexity", "cyclomatic_complexity", t.complexity,
-                   "has cyclomatic complexity of", "", "Reduce the number of branches."),
-            graded("EXCESSIVE_NESTING", "complexity", "max_nesting_depth", t.nesting, "has nesting depth of", "",
-                   "Return early to flatten the nested blocks."),
-            rule("TOO_MANY_PARAMETERS", "maintainability", too_many, params, F.lit(t.parameters),
-                 F.concat(title, F.lit(" "), quoted, F.lit(" accepts "), params.cast("string"),
-                          F.lit(f" parameters (threshold: {t.parameters}).")),
-                 "Pass related parameters as one object."),
-            rule("MISSING_DOCSTRING", "documentation", undocumented, None, None,
-                 F.when(function, F.concat(F.lit("Public "), "entity_type", F.lit(" "), quoted,
-                                           F.lit(" has no docstring or documentation.")))
-                 .otherwise(F.concat(F.lit("Public class "), quoted, F.lit(" has no docstring or documentation."))),
-                 "Describe purpose, parameters and result."),
-        )
-    )
     # The docstring rule lets dunder names count as public for every function; classes never do.
     rule_public = F.when(function, paths.is_public_function(F.col("entity_name"))).otherwise(paths.is_public_class(F.col("entity_name")))
-    exploded = explode_rows(metrics.withColumn("is_public_rule", rule_public), broken, "f", "*")
-    return _finish(exploded.select(
-        "f.rule_id", "f.category", "f.severity", "repo", "path", "start_line", "end_line", "entity_name", "entity_type",
-        "f.message", "f.suggestion", "f.metric_value", "f.threshold",
-    ))
+    too_many = F.when(function & (params >= t.parameters), F.lit("warning"))
+    undocumented = F.when(~F.col("has_docstring") & rule_public, F.lit("info"))
+    return F.array(
+        graded("FUNCTION_TOO_LONG", "size", "lines_count", t.function_lines, "spans", " lines",
+               "Extract parts of the function into helpers."),
+        graded("HIGH_CYCLOMATIC_COMPLEXITY", "complexity", "cyclomatic_complexity", t.complexity,
+               "has cyclomatic complexity of", "", "Reduce the number of branches."),
+        graded("EXCESSIVE_NESTING", "complexity", "max_nesting_depth", t.nesting, "has nesting depth of", "",
+               "Return early to flatten the nested blocks."),
+        rule("TOO_MANY_PARAMETERS", "maintainability", too_many, params, F.lit(t.parameters),
+             F.concat(title, F.lit(" "), quoted, F.lit(" accepts "), params.cast("string"),
+                      F.lit(f" parameters (threshold: {t.parameters}).")),
+             "Pass related parameters as one object."),
+        rule("MISSING_DOCSTRING", "documentation", undocumented, None, None,
+             F.when(function, F.concat(F.lit("Public "), "entity_type", F.lit(" "), quoted,
+                                       F.lit(" has no docstring or documentation.")))
+             .otherwise(F.concat(F.lit("Public class "), quoted, F.lit(" has no docstring or documentation."))),
+             "Describe purpose, parameters and result."),
+    )
 
 
-EXCEPT_LINE = r"^\s*except\s*(?:\(?\s*(Exception|BaseException)\s*\)?(?:\s+as\s+\w+)?\s*)?:"
+def entity_findings(metrics: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """All rules on entity metrics in one pass: each row builds the array of rules it breaks."""
+    return _exploded(metrics, _entity_rules(t))
 
 
 def broad_handlers(files: DataFrame) -> DataFrame:
     """Bare, Exception and BaseException handlers of Python files with their block and enclosing function or class."""
-    rows = F.transform(
-        extract.labelled_lines(F.col("lines"), F.col("labels")),
-        lambda r: F.struct(
-            r["n"].alias("n"), (F.length(r["x"]) - F.length(F.ltrim(r["x"], F.lit(" \t")))).cast("int").alias("ind"),
-            r["label"].alias("label"), r["x"].alias("x"),
-        ),
-    )
-
-    def handlers(r: Column) -> Column:
-        marks = F.filter(r, lambda m: (m["label"] == "c") & m["x"].rlike(EXCEPT_LINE))
-
-        def block(m: Column) -> Column:
-            after = F.coalesce(
-                F.array_min(F.transform(
-                    F.filter(r, lambda z: (z["n"] > m["n"]) & (z["label"] == "c") & (z["ind"] <= m["ind"])), lambda z: z["n"]
-                )),
-                F.size(r) + 1,
-            )
-            body = bind(
-                after,
-                lambda a: F.filter(
-                    r, lambda z: (z["n"] > m["n"]) & (z["n"] < a) & (z["label"] != "b") & ~F.ltrim(z["x"]).startswith("#")
-                ),
-            )
-            first = F.array_min(F.transform(body, lambda z: z["ind"]))
-            statement = lambda z: strip(F.regexp_replace(z["x"], r"\s*#.*$", ""))
-            inline = strip(F.regexp_replace(F.regexp_replace(m["x"], EXCEPT_LINE, ""), r"#.*$", ""))
-            return F.struct(
-                m["n"].alias("n"), F.nullif(F.regexp_extract(m["x"], EXCEPT_LINE, 1), F.lit("")).alias("caught"),
-                m["x"].alias("x"),
-                F.coalesce(F.array_max(F.transform(body, lambda z: z["n"])), m["n"]).alias("end"),
-                ((inline == "pass") | ((F.size(body) == 1) & F.exists(body, lambda z: statement(z) == "pass"))).alias("only_pass"),
-                ((inline == "pass") | F.exists(body, lambda z: (z["ind"] == first) & (statement(z) == "pass"))).alias("has_pass"),
-            )
-
-        return F.transform(marks, block)
-
-    python = files.filter(F.col("language") == "Python")
-    return explode_rows(python, bind(rows, handlers), "h", "repo", "path", "decls").select(
+    return explode_rows(files, "handlers", "h", "repo", "path").select(
         "repo", "path", F.col("h.n").alias("start_line"), F.col("h.end").alias("end_line"), F.col("h.caught").alias("caught"),
-        "h.only_pass", "h.has_pass", F.col("h.x").alias("source_line"),
-        extract.enclosing(F.col("decls"), F.col("h.n"))["name"].alias("entity_name"),
+        "h.only_pass", "h.has_pass", F.col("h.x").alias("source_line"), F.col("h.entity").alias("entity_name"),
     )
 
 
+def _handler_finding(caught: Column, silent: Column, start: Column, end: Column) -> Column:
+    handler = F.when(caught.isNull(), F.lit("bare 'except:'")).otherwise(F.concat(F.lit("'except "), caught, F.lit(":'")))
+    message = F.when(silent, F.concat(F.lit("Silent suppression: "), handler, F.lit(" caught with empty/pass body."))).otherwise(
+        F.concat(F.lit("Broad exception handling: "), handler, F.lit(" caught.")))
+    severity = F.when(silent, F.lit("error")).otherwise(F.lit("warning"))
+    return _found("BROAD_EXCEPTION", "error_handling", severity, start, end, message, "Name the exceptions to handle and log the rest.")
+
+
 def broad_exception_findings(handlers: DataFrame) -> DataFrame:
-    handler = F.when(F.col("caught").isNull(), F.lit("bare 'except:'")).otherwise(
-        F.concat(F.lit("'except "), F.col("caught"), F.lit(":'"))
-    )
-    silent = F.col("only_pass")
-    none = F.lit(None).cast("string")
-    return _finish(handlers.select(
-        F.lit("BROAD_EXCEPTION").alias("rule_id"), F.lit("error_handling").alias("category"),
-        F.when(silent, F.lit("error")).otherwise(F.lit("warning")).alias("severity"), "repo", "path", "start_line", "end_line",
-        none.alias("entity_name"), none.alias("entity_type"),
-        F.when(silent, F.concat(F.lit("Silent suppression: "), handler, F.lit(" caught with empty/pass body.")))
-        .otherwise(F.concat(F.lit("Broad exception handling: "), handler, F.lit(" caught."))).alias("message"),
-        F.lit("Name the exceptions to handle and log the rest.").alias("suggestion"),
-        F.lit(None).cast("double").alias("metric_value"), F.lit(None).cast("double").alias("threshold"),
-    ))
+    return _exploded(handlers, F.array(_handler_finding(F.col("caught"), F.col("only_pass"), F.col("start_line"), F.col("end_line"))))
 
 
-def unused_imports(files: DataFrame) -> DataFrame:
-    """Imported symbols with no whole-word use outside import lines.
+def unused_names(lines: Column, labels: Column, language: Column) -> Column:
+    """``array<struct<n, symbol>>``: imported symbols with no whole-word use outside import lines.
 
-    The words of a file are one distinct array in its own row, so the anti-join on (path, word) is an array lookup. Only
-    the first line of an import is left out, so names on its later lines count as used.
+    The words of the other lines are one distinct array, built once in the file's row and looked up inside it. Only the
+    first line of an import is left out, so names on its later lines count as used.
     """
-    rows = extract.labelled_lines(F.col("lines"), F.col("labels"))
+    rows = extract.labelled_lines(lines, labels)
     other = F.filter(rows, lambda r: ~((r["label"] == "c") & r["x"].rlike(extract.IMPORT_LINE)))
     rest = F.array_join(F.transform(other, lambda r: r["x"]), "\n")
-    prepared = files.withColumn("_rest", rest).withColumn(
-        "_words", F.array_distinct(F.regexp_extract_all("_rest", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    )
-    rows = explode_rows(extract.imports(prepared, ("_rest", "_words")), "imported_names", "name", "*")
-    symbol = F.coalesce("alias", "name")
-    dotted = F.regexp_like("_rest", F.concat(F.lit(r"(?U)\b\Q"), symbol, F.lit(r"\E\b")))
-    used = F.when(symbol.rlike(r"^[\p{L}\p{N}_]+$"), F.array_contains("_words", symbol)).otherwise(dotted)
-    return rows.filter((symbol != "*") & ~used).select("repo", "path", "line_number", symbol.alias("symbol"))
+    symbols = F.flatten(F.transform(extract.import_statements(lines, labels), lambda r: F.flatten(F.transform(
+        F.coalesce(extract.imported(r["x"], language), F.array().cast(extract._IMPORT)),
+        lambda i: F.transform(i["imported_names"], lambda name: F.struct(r["n"].alias("n"), F.coalesce(i["alias"], name).alias("symbol")))))))
+
+    def unused(found: Column, text: Column, words: Column) -> Column:
+        def used(symbol: Column) -> Column:
+            dotted = F.regexp_like(text, F.concat(F.lit(r"(?U)\b\Q"), symbol, F.lit(r"\E\b")))
+            return F.when(symbol.rlike(r"^[\p{L}\p{N}_]+$"), F.array_contains(words, symbol)).otherwise(dotted)
+
+        return F.filter(found, lambda u: (u["symbol"] != "*") & ~used(u["symbol"]))
+
+    distinct = lambda text: F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    none = F.array().cast("array<struct<n:int,symbol:string>>")
+    return bind(symbols, lambda found: F.when(F.size(found) == 0, none).otherwise(
+        bind(rest, lambda text: bind(distinct(text), lambda words: unused(found, text, words)))))
+
+
+def unused_imports(files: DataFrame) -> DataFrame:
+    """``(repo, path, line_number, symbol)`` of :func:`unused_names`."""
+    found = explode_rows(files, unused_names(F.col("lines"), F.col("labels"), F.col("language")), "u", "repo", "path")
+    return found.select("repo", "path", F.col("u.n").alias("line_number"), F.col("u.symbol").alias("symbol"))
+
+
+def _import_finding(symbol: Column, line: Column) -> Column:
+    return _found(
+        "POTENTIALLY_UNUSED_IMPORT", "maintainability", "info", line, line,
+        F.concat(F.lit("Imported symbol '"), symbol, F.lit("' is never referenced in this file.")),
+        F.concat(F.lit("Drop the import of '"), symbol, F.lit("' if nothing needs it.")), symbol, "import")
 
 
 def unused_import_findings(unused: DataFrame) -> DataFrame:
-    s = F.col("symbol")
-    return _finish(unused.select(
-        F.lit("POTENTIALLY_UNUSED_IMPORT").alias("rule_id"), F.lit("maintainability").alias("category"), F.lit("info").alias("severity"),
-        "repo", "path", F.col("line_number").alias("start_line"), F.col("line_number").alias("end_line"), s.alias("entity_name"),
-        F.lit("import").alias("entity_type"),
-        F.concat(F.lit("Imported symbol '"), s, F.lit("' is never referenced in this file.")).alias("message"),
-        F.concat(F.lit("Drop the import of '"), s, F.lit("' if nothing needs it.")).alias("suggestion"),
-        F.lit(None).cast("double").alias("metric_value"), F.lit(None).cast("double").alias("threshold"),
-    ))
+    return _exploded(unused, F.array(_import_finding(F.col("symbol"), F.col("line_number"))))
 
 
 def duplicate_findings(duplicates: DataFrame) -> DataFrame:
@@ -323,14 +302,38 @@ def duplicate_findings(duplicates: DataFrame) -> DataFrame:
     ))
 
 
+_ITEM = (
+    f"struct<d:{extract.DECLARATION_ITEM},h:struct<{scanner.HANDLER.replace(' ', ':').replace(',:', ',')}>,"
+    "u:struct<n:int,symbol:string>,total:bigint>"
+)
+
+
 def file_findings(files: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """All findings that one file decides (everything but duplicates)."""
-    return (
-        file_size_findings(line_ops.line_counts(files), t)
-        .unionByName(entity_findings(entity_metrics(files), t))
-        .unionByName(broad_exception_findings(broad_handlers(files)))
-        .unionByName(unused_import_findings(unused_imports(files)))
+    """All findings that one file decides (everything but duplicates), in one pass over ``extract.with_declarations``.
+
+    A file's row becomes its declarations, handlers, unused imports and its size, each with its own text only; each of
+    these gives the findings of its kind.
+    """
+    def item(kind: str, value: Column) -> Column:
+        empty = F.lit(None).cast(_ITEM)
+        return F.struct(*[(value if k == kind else empty[k]).alias(k) for k in ("d", "h", "u", "total")]).cast(_ITEM)
+
+    unused = unused_names(F.col("lines"), F.col("labels"), F.col("language"))
+    items = F.concat(
+        F.transform(extract.declaration_items(F.col("lines"), F.col("decls")), lambda d: item("d", d)),
+        F.transform("handlers", lambda h: item("h", h)), F.transform(unused, lambda u: item("u", u)),
+        F.array(item("total", F.length("labels").cast("bigint"))),
     )
+    rows = explode_rows(files, items, "item", "repo", "path", "language")
+    rows = rows.select("repo", "path", "language", "item", *extract.declaration_columns("item.d")).withColumn("entity_type", _entity_type())
+    rows = rows.select("repo", "path", "item", "start_line", "end_line", F.col("name").alias("entity_name"), "entity_type", *_metrics())
+    h, u = "item.h", "item.u"
+    handler = _handler_finding(F.col(f"{h}.caught"), F.col(f"{h}.only_pass"), F.col(f"{h}.n"), F.col(f"{h}.end"))
+    return _exploded(rows, (
+        F.when(F.col("entity_type").isNotNull(), _entity_rules(t)).when(F.col(h).isNotNull(), F.array(handler))
+        .when(F.col(u).isNotNull(), F.array(_import_finding(F.col(f"{u}.symbol"), F.col(f"{u}.n"))))
+        .when(F.col("item.total").isNotNull(), F.array(_size_finding(F.col("item.total"), t)))
+    ))
 
 
 def ordered_findings(findings: DataFrame) -> DataFrame:

@@ -1,14 +1,17 @@
 """Security rules on code lines, deduplication, ordering and summaries.
 
-Rules are literal patterns in one expression, evaluated only on lines that hold a rule keyword; each line builds the array
-of rules it breaks and only broken ones become rows. A call left open at the end of a line is read with the next two.
+Rules are literal patterns in one expression, evaluated only on lines that hold a rule keyword, each read up to the line that
+closes its brackets; each builds the array of rules it breaks and only broken ones become rows. Calls and their keyword
+arguments are looked up with strings and comments masked, and arguments of a call within belong to that call.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.functions import secrets
+from corpusloom.functions import scanner, secrets
 from corpusloom.functions.rows import explode_rows
 from corpusloom.functions.text import strip
 from corpusloom.functions.vectors import bind
@@ -56,10 +59,19 @@ _PICKLE = r"\b_?pickle\.(loads?)\s*\("
 _YAML, _SAFE_LOADER = r"\byaml\.load\s*\(", r"(?i)\bLoader\s*=\s*[\w.]*SafeLoader"
 _HASH, _NOT_SECURITY = r"\bhashlib\.(md5|sha1)\s*\(", r"\busedforsecurity\s*=\s*False\b"
 _HTTP = r"\b(?:requests|httpx|aiohttp)\.\w+\s*\(|\b(?:get|post|put|delete|request|Client|AsyncClient)\s*\("
+#: A group that captures, to be read as one that does not.
+_NO_GROUP = re.compile(r"(?<!\\)\((?!\?)")
 _UNVERIFIED, _CONTEXT = r"\b(?:verify|ssl)\s*=\s*False\b", r"\b_create_unverified_context\s*\("
 
-# Any line that can break a Python or a script rule matches one of these.
-PY_KEYWORDS = r"\b(?:eval|exec|shell|system|popen|execute|executemany|raw|pickle|_pickle|yaml|hashlib|verify|ssl|_create_unverified_context)\b|=\s*[rRuU]?[\"']|\(\s*$"
+# Parentheses up to four deep; possessive, so a long statement cannot backtrack.
+_NESTED = r"\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\)"
+_ARGUMENTS = r"((?:[^()]++|" + _NESTED + r")*+)"
+
+# Any line that can begin a broken Python or script rule matches one of these.
+PY_KEYWORDS = (
+    r"\b(?:eval|exec|system|popen|execute|executemany|raw|pickle|_pickle|yaml|hashlib|_create_unverified_context)\b|=\s*[rRuU]?[\"']"
+    r"|\b(?:run|Popen|call|check_call|check_output|get|post|put|delete|request|Client|AsyncClient)\s*\(|\b(?:requests|httpx|aiohttp)\."
+)
 JS_KEYWORDS = r"(?i)\beval\s*\(|rejectUnauthorized|createHash|password|api_?key|secret|token"
 
 
@@ -94,10 +106,23 @@ def _assigned(x: Column, pattern: str) -> tuple[Column, Column]:
     return F.regexp_extract(x, pattern, 1), F.concat(F.regexp_extract(x, pattern, 2), F.regexp_extract(x, pattern, 3))
 
 
-def python_rules(x: Column) -> Column:
-    """Array of the findings of one Python code line (with its continuation)."""
-    first = F.regexp_extract(x, r"(?s)^([^\n]*)", 1)
-    name, value = _assigned(first, ASSIGNMENT)
+def own_arguments(masked: Column, call: str) -> Column:
+    """The arguments of the first and of the last ``call`` that begins in the first line of a masked statement.
+
+    ``call`` ends with its opening bracket. Arguments of calls within are left out.
+    """
+    def of(lead: str) -> Column:
+        inner = F.regexp_extract(masked, r"(?s)\A" + lead + "(?:" + call + ")" + _ARGUMENTS, 1)
+        return F.regexp_replace(inner, _NESTED, "()")
+
+    return F.concat_ws(", ", of(r"[^\n]*?"), of(r"[^\n]*"))
+
+
+def python_rules(x: Column, masked: Column) -> Column:
+    """Array of the findings of one Python statement, read from a line with a keyword, and its ``masked`` form."""
+    first = F.substring_index(x, "\n", 1)
+    calls = F.substring_index(masked, "\n", 1)
+    name, value = _assigned(F.regexp_replace(first, r"\s#[^\"'\n]*$", ""), ASSIGNMENT)
 
     def dynamic(call: str) -> Column:
         return ~x.rlike(call[:-2] + _LITERAL_ARG)
@@ -106,45 +131,48 @@ def python_rules(x: Column) -> Column:
         return F.when(dynamic(call), F.lit("high")).otherwise(F.lit("medium"))
 
     def code_run(call: str, word: str, rule: str) -> Column:
-        return F.when(x.rlike(call), _finding(
+        return F.when(calls.rlike(call), _finding(
             rule, f"Dynamic Code Execution ({word})", graded(call), "high", f"Call to {word}() executes dynamic code expressions.",
             "Use literal parsing or an explicit table of allowed operations.", "CWE-95", "code_execution"))
 
-    system = F.regexp_extract(x, _SYSTEM, 1)
-    algorithm = F.regexp_extract(x, _HASH, 1)
+    def given(call: str, argument: str) -> Column:
+        return calls.rlike(call) & own_arguments(masked, _NO_GROUP.sub("(?:", call)).rlike(argument)
+
+    system = F.regexp_extract(calls, _SYSTEM, 1)
+    algorithm = F.regexp_extract(calls, _HASH, 1)
     rules = F.array(
         F.when(first.rlike(ASSIGNMENT), credential_finding(name, value)),
         code_run(_EVAL, "eval", "PYTHON_DANGEROUS_EVAL"),
         code_run(_EXEC, "exec", "PYTHON_DANGEROUS_EXEC"),
-        F.when(x.rlike(_SUBPROCESS) & x.rlike(_SHELL), _finding(
+        F.when(given(_SUBPROCESS, _SHELL), _finding(
             "PYTHON_INSECURE_SUBPROCESS", "Subprocess Shell Execution (shell=True)", graded(_SUBPROCESS), graded(_SUBPROCESS),
             F.concat(F.lit("Subprocess execution configured with shell=True ("),
                      F.when(dynamic(_SUBPROCESS), F.lit("dynamic")).otherwise(F.lit("static")), F.lit(" command).")),
             "Pass the command as a list without a shell.", "CWE-78", "command_injection")),
-        F.when(x.rlike(_SYSTEM), _finding(
+        F.when(calls.rlike(_SYSTEM), _finding(
             "PYTHON_INSECURE_SUBPROCESS", F.concat(F.lit("Insecure Shell Invocation (os."), system, F.lit(")")), graded(_SYSTEM), "high",
             F.concat(F.lit("Call to os."), system, F.lit("() executes commands directly in system shell.")),
             "Run the command from an argument list.", "CWE-78", "command_injection")),
-        F.when(x.rlike(_SQL_DYNAMIC), _finding(
+        F.when(calls.rlike(_SQL_CALL) & x.rlike(_SQL_DYNAMIC), _finding(
             "PYTHON_SQL_INJECTION", "Potential SQL Injection in Query Execution", "high", "medium",
             "Database execute() called with dynamically formatted SQL query string.", "Bind values as query parameters.",
             "CWE-89", "sql_injection")),
-        F.when(x.rlike(_PICKLE), _finding(
+        F.when(calls.rlike(_PICKLE), _finding(
             "PYTHON_UNSAFE_DESERIALIZATION", "Unsafe Deserialization (pickle)", "high", "high",
-            F.concat(F.lit("Call to pickle."), F.regexp_extract(x, _PICKLE, 1), F.lit("() deserializes arbitrary Python objects.")),
+            F.concat(F.lit("Call to pickle."), F.regexp_extract(calls, _PICKLE, 1), F.lit("() deserializes arbitrary Python objects.")),
             "Exchange data in a format without code, such as JSON.", "CWE-502", "deserialization")),
-        F.when(x.rlike(_YAML) & ~x.rlike(_SAFE_LOADER), _finding(
+        F.when(calls.rlike(_YAML) & ~given(_YAML, _SAFE_LOADER), _finding(
             "PYTHON_UNSAFE_DESERIALIZATION", "Unsafe YAML Deserialization (yaml.load)", "high", "high",
             "Call to yaml.load() without SafeLoader.", "Load YAML with the safe loader.", "CWE-502", "deserialization")),
-        F.when(x.rlike(_HASH) & ~x.rlike(_NOT_SECURITY), _finding(
+        F.when(calls.rlike(_HASH) & ~given(_HASH, _NOT_SECURITY), _finding(
             "PYTHON_WEAK_CRYPTO", F.concat(F.lit("Weak Cryptographic Hash ("), F.upper(algorithm), F.lit(")")), "medium", "medium",
             F.concat(F.lit("Call to hashlib."), algorithm, F.lit("() without usedforsecurity=False.")),
             "Hash with SHA-256 or stronger.", "CWE-328", "cryptography")),
-        F.when(x.rlike(_HTTP) & x.rlike(_UNVERIFIED), _finding(
+        F.when(given(_HTTP, _UNVERIFIED), _finding(
             "PYTHON_INSECURE_TLS", "Disabled TLS Certificate Verification", "high", "high",
             "HTTP request called with verify=False or ssl=False.", "Leave certificate verification on.", "CWE-295",
             "insecure_communication")),
-        F.when(x.rlike(_CONTEXT), _finding(
+        F.when(calls.rlike(_CONTEXT), _finding(
             "PYTHON_INSECURE_TLS", "Unverified SSL Context Created", "high", "high",
             "Call to ssl._create_unverified_context() disables certificate checks.", "Create a default, verifying context.",
             "CWE-295", "insecure_communication")),
@@ -183,62 +211,17 @@ def _with_id(df: DataFrame) -> DataFrame:
     return df.select(quality.finding_id("title").alias("finding_id"), *FINDING)
 
 
-def _open_call(lines: Column, n: Column) -> Column:
-    """From line ``n`` to the line that closes its brackets; brackets in strings count too, so at the latest the file's end.
-
-    A short stretch nearly always holds the end; only where it does not is the rest of the file read.
-    """
-
-    def closing(count: Column) -> Column:
-        taken = F.slice(lines, n, count)
-        depth = lambda x: F.length(F.translate(x, ")", "")) - F.length(F.translate(x, "(", ""))
-        state = F.aggregate(
-            taken,
-            F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end")),
-            lambda s, x: F.when(s["end"] > 0, s).otherwise(F.struct(
-                (s["depth"] + depth(x)).alias("depth"), (s["at"] + 1).alias("at"),
-                F.when(s["depth"] + depth(x) <= 0, s["at"] + 1).otherwise(F.lit(0)).alias("end"),
-            )),
-        )
-        return state["end"]
-
-    near = closing(F.lit(16))
-    last = bind(near, lambda e: F.when(e > 0, e).otherwise(bind(closing(F.size(lines)), lambda f: F.when(f > 0, f).otherwise(F.size(lines)))))
-    return F.array_join(F.slice(lines, n, last), "\n")
-
-
-def _numbered(keyword: str, code_only: bool) -> Column:
-    """Candidate lines ``(n, x)``: those with a rule keyword, with the lines up to its closing bracket where a call is left open."""
-    opened = r"\(\s*$"
-    rows = F.filter(
-        extract.labelled_lines(F.col("lines"), F.col("labels")),
-        lambda r: (r["label"] == "c") & r["x"].rlike(keyword) if code_only else r["x"].rlike(keyword),
-    )
-    return bind(
-        F.col("lines"),
-        lambda lines: F.transform(
-            rows,
-            lambda r: F.struct(
-                r["n"].alias("n"),
-                F.when(r["x"].rlike(opened), _open_call(lines, r["n"])).otherwise(r["x"]).alias("x"),
-            ),
-        ),
-    )
-
-
 def code_findings(files: DataFrame) -> DataFrame:
     """Rule findings of Python and JS/TS files from ``extract.with_declarations``, with their enclosing entity."""
     python = F.col("language") == "Python"
-    candidates = F.when(python, _numbered(PY_KEYWORDS, True)).otherwise(_numbered(JS_KEYWORDS, False))
-    rows = explode_rows(files, candidates, "r", "repo", "path", "language", "decls").select(
-        "repo", "path", "language", "decls", F.col("r.n").alias("start_line"),
-        F.when(python, F.regexp_replace("r.x", r"\s#[^\"'\n]*$", "")).otherwise(F.col("r.x")).alias("x"),
-    )
-    found = explode_rows(rows, F.when(python, python_rules(F.col("x"))).otherwise(script_rules(F.col("x"))), "f", "*")
+    read = scanner.statements(F.col("lines"), F.col("language"), PY_KEYWORDS, JS_KEYWORDS)
+    rows = explode_rows(files, read, "r", "repo", "path", "language")
+    x = F.col("r.x")
+    broken = F.when(python, python_rules(x, F.col("r.masked"))).otherwise(script_rules(F.substring_index(x, "\n", 1)))
+    found = explode_rows(rows, broken, "f", "repo", "path", F.col("r.n").alias("start_line"), F.col("r.entity").alias("entity_name"))
     return _with_id(found.select(
         "f.rule_id", "f.title", "f.severity", "f.confidence", "repo", "path", "start_line", F.col("start_line").alias("end_line"),
-        F.when(python, extract.enclosing(F.col("decls"), F.col("start_line"))["name"]).alias("entity_name"),
-        "f.evidence_summary", "f.remediation", "f.cwe_id", "f.category",
+        "entity_name", "f.evidence_summary", "f.remediation", "f.cwe_id", "f.category",
     ))
 
 

@@ -92,7 +92,7 @@ VECTORS_SQL = """vectors AS (
 # --- derived code corpus ---------------------------------------------------------------------------------------------
 #
 # Every document gives one module: a Python file for even ids, a TypeScript file for odd ids. The frame of the module is
-# fixed text with the id filled in, and all lines of the document follow as comment lines. Repository r<id % 5>.
+# fixed text with the id filled in (a third of the Python files run a shell), and all lines of the document follow as comment lines. Repository r<id % 5>.
 
 PY_MODULE = '''"""Module {k} of the service."""
 import os
@@ -144,6 +144,22 @@ def _verify_{k}(value):
     return subprocess.run(value, shell=True)
 
 
+def deploy_{k}(
+    target: str,
+    options: dict = {{"mode": "(", "n": {k7}}},
+) -> dict:
+    """Deploys to a target."""
+    subprocess.run(
+        target,
+        shell={kflag},
+    )
+    requests.get(target,
+                 verify=False)
+    conf = yaml.load(target,
+                     Loader=yaml.SafeLoader)
+    return conf
+
+
 '''
 
 TS_MODULE = '''// component {k}
@@ -180,16 +196,32 @@ const fetch{k} = async (url: string) => {{
 
 app.get("/web/{k}", fetch{k});
 const home = process.env.HOME_{k7};
+
+export async function load{k}(
+  url: string,
+  done: (e: Error, n: number) => void,
+): Promise<{{ id: number }}> {{
+  return done(url);
+}}
+
+export const save{k} = async (
+  id: number,
+): Promise<void> => {{
+  await put(id);
+}};
 '''
 
+# Lines of the frames, with the first comment line of the document's text left out.
+PY_LINES, TS_LINES = PY_MODULE.count("\n"), TS_MODULE.count("\n")
+
 
 def _fill(template: str):
     """The template as a concat over the id columns."""
     import re
 
     pieces = []
-    for part in re.split(r"(\{k\d*\})", template):
-        name = part[1:-1] if re.fullmatch(r"\{k\d*\}", part) else None
+    for part in re.split(r"(\{k\w*\})", template):
+        name = part[1:-1] if re.fullmatch(r"\{k\w*\}", part) else None
         pieces.append(F.col(name) if name else F.lit(part.replace("{{", "{").replace("}}", "}")))
     return F.concat(*pieces)
 
@@ -201,6 +233,7 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", d.cast("string").alias("k"), (d + 10).cast("string").alias("k10"),
         (d + 20).cast("string").alias("k20"), (d % 7).cast("string").alias("k7"),
+        F.when(d % 3 == 0, F.lit("True")).otherwise(F.lit("False")).alias("kflag"),
     )
     notes = F.regexp_replace(F.col("text"), "\n", F.when(python, F.lit("\n# ")).otherwise(F.lit("\n// ")))
     content = F.when(python, F.concat(_fill(PY_MODULE), F.lit("# "), notes, F.lit("\n"))).otherwise(

@@ -40,12 +40,16 @@ _ENTITIES = [
     (True, "run", "method", 18, 24, "def run(self, a, b, c, d, e)", None, "Service{k}", "self,a,b,c,d,e", None),
     (True, "login_{k}", "function", 28, 33, "async def login_{k}(name: str, limit) -> dict", "Load items.", None, "name,limit", "dict"),
     (True, "_verify_{k}", "function", 36, 48, "def _verify_{k}(value)", None, None, "value", None),
+    (True, "deploy_{k}", "function", 51, 64, "def deploy_{k}(target: str, options: dict) -> dict", "Deploys to a target.", None, "target,options", "dict"),
     (False, "Props{k}", "interface", 5, 7, "interface Props{k}", None, None, "", None),
     (False, "Id{k}", "type_alias", 9, 9, "type Id{k} = ...", None, None, "", None),
     (False, "Widget{k}", "class", 14, 21, "class Widget{k}", None, None, "", None),
     (False, "render", "method", 15, 20, "render(a: string): string", None, "Widget{k}", "", "string"),
     (False, "format{k}", "function", 23, 27, "function format{k}(x)", None, None, "", None),
     (False, "fetch{k}", "function", 29, 31, "const fetch{k} = (url: string) => ...", None, None, "", None),
+    (False, "load{k}", "function", 36, 41, "function load{k}(\n  url: string,\n  done: (e: Error, n: number) => void,\n): Promise<{ id: number }>",
+     None, None, "", "Promise<{ id: number }>"),
+    (False, "save{k}", "function", 43, 47, "const save{k} = (\n  id: number,\n) => ...: Promise<void>", None, None, "", "Promise<void>"),
 ]
 _ENT_SQL = f"""{b.CODE_SQL}, ents AS (
   SELECT repo, path, {_fill('v.name')} AS name, v.type, CAST(v.s AS INTEGER) AS start_line, CAST(v.e AS INTEGER) AS end_line, {_fill('v.sig')} AS signature,
@@ -188,7 +192,8 @@ WITH {b.CODE_SQL}, t AS (SELECT *, CAST(doc_id % 45 + 1 AS INTEGER) AS line FROM
 SELECT repo, path, line, CASE WHEN is_py THEN CASE WHEN line BETWEEN 15 AND 16 THEN '__init__' WHEN line BETWEEN 18 AND 24 THEN 'run'
     WHEN line BETWEEN 12 AND 24 THEN 'Service' || k WHEN line BETWEEN 28 AND 33 THEN 'login_' || k WHEN line BETWEEN 36 AND 48 THEN '_verify_' || k END
   ELSE CASE WHEN line BETWEEN 5 AND 7 THEN 'Props' || k WHEN line = 9 THEN 'Id' || k WHEN line BETWEEN 15 AND 20 THEN 'render' WHEN line BETWEEN 14 AND 21 THEN 'Widget' || k
-    WHEN line BETWEEN 23 AND 27 THEN 'format' || k WHEN line BETWEEN 29 AND 31 THEN 'fetch' || k END END AS entity_name FROM t""")
+    WHEN line BETWEEN 23 AND 27 THEN 'format' || k WHEN line BETWEEN 29 AND 31 THEN 'fetch' || k
+    WHEN line BETWEEN 36 AND 41 THEN 'load' || k WHEN line BETWEEN 43 AND 47 THEN 'save' || k END END AS entity_name FROM t""")
 def enclosing_entities(spark, sf):
     line = (F.col("doc_id") % 45 + 1).cast("int")
     return declared(spark, sf).select(
@@ -201,7 +206,8 @@ _METRICS = [
     (True, "run", "function", 18, 24, 6, 4, 6, False), (True, "login_{k}", "function", 28, 33, 2, 1, 2, True),
     (True, "_verify_{k}", "function", 36, 48, 1, 0, 1, False), (False, "Widget{k}", "class", 14, 21, None, None, None, False),
     (False, "render", "method", 15, 20, 4, 2, 0, False), (False, "format{k}", "function", 23, 27, 1, 1, 0, False),
-    (False, "fetch{k}", "function", 29, 31, 1, 2, 0, False),
+    (False, "fetch{k}", "function", 29, 31, 1, 2, 0, False), (True, "deploy_{k}", "function", 51, 64, 1, 0, 2, True),
+    (False, "load{k}", "function", 36, 41, 1, 1, 0, False), (False, "save{k}", "function", 43, 47, 1, 1, 0, False),
 ]
 _MET_SQL = f"""{b.CODE_SQL}, met AS (
   SELECT repo, path, {_fill('v.name')} AS entity_name, v.type AS entity_type, CAST(v.s AS INTEGER) AS start_line, CAST(v.e AS INTEGER) AS end_line,
@@ -231,7 +237,7 @@ _FND_SQL = f"""{_MET_SQL}, fnd AS (
   UNION ALL SELECT repo, path, 2, 'POTENTIALLY_UNUSED_IMPORT', 'info', 'maintainability', 'format' FROM mods WHERE NOT is_py AND NOT regexp_matches(text, '{_WORD.replace("WORD", "format")}')
   UNION ALL SELECT repo, path, 3, 'POTENTIALLY_UNUSED_IMPORT', 'info', 'maintainability', 'React' FROM mods WHERE NOT is_py AND NOT regexp_matches(text, '{_WORD.replace("WORD", "React")}')
   UNION ALL SELECT repo, path, 1, 'FILE_TOO_LARGE', CASE WHEN n >= 800 THEN 'error' ELSE 'warning' END, 'size', NULL
-    FROM (SELECT repo, path, CASE WHEN is_py THEN 50 ELSE 34 END + len(string_split(text, chr(10))) AS n FROM mods) WHERE n >= 400)"""
+    FROM (SELECT repo, path, CASE WHEN is_py THEN {b.PY_LINES} ELSE {b.TS_LINES} END + len(string_split(text, chr(10))) AS n FROM mods) WHERE n >= 400)"""
 
 
 @query("code_quality_findings", "QR2 QR3 QR4 QR5 QR6 QR7 QR8 JN9", f"""
@@ -243,8 +249,8 @@ def code_quality_findings(spark, sf):
 
 @query("code_repo_metrics", "AGG7", f"""
 WITH {_FND_SQL}, n AS (SELECT repo, path, is_py, len(string_split(text, chr(10))) AS t FROM mods),
-l AS (SELECT repo, CAST(sum(CASE WHEN is_py THEN 50 ELSE 34 END + t) AS BIGINT) AS total_lines, CAST(sum(CASE WHEN is_py THEN 36 ELSE 24 END) AS BIGINT) AS code_lines,
-  CAST(sum(CASE WHEN is_py THEN 3 ELSE 4 END + t) AS BIGINT) AS comment_lines, CAST(sum(CASE WHEN is_py THEN 11 ELSE 6 END) AS BIGINT) AS blank_lines, count(*) AS total_files_analyzed FROM n GROUP BY repo),
+l AS (SELECT repo, CAST(sum(CASE WHEN is_py THEN {b.PY_LINES} ELSE {b.TS_LINES} END + t) AS BIGINT) AS total_lines, CAST(sum(CASE WHEN is_py THEN 49 ELSE 35 END) AS BIGINT) AS code_lines,
+  CAST(sum(CASE WHEN is_py THEN 4 ELSE 4 END + t) AS BIGINT) AS comment_lines, CAST(sum(CASE WHEN is_py THEN 13 ELSE 8 END) AS BIGINT) AS blank_lines, count(*) AS total_files_analyzed FROM n GROUP BY repo),
 e AS (SELECT repo, count(*) FILTER (WHERE entity_type <> 'class') AS total_functions, count(*) FILTER (WHERE entity_type = 'class') AS total_classes,
   round_even(avg(lines_count) FILTER (WHERE entity_type <> 'class'), 1) AS average_function_length, round_even(avg(cyclomatic_complexity), 1) AS average_cyclomatic_complexity,
   max(cyclomatic_complexity) AS max_cyclomatic_complexity, round_even(count(*) FILTER (WHERE is_public AND has_docstring) / count(*) FILTER (WHERE is_public) * 100.0::DOUBLE, 1) AS docstring_coverage_percentage FROM met GROUP BY repo),
@@ -270,6 +276,8 @@ _SEC = [
     (True, 45, "PYTHON_DANGEROUS_EXEC", "high", "high", "_verify_{k}", "CWE-95"),
     (True, 46, "PYTHON_INSECURE_TLS", "high", "high", "_verify_{k}", "CWE-295"),
     (True, 48, "PYTHON_INSECURE_SUBPROCESS", "high", "high", "_verify_{k}", "CWE-78"),
+    (True, 56, "PYTHON_INSECURE_SUBPROCESS", "high", "high", "deploy_{k}", "CWE-78"),
+    (True, 60, "PYTHON_INSECURE_TLS", "high", "high", "deploy_{k}", "CWE-295"),
     (False, 17, "JS_DANGEROUS_EVAL", "high", "high", None, "CWE-95"),
     (False, 25, "JS_HARDCODED_CREDENTIAL", "high", "medium", None, "CWE-798"),
     (False, 26, "JS_WEAK_CRYPTO", "medium", "medium", None, "CWE-328"),
@@ -280,7 +288,7 @@ _SEC = [
 @query("code_security_findings", "SR1 SR2 SR3 SR4 SR5 SR6 SR7 SR8 SR9 SR10 SR11 JN15 SET1 SRT2", f"""
 WITH {b.CODE_SQL}
 SELECT repo, path, CAST(v.n AS INTEGER) AS start_line, v.rule AS rule_id, v.sev AS severity, v.conf AS confidence, {_fill('v.ent')} AS entity_name, v.cwe AS cwe_id
-FROM mods JOIN {_values(_SEC)} v(is_py, n, rule, sev, conf, ent, cwe) ON v.is_py = mods.is_py""")
+FROM mods JOIN {_values(_SEC)} v(is_py, n, rule, sev, conf, ent, cwe) ON v.is_py = mods.is_py AND (n <> 56 OR doc_id % 3 = 0)""")
 def code_security_findings(spark, sf):
     return s.ordered(s.all_findings(declared(spark, sf))).select(
         "repo", "path", "start_line", "rule_id", "severity", "confidence", "entity_name", "cwe_id"
@@ -296,7 +304,7 @@ def security_summary_text(spark, sf):
 @query("codebase_summary", "AGG5", f"""
 WITH {b.CODE_SQL}
 SELECT repo, count(*) AS files_analyzed, count(*) FILTER (WHERE is_py) AS python_files, CAST(0 AS BIGINT) AS javascript_files,
-  count(*) FILTER (WHERE NOT is_py) AS typescript_files, count(*) AS classes, 2 * count(*) AS functions,
+  count(*) FILTER (WHERE NOT is_py) AS typescript_files, count(*) AS classes, CAST(sum(CASE WHEN is_py THEN 3 ELSE 4 END) AS BIGINT) AS functions,
   CAST(sum(CASE WHEN is_py THEN 2 ELSE 1 END) AS BIGINT) AS methods, count(*) FILTER (WHERE NOT is_py) AS interfaces, count(*) FILTER (WHERE NOT is_py) AS types,
   CAST(sum(CASE WHEN is_py THEN 5 ELSE 2 END) AS BIGINT) AS imports, CAST(0 AS BIGINT) AS files_with_errors FROM mods GROUP BY repo""")
 def codebase_summary(spark, sf):
@@ -318,7 +326,7 @@ def rejected_files(spark, sf):
 
 @query("structure_map", "TOP4", f"""
 WITH {_ENT_SQL}
-SELECT repo, path AS node_path, 'file' AS node_type, 0 AS depth, (CASE WHEN is_py THEN 50 ELSE 34 END + len(string_split(text, chr(10)))) || ' lines' AS line_info, NULL AS docstring FROM mods
+SELECT repo, path AS node_path, 'file' AS node_type, 0 AS depth, (CASE WHEN is_py THEN {b.PY_LINES} ELSE {b.TS_LINES} END + len(string_split(text, chr(10)))) || ' lines' AS line_info, NULL AS docstring FROM mods
 UNION ALL SELECT repo, path || '::' || CASE WHEN type = 'method' THEN parent || '::' ELSE '' END || name, type, CASE WHEN type = 'method' THEN 2 ELSE 1 END,
   'L' || start_line || '-L' || end_line, docstring FROM ents WHERE type <> 'variable'""")
 def structure_map(spark, sf):

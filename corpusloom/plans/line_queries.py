@@ -32,14 +32,14 @@ def line_counts(spark, sf):
     return lines.line_count_rollup(lines.line_counts(b.corpus_lines(spark, sf)))
 
 
-# Fixed frame lines per derived module: 50 in a Python file, 34 in a TypeScript file (see bindings).
+# The frame lines of the derived modules are fixed (see bindings).
 @query("code_line_counts", "LIN2", f"""
 WITH {b.CODE_SQL}, n AS (
   SELECT *, string_split(text, chr(10)) AS t FROM mods)
-SELECT repo, path, CASE WHEN is_py THEN 50 ELSE 34 END + len(t) AS total_lines,
-  CASE WHEN is_py THEN 36 ELSE 24 END AS code_lines,
-  CASE WHEN is_py THEN 3 ELSE 4 END + len(t) AS comment_lines,
-  CASE WHEN is_py THEN 11 ELSE 6 END AS blank_lines
+SELECT repo, path, CASE WHEN is_py THEN {b.PY_LINES} ELSE {b.TS_LINES} END + len(t) AS total_lines,
+  CASE WHEN is_py THEN 49 ELSE 35 END AS code_lines,
+  CASE WHEN is_py THEN 4 ELSE 4 END + len(t) AS comment_lines,
+  CASE WHEN is_py THEN 13 ELSE 8 END AS blank_lines
 FROM n""")
 def code_line_counts(spark, sf):
     return lines.line_counts(b.code_lines(spark, sf)).drop("language")
