@@ -1,33 +1,34 @@
-"""Lexical search for whole batches of queries.
+"""Lexical search for whole batches of queries over an inverted index.
 
-One pass over each chunk finds which vocabulary terms occur in its fields. A task turns an Arrow batch of chunks into a
-chunk-by-term matrix, multiplies it with the query-by-term matrix and hands on its best k chunks per query, so text is
-read once whatever the number of queries and the shuffle carries at most ``tasks * queries * k`` rows. The query terms
-are sent to the tasks only below a checked size; a larger set is joined to the (chunk, term) hits through a shuffle.
+The index is written once and read by every search. Its postings hold, for each word of a chunk's text, the fields it stands
+in, and for each word of its name, class and path what it is. A query term occurs in a text where some word contains it, so
+terms are looked up among the distinct words: words and terms meet on a gram of three letters. The words found lead to
+their postings, the postings to scores, and each task hands on its best k chunks per query only. Reasons are built for the
+ranked hits. All of it are joins and aggregates; a word that stands in a great part of all chunks is spread over salts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from operator import itemgetter
+import uuid
+from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpusloom.functions.identifiers import core_tokens, expand_terms, split_identifier
 from corpusloom.functions.rows import explode_rows
 from corpusloom.functions.text import title_case
+from corpusloom.functions.vectors import bind
+from corpusloom.operators.graph import salted_join
+from corpusloom.session import shared_folder
 
-MAX_VOCABULARY = 1_000_000
-MAX_QUERY_TERMS = 1_000_000
-QUERY_BLOCK = 256
-CHUNK_BLOCK = 512
 TYPE_HINTS = ("function", "class", "method", "interface")
 TYPE_PRIORITY = {"function": 3, "method": 3, "class": 2, "interface": 2, "type_alias": 1, "file_module": 0}
 
-SIGNATURE, DOCSTRING, BODY = 1, 2, 4
-_FOUND = "array<struct<term:string,mask:int,dec_no:int>>"
+#: Where a word stands: in text fields, as parts of words too, or, whole, as what the chunk is called.
+SIGNATURE, DOCSTRING, BODY, DECORATOR, EXACT, NAME, PARENT, PATH, HINT = (1 << i for i in range(9))
+#: Letters of a term by which it is looked up among the words.
+GRAM = 3
+WORD = r"[\p{L}\p{N}_]+"
 _META = (
     "repo", "file_path", "entity_name", "entity_type", "language", "start_line", "end_line", "signature", "docstring",
     "parent", "tokens_estimate",
@@ -41,162 +42,171 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return explode_rows(core, expand_terms(F.col("core")), "term", "query_id", *extra, "core").select("query_id", *extra, "term", F.array_contains("core", F.col("term")).alias("is_core"))
 
 
-def _field_terms(terms: list[str]):
-    """Arrow UDF: the terms that occur as substrings of the text fields, each with a field mask, in one pass per text."""
-
-    @F.pandas_udf(_FOUND)
-    def find(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        occurring = _matcher(terms)
-        for sig, doc, body, decorators in parts:
-            out = []
-            for s, d, t, decs in zip(sig, doc, body, decorators):
-                mask: dict[str, int] = {}
-                first: dict[str, int] = {}
-                for bit, text in ((SIGNATURE, s), (DOCSTRING, d), (BODY, t)):
-                    for term in occurring(text):
-                        mask[term] = mask.get(term, 0) | bit
-                for i, text in enumerate(decs if decs is not None else ()):
-                    for term in occurring(text):
-                        mask.setdefault(term, 0)
-                        first.setdefault(term, i)
-                out.append([{"term": k, "mask": m, "dec_no": first.get(k)} for k, m in mask.items()])
-            yield pd.Series(out)
-
-    return find
-
-
-def _matcher(terms: list[str], values: list | None = None):
-    """Function from a text to the distinct values (by default the terms) of the terms that occur in it."""
-    values = terms if values is None else values
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {v for t, v in zip(terms, values) if text and t in text}
-    automaton = ahocorasick.Automaton()
-    for term, value in zip(terms, values):
-        automaton.add_word(term, value)
-    if not terms:
-        return lambda text: set()
-    automaton.make_automaton()
-    second = itemgetter(1)
-    return lambda text: set(map(second, automaton.iter(text))) if text else set()
-
-
-def _chunk_hits(chunks: DataFrame, terms: list[str], with_tokens: bool) -> DataFrame:
-    """Rows ``(chunk_id, meta, decorators, hits)`` with the terms found in each chunk; the text columns are gone."""
-    none = F.array().cast("array<string>")
-    found = chunks.select(
-        "chunk_id",
-        F.struct(*_META).alias("meta"),
-        "decorators",
-        F.lower("entity_name").alias("name"),
-        split_identifier(F.col("entity_name")).alias("name_tokens"),
-        split_identifier(F.coalesce("parent", F.lit(""))).alias("parent_tokens"),
-        F.split(F.lower("file_path"), r"[/\\_\-.]+").alias("path_tokens"),
-        F.lower("entity_type").alias("kind"),
-        _field_terms(terms)(
-            F.lower(F.coalesce("signature", F.lit(""))), F.lower(F.coalesce("docstring", F.lit(""))),
-            F.lower("code_content"), F.transform(F.coalesce("decorators", none), F.lower),
-        ).alias("found"),
-    )
-    own = F.array_distinct(F.concat(F.array("name"), "name_tokens", "parent_tokens", "path_tokens", F.array("kind")))
-    # Own tokens not found in a text field join with an empty mask; those outside the vocabulary drop out in the join.
-    extra = F.transform(
-        F.array_except(own, F.transform("found", lambda h: h["term"])) if with_tokens else none,
-        lambda t: F.struct(t.alias("term"), F.lit(0).alias("mask"), F.lit(None).cast("int").alias("dec_no")),
-    )
+class Index(NamedTuple):
+    """``chunks``: the chunk table with ``chunk_no``, which has the order of the ids; ``postings``: words with their places."""
+
+    chunks: DataFrame
+    postings: DataFrame
 
-    def flagged(h: Column) -> Column:
-        t = h["term"]
-        own_flag = (lambda c: c) if with_tokens else (lambda c: F.lit(False))
-        in_name = F.array_contains("name_tokens", t)
-        return F.struct(
-            t.alias("term"),
-            own_flag(F.col("name") == t).alias("exact"),
-            in_name.alias("in_name"),
-            own_flag(F.array_contains("parent_tokens", t)).alias("in_parent"),
-            own_flag(F.array_contains("path_tokens", t)).alias("in_path"),
-            (h["mask"].bitwiseAND(SIGNATURE) > 0).alias("in_sig"),
-            (h["mask"].bitwiseAND(DOCSTRING) > 0).alias("in_doc"),
-            (h["mask"].bitwiseAND(BODY) > 0).alias("in_body"),
-            h["dec_no"].alias("dec_no"),
-            own_flag(t.isin(*TYPE_HINTS) & (F.col("kind") == t)).alias("hint"),
-        )
 
-    return found.select("chunk_id", "meta", "decorators", F.transform(F.concat("found", extra), flagged).alias("hits"))
+def _priority(kind: Column) -> Column:
+    kinds = F.create_map(*[x for n, p in TYPE_PRIORITY.items() for x in (F.lit(n), F.lit(p))])
+    return F.coalesce(F.try_element_at(kinds, kind), F.lit(1))
 
 
-def _sum(condition: Column) -> Column:
-    return F.sum(F.when(condition, F.lit(1)).otherwise(F.lit(0)))
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)))
 
 
-def score_by_join(queries: DataFrame, chunks: DataFrame, max_vocabulary: int = MAX_VOCABULARY) -> DataFrame:
-    """``(query_id, chunk_id, meta, decorators, score, n_…, matches)`` of every pair that scores above zero.
+def _path_tokens() -> Column:
+    return F.split(F.lower("file_path"), r"[/\\_\-.]+")
 
-    The form for query sets too large to send to the tasks: hits and query terms meet in a join on the term (AQE splits
-    hot terms), and a vocabulary above ``max_vocabulary`` is searched in parts.
-    """
+
+def _entries() -> Column:
+    """``array<struct<word, bits, dec_no>>`` of a chunk: one entry per word and place."""
+
+    def marked(words: Column, bit: int) -> Column:
+        return F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(bit).alias("bits"), F.lit(None).cast("int").alias("dec_no")))
+
+    decorators = F.flatten(F.transform(
+        F.coalesce("decorators", F.array().cast("array<string>")),
+        lambda d, i: F.transform(_words(d), lambda w: F.struct(w.alias("word"), F.lit(DECORATOR).alias("bits"), i.cast("int").alias("dec_no"))),
+    ))
+    kind = F.lower("entity_type")
+    return F.concat(
+        marked(_words(F.col("signature")), SIGNATURE), marked(_words(F.col("docstring")), DOCSTRING), marked(_words(F.col("code_content")), BODY),
+        decorators, marked(F.array(F.lower("entity_name")), EXACT), marked(F.array_distinct(split_identifier(F.col("entity_name"))), NAME),
+        marked(F.array_distinct(split_identifier(F.coalesce("parent", F.lit("")))), PARENT), marked(F.array_distinct(_path_tokens()), PATH),
+        marked(F.filter(F.array(kind), lambda k: k.isin(*TYPE_HINTS)), HINT),
+    )
+
+
+def write_index(chunks: DataFrame, path: str) -> None:
+    """Write the index of ``chunks`` to a folder that driver and executors share."""
+    spark = chunks.sparkSession
+    chunks.select("chunk_id", *_META, "decorators", "code_content").write.parquet(f"{path}/rows")
+    # the sort samples ids of written rows; its ranges come in a row, so the numbers have the order of the ids
+    numbered = spark.read.parquet(f"{path}/rows").orderBy("chunk_id").withColumn("chunk_no", F.monotonically_increasing_id())
+    numbered.write.parquet(f"{path}/chunks")
+    numbered = spark.read.parquet(f"{path}/chunks")
+    rows = explode_rows(numbered, _entries(), "e", "chunk_no", _priority(F.col("entity_type")).alias("priority"), F.col("tokens_estimate").alias("tokens"))
+    rows.select(F.col("e.word").alias("word"), "chunk_no", F.col("e.bits").alias("bits"), F.col("e.dec_no").alias("dec_no"), "priority", "tokens").write.parquet(f"{path}/postings")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"))
+
+
+def indexed(chunks: DataFrame) -> Index:
+    """An index of ``chunks`` under the shared folder."""
+    path = f"{shared_folder(chunks.sparkSession)}/lexical-{uuid.uuid4().hex}"
+    write_index(chunks, path)
+    return read_index(chunks.sparkSession, path)
+
+
+def words_of_terms(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(word, whole, terms)``: for each word of the postings the terms it contains, or, where it names a chunk, equals."""
+    vocabulary = postings.select("word", (F.col("bits") >= EXACT).alias("whole")).distinct()
+    wanted = terms.select("term").distinct()
+    gram = F.substring("term", 1, GRAM)
+    # a term begins with its gram, and so does each place of it in a word; shorter terms have shorter grams
+    starts = F.sequence(F.lit(1), F.length("word"))
+    grams = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*[F.substring("word", i, F.lit(n)) for n in range(1, GRAM + 1)]))))
+    parts = explode_rows(vocabulary.filter("not whole and word <> ''"), grams, "gram", "word")
+    within = parts.join(wanted.withColumn("gram", gram), "gram").filter(F.contains("word", F.col("term")))
+    found = within.groupBy("word").agg(F.array_distinct(F.collect_list("term")).alias("terms")).withColumn("whole", F.lit(False))
+    equal = vocabulary.filter("whole").join(wanted, F.col("word") == F.col("term")).select("word", F.array("term").alias("terms"), "whole")
+    return found.select("word", "whole", "terms").unionByName(equal.select("word", "whole", "terms"))
+
+
+def term_hits(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(term, chunk_no, bits, dec_no, priority, tokens)``: the places of each term in each chunk where it stands."""
+    rows = postings.withColumn("whole", F.col("bits") >= EXACT)
+    found = salted_join(rows, words_of_terms(postings, terms), ["word", "whole"], ["chunk_no"], "inner")
+    places = found.select(F.explode("terms").alias("term"), "chunk_no", "bits", "dec_no", "priority", "tokens")
+    return places.groupBy("term", "chunk_no").agg(
+        F.bit_or("bits").alias("bits"), F.min("dec_no").alias("dec_no"), F.first("priority").alias("priority"), F.first("tokens").alias("tokens"))
+
+
+def _has(bits: Column, place: int) -> Column:
+    return bits.bitwiseAND(place) > 0
+
+
+def _score(n: dict[str, Column], decorated: Column) -> Column:
+    """The field weights; in a sum each match counts, where the text says so up to two or three."""
+    exact = n["exact"] > 0
+    return F.bround(
+        F.when(exact, 10.0).when(n["concept"] > 0, 8.0).otherwise(0.0)
+        + F.when(exact, 0.0).otherwise(5.0 * n["name"]) + 4.0 * n["parent"] + 3.5 * F.least(F.lit(2), n["path"])
+        + F.when(n["sig"] > 0, 3.0).otherwise(0.0) + 2.5 * F.least(F.lit(2), n["doc"]) + F.when(decorated, 2.0).otherwise(0.0)
+        + F.least(F.lit(3.0), 1.0 * n["body"]) + 2.0 * n["hint"], 2)
+
+
+def _flags(bits: Column, core: Column) -> dict[str, Column]:
+    """What a matched term counts for; a word of the name counts neither for the signature nor for the body."""
+    name = _has(bits, NAME)
+    return {
+        "exact": _has(bits, EXACT) & core, "concept": _has(bits, EXACT), "name": name, "parent": _has(bits, PARENT), "path": _has(bits, PATH),
+        "sig": _has(bits, SIGNATURE) & ~name, "doc": _has(bits, DOCSTRING), "body": _has(bits, BODY) & ~name, "hint": _has(bits, HINT) & core,
+    }
+
+
+def best_chunks(queries: DataFrame, index: Index, k: int) -> DataFrame:
+    """``(query_id, chunk_no, score, rank)`` of the k best chunks of every query that score above zero."""
     terms = query_terms(queries)
-    vocabulary = terms.select("term").distinct()
-    size = vocabulary.count()
-    parts = max(1, -(-size // max_vocabulary))
-    pieces = []
-    for part in range(parts):
-        words = vocabulary if parts == 1 else vocabulary.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == part)
-        pieces.append(_chunk_hits(chunks, [r["term"] for r in words.collect()], with_tokens=part == 0))
-    hits = pieces[0]
-    for piece in pieces[1:]:
-        hits = hits.unionByName(piece)
-    rows = explode_rows(hits, "hits", "h", "chunk_id", "meta", "decorators").select("chunk_id", "meta", "decorators", "h.*")
-    scope = [F.col("c.meta.repo") == F.col("t.repo")] if "repo" in queries.columns else []
-    on = F.col("c.term") == F.col("t.term")
-    for condition in scope:
-        on = on & condition
-    joined = rows.alias("c").join(terms.alias("t"), on)
+    hits = term_hits(index.postings, terms)
+    if "repo" in queries.columns or "entity_types" in queries.columns:
+        hits = hits.join(index.chunks.select("chunk_no", F.col("repo").alias("of_repo"), F.lower("entity_type").alias("of_kind")), "chunk_no")
+    joined = hits.join(terms, "term")
+    if "repo" in queries.columns:
+        joined = joined.filter(F.col("of_repo") == F.col("repo"))
     if "entity_types" in queries.columns:
-        kinds = F.transform("t.entity_types", F.lower)
-        joined = joined.filter(
-            F.col("t.entity_types").isNull() | (F.size("t.entity_types") == 0)
-            | F.array_contains(kinds, F.lower("c.meta.entity_type"))
-        )
-    sums = joined.groupBy("c.chunk_id", "t.query_id").agg(
-        F.first("c.meta").alias("meta"),
-        F.first("c.decorators").alias("decorators"),
-        _sum(F.col("exact") & F.col("is_core")).alias("n_exact"),
-        _sum(F.col("exact")).alias("n_concept"),
-        _sum(F.col("in_name")).alias("n_name"),
-        _sum(F.col("in_parent")).alias("n_parent"),
-        _sum(F.col("in_path")).alias("n_path"),
-        _sum(F.col("in_sig") & ~F.col("in_name")).alias("n_sig"),
-        _sum(F.col("in_doc")).alias("n_doc"),
-        F.min("dec_no").alias("dec_no"),
-        _sum(F.col("in_body") & ~F.col("in_name")).alias("n_body"),
-        _sum(F.col("hint") & F.col("is_core")).alias("n_hint"),
-        F.collect_list(
-            F.struct(
-                F.col("c.term").alias("term"), "exact", "in_name", "in_parent", "in_path",
-                (F.col("in_sig") & ~F.col("in_name")).alias("in_sig"), "in_doc",
-                (F.col("in_body") & ~F.col("in_name")).alias("in_body"), (F.col("hint") & F.col("is_core")).alias("hint"),
-            )
-        ).alias("matches"),
+        kinds = F.transform("entity_types", F.lower)
+        joined = joined.filter(F.col("entity_types").isNull() | (F.size("entity_types") == 0) | F.array_contains(kinds, F.col("of_kind")))
+    flags = _flags(F.col("bits"), F.col("is_core"))
+    sums = joined.groupBy("query_id", "chunk_no").agg(
+        *[F.count_if(c).alias(f"n_{name}") for name, c in flags.items()], F.count("dec_no").alias("n_dec"),
+        F.first("priority").alias("priority"), F.first("tokens").alias("tokens"),
     )
-    score = (
-        F.when(F.col("n_exact") > 0, 10.0).when(F.col("n_concept") > 0, 8.0).otherwise(0.0)
-        + F.when(F.col("n_exact") > 0, 0.0).otherwise(5.0 * F.col("n_name"))
-        + 4.0 * F.col("n_parent")
-        + 3.5 * F.least(F.lit(2), F.col("n_path"))
-        + F.when(F.col("n_sig") > 0, 3.0).otherwise(0.0)
-        + 2.5 * F.least(F.lit(2), F.col("n_doc"))
-        + F.when(F.col("dec_no").isNotNull(), 2.0).otherwise(0.0)
-        + F.least(F.lit(3.0), 1.0 * F.col("n_body"))
-        + 2.0 * F.col("n_hint")
+    score = _score({name: F.col(f"n_{name}") for name in flags}, F.col("n_dec") > 0)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("priority"), "tokens", "chunk_no")
+    scored = sums.select("query_id", "chunk_no", "priority", "tokens", score.alias("score")).filter(F.col("score") > 0)
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("priority", "tokens")
+
+
+def _matches() -> Column:
+    """``matches`` of a hit row: the query's ``terms`` looked up in the chunk's own columns."""
+    text = lambda c: F.lower(F.coalesce(c, F.lit("")))
+
+    def match(t: Column, seen: Column) -> Column:
+        term, core = t["term"], t["is_core"]
+        name = F.array_contains(seen["name_tokens"], term)
+        decorated = F.filter(F.transform(seen["decorators"], lambda d, i: F.when(F.contains(F.lower(d), term), i.cast("int"))), lambda i: i.isNotNull())
+        exact = seen["name"] == term
+        return F.struct(
+            term.alias("term"), exact.alias("exact"), (exact & core).alias("core_exact"), name.alias("in_name"),
+            F.array_contains(seen["parent_tokens"], term).alias("in_parent"), F.array_contains(seen["path_tokens"], term).alias("in_path"),
+            (F.contains(seen["signature"], term) & ~name).alias("in_sig"), F.contains(seen["docstring"], term).alias("in_doc"),
+            (F.contains(seen["code"], term) & ~name).alias("in_body"), (term.isin(*TYPE_HINTS) & (seen["kind"] == term) & core).alias("hint"),
+            F.get(decorated, 0).alias("dec_no"),
+        )
+
+    seen = F.struct(
+        F.lower("entity_name").alias("name"), split_identifier(F.col("entity_name")).alias("name_tokens"),
+        split_identifier(F.coalesce("parent", F.lit(""))).alias("parent_tokens"), _path_tokens().alias("path_tokens"), text(F.col("signature")).alias("signature"),
+        text(F.col("docstring")).alias("docstring"), text(F.col("code_content")).alias("code"), F.lower("entity_type").alias("kind"),
+        F.coalesce("decorators", F.array().cast("array<string>")).alias("decorators"),
     )
-    return sums.withColumn("score", F.bround(score, 2)).filter(F.col("score") > 0)
+    return bind(seen, lambda s: F.transform("terms", lambda t: match(t, s)))
 
 
 def _reasons() -> Column:
+    """Why a hit was found, from its ``matches``."""
     meta = F.col("meta")
 
+    def n(flag: str) -> Column:
+        return F.size(F.filter("matches", lambda m: m[flag]))
+
     def named(flag: str, top: int | None = None) -> Column:
         terms = F.array_sort(F.transform(F.filter("matches", lambda m: m[flag]), lambda m: m["term"]))
         return F.array_join(terms if top is None else F.slice(terms, 1, top), ", ")
@@ -204,33 +214,34 @@ def _reasons() -> Column:
     def quoted(c: Column) -> Column:
         return F.concat(F.lit("'"), c, F.lit("'"))
 
-    exact = F.col("n_exact") > 0
+    exact = n("core_exact") > 0
+    dec_no = F.array_min(F.transform("matches", lambda m: m["dec_no"]))
     listed = F.array_compact(
         F.array(
             F.when(exact, F.concat(F.lit("Exact match on "), meta["entity_type"], F.lit(" name "), quoted(meta["entity_name"])))
             .when(
-                F.col("n_concept") > 0,
+                n("exact") > 0,
                 F.concat(F.lit("Entity name "), quoted(meta["entity_name"]), F.lit(" matches concept "), quoted(named("exact", 1))),
             ),
-            F.when(~exact & (F.col("n_name") > 0), F.concat(F.lit("Identifier parts matched: "), named("in_name"))),
+            F.when(~exact & (n("in_name") > 0), F.concat(F.lit("Identifier parts matched: "), named("in_name"))),
             F.when(
-                F.col("n_parent") > 0,
+                n("in_parent") > 0,
                 F.concat(F.lit("Enclosing class "), quoted(meta["parent"]), F.lit(" matches: "), named("in_parent")),
             ),
             F.when(
-                F.col("n_path") > 0,
+                n("in_path") > 0,
                 F.concat(F.lit("File path "), quoted(meta["file_path"]), F.lit(" matches keywords: "), named("in_path")),
             ),
-            F.when(F.col("n_sig") > 0, F.concat(F.lit("Signature matches terms: "), named("in_sig", 3))),
-            F.when(F.col("n_doc") > 0, F.concat(F.lit("Docstring mentions: "), named("in_doc", 3))),
+            F.when(n("in_sig") > 0, F.concat(F.lit("Signature matches terms: "), named("in_sig", 3))),
+            F.when(n("in_doc") > 0, F.concat(F.lit("Docstring mentions: "), named("in_doc", 3))),
             F.when(
-                F.col("dec_no").isNotNull(),
-                F.concat(F.lit("Decorator "), quoted(F.get("decorators", F.col("dec_no"))), F.lit(" matches query terms")),
+                dec_no.isNotNull(),
+                F.concat(F.lit("Decorator "), quoted(F.get("decorators", dec_no)), F.lit(" matches query terms")),
             ),
         )
     )
     body = F.when(
-        (F.size(listed) == 0) & (F.col("n_body") > 0), F.array(F.concat(F.lit("Code body contains: "), named("in_body", 3)))
+        (F.size(listed) == 0) & (n("in_body") > 0), F.array(F.concat(F.lit("Code body contains: "), named("in_body", 3)))
     ).otherwise(F.array().cast("array<string>"))
     hints = F.transform(
         F.filter("matches", lambda m: m["hint"]),
@@ -255,225 +266,21 @@ def explanation(meta: Column, reasons: Column) -> Column:
     )
 
 
-_MATCH = (
-    "array<struct<term:string,exact:boolean,in_name:boolean,in_parent:boolean,in_path:boolean,in_sig:boolean,"
-    "in_doc:boolean,in_body:boolean,hint:boolean>>"
-)
-_FLAGS = ("exact", "in_name", "in_parent", "in_path", "in_sig", "in_doc", "in_body", "hint")
-_COUNTS = ("n_exact", "n_concept", "n_name", "n_parent", "n_path", "n_sig", "n_doc", "n_body", "n_hint")
-_META_COLUMNS = (
-    "repo string, file_path string, entity_name string, entity_type string, language string, start_line int, "
-    "end_line int, signature string, docstring string, parent string, tokens_estimate int"
-)
-
-
-class _QueryBlock:
-    """Query-by-term matrices of at most ``QUERY_BLOCK`` queries over their own vocabulary."""
-
-    def __init__(self, rows: pd.DataFrame):
-        self.ids = rows["query_id"].drop_duplicates().to_numpy()
-        self.terms = sorted(set(rows["term"]))
-        self.column = {t: i for i, t in enumerate(self.terms)}
-        at = {q: i for i, q in enumerate(self.ids)}
-        r, c = rows["query_id"].map(at).to_numpy(), rows["term"].map(self.column).to_numpy()
-        self.asks = np.zeros((len(self.ids), len(self.terms)), dtype=np.float32)
-        self.core = np.zeros_like(self.asks)
-        self.asks[r, c] = 1
-        self.core[r, c] = rows["is_core"].to_numpy()
-        first = rows.drop_duplicates("query_id")
-        self.repos = first["repo"].tolist() if "repo" in rows else [None] * len(first)
-        kinds = first["entity_types"].tolist() if "entity_types" in rows else [None] * len(first)
-        self.kinds = [None if k is None or len(k) == 0 else {x.lower() for x in k} for k in kinds]
-
-    def place(self, vocabulary: dict[str, int]) -> None:
-        """Where the terms of the whole vocabulary sit in this block (-1 for those it does not ask for)."""
-        self.whole = np.array([vocabulary[t] for t in self.terms], dtype=np.int64)
-        self.local = np.full(len(vocabulary), -1, dtype=np.int64)
-        self.local[self.whole] = np.arange(len(self.terms))
-
-    def mark_ids(self, id_sets) -> np.ndarray:
-        out = np.zeros((len(id_sets), len(self.terms)), dtype=np.float32)
-        for i, ids in enumerate(id_sets):
-            if ids:
-                at = self.local[np.fromiter(ids, dtype=np.int64, count=len(ids))]
-                out[i, at[at >= 0]] = 1
-        return out
-
-    def marks(self, token_lists) -> np.ndarray:
-        out = np.zeros((len(token_lists), len(self.terms)), dtype=np.float32)
-        for i, tokens in enumerate(token_lists):
-            for t in tokens:
-                j = self.column.get(t)
-                if j is not None:
-                    out[i, j] = 1
-        return out
-
-
-def _score_block(q: _QueryBlock, batch: pd.DataFrame, found: dict[str, list]) -> tuple[np.ndarray, dict, dict, np.ndarray]:
-    """Scores (chunks by queries) of one chunk batch, with the flag and count matrices behind them."""
-    name = q.marks(batch["name_tokens"])
-    flags = {
-        "exact": q.marks([[n] for n in batch["name"]]),
-        "in_name": name,
-        "in_parent": q.marks(batch["parent_tokens"]),
-        "in_path": q.marks(batch["path_tokens"]),
-        "in_sig": q.mark_ids(found["sig"]) * (1 - name),
-        "in_doc": q.mark_ids(found["doc"]),
-        "in_body": q.mark_ids(found["body"]) * (1 - name),
-        "hint": q.marks([[k] if k in TYPE_HINTS else [] for k in batch["kind"]]),
-    }
-    decorated = q.mark_ids(found["dec"])
-    n = {
-        "n_exact": flags["exact"] @ q.core.T,
-        "n_concept": flags["exact"] @ q.asks.T,
-        **{f"n_{f}": flags[f"in_{f}"] @ q.asks.T for f in ("name", "parent", "path", "sig", "doc", "body")},
-        "n_hint": flags["hint"] @ q.core.T,
-    }
-    any_decorator = (decorated @ q.asks.T) > 0
-    exact = n["n_exact"] > 0
-    score = (
-        np.where(exact, 10.0, np.where(n["n_concept"] > 0, 8.0, 0.0)) + np.where(exact, 0.0, 5.0 * n["n_name"])
-        + 4.0 * n["n_parent"] + 3.5 * np.minimum(2, n["n_path"]) + 3.0 * (n["n_sig"] > 0)
-        + 2.5 * np.minimum(2, n["n_doc"]) + 2.0 * any_decorator + np.minimum(3.0, n["n_body"]) + 2.0 * n["n_hint"]
-    )
-    repos, kinds = batch["repo"].to_numpy(), batch["kind"].to_numpy()
-    for j, (repo, wanted) in enumerate(zip(q.repos, q.kinds)):
-        if repo is not None:
-            score[repos != repo, j] = 0
-        if wanted is not None:
-            score[~np.isin(kinds, list(wanted)), j] = 0
-    return score, flags, n, any_decorator
-
-
-def _best_of_batch(q: _QueryBlock, batch: pd.DataFrame, found: dict[str, list], k: int, best: dict) -> list[dict]:
-    """Hits of a batch that can still enter ``best``; they keep the hit columns of a chunk, never its text."""
-    records = batch[["chunk_id", "decorators", *_META]].to_dict("records")
-    score, flags, n, any_decorator = _score_block(q, batch, found)
-    ids, tokens = batch["chunk_id"].to_numpy().astype(str), batch["tokens_estimate"].to_numpy()
-    priority = np.array([TYPE_PRIORITY.get(t, 1) for t in batch["entity_type"]])
-    rows = []
-    for j, query_id in enumerate(q.ids):
-        hit = np.flatnonzero(score[:, j] > 0)
-        if len(hit) > k:
-            line = score[hit, j]
-            hit = hit[line >= np.partition(line, len(line) - k)[len(line) - k]]
-        hit = hit[np.lexsort((ids[hit], tokens[hit], -priority[hit], -score[hit, j]))][:k]
-        terms = np.flatnonzero(q.asks[j])
-        held = best.get(query_id, ())
-        worst = held[-1]["key"] if len(held) >= k else None
-        for i in hit:
-            key = (-score[i, j], -priority[i], tokens[i], ids[i])
-            if worst is not None and key > worst:
-                break
-            rows.append({
-                "key": key, "query_id": query_id, "row": records[i],
-                "score": float(score[i, j]), "counts": {c: int(n[c][i, j]) for c in _COUNTS},
-                "dec_no": min((found["dec"][i][w] for w in q.whole[terms].tolist() if w in found["dec"][i]), default=None)
-                if any_decorator[i, j] else None,
-                "terms": [q.terms[t] for t in terms], "core": q.core[j, terms] > 0,
-                "flags": {f: flags[f][i, terms] > 0 for f in _FLAGS},
-            })
-    return rows
-
-
-def _emit_hits(best: dict) -> pd.DataFrame:
-    out = []
-    for hits in best.values():
-        for h in hits:
-            hint = h["flags"]["hint"] & h["core"]
-            matches = [
-                {"term": t, **{f: bool(h["flags"][f][x]) for f in _FLAGS[:-1]}, "hint": bool(hint[x])}
-                for x, t in enumerate(h["terms"]) if any(h["flags"][f][x] for f in _FLAGS)
-            ]
-            row = h["row"]
-            out.append({
-                "query_id": h["query_id"], "chunk_id": row["chunk_id"], "score": h["score"], **h["counts"],
-                "dec_no": h["dec_no"], "matches": matches, "decorators": row["decorators"], **{c: row[c] for c in _META},
-            })
-    return pd.DataFrame(out)
-
-
-def score_by_matrix(queries: DataFrame, chunks: DataFrame, k: int, terms: pd.DataFrame) -> DataFrame:
-    """The best k chunks per query of every task, in the columns of ``score_by_join``."""
-    ids = terms["query_id"].drop_duplicates().to_numpy()
-    groups = {q: i // QUERY_BLOCK for i, q in enumerate(ids)}
-    shared = queries.sparkSession.sparkContext.broadcast(
-        [rows for _, rows in terms.groupby(terms["query_id"].map(groups), sort=True)]
-    )
-    none = F.array().cast("array<string>")
-    prepared = chunks.select(
-        "chunk_id", *_META, F.coalesce("decorators", none).alias("decorators"),
-        F.lower("entity_name").alias("name"), F.lower("entity_type").alias("kind"),
-        split_identifier(F.col("entity_name")).alias("name_tokens"),
-        split_identifier(F.coalesce("parent", F.lit(""))).alias("parent_tokens"),
-        F.split(F.lower("file_path"), r"[/\\_\-.]+").alias("path_tokens"),
-        F.lower(F.coalesce("signature", F.lit(""))).alias("sig_text"),
-        F.lower(F.coalesce("docstring", F.lit(""))).alias("doc_text"),
-        F.lower("code_content").alias("body_text"),
-        F.transform(F.coalesce("decorators", none), F.lower).alias("dec_text"),
-    )
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blocks = [_QueryBlock(rows) for rows in shared.value]
-        words = sorted({t for b in blocks for t in b.terms})
-        occurring = _matcher(words, list(range(len(words))))
-        for block in blocks:
-            block.place({t: i for i, t in enumerate(words)})
-        best: dict = {}
-        for whole in batches:
-            for at in range(0, len(whole), CHUNK_BLOCK):
-                batch = whole.iloc[at : at + CHUNK_BLOCK]
-                found = {
-                    "sig": [occurring(t) for t in batch["sig_text"]],
-                    "doc": [occurring(t) for t in batch["doc_text"]],
-                    "body": [occurring(t) for t in batch["body_text"]],
-                    "dec": [
-                        {term: i for i, t in reversed(list(enumerate(decs))) for term in occurring(t)}
-                        for decs in batch["dec_text"]
-                    ],
-                }
-                for block in blocks:
-                    for hit in _best_of_batch(block, batch, found, k, best):
-                        best.setdefault(hit["query_id"], []).append(hit)
-                for hits in best.values():
-                    hits.sort(key=lambda h: h["key"])
-                    del hits[k:]
-        if best:
-            yield _emit_hits(best)
-
-    counts = ", ".join(f"{c} int" for c in _COUNTS)
-    schema = (
-        f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id string, score double, {counts}, dec_no int, "
-        f"matches {_MATCH}, decorators array<string>, {_META_COLUMNS}"
-    )
-    hits = prepared.mapInPandas(search, schema)
-    return hits.withColumn("meta", F.struct(*_META)).drop(*_META)
-
-
-def lexical_search(
-    queries: DataFrame, chunks: DataFrame, k: int = 10, max_query_terms: int = MAX_QUERY_TERMS
-) -> DataFrame:
-    """Unified hits: the k best chunks per query with reasons and an explanation.
+def lexical_search(queries: DataFrame, chunks: DataFrame | Index, k: int = 10) -> DataFrame:
+    """Unified hits: the k best chunks per query with reasons and an explanation. ``chunks``: a chunk table, or its index.
 
-    Ranked by score, then entity type, then fewer tokens, then chunk id. Reasons are built for the ranked hits only.
+    Ranked by score, then entity type, then fewer tokens, then chunk id. Reasons are built for the ranked hits only, from
+    their chunks' rows.
     """
-    terms = query_terms(queries)
-    if terms.limit(max_query_terms + 1).count() <= max_query_terms:
-        scored = score_by_matrix(queries, chunks, k, terms.toPandas())
-    else:
-        scored = score_by_join(queries, chunks)
-    kinds = F.create_map(*[x for n, p in TYPE_PRIORITY.items() for x in (F.lit(n), F.lit(p))])
-    priority = F.coalesce(F.try_element_at(kinds, F.col("meta.entity_type")), F.lit(1))
-    order = Window.partitionBy("query_id").orderBy(
-        F.desc("score"), F.desc("_priority"), F.col("meta.tokens_estimate"), "chunk_id"
-    )
-    ranked = (
-        scored.withColumn("_priority", priority)
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .withColumn("reasons", _reasons())
+    index = chunks if isinstance(chunks, Index) else indexed(chunks)
+    asked = query_terms(queries).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "is_core"))).alias("terms"))
+    hits = best_chunks(queries, index, k).join(asked, "query_id")
+    rows = index.chunks.join(hits, "chunk_no").select(
+        "query_id", "rank", "chunk_id", "score", F.struct(*_META).alias("meta"), F.coalesce("decorators", F.array().cast("array<string>")).alias("decorators"),
+        _matches().alias("matches"),
     )
-    return ranked.select(
+    reasoned = rows.withColumn("reasons", _reasons())
+    return reasoned.select(
         "query_id", "rank", "chunk_id", "score", F.lit("lexical").alias("search_mode"), "reasons",
         explanation(F.col("meta"), F.col("reasons")).alias("explanation"), "meta",
     )

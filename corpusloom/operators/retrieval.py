@@ -10,6 +10,7 @@ from corpusloom.functions import vectors as vf
 from corpusloom.functions.rows import posexplode_rows
 from corpusloom.functions.text import citation_tags, title_case
 from corpusloom.operators import lexical, vectors as vector_ops
+from corpusloom.session import durable
 
 RRF_K = 60
 RRF_WEIGHT = 0.5
@@ -92,16 +93,16 @@ def fuse(lexical_hits: DataFrame, semantic_hits: DataFrame, limit: int = 10) ->
 
 
 def search(
-    mode: str, queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, k: int = 10
+    mode: str, queries: DataFrame, chunks: DataFrame | lexical.Index, vectors: DataFrame | None = None, k: int = 10
 ) -> DataFrame:
-    """Lexical, semantic or hybrid search with one output schema."""
-    mode = (mode or "hybrid").lower().strip()
+    """Lexical, semantic or hybrid search with one output schema. ``chunks``: a chunk table, or its lexical index."""
+    mode, table = (mode or "hybrid").lower().strip(), chunks.chunks if isinstance(chunks, lexical.Index) else chunks
     if mode == "lexical":
         return lexical.lexical_search(queries, chunks, k)
     if mode == "semantic":
-        return semantic_search(queries, vectors, chunks, k)
+        return semantic_search(queries, vectors, table, k)
     pool = pool_size(k)
-    return fuse(lexical.lexical_search(queries, chunks, pool), semantic_search(queries, vectors, chunks, pool), k)
+    return fuse(lexical.lexical_search(queries, chunks, pool), semantic_search(queries, vectors, table, pool), k)
 
 
 def select_sources(hits: DataFrame, k: int = 5) -> DataFrame:
@@ -200,16 +201,17 @@ def validate_citations(answers: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def answer_questions(
-    questions: DataFrame, chunks: DataFrame, vectors: DataFrame, generate: Callable[[DataFrame], DataFrame],
+    questions: DataFrame, chunks: lexical.Index, vectors: DataFrame, generate: Callable[[DataFrame], DataFrame],
     k: int = 5, budget: int = CONTEXT_CHARS,
 ) -> tuple[DataFrame, DataFrame]:
     """Retrieve, pack, generate and check citations for a table of questions: ``(answers, citations)``.
 
-    ``generate`` maps ``(query_id, prompt)`` to ``(query_id, answer, warning)``.
+    ``chunks``: the lexical index of the chunk table. ``generate`` maps ``(query_id, prompt)`` to ``(query_id, answer, warning)``.
+    The sources are written once, for the prompts and for the citations.
     """
     hits = search("hybrid", questions, chunks, vectors, 2 * k)
-    sources = select_sources(hits, k)
-    code = chunks.select("chunk_id", "code_content")
+    sources = durable(select_sources(hits, k))
+    code = chunks.chunks.select("chunk_id", "code_content")
     blocks = sources.join(code, "chunk_id").withColumn("block", source_block(F.col("code_content"))).drop("code_content")
     context = pack_context(blocks, budget)
     prompts = questions.select("query_id", "text").join(context, "query_id", "left").select(

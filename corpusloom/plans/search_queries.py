@@ -100,8 +100,10 @@ def lexical_topk(spark, sf):
 WITH {_LEX_SQL}
 SELECT query_id, rank, chunk_id, score FROM lex WHERE rank <= 10""")
 def lexical_topk_join(spark, sf):
-    """The shuffled form that large query sets take, forced by a zero term budget."""
-    hits = lexical.lexical_search(queries(spark, sf), chunks(spark, sf), 10, max_query_terms=0)
+    """The same hits with the queries asked in two halves of one stored index."""
+    index, asked = lexical.indexed(chunks(spark, sf)), queries(spark, sf)
+    halves = [lexical.lexical_search(asked.filter(F.col("query_id") % 2 == r), index, 10) for r in (0, 1)]
+    hits = halves[0].unionByName(halves[1])
     return hits.select("query_id", "rank", "chunk_id", "score")
 
 
@@ -122,8 +124,7 @@ def lexical_reasons(spark, sf):
     return hits.select("query_id", "chunk_id", F.get("reasons", 0).alias("first_reason"))
 
 
-def _vectors(spark, sf):
-    c = chunks(spark, sf)
+def _vectors(c):
     words = text.embedding_text(F.col("file_path"), F.col("entity_type"), F.col("entity_name"), F.col("code_content"))
     return c.select(
         F.lit("corpus").alias("collection"), "chunk_id", "entity_type", vf.hash_embedding(words, _DIM).alias("embedding")
@@ -148,7 +149,8 @@ sem AS (SELECT query_id, chunk_id, cosine, CAST(row_number() OVER (PARTITION BY
 WITH {_QUERIES_SQL}, {_CHUNKS_SQL}, {_SEM_SQL}
 SELECT query_id, rank, chunk_id, round(greatest(0, least(1, cosine)), 4) AS score, 'semantic' AS search_mode FROM sem WHERE rank <= 10""")
 def semantic_topk(spark, sf):
-    hits = retrieval.search("semantic", _embedded_queries(spark, sf), chunks(spark, sf), _vectors(spark, sf), 10)
+    c = chunks(spark, sf)
+    hits = retrieval.search("semantic", _embedded_queries(spark, sf), c, _vectors(c), 10)
     return hits.select("query_id", "rank", "chunk_id", "score", "search_mode")
 
 
@@ -169,7 +171,8 @@ fused AS (SELECT query_id, chunk_id, CASE WHEN nl > 0 AND ns > 0 THEN round(rrf,
 
 
 def _hybrid(spark, sf, limit=10):
-    return retrieval.search("hybrid", _embedded_queries(spark, sf), chunks(spark, sf), _vectors(spark, sf), limit)
+    index = lexical.indexed(chunks(spark, sf))  # one chunk table for words, vectors and hits
+    return retrieval.search("hybrid", _embedded_queries(spark, sf), index, _vectors(index.chunks), limit)
 
 
 @query("hybrid_rrf", "SRCH5 SRCH6 SRCH7 JN10", f"""
@@ -187,9 +190,9 @@ WITH {_FALLBACK_SQL}
 SELECT query_id, rank, chunk_id, score, search_mode FROM fused WHERE rank <= 10""")
 def hybrid_fallback(spark, sf):
     """Some questions are asked of one side only; each is answered from the pool it has."""
-    q, c, pool = _embedded_queries(spark, sf), chunks(spark, sf), retrieval.pool_size(10)
-    lex = lexical.lexical_search(_one_sided(q, 1), c, pool)
-    sem = retrieval.semantic_search(_one_sided(q, 2), _vectors(spark, sf), c, pool)
+    q, index, pool = _embedded_queries(spark, sf), lexical.indexed(chunks(spark, sf)), retrieval.pool_size(10)
+    lex = lexical.lexical_search(_one_sided(q, 1), index, pool)
+    sem = retrieval.semantic_search(_one_sided(q, 2), _vectors(index.chunks), index.chunks, pool)
     return retrieval.fuse(lex, sem, 10).select("query_id", "rank", "chunk_id", "score", "search_mode")
 
 
@@ -212,9 +215,9 @@ SELECT query_id, array_to_string(list(sid ORDER BY rank), ',') AS source_ids, md
   CAST(max(total) AS BIGINT) AS chars
 FROM run WHERE rank = 1 OR total <= 6000 GROUP BY query_id""")
 def context_pack(spark, sf):
-    c = chunks(spark, sf)
-    sources = retrieval.select_sources(lexical.lexical_search(queries(spark, sf), c, 5), 5)
-    blocks = sources.join(c.select("chunk_id", "code_content"), "chunk_id").withColumn(
+    index = lexical.indexed(chunks(spark, sf))
+    sources = retrieval.select_sources(lexical.lexical_search(queries(spark, sf), index, 5), 5)
+    blocks = sources.join(index.chunks.select("chunk_id", "code_content"), "chunk_id").withColumn(
         "block", retrieval.source_block(F.col("code_content"))
     )
     packed = retrieval.pack_context(blocks, 6000)
@@ -264,7 +267,8 @@ def answered(spark, sf):
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text", F.lit("corpus").alias("collection"),
         vf.hash_embedding(F.col("text"), _DIM).alias("embedding"),
     )
-    answers_df, cited = retrieval.answer_questions(asked, chunks(spark, sf), _vectors(spark, sf), template_generator, 3)
+    index = lexical.indexed(chunks(spark, sf))
+    answers_df, cited = retrieval.answer_questions(asked, index, _vectors(index.chunks), template_generator, 3)
     counts = cited.groupBy(F.col("answer_id").alias("query_id")).agg(F.count(F.lit(1)).alias("n_citations"))
     return answers_df.join(counts, "query_id", "left").select("query_id", F.md5("answer").alias("digest"), "warning", "n_citations")
 

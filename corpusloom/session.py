@@ -28,7 +28,7 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str =
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only a session in one process may do without it and gets a temporary folder; a cluster gets an error, because what
+    Only a session in one process may do without it and gets a temporary folder for all its life; a cluster gets an error, because what
     executors write to their own disks is lost to the others.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,7 +36,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+    folder = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def durable(df: DataFrame) -> DataFrame:
