@@ -110,6 +110,24 @@ def in_ignored_dir(path: Column, profile: str = "scan") -> Column:
     raise ValueError(f"unknown profile {profile!r}")
 
 
+def is_ignored_dir_name(name: str, profile: str = "scan") -> bool:
+    """:func:`in_ignored_dir` for one segment, where directories are listed."""
+    if profile == "scan":
+        return name.lower() in SCAN_IGNORED_DIRS
+    if profile == "security":
+        return name in SCAN_IGNORED_DIRS or name.startswith(".")
+    if profile == "docs":
+        return name in DOCS_IGNORED_DIRS
+    raise ValueError(f"unknown profile {profile!r}")
+
+
+def is_ignored_file_name(name: str) -> bool:
+    """:func:`is_ignored_file` for a file's name."""
+    name = name.lower()
+    dot = name.rfind(".")
+    return name.endswith((".min.js", ".min.css")) or (0 < dot < len(name) - 1 and name[dot:] in IGNORED_EXTENSIONS)
+
+
 def is_ignored_file(path: Column) -> Column:
     name = F.lower(base_name(path))
     return name.endswith(".min.js") | name.endswith(".min.css") | suffix(path).isin(*IGNORED_EXTENSIONS)

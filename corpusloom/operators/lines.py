@@ -12,6 +12,7 @@ from corpusloom.functions import text
 from corpusloom.functions.rows import explode_rows, posexplode_rows
 from corpusloom.functions.text import strip
 from corpusloom.functions.vectors import bind
+from corpusloom.session import stored
 
 BRACE_LANGUAGES = ("javascript", "typescript", "c", "cpp", "csharp", "java", "go")
 BLOCK_LINES = 6
@@ -224,7 +225,8 @@ def duplicate_blocks(
     licence header is spread over ``salts`` sub-keys on both sides, and the original is copied only to sub-keys in use.
     """
     key = ["repo", "block_hash"] if within_repo else ["block_hash"]
-    occurrences = block_occurrences(files, block).withColumn(
+    # written once: the minima and the join below read hashes, not texts
+    occurrences = stored(block_occurrences(files, block), "blocks").withColumn(
         "_salt", F.pmod(F.xxhash64("repo", "path", "start_line"), F.lit(salts)).cast("int")
     )
     place = F.struct("repo", "path", "start_line", "end_line")

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions import vectors as vf
-from corpusloom.functions.rows import posexplode_rows
-from corpusloom.functions.text import citation_tags, title_case
-from corpusloom.operators import lexical, vectors as vector_ops
+from corpusloom.functions.rows import explode_rows, posexplode_rows
+from corpusloom.functions.text import citation_tags, strip as trimmed, title_case
+from corpusloom.functions.vectors import bind
+from corpusloom.operators import extract, lexical, vectors as vector_ops
 from corpusloom.session import durable
 
 RRF_K = 60
@@ -162,6 +163,35 @@ def pack_context(sources: DataFrame, budget: int = CONTEXT_CHARS) -> DataFrame:
     )
 
 
+def target_contexts(files: DataFrame, max_snippet: int = HELPER_SNIPPET_CHARS, budget: int = HELPER_BUDGET_CHARS) -> DataFrame:
+    """``(repo, path, name, parent, start_line, helper_snippets, used_chars)`` of every function and method of the Python files.
+
+    The helpers of a target are the other functions at the top of its file, in order, packed as by :func:`pack_helpers`;
+    all within the file's row of ``extract.with_declarations``.
+    """
+    items = extract.declaration_items(F.col("lines"), F.col("decls"))
+    code = lambda d: trimmed(F.concat_ws("\n", d["header"], F.nullif(d["body"], F.lit(""))))
+    function = lambda d: d["kind"] != "class"
+
+    def context(d: Column, functions: Column) -> Column:
+        start = F.struct(F.length(code(d)).alias("used"), F.array().cast("array<string>").alias("kept"))
+        others = F.filter(functions, lambda f: f["name"] != d["name"])
+        packed = F.aggregate(others, start, lambda s, f: F.when(
+            (F.length(f["code"]) < max_snippet) & (s["used"] + F.length(f["code"]) < budget),
+            F.struct((s["used"] + F.length(f["code"])).alias("used"), F.concat(s["kept"], F.array(f["code"])).alias("kept"))).otherwise(s))
+        return bind(packed, lambda p: F.struct(
+            d["name"].alias("name"), F.when(d["outer_kind"] == "class", d["outer_name"]).alias("parent"), d["n"].alias("start_line"),
+            p["kept"].alias("helper_snippets"), p["used"].alias("used_chars")))
+
+    def of_file(ds: Column) -> Column:
+        top = F.transform(F.filter(ds, lambda d: function(d) & (d["ind"] == 0)), lambda d: F.struct(d["name"].alias("name"), code(d).alias("code")))
+        targets = F.filter(ds, lambda d: function(d) & ((d["ind"] == 0) | (d["outer_kind"] == "class")))
+        return bind(top, lambda functions: F.transform(targets, lambda d: context(d, functions)))
+
+    python = files.filter(F.col("language") == "Python")
+    return explode_rows(python, bind(items, of_file), "t", "repo", "path").select("repo", "path", "t.*")
+
+
 def pack_helpers(helpers: DataFrame, max_snippet: int = HELPER_SNIPPET_CHARS, budget: int = HELPER_BUDGET_CHARS) -> DataFrame:
     """Greedy packing that skips a snippet that does not fit and goes on with the next.
 

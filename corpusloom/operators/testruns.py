@@ -148,10 +148,12 @@ def parse_coverage(reports: DataFrame, root: str | None = None) -> DataFrame:
 
 
 def coverage_files(parsed: DataFrame) -> DataFrame:
-    """File rows of each report; with a ``target_file`` column its file comes first, then by path."""
-    keep = ["run_id"] + (["target_file"] if "target_file" in parsed.columns else [])
-    rows = explode_rows(parsed, "files", "f", *keep).select(*keep, "f.*")
-    if "target_file" not in keep:
-        return rows.orderBy("run_id", "file_path")
-    target = F.ltrim(strip(F.col("target_file")), F.lit("/"))
-    return rows.orderBy("run_id", F.when(F.col("file_path") == target, 0).otherwise(1), "file_path").drop("target_file")
+    """File rows of each report with their ``position`` in it; with a ``target_file`` column its file comes first, then by path.
+
+    The order is made inside a report's row; sort by ``run_id, position`` where rows are shown.
+    """
+    target = F.ltrim(strip(F.col("target_file")), F.lit("/")) if "target_file" in parsed.columns else F.lit(None).cast("string")
+    placed = F.array_sort(F.transform("files", lambda f: F.struct(
+        F.when(f["file_path"] == target, 0).otherwise(1).alias("later"), f["file_path"].alias("path"), f.alias("f"))))
+    numbered = F.transform(placed, lambda x, i: F.struct((i + 1).cast("int").alias("position"), x["f"].alias("f")))
+    return explode_rows(parsed, numbered, "x", "run_id").select("run_id", "x.position", "x.f.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import chunks, docs, extract as x, graph, quality as q, security as s
+from corpusloom.operators import chunks, docs, extract as x, graph, quality as q, retrieval, security as s
 from corpusloom.plans import bindings as b
 from corpusloom.plans.registry import query
 from corpusloom.sources import corpus as src
@@ -285,17 +285,29 @@ _SEC = [
 ]
 
 
-@query("code_security_findings", "SR1 SR2 SR3 SR4 SR5 SR6 SR7 SR8 SR9 SR10 SR11 JN15 SET1 SRT2", f"""
+@query("code_security_findings", "SR1 SR2 SR3 SR4 SR5 SR6 SR7 SR8 SR9 SR10 SR11 JN15 SET1", f"""
 WITH {b.CODE_SQL}
 SELECT repo, path, CAST(v.n AS INTEGER) AS start_line, v.rule AS rule_id, v.sev AS severity, v.conf AS confidence, {_fill('v.ent')} AS entity_name, v.cwe AS cwe_id
 FROM mods JOIN {_values(_SEC)} v(is_py, n, rule, sev, conf, ent, cwe) ON v.is_py = mods.is_py AND (n <> 56 OR doc_id % 3 = 0)""")
 def code_security_findings(spark, sf):
-    return s.ordered(s.all_findings(declared(spark, sf))).select(
+    return s.all_findings(declared(spark, sf)).select(
         "repo", "path", "start_line", "rule_id", "severity", "confidence", "entity_name", "cwe_id"
     )
 
 
-@query("security_summary_text", "AGG11 AGG12 STR17")
+_SUMMARY_SQL = f"""{b.CODE_SQL}, sec AS (
+  SELECT repo, v.sev, v.cat FROM mods JOIN (SELECT *, CASE cwe WHEN 'CWE-95' THEN 'code_execution' WHEN 'CWE-391' THEN 'error_handling' WHEN 'CWE-798' THEN 'credentials'
+    WHEN 'CWE-328' THEN 'cryptography' WHEN 'CWE-89' THEN 'sql_injection' WHEN 'CWE-295' THEN 'insecure_communication' WHEN 'CWE-502' THEN 'deserialization' ELSE 'command_injection' END AS cat
+    FROM {_values(_SEC)} w(is_py, n, rule, sev, conf, ent, cwe)) v ON v.is_py = mods.is_py AND (v.n <> 56 OR doc_id % 3 = 0)),
+cats AS (SELECT repo, cat, count(*) AS c FROM sec GROUP BY ALL),
+top AS (SELECT repo, array_to_string(list(cat || ' (' || c || ')' ORDER BY c DESC, cat)[1:3], ', ') AS areas FROM cats GROUP BY repo)
+SELECT repo, 'Static security scan for ''' || repo || ''' identified ' || count(*) || ' finding(s) (' || count(*) FILTER (sev = 'critical') || ' critical, '
+  || count(*) FILTER (sev = 'high') || ' high, ' || count(*) FILTER (sev = 'medium') || ' medium, ' || count(*) FILTER (sev = 'low') || ' low, '
+  || count(*) FILTER (sev = 'informational') || ' informational), requiring high attention. Primary areas: ' || any_value(areas) || '.' AS summary
+FROM sec JOIN top USING (repo) GROUP BY repo"""
+
+
+@query("security_summary_text", "AGG11 AGG12 STR17", f"WITH {_SUMMARY_SQL}")
 def security_summary_text(spark, sf):
     files = declared(spark, sf)
     return s.summary_text(s.all_findings(files), files)
@@ -312,6 +324,31 @@ def codebase_summary(spark, sf):
     return graph.codebase_summary(accepted, x.entities(accepted), x.imports(accepted), rejects)
 
 
+def _module_text(first: int, last: int) -> str:
+    """SQL for lines of the Python module of a row of ``mods``."""
+    lines = b.PY_MODULE.replace("{{", "{").replace("}}", "}").split("\n")[first - 1 : last]
+    text = "'" + "\n".join(lines).strip().replace("'", "''") + "'"
+    return f"replace({_fill(text)}, '{{kflag}}', CASE WHEN doc_id % 3 = 0 THEN 'True' ELSE 'False' END)"
+
+
+_HELPERS = [("login_{k}", 28, 33, 1), ("_verify_{k}", 36, 48, 2), ("deploy_{k}", 51, 64, 3)]
+
+
+@query("target_helpers", "SRCH10", f"""
+WITH {b.CODE_SQL}, fn AS (SELECT repo, path, v.no, {_fill('v.name')} AS name, CASE v.no {" ".join(f"WHEN {n} THEN {_module_text(a, z)}" for _, a, z, n in _HELPERS)} END AS code
+  FROM mods JOIN (VALUES {", ".join(f"('{name}', {n})" for name, _, _, n in _HELPERS)}) v(name, no) ON is_py),
+targets AS (SELECT repo, path, name, NULL AS parent, code FROM fn
+  UNION ALL SELECT repo, path, v.name, 'Service' || k, CASE v.name WHEN 'run' THEN {_module_text(18, 24)} ELSE {_module_text(15, 16)} END FROM mods JOIN (VALUES ('__init__'), ('run')) v(name) ON is_py)
+SELECT t.repo, t.path, t.name, t.parent, CAST(count(*) AS INTEGER) AS n_helpers, CAST(any_value(length(t.code)) + sum(length(f.code)) AS INTEGER) AS used_chars,
+  md5(array_to_string(list(f.code ORDER BY f.no), chr(10))) AS digest
+FROM targets t JOIN fn f ON f.repo = t.repo AND f.path = t.path AND f.name <> t.name GROUP BY ALL""")
+def target_helpers(spark, sf):
+    """The helper functions that go with each function and method of the modules."""
+    found = retrieval.target_contexts(declared(spark, sf))
+    return found.select(
+        "repo", "path", "name", "parent", F.size("helper_snippets").alias("n_helpers"), "used_chars", F.md5(F.array_join("helper_snippets", "\n")).alias("digest"))
+
+
 @query("rejected_files", "SRC6", f"""
 WITH {b.CODE_SQL}
 SELECT repo, path, 'Python' AS language, 'SyntaxError' AS error_type, CASE WHEN doc_id % 4 = 0 THEN 'unbalanced brackets' ELSE 'definition without '':''' END AS message
@@ -331,8 +368,7 @@ UNION ALL SELECT repo, path || '::' || CASE WHEN type = 'method' THEN parent ||
   'L' || start_line || '-L' || end_line, docstring FROM ents WHERE type <> 'variable'""")
 def structure_map(spark, sf):
     files = declared(spark, sf)
-    rows = graph.structure_map(files, x.entities(files)).orderBy(*graph.display_order())
-    return rows.select("repo", "node_path", "node_type", "depth", "line_info", "docstring")
+    return graph.structure_map(files, x.entities(files)).select("repo", "node_path", "node_type", "depth", "line_info", "docstring")
 
 
 def _evidence(spark, sf):
@@ -368,7 +404,11 @@ def api_reference(spark, sf):
     return docs.api_reference(_evidence(spark, sf), docs.LISTED_SYMBOLS).select("repo", F.md5("document").alias("digest"))
 
 
-@query("function_reference", "AGG19")
+@query("function_reference", "AGG19", f"""
+WITH {_SYM_SQL}, svc AS (SELECT * FROM syms WHERE contains(name, 'Service')),
+blocks AS (SELECT repo, '## `' || name || '`' || chr(10) || chr(10) || '- **Type**: `' || symbol_type || '`' || chr(10) || '- **Defined in**: `' || file_path || ':' || start_line || '`' || chr(10)
+  || '- **Signature**: `' || signature || '`' || chr(10) || chr(10) || '### Description' || chr(10) || chr(10) || coalesce(docstring, 'No docstring provided in source.') || chr(10) AS block, file_path, start_line, name FROM svc)
+SELECT repo, md5('# ' || repo || ' — Function Reference' || chr(10) || chr(10) || array_to_string(list(block ORDER BY file_path, start_line, name), chr(10))) AS digest FROM blocks GROUP BY repo""")
 def function_reference(spark, sf):
     files = declared(spark, sf)
     symbols = x.symbols(x.entities(files)).filter(F.col("name").contains("Service"))
@@ -376,7 +416,26 @@ def function_reference(spark, sf):
     return docs.function_reference(whole, "Service").select("repo", F.md5("document").alias("digest"))
 
 
-@query("doc_evidence_rows", "AGG18")
+@query("api_reference_whole", "AGG19", f"""
+WITH {b.CODE_SQL}, rt AS (SELECT repo, path, CASE WHEN is_py THEN 27 ELSE 33 END AS ln, CASE WHEN is_py THEN '/items/' || k ELSE '/web/' || k END AS route,
+  CASE WHEN is_py THEN 'login_' || k ELSE 'route_handler' END AS h FROM mods)
+SELECT repo, md5('# ' || repo || ' — API Reference' || chr(10) || chr(10) || 'Endpoints found in `' || repo || '`.' || chr(10) || chr(10) ||
+  array_to_string(list('## `GET ' || route || '`' || chr(10) || chr(10) || '- **Handler**: `' || h || '()`' || chr(10) || '- **Location**: `' || path || ':' || ln || '`' || chr(10) ORDER BY path, ln), chr(10))) AS digest
+FROM rt GROUP BY repo""")
+def api_reference_whole(spark, sf):
+    """All routes of every repository, without the survey's bound."""
+    files = declared(spark, sf)
+    whole = docs.evidence(files, x.routes(files), x.symbols(x.entities(files)), x.env_vars(files))
+    return docs.api_reference(whole).select("repo", F.md5("document").alias("digest"))
+
+
+@query("doc_evidence_rows", "AGG18", f"""
+WITH {_SYM_SQL}, ev AS (SELECT DISTINCT repo, CASE WHEN is_py THEN 'SERVICE_KEY_' ELSE 'HOME_' END || k7 AS name FROM mods),
+r AS (SELECT repo, 'route' AS kind, path AS place, CASE WHEN is_py THEN 27 ELSE 33 END AS line,
+    'GET ' || CASE WHEN is_py THEN '/items/' || k || ' login_' || k ELSE '/web/' || k || ' route_handler' END || ' ' || path || ':' || CASE WHEN is_py THEN 27 ELSE 33 END AS item FROM mods
+  UNION ALL SELECT repo, 'symbol', file_path, start_line, symbol_type || ' ' || name || ' ' || file_path || ':' || start_line FROM syms
+  UNION ALL SELECT repo, 'variable', name, 0, name FROM ev)
+SELECT repo, kind, row_number() OVER (PARTITION BY repo, kind ORDER BY place, line, item) AS rank, item, count(*) OVER (PARTITION BY repo, kind) AS n FROM r""")
 def doc_evidence_rows(spark, sf):
     files = declared(spark, sf)
     return docs.evidence_rows(x.routes(files), x.symbols(x.entities(files)), x.env_vars(files))

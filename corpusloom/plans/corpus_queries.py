@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths, text
 from corpusloom.operators import stats
 from corpusloom.plans import bindings as b
 from corpusloom.plans.registry import query
-from corpusloom.sources import corpus as src
+from corpusloom.session import shared_folder
+from corpusloom.sources import corpus as src, tree
 
 
 @query("corpus_totals", "SRC1 AGG1", f"""
@@ -218,8 +221,59 @@ def visibility_flags(spark, sf):
     )
 
 
-@query("corpus_report", "SNK6")
+@query("corpus_report", "SNK6", f"""
+WITH {b.CORPUS_SQL}, d AS (SELECT repo, count(DISTINCT dir) AS n FROM (SELECT repo, lang AS dir FROM corpus UNION ALL SELECT repo, lang || '/' || repo FROM corpus) GROUP BY repo),
+big AS (SELECT repo, path, size_bytes, row_number() OVER (PARTITION BY repo ORDER BY size_bytes DESC, path) AS rank FROM corpus QUALIFY rank <= 5),
+top AS (SELECT repo, string_agg('{{"rank":' || rank || ',"path":"' || path || '","size_bytes":' || size_bytes || '}}', ',' ORDER BY rank) AS files FROM big GROUP BY repo)
+SELECT c.repo, '{{"total_files":' || count(*) || ',"total_directories":' || any_value(d.n) || ',"total_size_bytes":' || sum(size_bytes)
+  || ',"file_extensions":[{{"key":".txt","count":' || count(*) || '}}],"largest_files":[' || any_value(top.files) || ']}}' AS report
+FROM corpus c JOIN d ON d.repo = c.repo JOIN top ON top.repo = c.repo GROUP BY c.repo""")
 def corpus_report(spark, sf):
     from corpusloom.sources.reports import repo_reports
 
     return repo_reports(b.corpus(spark, sf))
+
+
+_TREE_DIRS = ("src", "node_modules/pkg", "app/.git", "docs", "Build", "lib/deep/er", "")
+_TREE_ENDS = (".py", ".min.js", ".txt", ".md", ".PNG")
+_TREE_MAX = 4000
+
+
+def _write_tree(spark, sf):
+    """The documents as files of five repositories, some in ignored directories or with ignored names; gives the folder."""
+    folder = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    k = F.col("doc_id")
+    of = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), (k % len(names) + 1).cast("int"))
+    path = F.concat_ws("/", F.concat(F.lit("r"), (k % 5).cast("string")), F.nullif(of(_TREE_DIRS), F.lit("")), F.concat(k.cast("string"), of(_TREE_ENDS)))
+    files = b.table(spark, sf, "documents").select(path.alias("path"), F.encode("text", "UTF-8").alias("raw"))
+
+    def write(batches):
+        store, root = tree.filesystem(folder)
+        for batch in batches:
+            for place, raw in zip(batch.column("path").to_pylist(), batch.column("raw").to_pylist()):
+                store.create_dir(f"{root}/{place}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{root}/{place}") as f:
+                    f.write(raw)
+            yield batch.select(["path"])
+
+    files.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+_TREE_SQL = f"""files AS (
+  SELECT 'r' || (doc_id % 5) AS repo, CASE WHEN doc_id % 7 = 6 THEN '' ELSE {list(_TREE_DIRS)}[doc_id % 7 + 1] || '/' END || doc_id || {list(_TREE_ENDS)}[doc_id % 5 + 1] AS path,
+    CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, text FROM documents WHERE doc_id % 7 IN (0, 3, 5, 6) AND doc_id % 5 IN (0, 2, 3))"""
+
+
+@query("corpus_tree", "SRC1 SRC2 SRC3 SRC4 SRC5", f"""
+WITH {_TREE_SQL} SELECT repo, path, size_bytes, md5(text) AS digest FROM files WHERE size_bytes <= {_TREE_MAX}""")
+def corpus_tree(spark, sf):
+    """A tree of files written from the documents and read back, pruned while it is listed."""
+    files = src.read_corpus(spark, _write_tree(spark, sf), max_bytes=_TREE_MAX, partition_bytes=1 << 20)
+    return files.select("repo", "path", "size_bytes", F.md5(F.encode(src.decode(F.col("raw")), "UTF-8")).alias("digest"))
+
+
+@query("corpus_oversized", "SRC1 SRC4", f"""
+WITH {_TREE_SQL} SELECT repo, path, size_bytes, 'too_large' AS skip_reason FROM files WHERE size_bytes > {_TREE_MAX}""")
+def corpus_oversized(spark, sf):
+    return src.oversized(spark, _write_tree(spark, sf), max_bytes=_TREE_MAX)

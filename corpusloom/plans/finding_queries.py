@@ -9,6 +9,7 @@ from corpusloom.operators import lines, quality as q, security as s
 from corpusloom.plans import bindings as b
 from corpusloom.plans.line_queries import _BLOCKS_SQL
 from corpusloom.plans.registry import query
+from corpusloom.session import stored
 
 # File-size limits lowered so that the driver documents reach both levels.
 LIMITS = q.Thresholds(file_lines=(20, 40))
@@ -161,7 +162,7 @@ def file_size_findings(spark, sf):
 
 def _quality(spark, sf):
     files = b.corpus_lines(spark, sf)
-    counts = lines.line_counts(files)
+    counts = stored(lines.line_counts(files), "line-counts")  # read by the size rule and by the scores
     return counts, q.file_size_findings(counts, LIMITS).unionByName(q.duplicate_findings(lines.duplicate_blocks(files, within_repo=True)))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths, secrets
@@ -9,6 +11,8 @@ from corpusloom.operators import retrieval, testruns as tr, traces as t
 from corpusloom.plans import bindings as b
 from corpusloom.plans.code_queries import declared
 from corpusloom.plans.registry import query
+from corpusloom.session import shared_folder, stored
+from corpusloom.sources import logs
 
 # Every error event is one log text of four kinds; its frames name a derived module of repository r<m % 5>.
 _TRACE_SQL = """tr AS (SELECT event_id AS trace_id, CAST(2 * (event_id % 90) AS VARCHAR) AS m, 2 * (event_id % 90) AS mn, event_id % 4 AS kind, CAST(user_id AS VARCHAR) AS u, event_id % 30 + 10 AS ln
@@ -185,13 +189,44 @@ def test_runs(spark, sf):
     )
 
 
-@query("test_cases", "EXT13 SRC8", """
+@query("test_cases", "EXT13", """
 SELECT event_id AS run_id, CASE event_id % 5 WHEN 0 THEN 'test_' || event_id ELSE 'test_x' END AS name, 'passed' AS status FROM events WHERE event_id % 5 IN (0, 2)
 UNION ALL SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'test_b' ELSE 'test_y' END, CASE event_id % 5 WHEN 0 THEN 'failed' ELSE 'skipped' END FROM events WHERE event_id % 5 IN (0, 2)""")
 def test_cases(spark, sf):
     return tr.cases(tr.parse_runs(runs(spark, sf)))
 
 
+def _log_folder(spark, sf):
+    """All runs' output in one log file, each behind a line with its id and exit code, written once; gives the folder."""
+    folder = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    head = F.concat(F.lit("##[run "), F.col("run_id").cast("string"), F.lit(" exit "), F.col("exit_code").cast("string"), F.lit("]"))
+    text = F.concat(head, F.lit("\n"), "stdout").alias("value")
+    runs(spark, sf).orderBy("run_id").select(text).coalesce(1).write.text(folder)
+    return folder
+
+
+@query("log_runs", "SRC8 EXT13 EXT14 EXT15", """
+SELECT event_id AS run_id, CAST(event_id % 5 AS INTEGER) AS kind, CASE event_id % 5 WHEN 0 THEN 1 WHEN 2 THEN 1 ELSE 0 END AS passed, CASE event_id % 5 WHEN 0 THEN 1 ELSE 0 END AS failed,
+  CASE event_id % 5 WHEN 0 THEN 'test_' || event_id || ',test_b' WHEN 2 THEN 'test_x,test_y' ELSE '' END AS names,
+  CASE event_id % 5 WHEN 0 THEN 'completed' WHEN 2 THEN 'completed' ELSE 'failed' END AS status FROM events""")
+def log_runs(spark, sf):
+    """Every run of one log file, read in byte ranges and put together whole."""
+    folder, mark = _log_folder(spark, sf), r"^##\[run (\d+) exit (\d+)\]$"
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    # written while the ranges are small, so that the file comes in many
+    records = stored(logs.log_records(logs.read_log_lines(spark, folder), F.col("line").rlike(mark)).filter("record > 0"), "log-records")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    first, rest = F.substring_index("text", "\n", 1), F.regexp_replace("text", r"^[^\n]*\n?", "")
+    given = records.select(
+        F.regexp_extract(first, mark, 1).cast("long").alias("run_id"), rest.alias("stdout"), F.lit("").alias("stderr"),
+        F.regexp_extract(first, mark, 2).cast("int").alias("exit_code"), F.lit(False).alias("timed_out"), F.lit(None).cast("string").alias("error"),
+    )
+    parsed = tr.parse_runs(given)
+    return parsed.select(
+        "run_id", (F.col("run_id") % 5).cast("int").alias("kind"), "passed", "failed", F.array_join(F.transform("cases", lambda c: c["name"]), ",").alias("names"), "status")
+
+
 @query("outcome_totals", "AGG15", """
 SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type = 'click') AS passed, count(*) FILTER (WHERE event_type = 'error') AS failed,
   count(*) FILTER (WHERE event_type = 'view') AS skipped, CAST(0 AS BIGINT) AS errors FROM events GROUP BY user_id""")
@@ -231,11 +266,11 @@ def coverage_totals(spark, sf):
 
 
 @query("coverage_files", "JSON1 SET6 SRT4 PRJ11", """
-SELECT doc_id AS run_id, CASE doc_id % 5 WHEN 0 THEN 'app/c' || doc_id || '.py' ELSE 'src/b.py' END AS file_path, n_chars + 1 AS total_statements,
+SELECT doc_id AS run_id, CAST(1 AS INTEGER) AS position, CASE doc_id % 5 WHEN 0 THEN 'app/c' || doc_id || '.py' ELSE 'src/b.py' END AS file_path, n_chars + 1 AS total_statements,
   CASE doc_id % 5 WHEN 0 THEN 33.33::DOUBLE ELSE 0.0::DOUBLE END AS coverage_percent, CASE doc_id % 5 WHEN 0 THEN '5,6' ELSE '' END AS missing FROM documents WHERE doc_id % 5 < 2""")
 def coverage_files(spark, sf):
     return tr.coverage_files(tr.parse_coverage(coverage_reports(spark, sf))).select(
-        "run_id", "file_path", "total_statements", "coverage_percent", F.array_join("missing_lines", ",").alias("missing")
+        "run_id", "position", "file_path", "total_statements", "coverage_percent", F.array_join("missing_lines", ",").alias("missing")
     )
 
 

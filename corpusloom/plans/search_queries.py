@@ -258,22 +258,39 @@ def citations(spark, sf):
     return retrieval.validate_citations(a, sources).select("answer_id", "citation_no", "source_id")
 
 
-@query("answers", "SRCH12 UDF2")
+_ASKED_SQL = "qs AS (SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user')"
+_ANSWERED_SQL = _FUSE_SQL.replace(_QUERIES_SQL, _ASKED_SQL).replace("rank <= 20", "rank <= 12") + """, hit AS (SELECT DISTINCT query_id FROM fused WHERE rank = 1)"""
+
+
+@query("answers", "SRCH12 UDF2", f"""
+WITH {_ANSWERED_SQL}
+SELECT query_id, md5(CASE WHEN h.query_id IS NULL THEN 'No generated answer is available; see the cited sources.' ELSE 'The most relevant source is [S1].' END) AS digest,
+  CASE WHEN h.query_id IS NULL THEN 'text generation was unavailable; a template answer is shown' END AS warning, CASE WHEN h.query_id IS NULL THEN NULL ELSE CAST(1 AS BIGINT) END AS n_citations
+FROM qs LEFT JOIN hit h USING (query_id)""")
 def answered(spark, sf):
-    """User turns answered from the corpus by the deterministic template generator."""
-    from corpusloom.functions.models import template_generator
+    """User turns answered from the corpus through the batch-generator seam, here with a model that cites the first source."""
+    from corpusloom.functions.models import generate_column
+
+    def first_source(prompts):
+        found = [p.partition("--- BEGIN ")[2].partition(" ---")[0] for p in prompts]
+        return [f"The most relevant source is [{s}]." if s else None for s in found]
+
+    def generate(prompts):
+        return generate_column(prompts, "query_id", "prompt", first_source)
 
     asked = b.table(spark, sf, "conversations").filter(F.col("role") == "user").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text", F.lit("corpus").alias("collection"),
         vf.hash_embedding(F.col("text"), _DIM).alias("embedding"),
     )
     index = lexical.indexed(chunks(spark, sf))
-    answers_df, cited = retrieval.answer_questions(asked, index, _vectors(index.chunks), template_generator, 3)
+    answers_df, cited = retrieval.answer_questions(asked, index, _vectors(index.chunks), generate, 3)
     counts = cited.groupBy(F.col("answer_id").alias("query_id")).agg(F.count(F.lit(1)).alias("n_citations"))
     return answers_df.join(counts, "query_id", "left").select("query_id", F.md5("answer").alias("digest"), "warning", "n_citations")
 
 
-@query("embedded_chunks", "UDF1 STR10")
+@query("embedded_chunks", "UDF1 STR10", f"""
+WITH {_CHUNKS_SQL}, cv AS (SELECT chunk_id, {hash_embedding_sql("'File: ' || file_path || chr(10) || 'Entity: file_module ' || entity_name || chr(10) || 'Code:' || chr(10) || code", _DIM)} AS v FROM chunks)
+SELECT chunk_id, 'hash' AS model, {_DIM} AS dimension, round_even(CAST(CAST(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))) AS FLOAT) AS DOUBLE), 6) AS first FROM cv""")
 def embedded_chunks(spark, sf):
     """Chunks through the pluggable embedder seam with the built-in hash model."""
     from corpusloom.functions.models import HashEmbedder, embed_column
@@ -282,5 +299,5 @@ def embedded_chunks(spark, sf):
     words = text.embedding_text(F.col("file_path"), F.col("entity_type"), F.col("entity_name"), F.col("code_content"))
     model = HashEmbedder(_DIM)
     return embed_column(c.select("chunk_id", words.alias("text")), "text", model).select(
-        "chunk_id", "model", F.size("embedding").alias("dimension"), F.bround(F.get("embedding", 0), 6).alias("first")
+        "chunk_id", "model", F.size("embedding").alias("dimension"), F.bround(F.get("embedding", 0).cast("double"), 6).alias("first")
     )

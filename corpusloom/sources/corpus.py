@@ -5,49 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import paths, text
+from corpusloom.sources import tree
 
 MAX_FILE_BYTES = 1024 * 1024
 
 
 def read_corpus(
     spark: SparkSession, location: str, repo: str | None = None, profile: str = "scan", max_bytes: int | None = MAX_FILE_BYTES,
-    extensions: tuple[str, ...] = (),
+    extensions: tuple[str, ...] = (), partition_bytes: int = tree.PARTITION_BYTES,
 ) -> DataFrame:
     """Files below ``location`` as ``(repo, path, size_bytes, raw)``.
 
-    The size bound and ``extensions`` reach the scan: files over ``max_bytes`` (``None``: no bound) or with another
-    extension are listed but not read; :func:`oversized` gives the former. Files in ignored directories are dropped after
-    the scan, which knows file names only. ``repo`` names a single repository; without it the first path segment below
-    ``location`` is the repository.
+    Directories that ``profile`` ignores are not entered; ignored files, other ``extensions`` and files over ``max_bytes``
+    (``None``: no bound) are listed but not read, and :func:`oversized` gives the last. ``repo`` names a single repository;
+    without it the first path segment below ``location`` is the repository. Filters on ``repo`` and ``size_bytes`` reach the
+    listing.
     """
-    named = _listed(spark, location, repo, extensions, max_bytes, F.col("content").alias("raw"))
-    return named.filter(~paths.in_ignored_dir(F.col("path"), profile) & ~paths.is_ignored_file(F.col("path")))
+    return _tree(spark, location, repo, profile, extensions, maxBytes=max_bytes, partitionBytes=partition_bytes)
 
 
 def oversized(
-    spark: SparkSession, location: str, repo: str | None = None, max_bytes: int = MAX_FILE_BYTES, extensions: tuple[str, ...] = ()
+    spark: SparkSession, location: str, repo: str | None = None, max_bytes: int = MAX_FILE_BYTES, extensions: tuple[str, ...] = (),
+    profile: str = "scan",
 ) -> DataFrame:
     """``(repo, path, size_bytes, skip_reason)`` of the files that :func:`read_corpus` leaves out for their size, from a
-    scan that reads no content."""
-    files = _listed(spark, location, repo, extensions, None)
-    return files.filter(F.col("size_bytes") > max_bytes).withColumn("skip_reason", F.lit("too_large"))
-
-
-def _listed(spark: SparkSession, location: str, repo: str | None, extensions: tuple[str, ...], max_bytes: int | None, *more: Column) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if extensions:
-        reader = reader.option("pathGlobFilter", "*{" + ",".join(extensions) + "}")
-    files = reader.load(location)
-    if max_bytes is not None:
-        files = files.filter(F.col("length") <= max_bytes)
-    root = location.rstrip("/") + "/"
-    relative = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*(?=/)", "")
-    relative = F.element_at(F.split(relative, F.concat(F.lit(r"\Q"), F.lit(root), F.lit(r"\E")), 2), -1)
-    if repo is None:
-        repo_col, path_col = F.substring_index(relative, "/", 1), F.regexp_replace(relative, "^[^/]*/", "")
-    else:
-        repo_col, path_col = F.lit(repo), relative
-    return files.select(repo_col.alias("repo"), path_col.alias("path"), F.col("length").alias("size_bytes"), *more)
+    listing that opens none."""
+    files = _tree(spark, location, repo, profile, extensions, overBytes=max_bytes, content="false")
+    return files.drop("raw").withColumn("skip_reason", F.lit("too_large"))
+
+
+def _tree(spark: SparkSession, location: str, repo: str | None, profile: str, extensions: tuple[str, ...], **options) -> DataFrame:
+    spark.dataSource.register(tree.CorpusFiles)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    given = {"path": location, "repo": repo, "profile": profile, "extensions": ",".join(extensions), **options}
+    return spark.read.format("corpus_files").options(**{k: str(v) for k, v in given.items() if v not in (None, "")}).load()
 
 
 def read_corpus_table(spark: SparkSession, location: str) -> DataFrame:

@@ -1,16 +1,56 @@
-"""Text and JSON sources of logs, traces and reports."""
+"""Text and JSON sources of logs, traces and reports.
+
+A log is read as lines, so Spark cuts a large one by byte ranges. What a line belongs to depends on all lines before it; each
+range gives a small summary (its lines and the records that begin in it), the summaries are added up in order, and every
+line gets its place from its range's sum and its own place in the range. So no task holds a whole log, and a record that
+goes across ranges is whole.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def read_logs(spark: SparkSession, location: str) -> DataFrame:
-    """One row per log file: ``(path, text)``."""
+    """One row per log file: ``(path, text)``; for small files, one in a row."""
     files = spark.read.option("recursiveFileLookup", True).text(location, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def read_log_lines(spark: SparkSession, location: str) -> DataFrame:
+    """``(path, range, seq, line)``: lines in byte ranges of their files; ``seq`` has their order within a range."""
+    lines = spark.read.option("recursiveFileLookup", True).text(location)
+    return lines.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("range"),
+        F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"),
+    )
+
+
+def numbered_records(lines: DataFrame, begins: Column) -> DataFrame:
+    """``lines`` with ``line_no`` and ``record`` in their file: a record begins at each line for which ``begins`` holds.
+
+    Lines before the first of them are record 0.
+    """
+    marked = lines.withColumn("_begins", F.coalesce(begins, F.lit(False)).cast("int"))
+    order = Window.partitionBy("path").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = marked.groupBy("path", "range").agg(F.count(F.lit(1)).alias("_lines"), F.sum("_begins").alias("_records"))
+    before = sums.select(
+        "path", "range", F.coalesce(F.sum("_lines").over(order), F.lit(0)).alias("_l"), F.coalesce(F.sum("_records").over(order), F.lit(0)).alias("_r")
+    )
+    inside = Window.partitionBy("path", "range").orderBy("seq")
+    placed = marked.withColumn("_n", F.row_number().over(inside)).withColumn("_m", F.sum("_begins").over(inside))
+    return placed.join(before, ["path", "range"]).select(
+        "path", (F.col("_l") + F.col("_n")).alias("line_no"), (F.col("_r") + F.col("_m")).alias("record"), "line"
+    )
+
+
+def log_records(lines: DataFrame, begins: Column) -> DataFrame:
+    """``(path, record, first_line, text)``: the records of each log, whole; what a task holds is one record."""
+    numbered = numbered_records(lines, begins)
+    grouped = numbered.groupBy("path", "record").agg(F.min("line_no").alias("first_line"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
+    return grouped.select("path", "record", "first_line", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("text"))
+
+
 def read_coverage(spark: SparkSession, location: str) -> DataFrame:
     """One row per coverage document: ``(run_id, json)`` with the file path as run id."""
     return read_logs(spark, location).select(F.col("path").alias("run_id"), F.col("text").alias("json"))

@@ -1,4 +1,4 @@
-"""The latest N records, overall or per key, in batch and as a stream with N ids of state per key."""
+"""The latest N records, overall or per key, in batch and as a stream with N records of state per key."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 HISTORY = 100
+#: The state store that ``stream_latest`` needs; to be set in the session before the query starts.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def latest(df: DataFrame, ts: str, record_id: str, n: int = HISTORY) -> DataFrame:
@@ -22,25 +24,52 @@ def latest_per_key(df: DataFrame, key: str, ts: str, record_id: str, n: int = HI
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
+def _newest(rows: pd.DataFrame, n: int, by: list[str]) -> pd.DataFrame:
+    ordered = rows.drop_duplicates([*by, "record_id"]).sort_values(["ts_us", "record_id"], ascending=False)
+    return ordered.groupby(by, sort=False).head(n) if by else ordered.head(n)
+
+
+class NewestRecords(StatefulProcessor):
+    """Holds a key's newest ``n`` records; emits those it holds after an input, and once each record that it lets go."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "ts_us bigint, record_id bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = pd.DataFrame(list(self.held.get()), columns=["ts_us", "record_id"])
+        best = before
+        for chunk in rows:
+            best = _newest(pd.concat([best, chunk[["ts_us", "record_id"]]]), self.n, [])
+        best = _newest(best, self.n, [])
+        self.held.put([(int(t), int(r)) for t, r in zip(best["ts_us"], best["record_id"])])
+        gone = [int(r) for r in before["record_id"] if r not in set(best["record_id"])]
+        kept = [int(r) for r in best["record_id"]]
+        yield pd.DataFrame({
+            "key": pd.Series([key[0]] * (len(kept) + len(gone)), dtype="object"), "record_id": pd.Series(kept + gone, dtype="int64"),
+            "position": pd.Series([*range(1, len(kept) + 1), *[0] * len(gone)], dtype="int32"),
+            "evicted": pd.Series([False] * len(kept) + [True] * len(gone), dtype="bool"),
+        })
+
+    def close(self) -> None:
+        pass
+
+
 def stream_latest(events: DataFrame, n: int = HISTORY) -> DataFrame:
-    """Stream of ``(key, record_id, position)`` updates: the current newest ``n`` ids of each key that changed.
+    """Stream of ``(key, record_id, position, evicted)``: the newest ``n`` records of each key that changed, and the evicted ones.
 
-    ``events`` carry ``key string, ts_us bigint, record_id bigint``. State per key is ``n`` pairs, however many records
-    pass. Input of a micro-batch is cut to ``n`` per key inside each Arrow chunk, so a hot key is never held whole.
+    ``events`` carry ``key string, ts_us bigint, record_id bigint``. State per key is ``n`` records in RocksDB, however many
+    pass. Before the shuffle each Arrow batch hands on its newest ``n`` per key, so that a hot key of very many rows reaches
+    its task as a few.
     """
 
-    def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stamps, ids = state.get if state.exists else ([], [])
-        best = pd.DataFrame({"ts_us": list(stamps), "record_id": list(ids)})
-        for chunk in chunks:
-            best = pd.concat([best, chunk[["ts_us", "record_id"]]]).drop_duplicates("record_id")
-            best = best.sort_values(["ts_us", "record_id"], ascending=False).head(n)
-        state.update((best["ts_us"].astype(int).tolist(), best["record_id"].astype(int).tolist()))
-        yield pd.DataFrame(
-            {"key": key[0], "record_id": best["record_id"].astype("int64").to_numpy(), "position": range(1, len(best) + 1)}
-        )
-
-    return events.groupBy("key").applyInPandasWithState(
-        update, "key string, record_id bigint, position int", "stamps array<bigint>, ids array<bigint>", "update",
-        GroupStateTimeout.NoTimeout,
+    def combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield _newest(batch, n, ["key"])
+
+    fewer = events.select("key", "ts_us", "record_id").mapInPandas(combined, "key string, ts_us bigint, record_id bigint")
+    return fewer.groupBy("key").transformWithStateInPandas(
+        NewestRecords(n), "key string, record_id bigint, position int, evicted boolean", "Update", "None"
     )
