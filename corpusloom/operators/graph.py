@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import paths
+from corpusloom.operators import extract
 
 SALTS = 8
 
@@ -94,18 +95,34 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def codebase_summary(files: DataFrame, entities: DataFrame, imports: DataFrame, rejects: DataFrame) -> DataFrame:
-    """Counts per repository: files, languages, entity types, imports, files with errors."""
-    kinds = {"classes": "class", "functions": "function", "methods": "method", "interfaces": "interface", "types": "type_alias"}
-    by_file = files.groupBy("repo").agg(
+def codebase_summary(files: DataFrame, rejects: DataFrame) -> DataFrame:
+    """Files by language, entities by kind, imports and rejects per repository.
+
+    Entities and imports are counted inside the row of their file, from ``extract.with_declarations``, so the files are read
+    once and only counts leave a row.
+    """
+    python = F.col("language") == "Python"
+
+    def count(kept) -> Column:
+        return F.size(F.filter("decls", kept)).cast("bigint")
+
+    top = lambda d: ~python | (d["ind"] == 0)
+    function = lambda d: F.when(python, (d["kind"] != "class") & (d["ind"] == 0)).otherwise(d["kind"].isin("function", "arrow"))
+    method = lambda d: F.when(python, (d["kind"] != "class") & (d["outer_kind"] == "class") & (d["outer_ind"] == 0)).otherwise(d["kind"] == "method")
+    found = F.transform(extract.import_statements(F.col("lines"), F.col("labels")), lambda r: F.greatest(F.size(extract.imported(r["x"], F.col("language"))), F.lit(0)))
+    kinds = {
+        "classes": count(lambda d: (d["kind"] == "class") & top(d)), "functions": count(function), "methods": count(method),
+        "interfaces": count(lambda d: d["kind"] == "interface"), "types": count(lambda d: d["kind"] == "type_alias"),
+        "imports": F.aggregate(found, F.lit(0), lambda s, n: s + n).cast("bigint"),
+    }
+    counted = files.select("repo", "language", *[c.alias(name) for name, c in kinds.items()])
+    by_file = counted.groupBy("repo").agg(
         F.count(F.lit(1)).alias("files_analyzed"),
         *[F.count_if(F.col("language") == n).alias(n.lower() + "_files") for n in ("Python", "JavaScript", "TypeScript")],
+        *[F.sum(name).alias(name) for name in kinds],
     )
-    by_entity = entities.groupBy("repo").agg(*[F.count_if(F.col("type") == t).alias(n) for n, t in kinds.items()])
-    by_import = imports.groupBy("repo").agg(F.count(F.lit(1)).alias("imports"))
     by_reject = rejects.groupBy("repo").agg(F.count(F.lit(1)).alias("files_with_errors"))
-    joined = by_file.join(by_entity, "repo", "left").join(by_import, "repo", "left").join(by_reject, "repo", "left")
-    return joined.na.fill(0)
+    return by_file.join(by_reject, "repo", "left").na.fill(0)
 
 
 def structure_map(files: DataFrame, entities: DataFrame, docstring_chars: int = 100) -> DataFrame:

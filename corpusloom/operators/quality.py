@@ -304,36 +304,44 @@ def duplicate_findings(duplicates: DataFrame) -> DataFrame:
 
 _ITEM = (
     f"struct<d:{extract.DECLARATION_ITEM},h:struct<{scanner.HANDLER.replace(' ', ':').replace(',:', ',')}>,"
-    "u:struct<n:int,symbol:string>,total:bigint>"
+    "u:struct<n:int,symbol:string>,size:struct<total:bigint,code:bigint,comment:bigint,blank:bigint>>"
 )
 
 
-def file_findings(files: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """All findings that one file decides (everything but duplicates), in one pass over ``extract.with_declarations``.
+def file_items(files: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """What one file decides, in one pass over ``extract.with_declarations``: a row per entity, handler, unused import, and one
+    per file with its line counts; each with the ``findings`` it gives and, an entity, with its metrics.
 
-    A file's row becomes its declarations, handlers, unused imports and its size, each with its own text only; each of
-    these gives the findings of its kind.
+    A row holds its own text only, and after that none.
     """
     def item(kind: str, value: Column) -> Column:
         empty = F.lit(None).cast(_ITEM)
-        return F.struct(*[(value if k == kind else empty[k]).alias(k) for k in ("d", "h", "u", "total")]).cast(_ITEM)
+        return F.struct(*[(value if k == kind else empty[k]).alias(k) for k in ("d", "h", "u", "size")]).cast(_ITEM)
 
+    count = lambda letter: (F.length("labels") - F.length(F.replace("labels", F.lit(letter), F.lit("")))).cast("bigint")
+    size = F.struct(F.length("labels").cast("bigint").alias("total"), count("c").alias("code"), count("m").alias("comment"), count("b").alias("blank"))
     unused = unused_names(F.col("lines"), F.col("labels"), F.col("language"))
     items = F.concat(
         F.transform(extract.declaration_items(F.col("lines"), F.col("decls")), lambda d: item("d", d)),
-        F.transform("handlers", lambda h: item("h", h)), F.transform(unused, lambda u: item("u", u)),
-        F.array(item("total", F.length("labels").cast("bigint"))),
+        F.transform("handlers", lambda h: item("h", h)), F.transform(unused, lambda u: item("u", u)), F.array(item("size", size)),
     )
     rows = explode_rows(files, items, "item", "repo", "path", "language")
     rows = rows.select("repo", "path", "language", "item", *extract.declaration_columns("item.d")).withColumn("entity_type", _entity_type())
     rows = rows.select("repo", "path", "item", "start_line", "end_line", F.col("name").alias("entity_name"), "entity_type", *_metrics())
-    h, u = "item.h", "item.u"
+    h, u, total = "item.h", "item.u", F.col("item.size.total")
     handler = _handler_finding(F.col(f"{h}.caught"), F.col(f"{h}.only_pass"), F.col(f"{h}.n"), F.col(f"{h}.end"))
-    return _exploded(rows, (
+    found = (
         F.when(F.col("entity_type").isNotNull(), _entity_rules(t)).when(F.col(h).isNotNull(), F.array(handler))
         .when(F.col(u).isNotNull(), F.array(_import_finding(F.col(f"{u}.symbol"), F.col(f"{u}.n"))))
-        .when(F.col("item.total").isNotNull(), F.array(_size_finding(F.col("item.total"), t)))
-    ))
+        .when(total.isNotNull(), F.array(_size_finding(total, t)))
+    )
+    return rows.select("repo", "path", F.col("item.size").alias("size"), *[c for c in rows.columns if c not in ("repo", "path", "item")],
+                       F.array_compact(found).alias("findings"))
+
+
+def file_findings(files: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """All findings that one file decides (everything but duplicates)."""
+    return _exploded(file_items(files, t), F.col("findings"))
 
 
 def ordered_findings(findings: DataFrame) -> DataFrame:
@@ -437,27 +445,30 @@ def repo_health(counts: DataFrame, findings: DataFrame, metrics: DataFrame | Non
     return scored.withColumn("overall_score", overall).withColumn("letter_grade", letter_grade(F.col("overall_score")))
 
 
-def repo_metrics(counts: DataFrame, metrics: DataFrame, findings: DataFrame) -> DataFrame:
-    """Totals, means and maxima per repository."""
+def repo_metrics(items: DataFrame, duplicates: DataFrame | None = None) -> DataFrame:
+    """Totals, means and maxima per repository from :func:`file_items`, and ``duplicates`` as of ``lines.duplicate_blocks``.
+
+    One pass: files, entities and findings are rows of the same table, and sums are combined before the shuffle.
+    """
     function = F.col("entity_type") != "class"
-    sums = counts.groupBy("repo").agg(
-        *[F.sum(c).alias(c) for c in ("total_lines", "code_lines", "comment_lines", "blank_lines")],
-        F.count(F.lit(1)).alias("total_files_analyzed"),
-    )
-    entities = metrics.groupBy("repo").agg(
+    public = F.col("entity_type").isNotNull() & F.col("is_public")
+    sums = items.groupBy("repo").agg(
+        *[F.sum(f"size.{part}").alias(f"{part}_lines") for part in ("total", "code", "comment", "blank")],
+        F.count("size").alias("total_files_analyzed"),
         F.count_if(function).alias("total_functions"), F.count_if(~function).alias("total_classes"),
         F.bround(F.avg(F.when(function, F.col("lines_count"))), 1).alias("average_function_length"),
-        F.bround(F.avg("cyclomatic_complexity"), 1).alias("average_cyclomatic_complexity"),
-        F.max("cyclomatic_complexity").alias("max_cyclomatic_complexity"),
-        F.bround(F.count_if(F.col("is_public") & F.col("has_docstring")) / F.count_if("is_public") * 100.0, 1).alias("docstring_coverage_percentage"),
+        F.bround(F.avg(F.when(function, F.col("cyclomatic_complexity"))), 1).alias("average_cyclomatic_complexity"),
+        F.max(F.when(function, F.col("cyclomatic_complexity"))).alias("max_cyclomatic_complexity"),
+        F.bround(F.count_if(public & F.col("has_docstring")) / F.count_if(public) * 100.0, 1).alias("docstring_coverage_percentage"),
+        F.count_distinct(F.when(F.size("findings") > 0, F.col("path"))).alias("files_with_issues"),
     )
-    issues = findings.groupBy("repo").agg(
-        F.count_distinct("path").alias("files_with_issues"),
-        F.count_if(F.col("rule_id") == "DUPLICATE_CODE_BLOCK").alias("duplicate_blocks_count"),
-    )
-    return sums.join(entities, "repo", "left").join(issues, "repo", "left").na.fill({
-        "total_functions": 0, "total_classes": 0, "average_function_length": 0.0, "average_cyclomatic_complexity": 1.0,
-        "max_cyclomatic_complexity": 1, "docstring_coverage_percentage": 100.0, "files_with_issues": 0, "duplicate_blocks_count": 0,
+    if duplicates is None:
+        counted = sums.withColumn("duplicate_blocks_count", F.lit(0).cast("bigint"))
+    else:
+        counted = sums.join(duplicates.groupBy("repo").agg(F.count(F.lit(1)).alias("duplicate_blocks_count")), "repo", "left")
+    return counted.na.fill({
+        "average_function_length": 0.0, "average_cyclomatic_complexity": 1.0,
+        "max_cyclomatic_complexity": 1, "docstring_coverage_percentage": 100.0, "duplicate_blocks_count": 0,
     })
 
 

@@ -257,10 +257,7 @@ e AS (SELECT repo, count(*) FILTER (WHERE entity_type <> 'class') AS total_funct
 i AS (SELECT repo, count(DISTINCT path) AS files_with_issues FROM fnd GROUP BY repo)
 SELECT *, CAST(0 AS BIGINT) AS duplicate_blocks_count FROM l JOIN e USING (repo) JOIN i USING (repo)""")
 def code_repo_metrics(spark, sf):
-    from corpusloom.operators import lines
-
-    files = declared(spark, sf)
-    return q.repo_metrics(lines.line_counts(files), q.entity_metrics(files), q.file_findings(files, LIMITS))
+    return q.repo_metrics(q.file_items(declared(spark, sf), LIMITS))
 
 
 _SEC = [
@@ -321,7 +318,7 @@ SELECT repo, count(*) AS files_analyzed, count(*) FILTER (WHERE is_py) AS python
   CAST(sum(CASE WHEN is_py THEN 5 ELSE 2 END) AS BIGINT) AS imports, CAST(0 AS BIGINT) AS files_with_errors FROM mods GROUP BY repo""")
 def codebase_summary(spark, sf):
     accepted, rejects = src.split_rejects(declared(spark, sf))
-    return graph.codebase_summary(accepted, x.entities(accepted), x.imports(accepted), rejects)
+    return graph.codebase_summary(accepted, rejects)
 
 
 def _module_text(first: int, last: int) -> str:
