@@ -286,13 +286,37 @@ def fallback_chunks(files: DataFrame, max_lines: int = FALLBACK_CHUNK_LINES) ->
     )
 
 
+def at_files(targets: DataFrame, files: DataFrame, columns: list[str], look_up, most: int = 1000) -> DataFrame:
+    """``look_up(target)`` for every row of ``targets`` (``repo, path, …``), inside the row of its file.
+
+    The targets go to the files, not the files to the targets: those of a file become arrays, and each of its rows is read
+    with ``columns`` of ``files`` at hand. So a file's lines are moved once, and not at all where the targets are few enough
+    for Spark to broadcast them. A file with more than ``most`` targets comes in several rows, each with a part of them, and
+    those go to several tasks. ``look_up`` gives a struct, whose fields are the result's columns beside ``repo`` and ``path``.
+    """
+    key = ["repo", "path"]
+    fields = [c for c in targets.columns if c not in key]
+    targets = stored(targets, "targets")
+    rows = files.select(*key, *columns)
+    hot = targets.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_parts")).filter("_parts > 1")
+    if hot.isEmpty():
+        arrays = targets.groupBy(*key).agg(F.collect_list(F.struct(*fields)).alias("_targets"))
+        joined = rows.join(arrays, key)
+    else:
+        hot = stored(hot, "hot-files")
+        part = F.pmod(F.xxhash64(F.to_json(F.struct(*fields))), F.coalesce("_parts", F.lit(1))).cast("int").alias("_part")
+        spread = targets.join(hot, key, "left").select(*key, part, F.struct(*fields).alias("_t"))
+        arrays = spread.groupBy(*key, "_part").agg(F.collect_list("_t").alias("_targets"))
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part")
+        joined = rows.join(hot, key, "left").select(*rows.columns, copies).join(arrays, [*key, "_part"])
+    return explode_rows(joined, F.transform("_targets", look_up), "_o", *key).select(*key, "_o.*")
+
+
 def context_windows(targets: DataFrame, files: DataFrame, pad: int = 15, head: int = 50) -> DataFrame:
-    """The numbered lines around each target ``(repo, path, target_line)``, cut from the line array of its file."""
-    start, end = text.context_window(F.col("target_line"), F.size("lines"), pad, head)
-    return (
-        targets.join(files.filter(F.col("content") != "").select("repo", "path", "lines"), ["repo", "path"])
-        .withColumn("start_line", start)
-        .withColumn("end_line", end)
-        .withColumn("code_snippet", text.numbered_snippet(F.col("lines"), F.col("start_line"), F.col("end_line")))
-        .drop("lines")
-    )
+    """The numbered lines around each target ``(repo, path, target_line, …)``, cut in the row of its file."""
+    def window(t: Column) -> Column:
+        start, end = text.context_window(t["target_line"], F.size("lines"), pad, head)
+        return bind(F.struct(start.alias("s"), end.alias("e")), lambda w: t.withField("start_line", w["s"]).withField("end_line", w["e"]).withField(
+            "code_snippet", text.numbered_snippet(F.col("lines"), w["s"], w["e"])))
+
+    return at_files(targets, files.filter(F.col("content") != ""), ["lines"], window)

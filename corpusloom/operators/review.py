@@ -10,8 +10,7 @@ from corpusloom.functions.rows import posexplode_rows
 from corpusloom.functions.secrets import redact_secrets
 from corpusloom.functions.text import strip
 from corpusloom.functions.vectors import bind
-from corpusloom.operators import quality
-from corpusloom.operators.graph import salted_join
+from corpusloom.operators import lines as line_ops, quality
 
 # Enumerations of the review schema.
 CATEGORIES = ("correctness", "security", "performance", "maintainability", "readability", "testing")
@@ -39,9 +38,8 @@ def from_quality(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Quality findings on functions and handlers in the review schema, with their first source line as evidence."""
     broad = F.col("rule_id") == "BROAD_EXCEPTION"
     chosen = findings.filter((F.col("entity_type") == "function") | broad)
-    with_line = salted_join(
-        chosen, files.select("repo", "path", "lines"), ["repo", "path"], ["finding_id"], "inner", salts=1
-    ).withColumn("evidence", strip(F.coalesce(F.get("lines", F.col("start_line") - 1), F.lit(""))))
+    with_line = line_ops.at_files(chosen, files, ["lines"], lambda f: f.withField(
+        "evidence", strip(F.coalesce(F.get("lines", f["start_line"] - 1), F.lit("")))))
     none = F.lit(None).cast("string")
     return with_line.select(
         F.when(broad, F.lit("Overly Broad Exception Handling")).otherwise(rule_title(F.col("rule_id"))).alias("title"),
@@ -79,21 +77,26 @@ def ground(raw: DataFrame, files: DataFrame) -> DataFrame:
     """
     clean = lambda c: strip(F.coalesce(F.col(c), F.lit("")))
     named = raw.filter((clean("title") != "") & (clean("problem") != ""))
-    joined = named.join(files.select("repo", "path", "lines"), ["repo", "path"])
-    total = F.size("lines")
-    joined = (
-        joined.withColumn("_s", F.coalesce(F.col("start_line").try_cast("int"), F.lit(1)))
+    named = (
+        named.withColumn("_s", F.coalesce(F.col("start_line").try_cast("int"), F.lit(1)))
         .withColumn("_e", F.coalesce(F.col("end_line").try_cast("int"), F.col("_s")))
         .withColumn("_evidence", clean("evidence"))
+        .withColumn("_parts", text.split_lines(F.col("_evidence")))
+        .withColumn("_first", strip(F.get("_parts", 0))).withColumn("_n", F.size("_parts")).drop("_parts")
     )
-    s, e = F.col("_s"), F.col("_e")
-    out = (s < 1) | (e > total) | (s > e)
-    parts = text.split_lines(F.col("_evidence"))
-    first = strip(F.get(parts, 0))
-    at = bind(first, lambda f: F.array_position(F.transform("lines", lambda x: x.contains(f)), True).cast("int"))
-    usable = F.char_length("_evidence") >= MIN_EVIDENCE_CHARS
-    located = F.when(out & usable & (at > 0), at)
-    joined = joined.withColumn("_at", located).withColumn("_n", F.size(parts))
+
+    def look_up(f: Column) -> Column:
+        """The file's length, the first line with the evidence where it is needed, and the line the finding names."""
+        total = F.size("lines")
+        out = (f["_s"] < 1) | (f["_e"] > total) | (f["_s"] > f["_e"])
+        at = F.array_position(F.transform("lines", lambda x: x.contains(f["_first"])), True).cast("int")
+        usable = F.char_length(f["_evidence"]) >= MIN_EVIDENCE_CHARS
+        located = F.when(out & usable, F.nullif(at, F.lit(0)))
+        own = lambda a: strip(F.coalesce(F.get("lines", F.when(~out, f["_s"]).otherwise(F.coalesce(a, F.greatest(F.lit(1), F.least(f["_s"], total)))) - 1), F.lit("")))
+        return bind(located, lambda a: f.withField("_total", total).withField("_out", out).withField("_at", a).withField("_own", own(a)))
+
+    joined = line_ops.at_files(named, files, ["lines"], look_up)
+    s, e, total, out = F.col("_s"), F.col("_e"), F.col("_total"), F.col("_out")
     clamped = F.greatest(F.lit(1), F.least(s, total))
     start = F.when(~out, s).when(F.col("_at").isNotNull(), F.col("_at")).otherwise(clamped)
     end = (
@@ -101,7 +104,7 @@ def ground(raw: DataFrame, files: DataFrame) -> DataFrame:
         .otherwise(F.greatest(clamped, F.least(e, total)))
     )
     joined = joined.withColumn("start", start.cast("int")).withColumn("end", end.cast("int"))
-    own_line = strip(F.coalesce(F.get("lines", F.col("start") - 1), F.lit("")))
+    own_line = F.col("_own")
     change = F.when(F.col("suggested_change").isNotNull(), F.nullif(redact_secrets(clean("suggested_change")), F.lit("")))
     return joined.select(
         "review_id", "finding_no",

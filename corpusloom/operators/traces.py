@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.functions import paths, text
 from corpusloom.functions.rows import posexplode_rows
 from corpusloom.functions.text import strip
-from corpusloom.operators import extract
+from corpusloom.functions.vectors import bind
+from corpusloom.operators import extract, lines as line_ops
 from corpusloom.operators.graph import salted_join
 
 MAX_SNIPPETS = 6
@@ -150,21 +151,24 @@ def missing_files(resolved: DataFrame) -> DataFrame:
 
 def _snippets(targets: DataFrame, files: DataFrame) -> DataFrame:
     """Snippet of each distinct ``(repo, path, line)``: the enclosing entity where it is short, else a window."""
-    total, line = F.size("lines"), F.col("line")
-    entity = extract.enclosing(F.col("decls"), line)
-    valid = line.isNotNull() & (line >= 1) & (line <= total)
-    short = valid & entity.isNotNull() & (entity["end"] - entity["n"] <= MAX_ENTITY_SPAN)
-    start, end = text.context_window(line, total)
-    with_range = (
-        targets.join(files.filter(F.col("content") != "").select("repo", "path", "lines", "decls"), ["repo", "path"])
-        .withColumn("entity", F.when(valid, entity["name"]))
-        .withColumn("start_line", F.when(short, entity["n"]).otherwise(start))
-        .withColumn("end_line", F.when(short, F.least(total, entity["end"])).otherwise(end))
-    )
-    return with_range.select(
-        "repo", "path", "line", "entity", "start_line", "end_line",
-        text.numbered_snippet(F.col("lines"), F.col("start_line"), F.col("end_line")).alias("code_snippet"),
-    )
+    total = F.size("lines")
+
+    def cut(t: Column) -> Column:
+        line = t["line"]
+        valid = line.isNotNull() & (line >= 1) & (line <= total)
+        start, end = text.context_window(line, total)
+
+        def ranged(entity: Column) -> Column:
+            short = valid & entity.isNotNull() & (entity["end"] - entity["n"] <= MAX_ENTITY_SPAN)
+            return F.struct(
+                F.when(valid, entity["name"]).alias("entity"), F.when(short, entity["n"]).otherwise(start).alias("s"),
+                F.when(short, F.least(total, entity["end"])).otherwise(end).alias("e"))
+
+        return bind(bind(extract.enclosing(F.col("decls"), line), ranged), lambda r: F.struct(
+            line.alias("line"), r["entity"].alias("entity"), r["s"].alias("start_line"), r["e"].alias("end_line"),
+            text.numbered_snippet(F.col("lines"), r["s"], r["e"]).alias("code_snippet")))
+
+    return line_ops.at_files(targets, files.filter(F.col("content") != ""), ["lines", "decls"], cut)
 
 
 _EVIDENCE = (
