@@ -19,8 +19,12 @@ ORACLE_SQL = None
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie near a language reference of these documents."""
-    whole = docs.select(F.struct("*").alias("row_"), "text", "lang")
-    return quality_rules.judge(whole, "row_").filter("kept").select("row_.*")
+    # a verdict depends on text and language; between counting and judging only this key of a row is kept, not its text
+    said = [F.col("doc_id"), F.col("text"), F.col("lang")]
+    keyed = docs.select(F.struct("*").alias("row_"), "text", "lang", F.xxhash64(*said).alias("key_"), F.xxhash64(F.lit(1), *said).alias("more_"))
+    judged = quality_rules.judge(keyed, "key_", "more_")
+    rejected = stored(judged.filter(~F.col("kept")).select("key_", "more_").distinct(), "quality-rejected")
+    return keyed.join(rejected, ["key_", "more_"], "left_anti").select("row_.*")
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
