@@ -10,11 +10,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpusloom.functions.rows import where_computed
 from corpusloom.llm import lsh_forest, packing, quality_net, quality_rules
 from corpusloom.llm.common import id_remainder, stored, table
 
 #: No oracle: SQL can express neither the classifier nor the packing. tests/llm checks the stages against brute force.
 ORACLE_SQL = None
+#: Keys of rejected rows up to this size are broadcast.
+MAX_KEY_BYTES = 64 << 20
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +26,10 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     said = [F.col("doc_id"), F.col("text"), F.col("lang")]
     keyed = docs.select(F.struct("*").alias("row_"), "text", "lang", F.xxhash64(*said).alias("key_"), F.xxhash64(F.lit(1), *said).alias("more_"))
     judged = quality_rules.judge(keyed, "key_", "more_")
-    rejected = stored(judged.filter(~F.col("kept")).select("key_", "more_").distinct(), "quality-rejected")
-    return keyed.join(rejected, ["key_", "more_"], "left_anti").select("row_.*")
+    rejected = stored(where_computed(judged, ~F.col("kept")).select("key_", "more_").distinct(), "quality-rejected")
+    # two longs a row: small keys go to the tasks, so that no text is moved; many are joined by a shuffle
+    small = rejected.count() * 16 <= MAX_KEY_BYTES
+    return keyed.join(F.broadcast(rejected) if small else rejected, ["key_", "more_"], "left_anti").select("row_.*")
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
