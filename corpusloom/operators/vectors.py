@@ -1,25 +1,34 @@
-"""Vector search: exact batch top-k in blocks, approximate top-k by LSH, and index statistics.
+"""Vector search: exact batch top-k in blocks, approximate top-k over an inverted file of codes, and index statistics.
 
 Exact search never forms query-vector pairs as rows. Vectors stay where they are stored; each task multiplies its Arrow
 batches with the query matrix and hands on only its best k per query, so the shuffle carries at most
 ``tasks * queries * k`` rows. The query matrix is sent to the tasks only below a checked size; a larger query set is
 joined to the vectors fragment by fragment through a shuffle.
+
+Approximate search reads codes instead of vectors: a vector's list is its nearest of a few trained centroids, its code one
+byte a dimension for what lies between the two. A query looks into the lists nearest to it, as many as the training sample
+says it needs, ranks their codes, and only the best few vectors themselves are read and ranked exactly.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.vectors import is_valid_vector
-from corpusloom.session import durable
+from corpusloom.session import durable, shared_folder
 
 MAX_QUERY_BYTES = 64 * 1024 * 1024
 VECTORS_PER_FRAGMENT = 20_000
 QUERIES_PER_FRAGMENT = 5_000
+#: Lists of an inverted file, and the vectors that train it.
+MAX_LISTS, SAMPLE_VECTORS = 256, 20_000
 # One score matrix: at most so many queries times vectors, 16 MB of doubles, however large the batch or the query set.
 QUERY_ROWS, VECTOR_ROWS = 512, 4_096
 # Scores are ranked at nine decimals, so equal vectors tie (and fall to the id) however the sums were grouped.
@@ -51,7 +60,7 @@ def _block_top_k(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.Dat
             for b in range(0, len(rows), VECTOR_ROWS):
                 best = _merge(best, _cell_top_k(some, wanted_side, rows.iloc[b : b + VECTOR_ROWS], k), k)
             parts.append(best)
-    return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "chunk_id": [], "cosine": []})
+    return _plain(pd.concat(parts)) if parts else pd.DataFrame({"query_id": [], "chunk_id": [], "cosine": []})
 
 
 def _cell_top_k(q: pd.DataFrame, unit_queries: np.ndarray, rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -78,7 +87,12 @@ def _cell_top_k(q: pd.DataFrame, unit_queries: np.ndarray, rows: pd.DataFrame, k
 def _merge(best: pd.DataFrame | None, new: pd.DataFrame, k: int) -> pd.DataFrame:
     both = new if best is None else pd.concat([best, new])
     both = both.sort_values(["query_id", "cosine", "chunk_id"], ascending=[True, False, True], kind="stable")
-    return both.groupby("query_id", sort=False).head(k)
+    return _plain(both.groupby("query_id", sort=False).head(k))
+
+
+def _plain(hits: pd.DataFrame) -> pd.DataFrame:
+    """Ids as objects: pandas strings put together from parts would reach Arrow in chunks."""
+    return hits.assign(chunk_id=hits["chunk_id"].astype(object))
 
 
 def _prepare_queries(queries: DataFrame) -> DataFrame:
@@ -154,63 +168,102 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
     )
 
 
-def approx_top_k(
-    queries: DataFrame, vectors: DataFrame, k: int = 10, dimension: int = 64, tables: int = 24, bits: int = 7,
-    seed: int = 42,
-) -> DataFrame:
-    """Approximate top-k: random-hyperplane buckets, then an exact re-rank of the candidates.
+class Centroids(NamedTuple):
+    """``centres`` of the lists, the ``step`` of a code in each dimension, and how many lists a query has to ``probe``."""
 
-    A vector is a candidate of a query where they share the bucket of at least one hash table. Candidates are joined on
-    (collection, table, bucket) with the vectors salted, so a bucket that holds a large share of all vectors is split.
-    Only ids and bucket numbers go through that join; vectors are fetched for its candidates. ``bits`` is the bucket
-    fineness: a collection of n vectors has about ``n / 2 ** bits`` of them in a bucket, and a finer one costs recall.
-    Queries with fewer than k candidates are answered exactly.
-    """
-    rng = np.random.default_rng(seed)
-    planes = rng.standard_normal((tables, bits, dimension))
+    centres: np.ndarray
+    step: np.ndarray
+    probe: int
+
+
+class CodeIndex(NamedTuple):
+    """``codes``: ``collection, list, chunk_id, entity_type, code``, in folders by collection and list."""
+
+    centroids: Centroids
+    codes: DataFrame
+
+
+def train_centroids(sample: np.ndarray, k: int = 10, recall: float = 0.98, rounds: int = 10, seed: int = 42) -> Centroids:
+    """k-means of unit vectors; ``probe`` is the least number of lists that hold ``recall`` of the sample's own neighbours."""
+    x, rng = _unit(sample.astype(np.float64)), np.random.default_rng(seed)
+    n = max(1, min(MAX_LISTS, int(len(x) ** 0.5 / 2)))
+    centres = x[rng.choice(len(x), n, replace=False)] if len(x) else np.zeros((1, sample.shape[1] if sample.ndim > 1 else 0))
+    for _ in range(rounds if len(x) else 0):
+        at = (x @ centres.T).argmax(axis=1)
+        for c in range(n):
+            if (at == c).any():
+                centres[c] = x[at == c].mean(axis=0)
+        centres = _unit(centres)
+    if not len(x):
+        return Centroids(centres, np.ones(centres.shape[1]), 1)
+    at = (x @ centres.T).argmax(axis=1)
+    step = np.maximum(np.abs(x - centres[at]).max(axis=0), 1e-6) / 127
+    asked = x[:200]
+    near = np.argsort(-(asked @ x.T), axis=1)[:, 1 : k + 1]
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)  # of each list, by nearness to the query
+    needed = np.sort(np.take_along_axis(place, at[near], axis=1).ravel()) if near.size else np.zeros(1, int)
+    return Centroids(centres, step, int(needed[min(len(needed) - 1, int(recall * len(needed)))]) + 1)
 
-    def buckets(embedding: Column) -> Column:
-        @F.pandas_udf("array<int>")
-        def hashed(vectors: pd.Series) -> pd.Series:
-            signs = np.einsum("nd,tbd->ntb", _matrix(vectors), planes) > 0
-            return pd.Series(list((signs @ (1 << np.arange(planes.shape[1]))).astype(np.int32)))
 
-        return hashed(embedding)
+def index_vectors(vectors: DataFrame, sample: int = SAMPLE_VECTORS) -> CodeIndex:
+    """Train on ``sample`` vectors, chosen by hash of the id, and write the codes of all of them under the shared folder."""
+    rows = vectors.select("collection", "chunk_id", "embedding").orderBy(F.xxhash64("collection", "chunk_id")).limit(sample).toPandas()
+    centroids = train_centroids(_matrix(rows["embedding"]))
 
-    salts = 16
+    @F.arrow_udf("struct<list:int,code:binary>")
+    def coded(embeddings: pa.Array) -> pa.Array:
+        x = _unit(_matrix(embeddings.to_numpy(zero_copy_only=False)))
+        at = (x @ centroids.centres.T).argmax(axis=1) if len(x) else np.zeros(0, int)
+        codes = np.clip(np.round((x - centroids.centres[at]) / centroids.step), -127, 127).astype(np.int8) if len(x) else []
+        return pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["list", "code"])
+
+    path = f"{shared_folder(vectors.sparkSession)}/vector-codes-{uuid.uuid4().hex}"
+    table = vectors.select("collection", "chunk_id", "entity_type", coded("embedding").alias("c")).select("collection", "chunk_id", "entity_type", "c.list", "c.code")
+    table.write.partitionBy("collection", "list").parquet(path)
+    schema = "chunk_id string, entity_type string, code binary, collection string, list int"
+    return CodeIndex(centroids, vectors.sparkSession.read.schema(schema).parquet(path))
+
+
+def approx_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, index: CodeIndex | None = None, read_share: float = 0.08) -> DataFrame:
+    """Approximate ``(query_id, rank, chunk_id, cosine)``: codes of the nearest lists, then an exact rank of the best of them.
+
+    Of each query's collection at most ``read_share`` of the vectors, ``k`` at least and ``4 k`` at most, are read. Queries that
+    find fewer than k hits are answered exactly.
+    """
+    index = index or index_vectors(vectors)
+    centres, step, probe = index.centroids
     prepared = _prepare_queries(queries)
-    q = (
-        prepared.select("query_id", "collection", "entity_types", buckets(F.col("embedding")).alias("qb"))
-        .select("*", F.posexplode_outer("qb").alias("t", "b"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    v = (
-        vectors.select(
-            "collection", "chunk_id", F.lower("entity_type").alias("entity_type"), buckets(F.col("embedding")).alias("vb"),
-            F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int").alias("salt"),
-        )
-        .select("*", F.posexplode_outer("vb").alias("t", "b"))
-    )
+
+    @F.pandas_udf("array<int>")
+    def nearest_lists(embeddings: pd.Series) -> pd.Series:
+        return pd.Series(list(np.argsort(-(_unit(_matrix(embeddings)) @ centres.T), axis=1)[:, :probe].astype(np.int32)) if len(embeddings) else [], dtype="object")
+
+    @F.pandas_udf("array<float>")
+    def decoded(lists: pd.Series, codes: pd.Series) -> pd.Series:
+        rows = np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1) if len(codes) else np.zeros((0, centres.shape[1]))
+        return pd.Series(list((rows * step + centres[lists.to_numpy()]).astype(np.float32)), dtype="object")
+
+    named = lambda: F.concat_ws("#", "collection", F.col("list").cast("string"))
+    largest = vectors.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    pool = max(k, min(4 * k, int(read_share * largest)))
+    asked = prepared.withColumn("list", F.explode(nearest_lists("embedding"))).withColumn("collection", named()).drop("list")
+    coarse = index.codes.select(named().alias("collection"), "chunk_id", "entity_type", decoded("list", "code").alias("embedding"))
+    near = cosine_top_k(asked, coarse, pool).select("query_id", "chunk_id")
+    own = prepared.select("query_id", "collection", F.col("embedding").alias("q"))
+    candidates = near.join(own.select("query_id", "collection"), "query_id")
+    read = vectors.select("collection", "chunk_id", F.col("embedding").alias("v")).join(candidates, ["collection", "chunk_id"])
 
     @F.pandas_udf("double")
     def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(np.round((_unit(_matrix(a)) * _unit(_matrix(b))).sum(axis=1), RANK_DECIMALS))
 
-    # A pair that shares several buckets is kept only at the first of them, so it is scored once and needs no distinct.
-    first_shared = F.array_position(F.zip_with("qb", "vb", lambda x, y: x == y), True) == F.col("t") + 1
-    wanted = F.col("entity_types").isNull() | (F.size("entity_types") == 0) | F.array_contains("entity_types", F.col("entity_type"))
-    candidates = q.join(v, ["collection", "t", "b", "salt"]).filter(first_shared & wanted).select("collection", "query_id", "chunk_id")
-    scored = (
-        candidates.join(vectors.select("collection", "chunk_id", F.col("embedding").alias("v")), ["collection", "chunk_id"])
-        .join(prepared.select("query_id", "collection", F.col("embedding").alias("q")), ["query_id", "collection"])
-        .select("query_id", "chunk_id", cosine("q", "v").alias("cosine"))
-    )
+    scored = read.join(own.select("query_id", "q"), "query_id").select("query_id", "chunk_id", cosine("q", "v").alias("cosine"))
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "chunk_id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    near = durable(ranked.select("query_id", "rank", "chunk_id", "cosine"))
-    full = near.filter(F.col("rank") == k).select("query_id")
+    found = durable(ranked.select("query_id", "rank", "chunk_id", "cosine"))
+    full = found.filter(F.col("rank") == k).select("query_id")
     rest = queries.join(full, "query_id", "left_anti")
-    return near.join(full, "query_id", "left_semi").unionByName(cosine_top_k(rest, vectors, k))
+    return found.join(full, "query_id", "left_semi").unionByName(cosine_top_k(rest, vectors, k))
 
 
 def validate_vectors(vectors: DataFrame, dimension: int) -> tuple[DataFrame, DataFrame]:
