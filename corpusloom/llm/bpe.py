@@ -3,7 +3,8 @@
 Encoding walks through a text in blocks that end where a piece surely ends, and through a long piece in windows. How far
 ahead a merge can depend on what follows is a property of the merge list: ``sufficient_lookahead`` computes a bound once.
 Tokens of a window that end at least that far before its end are stable; they are emitted, and the next window begins
-after them. So memory does not grow with the text. Decoding maps ids to bytes and turns bytes into text with a machine
+after them. So what a merge looks at does not grow with the text; pieces of up to 256 characters are merged whole, and a
+row's ids are joined at its end. Decoding maps ids to bytes and turns bytes into text with a machine
 whose state is the unfinished character. Both are per-row work without a shuffle.
 """
 

@@ -2,7 +2,8 @@
 
 Every token has a fixed sparse vector of signs drawn by its hash. A token's meaning is the sum of its neighbours' sparse
 vectors over the training sample (random indexing), scaled to unit length. A document is pooled into the mean vector of
-its known tokens and the shares of its tokens' forms. A hidden layer and a logistic output are fitted in numpy; a temperature fitted on rows kept aside calibrates the probability.
+its known tokens and the shares of its tokens' forms. A hidden layer and a logistic output are fitted in numpy; a temperature fitted on rows kept aside calibrates the
+probability for classes of equal weight, whatever their shares in the sample.
 """
 
 from __future__ import annotations
@@ -156,7 +157,7 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MA
 
 
 def score(docs: DataFrame, model: QualityModel, *keep: str) -> DataFrame:
-    """``keep`` and ``score``, the calibrated probability of label 1, of every row.
+    """``keep`` and ``score``, the probability of label 1 among classes of equal weight, of every row.
 
     Null and empty texts are pooled as no words and scored like any other. Repeated rows are scored alike.
     """
