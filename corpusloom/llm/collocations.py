@@ -3,8 +3,8 @@
 At every word a window holds the word and those after it in its piece (the lead columns ``w2`` to ``w5``), padded with
 nulls at the piece's end. Only such longest windows are counted. A phrase's occurrences are the windows that begin with it,
 so ``ROLLUP (lang, w1, …, w5)`` sums them to the counts of all shorter prefixes, and no n-grams are exploded length by
-length. A phrase cannot be frequent if a word, pair or triple in it is rare; so passes before it add up hashes of these, and
-windows are padded from the first rare part on, too. The frequent parts travel as a bitmap of fixed size: equal hashes and
+length. A phrase cannot be frequent if a pair or triple in it is rare; so passes before it add up hashes of these, and windows
+are padded from the first rare part on, too. The frequent parts travel as a bitmap of fixed size: equal hashes and
 shared bits only leave a window longer than needed and never lose a count.
 """
 
@@ -138,20 +138,18 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(lang, F.col("text").cast("string").alias("text")).filter(F.length("text") > 0)
 
 
-def _counted(docs: DataFrame, sizes: tuple[int, ...], min_count: int, shared) -> np.ndarray:
-    """Bits of the parts of ``sizes`` words that occur ``min_count`` times; ``shared``: bits of those one word shorter, if known."""
+def _counted(docs: DataFrame, size: int, min_count: int, shared) -> np.ndarray:
+    """Bits of the parts of ``size`` words that occur ``min_count`` times; ``shared``: bits of those one word shorter, if known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value if shared else None
         for words, _, hashed in _blocks(batches):
-            parts = words.parts(hashed, max(sizes))
-            for k in sizes:
-                wanted = words.whole(k)
-                if shared:
-                    shorter = _marked(bits, parts[k - 2])
-                    wanted &= shorter[:-1] & shorter[1:]
-                part, n = np.unique(parts[k - 1][wanted], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(n.astype(np.int64))], names=["part", "n"])
+            parts, wanted = words.parts(hashed, size), words.whole(size)
+            if shared:
+                shorter = _marked(bits, parts[-2])
+                wanted &= shorter[:-1] & shorter[1:]
+            part, n = np.unique(parts[-1][wanted], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(n.astype(np.int64))], names=["part", "n"])
 
     counts = _texts(docs).mapInArrow(run, "part bigint, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
     bit = F.col("part").bitwiseAND(PART_BITS - 1)
@@ -166,22 +164,19 @@ def _counted(docs: DataFrame, sizes: tuple[int, ...], min_count: int, shared) ->
 
 
 def frequent_parts(docs: DataFrame, min_count: int, longest: int = PART) -> np.ndarray:
-    """Bits, at hashes modulo ``PART_BITS``, of words, pairs, … of ``longest`` words that stand ``min_count`` times in a language.
+    """Bits, at hashes modulo ``PART_BITS``, of pairs, triples, … of ``longest`` words that stand ``min_count`` times in a language.
 
-    Words and pairs are added up in one pass; each longer part in a pass of its own, only where both its shorter parts are frequent.
+    Each size is added up in a pass of its own, the longer ones only where both their shorter parts are frequent.
     """
     context = docs.sparkSession.sparkContext
-    bits = _counted(docs, (1, 2), min_count, None)
+    bits = _counted(docs, 2, min_count, None)
     for k in range(3, longest + 1):
-        bits = bits | _counted(docs, (k,), min_count, context.broadcast(bits))
+        bits = bits | _counted(docs, k, min_count, context.broadcast(bits))
     return bits
 
 
 def longest_windows(docs: DataFrame, order: int, frequent: np.ndarray, longest: int = PART) -> DataFrame:
-    """``(lang, w1, …, wN, n)``: windows with their counts, padded after a piece's end and from the first rare part on.
-
-    A rare word gives a window of padding only, which counts for its language.
-    """
+    """``(lang, w1, …, wN, n)``: windows with their counts, padded after a piece's end and from the first rare part on."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     columns = [f"w{k + 1}" for k in range(order)]
 
@@ -189,13 +184,13 @@ def longest_windows(docs: DataFrame, order: int, frequent: np.ndarray, longest:
         bits = shared.value
         for words, names, hashed in _blocks(batches):
             n = len(words.ids)
-            usual = []  # per size, whether the part at a word is whole and frequent
-            for k, part in enumerate(words.parts(hashed, longest), 1):
+            usual = []  # per size from 2, whether the part at a word is whole and frequent
+            for k, part in enumerate(words.parts(hashed, longest)[1:], 2):
                 usual.append(np.concatenate([words.whole(k) & _marked(bits, part), np.zeros(n - len(part), bool)]))
             open_, leads = np.ones(n, bool), []
             for j in range(order):
-                for k in range(1, min(longest, j + 1) + 1):  # the parts that end with the window's word j
-                    open_ = open_ & np.concatenate([usual[k - 1][j - k + 1 :], np.zeros(min(n, j - k + 1), bool)])
+                for k in range(2, min(longest, j + 1) + 1):  # the parts that end with the window's word j
+                    open_ = open_ & np.concatenate([usual[k - 2][j - k + 1 :], np.zeros(min(n, j - k + 1), bool)])
                 leads.append(np.where(open_, np.concatenate([words.ids[j:], np.zeros(min(n, j), words.ids.dtype)]), -1))
             table = pa.table([pa.array(words.lang), *map(pa.array, leads)], names=["lang", *columns])
             counted = table.group_by(["lang", *columns], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
