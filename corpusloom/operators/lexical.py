@@ -26,7 +26,7 @@ TYPE_PRIORITY = {"function": 3, "method": 3, "class": 2, "interface": 2, "type_a
 
 #: Where a word stands: in text fields, as parts of words too, or, whole, as what the chunk is called.
 SIGNATURE, DOCSTRING, BODY, DECORATOR, EXACT, NAME, PARENT, PATH, HINT = (1 << i for i in range(9))
-#: Letters of a term by which it is looked up among the words.
+#: Letters of a term by which it is looked up among the words; terms have two at least.
 GRAM = 3
 WORD = r"[\p{L}\p{N}_]+"
 _META = (
@@ -109,9 +109,9 @@ def words_of_terms(postings: DataFrame, terms: DataFrame) -> DataFrame:
     vocabulary = postings.select("word", (F.col("bits") >= EXACT).alias("whole")).distinct()
     wanted = terms.select("term").distinct()
     gram = F.substring("term", 1, GRAM)
-    # a term begins with its gram, and so does each place of it in a word; shorter terms have shorter grams
+    # a term begins with its gram, and so does each place of it in a word; terms of two letters have grams of two
     starts = F.sequence(F.lit(1), F.length("word"))
-    grams = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*[F.substring("word", i, F.lit(n)) for n in range(1, GRAM + 1)]))))
+    grams = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*[F.substring("word", i, F.lit(n)) for n in range(2, GRAM + 1)]))))
     parts = explode_rows(vocabulary.filter("not whole and word <> ''"), grams, "gram", "word")
     within = parts.join(wanted.withColumn("gram", gram), "gram").filter(F.contains("word", F.col("term")))
     found = within.groupBy("word").agg(F.array_distinct(F.collect_list("term")).alias("terms")).withColumn("whole", F.lit(False))

@@ -348,7 +348,8 @@ def target_helpers(spark, sf):
 
 @query("rejected_files", "SRC6", f"""
 WITH {b.CODE_SQL}
-SELECT repo, path, 'Python' AS language, 'SyntaxError' AS error_type, CASE WHEN doc_id % 4 = 0 THEN 'unbalanced brackets' ELSE 'definition without '':''' END AS message
+SELECT repo, path, 'Python' AS language, 'SyntaxError' AS error_type,
+  'Line ' || ({b.PY_LINES} + len(string_split(text, chr(10))) + 1) || CASE WHEN doc_id % 4 = 0 THEN ': invalid syntax' ELSE ': expected ''(''' END AS message
 FROM mods WHERE is_py AND doc_id % 6 = 0""")
 def rejected_files(spark, sf):
     broken = F.when(F.col("doc_id") % 4 == 0, F.lit("def broken(:\n    return\n")).otherwise(F.lit("def broken\n    return 1\n"))

@@ -134,11 +134,12 @@ def related_files(spark, sf):
 
 
 @query("sanitized_logs", "STR6", """
-SELECT event_id, 'app/s.py:10 tests/t.py [REDACTED_API_KEY] [REDACTED_GITHUB_TOKEN]  end ' || user_id AS clean FROM events""")
+SELECT event_id, 'app/s.py:10 tests/t.py [REDACTED_API_KEY] [REDACTED_GITHUB_TOKEN]  end ' || user_id || ' ' || coalesce(props, '') AS clean FROM events""")
 def sanitized_logs(spark, sf):
     raw = F.concat(
         F.lit("/workspace/app/s.py:10 /tmp/run_a"), F.col("user_id").cast("string"), F.lit("/tests/t.py sk-abcdefghij0123456789"),
         F.col("event_id").cast("string"), F.lit(" ghp_abcdefghij0123456789 /var/folders/x1/y end "), F.col("user_id").cast("string"),
+        F.lit(" "), F.coalesce("props", F.lit("")),
     )
     return b.table(spark, sf, "events").select("event_id", secrets.sanitize_log(raw).alias("clean"))
 
@@ -159,7 +160,7 @@ def cleaned_paths(spark, sf):
 
 
 def runs(spark, sf):
-    """Every event is a test run of one of five kinds."""
+    """Every event is a test run of one of five kinds, whose output begins with the event's properties."""
     e, k = F.col("event_id"), F.col("event_id").cast("string")
     stdout = (
         F.when(e % 5 == 0, F.concat(
@@ -171,7 +172,7 @@ def runs(spark, sf):
     )
     code = F.element_at(F.array(*[F.lit(c) for c in (1, 2, 0, 5, 3)]), (e % 5 + 1).cast("int"))
     return b.table(spark, sf, "events").select(
-        e.alias("run_id"), stdout.alias("stdout"), F.lit("").alias("stderr"), code.alias("exit_code"),
+        e.alias("run_id"), F.concat(F.lit("captured "), F.coalesce("props", F.lit("")), F.lit("\n"), stdout).alias("stdout"), F.lit("").alias("stderr"), code.alias("exit_code"),
         (e % 10 == 4).alias("timed_out"), F.when(e % 10 == 3, F.lit("no container")).alias("error"),
     )
 

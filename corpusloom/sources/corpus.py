@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusloom.functions import paths, text
+from corpusloom.functions import paths, syntax, text
 from corpusloom.sources import tree
 
 MAX_FILE_BYTES = 1024 * 1024
@@ -72,41 +72,13 @@ def decode(raw: Column, fallback: str = "latin1") -> Column:
     raise ValueError(f"unknown fallback {fallback!r}")
 
 
-def syntax_problem(path: Column, content: Column) -> Column:
-    """Why a code file cannot be analysed, or null: unbalanced brackets or an unfinished Python definition.
-
-    A pattern check, not a parser: string literals and comments are blanked before brackets are counted.
-    """
-    language = paths.parseable_language(path)
-    bare = F.regexp_replace(content, r"(?s)\"\"\".*?\"\"\"|'''.*?'''", "")
-    bare = F.regexp_replace(bare, r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", "")
-    bare = F.when(language == "Python", F.regexp_replace(bare, r"#[^\n]*", "")).otherwise(bare)
-
-    def count(chars: str) -> Column:
-        return F.length(F.translate(bare, chars, "")) - F.length(bare)
-
-    unbalanced = (count("(") != count(")")) | (count("[") != count("]")) | (count("{") != count("}"))
-    # decided per definition: what follows its name may be bracketed over lines, but a colon has to come before a bare line end
-    header = r"(?m)^[ \t]*(?:async[ \t]+)?(?:def|class)[ \t]+\w+"
-    brackets = r"\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\)"
-    unfinished = bare.rlike(header + r"[ \t]*+(?:\[[^\]]*+\])?+[ \t]*+(?:" + brackets + r")?+[^:\n(]*+$")
-    return F.when(
-        language == "Python",
-        F.when(unbalanced, F.lit("unbalanced brackets")).when(unfinished, F.lit("definition without ':'")),
-    )
-
-
 def split_rejects(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(accepted, rejects)``; rejects are ``repo, path, language, error_type, message`` and processing goes on."""
-    checked = files.withColumn("_problem", syntax_problem(F.col("path"), F.col("content")))
+    """``(accepted, rejects)`` of code files; rejects are ``repo, path, language, error_type, message`` and processing goes on."""
+    language = paths.parseable_language(F.col("path"))
+    checked = files.withColumn("_problem", syntax.parse_problem(F.col("content"), language))
     accepted = checked.filter(F.col("_problem").isNull()).drop("_problem")
     rejects = checked.filter(F.col("_problem").isNotNull()).select(
-        "repo",
-        "path",
-        paths.parseable_language(F.col("path")).alias("language"),
-        F.lit("SyntaxError").alias("error_type"),
-        F.col("_problem").alias("message"),
-    )
+        "repo", "path", language.alias("language"), "_problem.error_type", "_problem.message")
     return accepted, rejects
 
 
