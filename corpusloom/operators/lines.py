@@ -31,16 +31,19 @@ def _count(line: Column, needle: str) -> Column:
     return (F.length(line) - F.length(F.replace(line, F.lit(needle), F.lit("")))) / F.lit(len(needle))
 
 
-def _fold_labels(stripped: Column, step) -> Column:
-    """Fold one label letter per line, carrying whether a block comment is open."""
-    state = F.aggregate(
+def _fold(stripped: Column, step, is_open: bool = False) -> Column:
+    """``struct<labels, open>``: one label letter per line, and whether a block comment is open behind the last."""
+    return F.aggregate(
         stripped,
-        F.struct(F.lit("").alias("labels"), F.lit(False).alias("open")),
+        F.struct(F.lit("").alias("labels"), F.lit(is_open).alias("open")),
         lambda s, line: F.when(
             line == "", F.struct(F.concat(s["labels"], F.lit("b")).alias("labels"), s["open"].alias("open"))
         ).otherwise(step(s, line)),
     )
-    return state["labels"]
+
+
+def _fold_labels(stripped: Column, step) -> Column:
+    return _fold(stripped, step)["labels"]
 
 
 def _emit(s: Column, label: Column, is_open: Column) -> Column:
@@ -101,6 +104,30 @@ def classify_lines(files: DataFrame) -> DataFrame:
     return files.withColumn("labels", line_labels(F.col("lines"), F.col("content"), F.col("language")))
 
 
+def chunk_labels(chunks: DataFrame) -> DataFrame:
+    """``labels`` of the chunks ``(repo, path, language, chunk_no, lines)`` of files too large for one row.
+
+    What a chunk does to the state of block comments is a function of two values: each is folded for a comment that is open
+    before it and for none, both in the chunk's row. Only these functions, two flags a chunk, meet per file, where they are
+    applied one after the other; each chunk then takes the labels of the state it begins with.
+    """
+    language = F.lower(F.coalesce("language", F.lit("")))
+    stripped = F.transform("lines", strip)
+    none = F.struct(F.array_join(F.transform(stripped, lambda x: F.when(x == "", F.lit("b")).otherwise(F.lit("c"))), "").alias("labels"), F.lit(False).alias("open"))
+
+    def folded(is_open: bool) -> Column:
+        return F.when(language.isin(*BRACE_LANGUAGES), _fold(stripped, _brace_step, is_open)).when(
+            language == "python", _fold(stripped, _python_step, is_open)).otherwise(none)
+
+    key = ["repo", "path", "chunk_no"]
+    both = stored(chunks.select(*key, "language", folded(False).alias("shut"), folded(True).alias("open")), "chunk-labels")
+    steps = both.groupBy("repo", "path").agg(F.array_sort(F.collect_list(F.struct("chunk_no", F.col("shut.open").alias("shut"), F.col("open.open").alias("open")))).alias("steps"))
+    begins = F.aggregate("steps", F.array(F.lit(False)), lambda s, f: F.concat(s, F.array(F.when(F.element_at(s, -1), f["open"]).otherwise(f["shut"]))))
+    starts = steps.select("repo", "path", F.explode(F.arrays_zip(F.transform("steps", lambda f: f["chunk_no"]).alias("chunk_no"), F.slice(begins, F.lit(1), F.size("steps")).alias("open"))).alias("s"))
+    starts = starts.select("repo", "path", "s.chunk_no", F.col("s.open").alias("_open"))
+    return both.join(starts, key).select(*key, "language", F.when(F.col("_open"), F.col("open.labels")).otherwise(F.col("shut.labels")).alias("labels"))
+
+
 def line_classes(files: DataFrame) -> DataFrame:
     """``(repo, path, line_no, line, kind)`` with kind blank, comment or code."""
     labelled = classify_lines(files)
@@ -115,20 +142,36 @@ def line_classes(files: DataFrame) -> DataFrame:
     )
 
 
-def line_counts(files: DataFrame) -> DataFrame:
-    """Per file total, code, comment and blank lines (one row in, one row out)."""
+def _counts() -> list[Column]:
     labels = F.col("labels")
 
     def count(letter: str) -> Column:
         return (F.length(labels) - F.length(F.replace(labels, F.lit(letter), F.lit("")))).cast("long")
 
-    return classify_lines(files).select(
-        "repo", "path", "language",
+    return [
         F.length(labels).cast("long").alias("total_lines"),
         count("c").alias("code_lines"),
         count("m").alias("comment_lines"),
         count("b").alias("blank_lines"),
-    )
+    ]
+
+
+def line_counts(files: DataFrame) -> DataFrame:
+    """Per file total, code, comment and blank lines (one row in, one row out)."""
+    return classify_lines(files).select("repo", "path", "language", *_counts())
+
+
+def chunk_line_counts(chunks: DataFrame) -> DataFrame:
+    """:func:`line_counts` of files that come in chunks."""
+    counted = chunk_labels(chunks).select("repo", "path", "language", *_counts())
+    return counted.groupBy("repo", "path", "language").agg(*[F.sum(c).alias(c) for c in ("total_lines", "code_lines", "comment_lines", "blank_lines")])
+
+
+def in_chunks(files: DataFrame, size: int) -> DataFrame:
+    """Files with ``lines`` as chunks of ``size`` lines."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / size).cast("int")), lambda i: F.struct(i.alias("no"), F.slice("lines", i * size + 1, F.lit(size)).alias("lines")))
+    return explode_rows(files.filter(F.size("lines") > 0), parts, "c", "repo", "path", "language").select(
+        "repo", "path", "language", F.col("c.no").alias("chunk_no"), F.col("c.lines").alias("lines"))
 
 
 def line_count_rollup(counts: DataFrame) -> DataFrame:

