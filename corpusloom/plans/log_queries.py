@@ -12,7 +12,7 @@ from corpusloom.plans import bindings as b
 from corpusloom.plans.code_queries import declared
 from corpusloom.plans.registry import query
 from corpusloom.session import shared_folder, stored
-from corpusloom.sources import logs
+from corpusloom.sources import logs, tree
 
 # Every error event is one log text of four kinds; its frames name a derived module of repository r<m % 5>.
 _TRACE_SQL = """tr AS (SELECT event_id AS trace_id, CAST(2 * (event_id % 90) AS VARCHAR) AS m, 2 * (event_id % 90) AS mn, event_id % 4 AS kind, CAST(user_id AS VARCHAR) AS u, event_id % 30 + 10 AS ln
@@ -99,6 +99,20 @@ def trace_evidence(spark, sf):
     return t.evidence_rows(packed).select("trace_id", "evidence_no", "path", "start_line", "end_line")
 
 
+@query("evidence_texts", "SRCH11 STR11", f"""
+WITH {_TRACE_SQL}, {_MODS}, e AS (SELECT trace_id, path, kind, ln, u, {_SPAN} AS span FROM tr JOIN mods p ON p.doc_id = tr.mn WHERE kind IN (0, 1, 3)),
+n AS (SELECT trace_id, path, CASE kind WHEN 3 THEN 1 ELSE span[1] END AS a, CASE kind WHEN 3 THEN 50 ELSE span[2] END AS z FROM e)
+SELECT trace_id, '--- [Evidence E1] File: ' || path || ' (Lines ' || a || '-' || z || ')' AS head, z - a + 1 AS n_lines FROM n""")
+def evidence_texts(spark, sf):
+    """The evidence of each trace as one text: where it begins, and how many numbered lines it shows."""
+    packed = t.pack_evidence(t.parse_traces(traces(spark, sf)), declared(spark, sf))
+    text_of = t.evidence_text(packed)
+    return text_of.select(
+        "trace_id", F.regexp_extract("context_text", r"^(--- \[Evidence E1\] File: [^|\n]*?\)|No matching[^\n]*)", 1).alias("head"),
+        F.regexp_count("context_text", F.lit(r"(?m)^\s*\d+ \|")).alias("n_lines"),
+    )
+
+
 @query("trace_diagnosis", "SRCH13 PRJ15", f"""
 WITH {_TRACE_SQL}, {_MODS}
 SELECT trace_id, CASE kind WHEN 0 THEN 'KeyError' WHEN 1 THEN 'TypeError' ELSE 'RuntimeError' END AS error_type,
@@ -266,6 +280,28 @@ def coverage_totals(spark, sf):
     )
 
 
+@query("coverage_from_files", "SRC7 SRC8 AGG14", """
+SELECT doc_id % 5 AS kind, count(*) AS n, CAST(sum(CASE WHEN doc_id % 5 < 2 THEN n_chars + 1 ELSE 0 END) AS BIGINT) AS statements, bool_and(doc_id % 5 IN (0, 1, 4)) AS available FROM documents GROUP BY 1""")
+def coverage_from_files(spark, sf):
+    """Coverage reports written one to a file and read back as files."""
+    folder = f"{shared_folder(spark)}/coverage-{uuid.uuid4().hex}"
+
+    def write(batches):
+        store, root = tree.filesystem(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for run_id, doc in zip(batch.column("run_id").to_pylist(), batch.column("json").to_pylist()):
+                with store.open_output_stream(f"{root}/{run_id}.json") as f:
+                    f.write(doc.encode())
+            yield batch.select(["run_id"])
+
+    coverage_reports(spark, sf).select("run_id", "json").mapInArrow(write, "run_id bigint").write.format("noop").mode("overwrite").save()
+    parsed = tr.parse_coverage(logs.read_coverage(spark, folder))
+    kind = (F.regexp_extract("run_id", r"(\d+)\.json$", 1).cast("long") % 5).alias("kind")
+    return parsed.groupBy(kind).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("total_statements").alias("statements"), F.bool_and("is_available").alias("available"))
+
+
 @query("coverage_files", "JSON1 SET6 SRT4 PRJ11", """
 SELECT doc_id AS run_id, CAST(1 AS INTEGER) AS position, CASE doc_id % 5 WHEN 0 THEN 'app/c' || doc_id || '.py' ELSE 'src/b.py' END AS file_path, n_chars + 1 AS total_statements,
   CASE doc_id % 5 WHEN 0 THEN 33.33::DOUBLE ELSE 0.0::DOUBLE END AS coverage_percent, CASE doc_id % 5 WHEN 0 THEN '5,6' ELSE '' END AS missing FROM documents WHERE doc_id % 5 < 2""")

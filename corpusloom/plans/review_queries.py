@@ -111,6 +111,17 @@ def review_summary(spark, sf):
     )
 
 
+@query("executive_summaries", "AGG16", f"""
+WITH {_STATIC_SQL}, m AS (SELECT * FROM st UNION ALL SELECT * FROM ai WHERE title = 'Other'),
+c AS (SELECT repo, count(*) AS n, count(*) FILTER (WHERE category = 'correctness') AS c, count(*) FILTER (WHERE category = 'security') AS s, count(*) FILTER (WHERE category = 'testing') AS t,
+  count(*) FILTER (WHERE severity = 'high') AS high FROM m GROUP BY repo)
+SELECT repo, 'Review of `' || repo || '` identified ' || n || ' actionable findings across ' || array_to_string(list_filter([CASE WHEN c > 0 THEN 'correctness' END, CASE WHEN s > 0 THEN 'security' END,
+  CASE WHEN t > 0 THEN 'testing' END], lambda x: x IS NOT NULL), ', ') || ', 0 critical and ' || high || ' high.' AS executive_summary FROM c""")
+def executive_summaries(spark, sf):
+    files, merged = _both(spark, sf)
+    return r.executive_summary(r.summary(merged, files))
+
+
 @query("static_review", "RV1 QR2 SR3 STR17", f"""
 WITH {b.CODE_SQL}
 SELECT repo, count(*) AS n_files, CAST(sum(CASE WHEN is_py THEN 9 ELSE 0 END) AS BIGINT) AS from_quality FROM mods GROUP BY repo""")

@@ -9,6 +9,7 @@ from corpusloom.operators import lexical, lines, retrieval
 from corpusloom.plans import bindings as b
 from corpusloom.plans.registry import query
 from corpusloom.plans.vector_queries import hash_embedding_sql
+from corpusloom.sources import vectors as sink
 
 _DIM = 32
 _STOP = ", ".join(f"'{w}'" for w in identifiers.STOPWORDS)
@@ -298,6 +299,7 @@ def embedded_chunks(spark, sf):
     c = chunks(spark, sf)
     words = text.embedding_text(F.col("file_path"), F.col("entity_type"), F.col("entity_name"), F.col("code_content"))
     model = HashEmbedder(_DIM)
-    return embed_column(c.select("chunk_id", words.alias("text")), "text", model).select(
+    embedded = embed_column(c.select("chunk_id", words.alias("text")), "text", model).drop("text")
+    return sink.pair_embeddings(c.select("chunk_id"), embedded).select(
         "chunk_id", "model", F.size("embedding").alias("dimension"), F.bround(F.get("embedding", 0).cast("double"), 6).alias("first")
     )
