@@ -4,7 +4,8 @@ The index is written once and read by every search. Its postings hold, for each
 in, and for each word of its name, class and path what it is. A query term occurs in a text where some word contains it, so
 terms are looked up among the distinct words: words and terms meet on a gram of three letters. The words found lead to
 their postings, the postings to scores, and each task hands on its best k chunks per query only. Reasons are built for the
-ranked hits. All of it are joins and aggregates; a word that stands in a great part of all chunks is spread over salts.
+ranked hits. All of it are joins and aggregates; a word that stands in a great part of all chunks is split by Spark's adaptive
+skew join.
 """
 
 from __future__ import annotations
@@ -18,8 +19,7 @@ from corpusloom.functions.identifiers import core_tokens, expand_terms, split_id
 from corpusloom.functions.rows import explode_rows
 from corpusloom.functions.text import title_case
 from corpusloom.functions.vectors import bind
-from corpusloom.operators.graph import salted_join
-from corpusloom.session import shared_folder
+from corpusloom.session import shared_folder, stored
 
 TYPE_HINTS = ("function", "class", "method", "interface")
 TYPE_PRIORITY = {"function": 3, "method": 3, "class": 2, "interface": 2, "type_alias": 1, "file_module": 0}
@@ -122,7 +122,8 @@ def words_of_terms(postings: DataFrame, terms: DataFrame) -> DataFrame:
 def term_hits(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """``(term, chunk_no, bits, dec_no, priority, tokens)``: the places of each term in each chunk where it stands."""
     rows = postings.withColumn("whole", F.col("bits") >= EXACT)
-    found = salted_join(rows, words_of_terms(postings, terms), ["word", "whole"], ["chunk_no"], "inner")
+    # written, so that Spark knows its size: a small one is broadcast, else hot words are split by the adaptive join
+    found = rows.join(stored(words_of_terms(postings, terms), "term-words"), ["word", "whole"])
     places = found.select(F.explode("terms").alias("term"), "chunk_no", "bits", "dec_no", "priority", "tokens")
     return places.groupBy("term", "chunk_no").agg(
         F.bit_or("bits").alias("bits"), F.min("dec_no").alias("dec_no"), F.first("priority").alias("priority"), F.first("tokens").alias("tokens"))
@@ -153,7 +154,10 @@ def _flags(bits: Column, core: Column) -> dict[str, Column]:
 
 def best_chunks(queries: DataFrame, index: Index, k: int) -> DataFrame:
     """``(query_id, chunk_no, score, rank)`` of the k best chunks of every query that score above zero."""
-    terms = query_terms(queries)
+    return _best_of_terms(queries, stored(query_terms(queries), "query-terms"), index, k)
+
+
+def _best_of_terms(queries: DataFrame, terms: DataFrame, index: Index, k: int) -> DataFrame:
     hits = term_hits(index.postings, terms)
     if "repo" in queries.columns or "entity_types" in queries.columns:
         hits = hits.join(index.chunks.select("chunk_no", F.col("repo").alias("of_repo"), F.lower("entity_type").alias("of_kind")), "chunk_no")
@@ -273,8 +277,10 @@ def lexical_search(queries: DataFrame, chunks: DataFrame | Index, k: int = 10) -
     their chunks' rows.
     """
     index = chunks if isinstance(chunks, Index) else indexed(chunks)
-    asked = query_terms(queries).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "is_core"))).alias("terms"))
-    hits = best_chunks(queries, index, k).join(asked, "query_id")
+    terms = stored(query_terms(queries), "query-terms")
+    asked = terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "is_core"))).alias("terms"))
+    # k rows a query, written: the chunks' texts stay where they are while the hits are few enough to be broadcast
+    hits = stored(_best_of_terms(queries, terms, index, k).join(asked, "query_id"), "lexical-hits")
     rows = index.chunks.join(hits, "chunk_no").select(
         "query_id", "rank", "chunk_id", "score", F.struct(*_META).alias("meta"), F.coalesce("decorators", F.array().cast("array<string>")).alias("decorators"),
         _matches().alias("matches"),

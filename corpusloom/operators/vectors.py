@@ -183,8 +183,9 @@ class CodeIndex(NamedTuple):
     codes: DataFrame
 
 
-def train_centroids(sample: np.ndarray, k: int = 10, recall: float = 0.98, rounds: int = 10, seed: int = 42) -> Centroids:
-    """k-means of unit vectors; ``probe`` is the least number of lists that hold ``recall`` of the sample's own neighbours."""
+def train_centroids(sample: np.ndarray, k: int = 10, recall: float = 0.9, sure: float = 0.995, rounds: int = 10, seed: int = 42) -> Centroids:
+    """k-means of unit vectors; ``probe`` is the least number of lists that hold ``recall`` of the neighbours of ``sure`` of the
+    sample's own vectors."""
     x, rng = _unit(sample.astype(np.float64)), np.random.default_rng(seed)
     n = max(1, min(MAX_LISTS, int(len(x) ** 0.5 / 2)))
     centres = x[rng.choice(len(x), n, replace=False)] if len(x) else np.zeros((1, sample.shape[1] if sample.ndim > 1 else 0))
@@ -201,8 +202,10 @@ def train_centroids(sample: np.ndarray, k: int = 10, recall: float = 0.98, round
     asked = x[:200]
     near = np.argsort(-(asked @ x.T), axis=1)[:, 1 : k + 1]
     place = np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)  # of each list, by nearness to the query
-    needed = np.sort(np.take_along_axis(place, at[near], axis=1).ravel()) if near.size else np.zeros(1, int)
-    return Centroids(centres, step, int(needed[min(len(needed) - 1, int(recall * len(needed)))]) + 1)
+    if not near.size:
+        return Centroids(centres, step, 1)
+    far = np.sort(np.take_along_axis(place, at[near], axis=1), axis=1)[:, int(np.ceil(recall * near.shape[1])) - 1]
+    return Centroids(centres, step, int(np.quantile(far, sure, method="higher")) + 1)
 
 
 def index_vectors(vectors: DataFrame, sample: int = SAMPLE_VECTORS) -> CodeIndex:
@@ -227,7 +230,7 @@ def index_vectors(vectors: DataFrame, sample: int = SAMPLE_VECTORS) -> CodeIndex
 def approx_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, index: CodeIndex | None = None, read_share: float = 0.08) -> DataFrame:
     """Approximate ``(query_id, rank, chunk_id, cosine)``: codes of the nearest lists, then an exact rank of the best of them.
 
-    Of each query's collection at most ``read_share`` of the vectors, ``k`` at least and ``4 k`` at most, are read. Queries that
+    Of each query's collection at most ``read_share`` of the vectors, ``k + 2`` at least and ``4 k`` at most, are read. Queries that
     find fewer than k hits are answered exactly.
     """
     index = index or index_vectors(vectors)
@@ -245,7 +248,7 @@ def approx_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, index: Cod
 
     named = lambda: F.concat_ws("#", "collection", F.col("list").cast("string"))
     largest = vectors.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    pool = max(k, min(4 * k, int(read_share * largest)))
+    pool = max(k + 2, min(4 * k, int(read_share * largest)))
     asked = prepared.withColumn("list", F.explode(nearest_lists("embedding"))).withColumn("collection", named()).drop("list")
     coarse = index.codes.select(named().alias("collection"), "chunk_id", "entity_type", decoded("list", "code").alias("embedding"))
     near = cosine_top_k(asked, coarse, pool).select("query_id", "chunk_id")
