@@ -1,19 +1,23 @@
 """Lexical search for whole batches of queries over an inverted index.
 
-The index is written once and read by every search. Its postings hold, for each word of a chunk's text, the fields it stands
-in, and for each word of its name, class and path what it is. A query term occurs in a text where some word contains it, so
-terms are looked up among the distinct words: words and terms meet on a gram of three letters. The words found lead to
-their postings, the postings to scores, and each task hands on its best k chunks per query only. Reasons are built for the
-ranked hits. All of it are joins and aggregates; a word that stands in a great part of all chunks is split by Spark's adaptive
-skew join.
+The index is written once and read by every search. It holds, for each chunk, the distinct words of its text with the fields
+they stand in, and the words of its name, class and path with what they are. A query term occurs in a text where some word
+contains it, so a task looks each distinct word up once: the terms of the queries lie in a table of their first letters. The
+terms found make the chunks of a block rows of a matrix, the queries another, and their product scores all of them; no pair of
+query and chunk becomes a row, and each task hands on its best k chunks per query only. Reasons are built for the ranked hits.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from corpusloom.functions.identifiers import core_tokens, expand_terms, split_identifier
 from corpusloom.functions.rows import explode_rows
@@ -26,9 +30,12 @@ TYPE_PRIORITY = {"function": 3, "method": 3, "class": 2, "interface": 2, "type_a
 
 #: Where a word stands: in text fields, as parts of words too, or, whole, as what the chunk is called.
 SIGNATURE, DOCSTRING, BODY, DECORATOR, EXACT, NAME, PARENT, PATH, HINT = (1 << i for i in range(9))
-#: Letters of a term by which it is looked up among the words; terms have two at least.
-GRAM = 3
+#: Letters of a term by which it is looked up in the words; words whose terms a task remembers.
+GRAM, KNOWN_WORDS = 3, 200_000
 WORD = r"[\p{L}\p{N}_]+"
+#: Queries are sent to the tasks up to this size; more meet the chunks fragment by fragment.
+MAX_QUERY_BYTES, MAX_BATCH_BYTES = 64 << 20, 32 << 20
+QUERIES_PER_FRAGMENT, CHUNKS_PER_FRAGMENT = 20_000, 20_000
 _META = (
     "repo", "file_path", "entity_name", "entity_type", "language", "start_line", "end_line", "signature", "docstring",
     "parent", "tokens_estimate",
@@ -43,7 +50,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 class Index(NamedTuple):
-    """``chunks``: the chunk table with ``chunk_no``, which has the order of the ids; ``postings``: words with their places."""
+    """``chunks``: the chunk table with ``chunk_no``, which has the order of the ids; ``postings``: each chunk's words with their places."""
 
     chunks: DataFrame
     postings: DataFrame
@@ -63,15 +70,12 @@ def _path_tokens() -> Column:
 
 
 def _entries() -> Column:
-    """``array<struct<word, bits, dec_no>>`` of a chunk: one entry per word and place."""
+    """``array<struct<word, bits>>`` of a chunk: one entry per word and place."""
 
     def marked(words: Column, bit: int) -> Column:
-        return F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(bit).alias("bits"), F.lit(None).cast("int").alias("dec_no")))
+        return F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(bit).alias("bits")))
 
-    decorators = F.flatten(F.transform(
-        F.coalesce("decorators", F.array().cast("array<string>")),
-        lambda d, i: F.transform(_words(d), lambda w: F.struct(w.alias("word"), F.lit(DECORATOR).alias("bits"), i.cast("int").alias("dec_no"))),
-    ))
+    decorators = marked(F.array_distinct(F.flatten(F.transform(F.coalesce("decorators", F.array().cast("array<string>")), _words))), DECORATOR)
     kind = F.lower("entity_type")
     return F.concat(
         marked(_words(F.col("signature")), SIGNATURE), marked(_words(F.col("docstring")), DOCSTRING), marked(_words(F.col("code_content")), BODY),
@@ -89,8 +93,10 @@ def write_index(chunks: DataFrame, path: str) -> None:
     numbered = spark.read.parquet(f"{path}/rows").orderBy("chunk_id").withColumn("chunk_no", F.monotonically_increasing_id())
     numbered.write.parquet(f"{path}/chunks")
     numbered = spark.read.parquet(f"{path}/chunks")
-    rows = explode_rows(numbered, _entries(), "e", "chunk_no", _priority(F.col("entity_type")).alias("priority"), F.col("tokens_estimate").alias("tokens"))
-    rows.select(F.col("e.word").alias("word"), "chunk_no", F.col("e.bits").alias("bits"), F.col("e.dec_no").alias("dec_no"), "priority", "tokens").write.parquet(f"{path}/postings")
+    numbered.select(
+        "chunk_no", _priority(F.col("entity_type")).cast("int").alias("priority"), F.col("tokens_estimate").cast("long").alias("tokens"), "repo",
+        F.lower("entity_type").alias("kind"), _entries().alias("entries"),
+    ).write.parquet(f"{path}/postings")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
@@ -104,52 +110,184 @@ def indexed(chunks: DataFrame) -> Index:
     return read_index(chunks.sparkSession, path)
 
 
-def words_of_terms(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(word, whole, terms)``: for each word of the postings the terms it contains, or, where it names a chunk, equals."""
-    vocabulary = postings.select("word", (F.col("bits") >= EXACT).alias("whole")).distinct()
-    wanted = terms.select("term").distinct()
-    gram = F.substring("term", 1, GRAM)
-    # a term begins with its gram, and so does each place of it in a word; terms of two letters have grams of two
-    starts = F.sequence(F.lit(1), F.length("word"))
-    grams = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*[F.substring("word", i, F.lit(n)) for n in range(2, GRAM + 1)]))))
-    parts = explode_rows(vocabulary.filter("not whole and word <> ''"), grams, "gram", "word")
-    within = parts.join(wanted.withColumn("gram", gram), "gram").filter(F.contains("word", F.col("term")))
-    found = within.groupBy("word").agg(F.array_distinct(F.collect_list("term")).alias("terms")).withColumn("whole", F.lit(False))
-    equal = vocabulary.filter("whole").join(wanted, F.col("word") == F.col("term")).select("word", F.array("term").alias("terms"), "whole")
-    return found.select("word", "whole", "terms").unionByName(equal.select("word", "whole", "terms"))
-
-
-def term_hits(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(term, chunk_no, bits, dec_no, priority, tokens)``: the places of each term in each chunk where it stands."""
-    rows = postings.withColumn("whole", F.col("bits") >= EXACT)
-    # written, so that Spark knows its size: a small one is broadcast, else hot words are split by the adaptive join
-    found = rows.join(stored(words_of_terms(postings, terms), "term-words"), ["word", "whole"])
-    places = found.select(F.explode("terms").alias("term"), "chunk_no", "bits", "dec_no", "priority", "tokens")
-    return places.groupBy("term", "chunk_no").agg(
-        F.bit_or("bits").alias("bits"), F.min("dec_no").alias("dec_no"), F.first("priority").alias("priority"), F.first("tokens").alias("tokens"))
-
-
-def _has(bits: Column, place: int) -> Column:
-    return bits.bitwiseAND(place) > 0
-
-
-def _score(n: dict[str, Column], decorated: Column) -> Column:
-    """The field weights; in a sum each match counts, where the text says so up to two or three."""
-    exact = n["exact"] > 0
-    return F.bround(
-        F.when(exact, 10.0).when(n["concept"] > 0, 8.0).otherwise(0.0)
-        + F.when(exact, 0.0).otherwise(5.0 * n["name"]) + 4.0 * n["parent"] + 3.5 * F.least(F.lit(2), n["path"])
-        + F.when(n["sig"] > 0, 3.0).otherwise(0.0) + 2.5 * F.least(F.lit(2), n["doc"]) + F.when(decorated, 2.0).otherwise(0.0)
-        + F.least(F.lit(3.0), 1.0 * n["body"]) + 2.0 * n["hint"], 2)
-
-
-def _flags(bits: Column, core: Column) -> dict[str, Column]:
-    """What a matched term counts for; a word of the name counts neither for the signature nor for the body."""
-    name = _has(bits, NAME)
-    return {
-        "exact": _has(bits, EXACT) & core, "concept": _has(bits, EXACT), "name": name, "parent": _has(bits, PARENT), "path": _has(bits, PATH),
-        "sig": _has(bits, SIGNATURE) & ~name, "doc": _has(bits, DOCSTRING), "body": _has(bits, BODY) & ~name, "hint": _has(bits, HINT) & core,
-    }
+class _Asked:
+    """Queries as arrays, in blocks. A row of ``table`` is what one query asks under one filter."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        codes = pc.dictionary_encode(table["query_id"].combine_chunks(), null_encoding="encode")
+        order = np.argsort(codes.indices.to_numpy(), kind="stable")
+        rows = table.take(pa.array(order))
+        self.ids, self.query = codes.dictionary, codes.indices.to_numpy()[order]
+        self.repo = rows["repo"].to_numpy() if "repo" in rows.column_names else None
+        self.kinds = rows["kinds"].to_pylist() if "kinds" in rows.column_names else None
+        terms = rows["terms"].combine_chunks()
+        self.ends = np.concatenate([[0], np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64))])
+        asked, self.core, self.n = (terms.flatten().field(i) for i in range(3))
+        self.core, self.n = self.core.to_numpy(zero_copy_only=False), self.n.to_numpy(zero_copy_only=False)
+        asked = pc.dictionary_encode(asked)
+        self.term, self.number = asked.indices.to_numpy(zero_copy_only=False), {t: i for i, t in enumerate(asked.dictionary.to_pylist())}
+        self.begins: dict[str, list[str]] = {}
+        for term in self.number:
+            self.begins.setdefault(term[:GRAM], []).append(term)
+        self.within: dict[str, list[int]] = {}
+
+    def terms_of(self, word: str) -> list[int]:
+        """Numbers of the terms that stand anywhere in a word; terms of two letters have grams of two."""
+        found = self.within.get(word)
+        if found is None:
+            found = sorted({
+                self.number[t] for n in range(2, GRAM + 1) for i in range(len(word) - n + 1) for t in self.begins.get(word[i : i + n], ()) if word.startswith(t, i)})
+            if len(self.within) >= KNOWN_WORDS:
+                self.within.clear()
+            self.within[word] = found
+        return found
+
+    def blocks(self) -> Iterator[tuple[int, int]]:
+        """Ranges of rows with at most ``QUERY_ROWS`` queries; a query's rows stay together."""
+        cuts = np.searchsorted(self.query, np.arange(0, len(self.ids) + QUERY_ROWS, QUERY_ROWS))
+        yield from ((a, b) for a, b in zip(cuts.tolist(), cuts[1:].tolist()) if a < b)
+
+
+#: One block of scores: at most so many chunks times queries, and terms multiplied at once.
+CHUNK_ROWS, QUERY_ROWS, TERM_COLUMNS = 4_096, 256, 2_048
+#: A block ends, too, with the chunk that brings its words to this number.
+BLOCK_WORDS = 1_000_000
+#: What a matched term counts for: the place, whether a word of the name is left out, whether core terms only.
+_COUNTS = {
+    "exact": (EXACT, False, True), "concept": (EXACT, False, False), "name": (NAME, False, False), "parent": (PARENT, False, False),
+    "path": (PATH, False, False), "sig": (SIGNATURE, True, False), "doc": (DOCSTRING, False, False), "dec": (DECORATOR, False, False),
+    "body": (BODY, True, False), "hint": (HINT, False, True),
+}
+
+
+class _Chunks:
+    """A block of chunk rows as arrays, the better of two that score the same first; per chunk and term its places."""
+
+    def __init__(self, rows: pa.RecordBatch, asked: _Asked):
+        number, priority = rows["chunk_no"].to_numpy(), rows["priority"].to_numpy()
+        tokens = pc.fill_null(rows["tokens"], np.iinfo(np.int64).min).to_numpy()
+        order = np.lexsort((number, tokens, -priority))
+        self.number, self.priority, self.tokens = number[order], priority[order], tokens[order]
+        self.repo = rows["repo"].to_numpy(zero_copy_only=False)[order] if "repo" in rows.schema.names else None
+        self.kind = rows["kind"].to_numpy(zero_copy_only=False)[order] if "kind" in rows.schema.names else None
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+        chunk = np.repeat(at, pc.fill_null(pc.list_value_length(rows["entries"]), 0).to_numpy())
+        words, bits = rows["entries"].flatten().flatten()
+        known = words.is_valid().to_numpy(zero_copy_only=False)  # a chunk without a name has a null for it
+        words, bits, chunk = words.drop_null().dictionary_encode(), bits.to_numpy(zero_copy_only=False)[known], chunk[known]
+        code, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
+        whole = bits >= EXACT
+        equal = np.fromiter((asked.number.get(w, -1) for w in distinct), np.int64, len(distinct))[code]
+        # what stands in a text: each word's terms in a row, taken by the words in their places
+        inner = [asked.terms_of(w) for w in distinct]
+        sizes = np.fromiter(map(len, inner), np.int64, len(inner))
+        flat, starts = np.fromiter(chain.from_iterable(inner), np.int64, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        text, named = np.flatnonzero(~whole), np.flatnonzero(whole & (equal >= 0))
+        per = sizes[code[text]]
+        text, place = np.repeat(text, per), np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        terms = np.concatenate([flat[starts[code[text]] + place], equal[named]])
+        entry = np.concatenate([text, named])
+        key = chunk[entry] * (len(asked.number) + 1) + terms
+        order = np.argsort(key, kind="stable")
+        key, bits = key[order], bits[entry][order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.chunk, self.term = np.divmod(key[first], len(asked.number) + 1)
+        self.bits = np.bitwise_or.reduceat(bits, first) if len(first) else bits
+
+
+def _count(chunks: _Chunks, asked: _Asked, a: int, b: int, where: np.ndarray, core: bool) -> np.ndarray | float:
+    """How many terms of each of the queries' rows stand at the marked places of each chunk."""
+    span = slice(asked.ends[a], asked.ends[b])
+    weight, wanted = (asked.core if core else asked.n)[span], asked.term[span]
+    row = np.repeat(np.arange(b - a), np.diff(asked.ends[a : b + 1]))
+    terms = np.intersect1d(chunks.term[where], wanted[weight > 0])
+    total: np.ndarray | float = 0.0
+    for i in range(0, len(terms), TERM_COLUMNS):
+        some = terms[i : i + TERM_COLUMNS]
+
+        def matrix(shape: tuple[int, int], line: np.ndarray, term: np.ndarray, value: np.ndarray | int) -> np.ndarray:
+            at = np.minimum(np.searchsorted(some, term), len(some) - 1)
+            known, out = some[at] == term, np.zeros(shape, np.float32)
+            out[line[known], at[known]] = value if np.isscalar(value) else value[known]
+            return out
+
+        stands = matrix((len(chunks.number), len(some)), chunks.chunk[where], chunks.term[where], 1)
+        total = total + stands @ matrix((b - a, len(some)), row, wanted, weight).T
+    return total
+
+
+def _scores(chunks: _Chunks, asked: _Asked, a: int, b: int) -> np.ndarray:
+    """Doubled scores, whole numbers, of chunks times queries: in a sum each match counts, where the weights say so up to two or three."""
+    query, first = np.unique(asked.query[a:b], return_index=True)
+    allowed = None
+    if asked.repo is not None:
+        allowed = chunks.repo[:, None] == asked.repo[None, a:b]
+        allowed &= np.array([r is not None for r in asked.repo[a:b]], bool)
+    if asked.kinds is not None:
+        free = np.ones(len(chunks.number), bool)
+        kinds = np.stack([np.isin(chunks.kind, [k for k in ks if k is not None]) if ks else free for ks in asked.kinds[a:b]], axis=1)
+        allowed = kinds if allowed is None else allowed & kinds
+    named, n = (chunks.bits & NAME) > 0, {}
+    for name, (place, unnamed, core) in _COUNTS.items():
+        where = (chunks.bits & place) > 0
+        count = _count(chunks, asked, a, b, where & ~named if unnamed else where, core)
+        if isinstance(count, np.ndarray):
+            count = count if allowed is None else count * allowed
+            count = count if len(query) == b - a else np.add.reduceat(count, first, axis=1)
+        n[name] = count
+    exact = np.greater(n["exact"], 0)
+    doubled = (
+        np.where(exact, 20.0, np.where(np.greater(n["concept"], 0), 16.0, 0.0) + 10.0 * n["name"]) + 8.0 * n["parent"] + 7.0 * np.minimum(2, n["path"])
+        + 6.0 * np.greater(n["sig"], 0) + 5.0 * np.minimum(2, n["doc"]) + 4.0 * np.greater(n["dec"], 0) + 2.0 * np.minimum(3, n["body"]) + 4.0 * n["hint"]
+    )
+    return np.broadcast_to(doubled, (len(chunks.number), len(query))).astype(np.int64)
+
+
+def _block_best(chunks: _Chunks, asked: _Asked, a: int, b: int, k: int) -> list[np.ndarray]:
+    """``[query, doubled score, priority, tokens, chunk number]`` of the k best chunks of a block for each query."""
+    n = len(chunks.number)
+    scores, query = _scores(chunks, asked, a, b), np.unique(asked.query[a:b])
+    place = scores * n + np.arange(n - 1, -1, -1)[:, None]  # chunks come in the order of the ties
+    best = np.argpartition(place, n - k, axis=0)[n - k :] if n > k else np.broadcast_to(np.arange(n)[:, None], scores.shape)
+    score = np.take_along_axis(scores, best, axis=0)
+    keep = score > 0
+    at = best[keep]
+    return [np.broadcast_to(query, score.shape)[keep], score[keep], chunks.priority[at], chunks.tokens[at], chunks.number[at]]
+
+
+def _merged(parts: list[list[np.ndarray]], k: int) -> list[np.ndarray]:
+    query, score, priority, tokens, number = columns = [np.concatenate(c) for c in zip(*parts)]
+    order = np.lexsort((number, tokens, -priority, -score, query))
+    query = query[order]
+    first = np.searchsorted(query, query)
+    order = order[np.arange(len(query)) - first < k]
+    return [c[order] for c in columns]
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    words = np.cumsum(pc.fill_null(pc.list_value_length(batch["entries"]), 0).to_numpy())
+    start = 0
+    while start < batch.num_rows:
+        most = np.searchsorted(words, (words[start - 1] if start else 0) + BLOCK_WORDS) + 1
+        stop = int(min(start + CHUNK_ROWS, most, batch.num_rows))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def _best_rows(asked: _Asked, batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of all rows of ``batches`` for each query; held are one block of scores and the k best of each query."""
+    best: dict[int, list[np.ndarray]] = {}
+    for block in chain.from_iterable(map(_blocks, batches)):
+        chunks = _Chunks(block, asked)
+        for a, b in asked.blocks():
+            new = _block_best(chunks, asked, a, b, k)
+            best[a] = _merged([best[a], new], k) if a in best else new
+    for query, score, priority, tokens, number in best.values():
+        yield pa.RecordBatch.from_arrays(
+            [asked.ids.take(pa.array(query)), pa.array(number), pa.array(score / 2.0), pa.array(priority.astype(np.int32)), pa.array(tokens)],
+            names=["query_id", "chunk_no", "score", "priority", "tokens"])
 
 
 def best_chunks(queries: DataFrame, index: Index, k: int) -> DataFrame:
@@ -157,25 +295,42 @@ def best_chunks(queries: DataFrame, index: Index, k: int) -> DataFrame:
     return _best_of_terms(queries, stored(query_terms(queries), "query-terms"), index, k)
 
 
-def _best_of_terms(queries: DataFrame, terms: DataFrame, index: Index, k: int) -> DataFrame:
-    hits = term_hits(index.postings, terms)
-    if "repo" in queries.columns or "entity_types" in queries.columns:
-        hits = hits.join(index.chunks.select("chunk_no", F.col("repo").alias("of_repo"), F.lower("entity_type").alias("of_kind")), "chunk_no")
-    joined = hits.join(terms, "term")
-    if "repo" in queries.columns:
-        joined = joined.filter(F.col("of_repo") == F.col("repo"))
-    if "entity_types" in queries.columns:
-        kinds = F.transform("entity_types", F.lower)
-        joined = joined.filter(F.col("entity_types").isNull() | (F.size("entity_types") == 0) | F.array_contains(kinds, F.col("of_kind")))
-    flags = _flags(F.col("bits"), F.col("is_core"))
-    sums = joined.groupBy("query_id", "chunk_no").agg(
-        *[F.count_if(c).alias(f"n_{name}") for name, c in flags.items()], F.count("dec_no").alias("n_dec"),
-        F.first("priority").alias("priority"), F.first("tokens").alias("tokens"),
-    )
-    score = _score({name: F.col(f"n_{name}") for name in flags}, F.col("n_dec") > 0)
+def _best_of_terms(queries: DataFrame, terms: DataFrame, index: Index, k: int, max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
+    """Scores are formed in blocks of chunks and queries within the tasks and never are rows; a task hands on its k best per query."""
+    by = [c for c in ("repo", "entity_types") if c in queries.columns]
+    hits = index.postings.select("chunk_no", "priority", "tokens", *[{"repo": "repo", "entity_types": "kind"}[c] for c in by], "entries")
+    core, times = F.count_if("is_core").cast("int").alias("core"), F.count(F.lit(1)).cast("int").alias("n")
+    counted = terms.filter("term is not null").groupBy("query_id", *by, "term").agg(core, times)
+    asked = counted.groupBy("query_id", *by).agg(F.collect_list(F.struct("term", "core", "n")).alias("terms"))
+    if "entity_types" in by:
+        asked = asked.withColumn("kinds", F.transform("entity_types", F.lower)).drop("entity_types")
+    asked = stored(asked, "asked")
+    schema = T.StructType([asked.schema["query_id"], *T.StructType.fromDDL("chunk_no bigint, score double, priority int, tokens bigint").fields])
+    size = F.aggregate("terms", F.lit(64).cast("long"), lambda n, t: n + 16 + F.octet_length(t["term"]))
+    n, n_bytes = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    if n_bytes <= max_query_bytes:
+        sent = queries.sparkSession.sparkContext.broadcast(asked.toArrow())
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if sent.value.num_rows:
+                yield from _best_rows(_Asked(sent.value), batches, k)
+
+        ranked = hits.mapInArrow(best, schema)
+    else:
+        # every fragment of the queries meets every fragment of the chunks
+        n_queries, n_chunks = -(-n // QUERIES_PER_FRAGMENT), max(1, -(-index.postings.count() // CHUNKS_PER_FRAGMENT))
+        numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        left = asked.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(n_queries)).cast("int")).withColumn("_c", numbers(n_chunks))
+        right = hits.withColumn("_c", F.pmod(F.xxhash64("chunk_no"), F.lit(n_chunks)).cast("int")).withColumn("_q", numbers(n_queries))
+        kinds, names = [asked.limit(0).toArrow().schema.field("query_id").type, pa.int64(), pa.float64(), pa.int32(), pa.int64()], schema.names
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            found = list(_best_rows(_Asked(a), b.to_batches(), k)) if a.num_rows and b.num_rows else []
+            return pa.Table.from_batches(found) if found else pa.table([pa.array([], t) for t in kinds], names=names)
+
+        ranked = left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(meet, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("priority"), "tokens", "chunk_no")
-    scored = sums.select("query_id", "chunk_no", "priority", "tokens", score.alias("score")).filter(F.col("score") > 0)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("priority", "tokens")
+    return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("priority", "tokens")
 
 
 def _matches() -> Column:
