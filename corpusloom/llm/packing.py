@@ -37,7 +37,8 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 #: of special tokens, go to the library whole.
 UNUSUAL = "[\x1c-\x1f\u0130\u0180-\U0010ffff]|<\\|"
 POINTS = frozenset(".,;:!?")
-CACHED_WORDS = 500_000
+#: Words a task remembers, and bytes of text it encodes at once: two tasks share an executor with the pipeline's other stages.
+CACHED_WORDS, MAX_SLICE = 200_000, 2 << 20
 
 
 @lru_cache(maxsize=2)
@@ -123,7 +124,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         for batch in batches:
             ids, texts, start = batch.column(0).to_pylist(), batch.column(1), 0
             while start < batch.num_rows:
-                stop = slice_end(texts, start, 2048, 4 << 20)
+                stop = slice_end(texts, start, 2048, MAX_SLICE)
                 rows = []
                 for doc_id, packed in zip(ids[start:stop], tokens.encode(texts.slice(start, stop - start))):
                     packed += end

@@ -65,3 +65,14 @@ def test_pieces_are_placed_without_gaps(odd_docs, no_docs):
             at += length
         assert at <= 64
     assert packing.pack(no_docs, PATH).count() == 0
+
+
+def test_words_remembered_are_bounded():
+    """Two tasks of the pipeline share an executor: what a task remembers of distinct words stays small, and ids stay right."""
+    tokens = packing.WordTokens(PATH)
+    for part in range(6):
+        tokens.encode(pa.array([" ".join(f"w{i}" for i in range(a, a + 500)) for a in range(part * 50_000, (part + 1) * 50_000, 500)]))
+        assert len(tokens.known) <= 200_010
+    text = "w7 of w299999, and w123456."
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert tokens.encode(pa.array([text]))[0] == array("I", want).tobytes()
