@@ -2,9 +2,10 @@
 
 The index is written once and read by every search. It holds, for each chunk, the distinct words of its text with the fields
 they stand in, and the words of its name, class and path with what they are. A query term occurs in a text where some word
-contains it, so a task looks each distinct word up once: the terms of the queries lie in a table of their first letters. The
-terms found make the chunks of a block rows of a matrix, the queries another, and their product scores all of them; no pair of
-query and chunk becomes a row, and each task hands on its best k chunks per query only. Reasons are built for the ranked hits.
+contains it, so a task looks each distinct word of a block of chunks up once in the tree of the queries' terms. The chunks come
+in the order in which they win ties; what a block holds bounds the scores it can give, and only queries whose k best a block can
+still change are scored, as a product of matrices. No pair of query and chunk becomes a row, and each task hands on its best k
+chunks per query only. Reasons are built for the ranked hits.
 """
 
 from __future__ import annotations
@@ -30,12 +31,12 @@ TYPE_PRIORITY = {"function": 3, "method": 3, "class": 2, "interface": 2, "type_a
 
 #: Where a word stands: in text fields, as parts of words too, or, whole, as what the chunk is called.
 SIGNATURE, DOCSTRING, BODY, DECORATOR, EXACT, NAME, PARENT, PATH, HINT = (1 << i for i in range(9))
-#: Letters of a term by which it is looked up in the words; words whose terms a task remembers.
-GRAM, KNOWN_WORDS = 3, 200_000
 WORD = r"[\p{L}\p{N}_]+"
 #: Queries are sent to the tasks up to this size; more meet the chunks fragment by fragment.
 MAX_QUERY_BYTES, MAX_BATCH_BYTES = 64 << 20, 32 << 20
 QUERIES_PER_FRAGMENT, CHUNKS_PER_FRAGMENT = 20_000, 20_000
+#: Queries whose best chunks a task hands on at once.
+ROWS_OUT = 10_000
 _META = (
     "repo", "file_path", "entity_name", "entity_type", "language", "start_line", "end_line", "signature", "docstring",
     "parent", "tokens_estimate",
@@ -92,9 +93,10 @@ def write_index(chunks: DataFrame, path: str) -> None:
     # the sort samples ids of written rows; its ranges come in a row, so the numbers have the order of the ids
     numbered = spark.read.parquet(f"{path}/rows").orderBy("chunk_id").withColumn("chunk_no", F.monotonically_increasing_id())
     numbered.write.parquet(f"{path}/chunks")
-    numbered = spark.read.parquet(f"{path}/chunks")
+    # within a task the chunks that win ties come first: most queries then have soon what later chunks cannot pass
+    numbered = spark.read.parquet(f"{path}/chunks").withColumn("_priority", _priority(F.col("entity_type"))).sortWithinPartitions(F.desc("_priority"), "tokens_estimate", "chunk_no")
     numbered.select(
-        "chunk_no", _priority(F.col("entity_type")).cast("int").alias("priority"), F.col("tokens_estimate").cast("long").alias("tokens"), "repo",
+        "chunk_no", F.col("_priority").cast("int").alias("priority"), F.col("tokens_estimate").cast("long").alias("tokens"), "repo",
         F.lower("entity_type").alias("kind"), _entries().alias("entries"),
     ).write.parquet(f"{path}/postings")
 
@@ -110,47 +112,79 @@ def indexed(chunks: DataFrame) -> Index:
     return read_index(chunks.sparkSession, path)
 
 
+def _ranges(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges ``starts[i]:stops[i]`` in a row."""
+    sizes = stops - starts
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 class _Asked:
-    """Queries as arrays, in blocks. A row of ``table`` is what one query asks under one filter."""
+    """Queries as arrays. A row of ``table`` is what one query asks under one filter; a query's rows stay together."""
 
     def __init__(self, table: pa.Table):
         table = table.combine_chunks()
         codes = pc.dictionary_encode(table["query_id"].combine_chunks(), null_encoding="encode")
         order = np.argsort(codes.indices.to_numpy(), kind="stable")
         rows = table.take(pa.array(order))
-        self.ids, self.query = codes.dictionary, codes.indices.to_numpy()[order]
+        self.ids = codes.dictionary
+        self.rows = np.searchsorted(codes.indices.to_numpy()[order], np.arange(len(self.ids) + 1))
         self.repo = rows["repo"].to_numpy() if "repo" in rows.column_names else None
-        self.kinds = rows["kinds"].to_pylist() if "kinds" in rows.column_names else None
+        self.kinds = np.array([*rows["kinds"].to_pylist(), None], object)[:-1] if "kinds" in rows.column_names else None
         terms = rows["terms"].combine_chunks()
         self.ends = np.concatenate([[0], np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64))])
         asked, self.core, self.n = (terms.flatten().field(i) for i in range(3))
         self.core, self.n = self.core.to_numpy(zero_copy_only=False), self.n.to_numpy(zero_copy_only=False)
-        asked = pc.dictionary_encode(asked)
+        asked = pc.dictionary_encode(asked)  # terms are never null
         self.term, self.number = asked.indices.to_numpy(zero_copy_only=False), {t: i for i, t in enumerate(asked.dictionary.to_pylist())}
-        self.begins: dict[str, list[str]] = {}
-        for term in self.number:
-            self.begins.setdefault(term[:GRAM], []).append(term)
-        self.within: dict[str, list[int]] = {}
-
-    def terms_of(self, word: str) -> list[int]:
-        """Numbers of the terms that stand anywhere in a word; terms of two letters have grams of two."""
-        found = self.within.get(word)
-        if found is None:
-            found = sorted({
-                self.number[t] for n in range(2, GRAM + 1) for i in range(len(word) - n + 1) for t in self.begins.get(word[i : i + n], ()) if word.startswith(t, i)})
-            if len(self.within) >= KNOWN_WORDS:
-                self.within.clear()
-            self.within[word] = found
-        return found
-
-    def blocks(self) -> Iterator[tuple[int, int]]:
-        """Ranges of rows with at most ``QUERY_ROWS`` queries; a query's rows stay together."""
-        cuts = np.searchsorted(self.query, np.arange(0, len(self.ids) + QUERY_ROWS, QUERY_ROWS))
-        yield from ((a, b) for a, b in zip(cuts.tolist(), cuts[1:].tolist()) if a < b)
-
-
-#: One block of scores: at most so many chunks times queries, and terms multiplied at once.
-CHUNK_ROWS, QUERY_ROWS, TERM_COLUMNS = 4_096, 256, 2_048
+        # the terms' bytes as a tree: per level the edges out of it, sorted, and the number of its first node
+        text, letters = asked.dictionary.cast(pa.large_binary()), np.zeros(0, np.uint8)
+        starts = np.zeros(len(text) + 1, np.int64)
+        if len(text):
+            starts, letters = np.frombuffer(text.buffers()[1], np.int64)[: len(text) + 1], np.frombuffer(text.buffers()[2] or b"", np.uint8)
+        sizes, nodes, node = np.diff(starts), 1, np.zeros(len(text), np.int64)
+        self.levels: list[tuple[np.ndarray, int]] = []
+        live = np.flatnonzero(sizes > 0)
+        while len(live):
+            edges, child = np.unique(node[live] * 256 + letters[starts[live] + len(self.levels)], return_inverse=True)
+            node[live] = nodes + child
+            self.levels.append((edges, nodes))
+            nodes += len(edges)
+            live = live[sizes[live] > len(self.levels)]
+        self.ending = np.full(nodes, -1)
+        self.ending[node[sizes > 0]] = np.flatnonzero(sizes > 0)
+
+    def terms_in(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Terms that stand anywhere in each of the words, once per place, in a row, and where each word's begin. UTF-8 meets whole letters only."""
+        words = words.cast(pa.large_binary())
+        pairs = []
+        if len(words):
+            starts, letters = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1], np.frombuffer(words.buffers()[2] or b"", np.uint8)
+            word = np.repeat(np.arange(len(words)), np.diff(starts))
+            at, node = np.arange(starts[0], starts[-1]), np.zeros(starts[-1] - starts[0], np.int64)
+            for depth, (edges, nodes) in enumerate(self.levels):
+                inside = at + depth < starts[word + 1]
+                word, at, node = word[inside], at[inside], node[inside]
+                if not len(at):
+                    break
+                edge = node * 256 + letters[at + depth]
+                child = np.minimum(np.searchsorted(edges, edge), len(edges) - 1)
+                known = edges[child] == edge
+                word, at, node = word[known], at[known], nodes + child[known]
+                ends = self.ending[node] >= 0
+                pairs.append(word[ends] * len(self.number) + self.ending[node[ends]])
+        word, term = np.divmod(np.sort(np.concatenate([np.zeros(0, np.int64), *pairs])), max(1, len(self.number)))
+        return term, np.searchsorted(word, np.arange(len(words) + 1))
+
+    def sums(self, queries: np.ndarray, there: np.ndarray, core: bool) -> np.ndarray:
+        """How many of each query's terms are marked in ``there``."""
+        starts, stops = self.ends[self.rows[queries]], self.ends[self.rows[queries + 1]]
+        at, cuts = _ranges(starts, stops), np.concatenate([[0], np.cumsum(stops - starts)])
+        totals = np.concatenate([[0], np.cumsum((self.core if core else self.n)[at] * there[self.term[at]])])
+        return totals[cuts[1:]] - totals[cuts[:-1]]
+
+
+#: One block of scores: at most so many chunks times queries, and terms multiplied at once. A task begins with a small block.
+CHUNK_ROWS, QUERY_ROWS, TERM_COLUMNS, FIRST_ROWS = 4_096, 256, 2_048, 128
 #: A block ends, too, with the chunk that brings its words to this number.
 BLOCK_WORDS = 1_000_000
 #: What a matched term counts for: the place, whether a word of the name is left out, whether core terms only.
@@ -159,10 +193,12 @@ _COUNTS = {
     "path": (PATH, False, False), "sig": (SIGNATURE, True, False), "doc": (DOCSTRING, False, False), "dec": (DECORATOR, False, False),
     "body": (BODY, True, False), "hint": (HINT, False, True),
 }
+#: Places in texts, whose part of a score has a limit.
+_TEXTS = ("sig", "doc", "dec", "body")
 
 
 class _Chunks:
-    """A block of chunk rows as arrays, the better of two that score the same first; per chunk and term its places."""
+    """A block of chunk rows as arrays, the better of two that score the same first; per term its chunks and places."""
 
     def __init__(self, rows: pa.RecordBatch, asked: _Asked):
         number, priority = rows["chunk_no"].to_numpy(), rows["priority"].to_numpy()
@@ -181,110 +217,148 @@ class _Chunks:
         whole = bits >= EXACT
         equal = np.fromiter((asked.number.get(w, -1) for w in distinct), np.int64, len(distinct))[code]
         # what stands in a text: each word's terms in a row, taken by the words in their places
-        inner = [asked.terms_of(w) for w in distinct]
-        sizes = np.fromiter(map(len, inner), np.int64, len(inner))
-        flat, starts = np.fromiter(chain.from_iterable(inner), np.int64, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        flat, starts = asked.terms_in(words.dictionary)
         text, named = np.flatnonzero(~whole), np.flatnonzero(whole & (equal >= 0))
-        per = sizes[code[text]]
-        text, place = np.repeat(text, per), np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-        terms = np.concatenate([flat[starts[code[text]] + place], equal[named]])
-        entry = np.concatenate([text, named])
-        key = chunk[entry] * (len(asked.number) + 1) + terms
+        begins, stops = starts[code[text]], starts[code[text] + 1]
+        terms, entry = np.concatenate([flat[_ranges(begins, stops)], equal[named]]), np.concatenate([np.repeat(text, stops - begins), named])
+        n, n_terms = len(order), len(asked.number)
+        key = terms * n + chunk[entry]
         order = np.argsort(key, kind="stable")
         key, bits = key[order], bits[entry][order]
         first = np.flatnonzero(np.diff(key, prepend=-1))
-        self.chunk, self.term = np.divmod(key[first], len(asked.number) + 1)
-        self.bits = np.bitwise_or.reduceat(bits, first) if len(first) else bits
-
-
-def _count(chunks: _Chunks, asked: _Asked, a: int, b: int, where: np.ndarray, core: bool) -> np.ndarray | float:
-    """How many terms of each of the queries' rows stand at the marked places of each chunk."""
-    span = slice(asked.ends[a], asked.ends[b])
-    weight, wanted = (asked.core if core else asked.n)[span], asked.term[span]
-    row = np.repeat(np.arange(b - a), np.diff(asked.ends[a : b + 1]))
-    terms = np.intersect1d(chunks.term[where], wanted[weight > 0])
-    total: np.ndarray | float = 0.0
-    for i in range(0, len(terms), TERM_COLUMNS):
-        some = terms[i : i + TERM_COLUMNS]
-
-        def matrix(shape: tuple[int, int], line: np.ndarray, term: np.ndarray, value: np.ndarray | int) -> np.ndarray:
-            at = np.minimum(np.searchsorted(some, term), len(some) - 1)
-            known, out = some[at] == term, np.zeros(shape, np.float32)
-            out[line[known], at[known]] = value if np.isscalar(value) else value[known]
-            return out
-
-        stands = matrix((len(chunks.number), len(some)), chunks.chunk[where], chunks.term[where], 1)
-        total = total + stands @ matrix((b - a, len(some)), row, wanted, weight).T
-    return total
-
-
-def _scores(chunks: _Chunks, asked: _Asked, a: int, b: int) -> np.ndarray:
-    """Doubled scores, whole numbers, of chunks times queries: in a sum each match counts, where the weights say so up to two or three."""
-    query, first = np.unique(asked.query[a:b], return_index=True)
+        term, chunk = np.divmod(key[first], max(n, 1))
+        bits = np.bitwise_or.reduceat(bits, first) if len(first) else bits
+        #: Of each kind of count: the chunks of every term in a row, and where each term's begin.
+        self.found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for name, (place, unnamed, _) in _COUNTS.items():
+            where = (bits & place) > 0
+            where = where & ((bits & NAME) == 0) if unnamed else where
+            if where.any():
+                self.found[name] = chunk[where], np.searchsorted(term[where], np.arange(n_terms + 1))
+        # chunks called alike, by the terms in their names, paths and kinds, are one group
+        called = np.flatnonzero(bits >= EXACT)
+        called = called[np.argsort(chunk[called], kind="stable")]
+        cuts = np.searchsorted(chunk[called], np.arange(n + 1))
+        marks = np.stack([term[called], bits[called] & -EXACT], axis=1).astype(np.int64)
+        groups: dict[bytes, int] = {}
+        self.group = np.array([groups.setdefault(marks[i:j].tobytes(), len(groups)) for i, j in zip(cuts.tolist(), cuts[1:].tolist())], np.int64)
+        self.sample = np.unique(self.group, return_index=True)[1]
+
+
+def _counts(chunks: _Chunks, rows: np.ndarray, asked: _Asked, queries: np.ndarray, kinds: Iterable[str], filtered: bool = True) -> dict[str, np.ndarray | float]:
+    """How many terms of each of ``queries`` stand at the places of each kind in each of the chunks ``rows``."""
+    asks = _ranges(asked.rows[queries], asked.rows[queries + 1])
+    at, n_rows = _ranges(asked.ends[asks], asked.ends[asks + 1]), len(asks)
+    line = np.repeat(np.arange(n_rows), asked.ends[asks + 1] - asked.ends[asks])
+    first = np.cumsum(np.diff(asked.rows)[queries]) - np.diff(asked.rows)[queries]
     allowed = None
-    if asked.repo is not None:
-        allowed = chunks.repo[:, None] == asked.repo[None, a:b]
-        allowed &= np.array([r is not None for r in asked.repo[a:b]], bool)
-    if asked.kinds is not None:
-        free = np.ones(len(chunks.number), bool)
-        kinds = np.stack([np.isin(chunks.kind, [k for k in ks if k is not None]) if ks else free for ks in asked.kinds[a:b]], axis=1)
-        allowed = kinds if allowed is None else allowed & kinds
-    named, n = (chunks.bits & NAME) > 0, {}
-    for name, (place, unnamed, core) in _COUNTS.items():
-        where = (chunks.bits & place) > 0
-        count = _count(chunks, asked, a, b, where & ~named if unnamed else where, core)
-        if isinstance(count, np.ndarray):
-            count = count if allowed is None else count * allowed
-            count = count if len(query) == b - a else np.add.reduceat(count, first, axis=1)
-        n[name] = count
-    exact = np.greater(n["exact"], 0)
-    doubled = (
-        np.where(exact, 20.0, np.where(np.greater(n["concept"], 0), 16.0, 0.0) + 10.0 * n["name"]) + 8.0 * n["parent"] + 7.0 * np.minimum(2, n["path"])
+    if filtered and asked.repo is not None:
+        allowed = chunks.repo[rows, None] == asked.repo[None, asks]
+        allowed &= np.array([r is not None for r in asked.repo[asks]], bool)
+    if filtered and asked.kinds is not None:
+        free = np.ones(len(rows), bool)
+        of_kind = np.stack([np.isin(chunks.kind[rows], [k for k in ks if k is not None]) if ks else free for ks in asked.kinds[asks]], axis=1)
+        allowed = of_kind if allowed is None else allowed & of_kind
+    place_of = np.full(len(chunks.number), -1)
+    place_of[rows] = np.arange(len(rows))
+    n: dict[str, np.ndarray | float] = dict.fromkeys(_COUNTS, 0.0)
+    for name in kinds:
+        if name not in chunks.found:
+            continue
+        chunk, starts = chunks.found[name]
+        weight = (asked.core if _COUNTS[name][2] else asked.n)[at]
+        there = (starts[asked.term[at] + 1] > starts[asked.term[at]]) & (weight > 0)
+        terms, column = np.unique(asked.term[at[there]], return_inverse=True)
+        weight, asker = weight[there], line[there]
+        for i in range(0, len(terms), TERM_COLUMNS):
+            some = terms[i : i + TERM_COLUMNS]
+            stood, part = place_of[chunk[_ranges(starts[some], starts[some + 1])]], (column >= i) & (column < i + TERM_COLUMNS)
+            known, stands, wanted = stood >= 0, np.zeros((len(rows), len(some)), np.float32), np.zeros((n_rows, len(some)), np.float32)
+            stands[stood[known], np.repeat(np.arange(len(some)), starts[some + 1] - starts[some])[known]] = 1
+            wanted[asker[part], column[part] - i] = weight[part]
+            n[name] = n[name] + stands @ wanted.T
+        if isinstance(n[name], np.ndarray):
+            n[name] = n[name] if allowed is None else n[name] * allowed
+            n[name] = n[name] if len(queries) == n_rows else np.add.reduceat(n[name], first, axis=1)
+    return n
+
+
+def _doubled(n: dict[str, np.ndarray | float]) -> np.ndarray:
+    """Doubled scores, whole numbers: in a sum each match counts, where the weights say so up to two or three."""
+    return (
+        np.where(np.greater(n["exact"], 0), 20.0, np.where(np.greater(n["concept"], 0), 16.0, 0.0) + 10.0 * n["name"]) + 8.0 * n["parent"] + 7.0 * np.minimum(2, n["path"])
         + 6.0 * np.greater(n["sig"], 0) + 5.0 * np.minimum(2, n["doc"]) + 4.0 * np.greater(n["dec"], 0) + 2.0 * np.minimum(3, n["body"]) + 4.0 * n["hint"]
     )
-    return np.broadcast_to(doubled, (len(chunks.number), len(query))).astype(np.int64)
-
-
-def _block_best(chunks: _Chunks, asked: _Asked, a: int, b: int, k: int) -> list[np.ndarray]:
-    """``[query, doubled score, priority, tokens, chunk number]`` of the k best chunks of a block for each query."""
-    n = len(chunks.number)
-    scores, query = _scores(chunks, asked, a, b), np.unique(asked.query[a:b])
-    place = scores * n + np.arange(n - 1, -1, -1)[:, None]  # chunks come in the order of the ties
-    best = np.argpartition(place, n - k, axis=0)[n - k :] if n > k else np.broadcast_to(np.arange(n)[:, None], scores.shape)
-    score = np.take_along_axis(scores, best, axis=0)
-    keep = score > 0
-    at = best[keep]
-    return [np.broadcast_to(query, score.shape)[keep], score[keep], chunks.priority[at], chunks.tokens[at], chunks.number[at]]
 
 
-def _merged(parts: list[list[np.ndarray]], k: int) -> list[np.ndarray]:
-    query, score, priority, tokens, number = columns = [np.concatenate(c) for c in zip(*parts)]
-    order = np.lexsort((number, tokens, -priority, -score, query))
-    query = query[order]
-    first = np.searchsorted(query, query)
-    order = order[np.arange(len(query)) - first < k]
-    return [c[order] for c in columns]
-
-
-def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    words = np.cumsum(pc.fill_null(pc.list_value_length(batch["entries"]), 0).to_numpy())
-    start = 0
-    while start < batch.num_rows:
-        most = np.searchsorted(words, (words[start - 1] if start else 0) + BLOCK_WORDS) + 1
-        stop = int(min(start + CHUNK_ROWS, most, batch.num_rows))
-        yield batch.slice(start, stop - start)
-        start = stop
+class _Best:
+    """The k best chunks of every query so far; no score is zero."""
+
+    def __init__(self, n: int, k: int):
+        self.score, self.priority, self.tokens, self.number = (np.zeros((n, k), np.int64) for _ in range(4))
+
+    def add(self, queries: np.ndarray, score: np.ndarray, chunks: _Chunks, at: np.ndarray) -> None:
+        k = self.score.shape[1]
+        new = score, chunks.priority[at], chunks.tokens[at], chunks.number[at]
+        held = [np.concatenate([h[queries], x], axis=1) for h, x in zip((self.score, self.priority, self.tokens, self.number), new)]
+        order = np.lexsort((held[3], held[2], -held[1], -held[0]), axis=1)[:, :k]
+        for h, x in zip((self.score, self.priority, self.tokens, self.number), held):
+            h[queries] = np.take_along_axis(x, order, axis=1)
+
+    def least(self, queries: np.ndarray, chunks: _Chunks) -> np.ndarray:
+        """The score that a chunk of the block needs to be among the best: more than the last one's if it loses ties."""
+        score, priority, tokens, number = (h[queries, -1] for h in (self.score, self.priority, self.tokens, self.number))
+        first = -int(chunks.priority[0]), int(chunks.tokens[0]), int(chunks.number[0])
+        loses = (-priority < first[0]) | ((-priority == first[0]) & ((tokens < first[1]) | ((tokens == first[1]) & (number < first[2]))))
+        return np.maximum(1, score + loses)
+
+
+def _add_block(chunks: _Chunks, asked: _Asked, best: _Best) -> None:
+    """Score the chunks that can still be among the best of a query; a text's part of a score is bounded by the terms the block holds."""
+    queries = np.arange(len(asked.ids))
+    there = {name: starts[1:] > starts[:-1] for name, (_, starts) in chunks.found.items()}
+    most = {name: asked.sums(queries, there[name], core) if name in there else np.zeros(len(queries)) for name, (_, _, core) in _COUNTS.items()}
+    text = _doubled({name: most[name] if name in _TEXTS else 0.0 for name in _COUNTS})
+    queries = queries[np.maximum(_doubled(most), _doubled(most | {"exact": np.zeros(len(queries))})) >= best.least(queries, chunks)]
+    for i in range(0, len(queries), QUERY_ROWS):
+        some = queries[i : i + QUERY_ROWS]
+        named = _counts(chunks, chunks.sample, asked, some, [name for name in _COUNTS if name not in _TEXTS], filtered=False)
+        bound = np.broadcast_to(_doubled(named), (len(chunks.sample), len(some))) + text[some]
+        bound = np.maximum(bound, _doubled(named | {"exact": 0.0}) + text[some])  # a filter may leave out what is exact
+        able = bound >= best.least(some, chunks)
+        some, able = some[able.any(axis=0)], able.any(axis=1)
+        rows = np.flatnonzero(able[chunks.group])
+        if not len(some):
+            continue
+        scores = np.broadcast_to(_doubled(_counts(chunks, rows, asked, some, _COUNTS)), (len(rows), len(some))).astype(np.int64)
+        n, k = len(rows), best.score.shape[1]
+        place = scores * n + np.arange(n - 1, -1, -1)[:, None]  # chunks come in the order of the ties
+        top = np.argpartition(place, n - k, axis=0)[n - k :] if n > k else np.broadcast_to(np.arange(n)[:, None], scores.shape)
+        best.add(some, np.take_along_axis(scores, top, axis=0).T, chunks, rows[top].T)
+
+
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks grow from ``FIRST_ROWS`` to ``CHUNK_ROWS``: a small one tells for most queries what the others have to reach."""
+    size = min(FIRST_ROWS, CHUNK_ROWS)
+    for batch in batches:
+        words = np.cumsum(pc.fill_null(pc.list_value_length(batch["entries"]), 0).to_numpy())
+        start = 0
+        while start < batch.num_rows:
+            enough = np.searchsorted(words, (words[start - 1] if start else 0) + BLOCK_WORDS) + 1
+            stop = int(min(start + size, enough, batch.num_rows))
+            yield batch.slice(start, stop - start)
+            start, size = stop, min(2 * size, CHUNK_ROWS)
 
 
 def _best_rows(asked: _Asked, batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """The k best of all rows of ``batches`` for each query; held are one block of scores and the k best of each query."""
-    best: dict[int, list[np.ndarray]] = {}
-    for block in chain.from_iterable(map(_blocks, batches)):
-        chunks = _Chunks(block, asked)
-        for a, b in asked.blocks():
-            new = _block_best(chunks, asked, a, b, k)
-            best[a] = _merged([best[a], new], k) if a in best else new
-    for query, score, priority, tokens, number in best.values():
+    best = _Best(len(asked.ids), k)
+    for block in _blocks(batches):
+        _add_block(_Chunks(block, asked), asked, best)
+    for i in range(0, len(asked.ids), ROWS_OUT):
+        query, at = np.nonzero(best.score[i : i + ROWS_OUT])
+        query = query + i
+        score, priority, tokens, number = (h[query, at] for h in (best.score, best.priority, best.tokens, best.number))
         yield pa.RecordBatch.from_arrays(
             [asked.ids.take(pa.array(query)), pa.array(number), pa.array(score / 2.0), pa.array(priority.astype(np.int32)), pa.array(tokens)],
             names=["query_id", "chunk_no", "score", "priority", "tokens"])
@@ -425,6 +499,12 @@ def explanation(meta: Column, reasons: Column) -> Column:
     )
 
 
+def rows_of_hits(chunks: DataFrame, hits: DataFrame, key: str) -> DataFrame:
+    """The rows of ``chunks`` that were hit, written. Only the hits' keys go to the chunks: the texts of all others stay where they are."""
+    keys = stored(hits.select(key).distinct(), "hit-keys")
+    return stored(chunks.join(keys, key, "left_semi"), "hit-chunks")
+
+
 def lexical_search(queries: DataFrame, chunks: DataFrame | Index, k: int = 10) -> DataFrame:
     """Unified hits: the k best chunks per query with reasons and an explanation. ``chunks``: a chunk table, or its index.
 
@@ -434,9 +514,9 @@ def lexical_search(queries: DataFrame, chunks: DataFrame | Index, k: int = 10) -
     index = chunks if isinstance(chunks, Index) else indexed(chunks)
     terms = stored(query_terms(queries), "query-terms")
     asked = terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "is_core"))).alias("terms"))
-    # k rows a query, written: the chunks' texts stay where they are while the hits are few enough to be broadcast
+    # k rows a query, written
     hits = stored(_best_of_terms(queries, terms, index, k).join(asked, "query_id"), "lexical-hits")
-    rows = index.chunks.join(hits, "chunk_no").select(
+    rows = rows_of_hits(index.chunks, hits, "chunk_no").join(hits, "chunk_no").select(
         "query_id", "rank", "chunk_id", "score", F.struct(*_META).alias("meta"), F.coalesce("decorators", F.array().cast("array<string>")).alias("decorators"),
         _matches().alias("matches"),
     )

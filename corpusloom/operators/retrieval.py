@@ -241,7 +241,7 @@ def answer_questions(
     """
     hits = search("hybrid", questions, chunks, vectors, 2 * k)
     sources = durable(select_sources(hits, k))
-    code = chunks.chunks.select("chunk_id", "code_content")
+    code = lexical.rows_of_hits(chunks.chunks.select("chunk_id", "code_content"), sources, "chunk_id")
     blocks = sources.join(code, "chunk_id").withColumn("block", source_block(F.col("code_content"))).drop("code_content")
     context = pack_context(blocks, budget)
     prompts = questions.select("query_id", "text").join(context, "query_id", "left").select(

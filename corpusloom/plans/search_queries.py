@@ -9,6 +9,7 @@ from corpusloom.operators import lexical, lines, retrieval
 from corpusloom.plans import bindings as b
 from corpusloom.plans.registry import query
 from corpusloom.plans.vector_queries import hash_embedding_sql
+from corpusloom.session import stored
 from corpusloom.sources import vectors as sink
 
 _DIM = 32
@@ -217,10 +218,9 @@ SELECT query_id, array_to_string(list(sid ORDER BY rank), ',') AS source_ids, md
 FROM run WHERE rank = 1 OR total <= 6000 GROUP BY query_id""")
 def context_pack(spark, sf):
     index = lexical.indexed(chunks(spark, sf))
-    sources = retrieval.select_sources(lexical.lexical_search(queries(spark, sf), index, 5), 5)
-    blocks = sources.join(index.chunks.select("chunk_id", "code_content"), "chunk_id").withColumn(
-        "block", retrieval.source_block(F.col("code_content"))
-    )
+    sources = stored(retrieval.select_sources(lexical.lexical_search(queries(spark, sf), index, 5), 5), "sources")
+    code = lexical.rows_of_hits(index.chunks.select("chunk_id", "code_content"), sources, "chunk_id")
+    blocks = sources.join(code, "chunk_id").withColumn("block", retrieval.source_block(F.col("code_content")))
     packed = retrieval.pack_context(blocks, 6000)
     return packed.select("query_id", F.array_join("source_ids", ",").alias("source_ids"), F.md5("context").alias("digest"), "chars")
 
