@@ -92,10 +92,14 @@ def file_size_findings(counts: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame
 
 
 def bare_code(code: Column) -> Column:
-    """Python text without string contents and comments."""
-    c = F.regexp_replace(code, r"(?s)\"\"\".*?\"\"\"|'''.*?'''", "''")
-    c = F.regexp_replace(c, r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", "''")
-    return F.regexp_replace(c, r"#[^\n]*", "")
+    """Python text without string contents and comments. A pattern runs only where the text holds its first characters."""
+    def without(c: Column, begins: tuple[str, ...], pattern: str, to: str) -> Column:
+        held = [F.contains(c, F.lit(x)) for x in begins]
+        return F.when(held[0] if len(held) == 1 else held[0] | held[1], F.regexp_replace(c, pattern, to)).otherwise(c)
+
+    triple = lambda c: without(c, ('"""', "'''"), r"(?s)\"\"\".*?\"\"\"|'''.*?'''", "''")
+    quoted = lambda c: without(c, ('"', "'"), r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", "''")
+    return bind(bind(bind(code, triple), quoted), lambda c: without(c, ("#",), r"#[^\n]*", ""))
 
 
 def python_complexity(code: Column) -> Column:
@@ -247,8 +251,8 @@ def broad_exception_findings(handlers: DataFrame) -> DataFrame:
 def unused_names(lines: Column, labels: Column, language: Column) -> Column:
     """``array<struct<n, symbol>>``: imported symbols with no whole-word use outside import lines.
 
-    The words of the other lines are one distinct array, built once in the file's row and looked up inside it. Only the
-    first line of an import is left out, so names on its later lines count as used.
+    Each symbol is searched in the text of the other lines up to its first whole-word use; most that have none do not stand in it
+    at all, which needs no pattern. Only the first line of an import is left out, so names on its later lines count as used.
     """
     rows = extract.labelled_lines(lines, labels)
     other = F.filter(rows, lambda r: ~((r["label"] == "c") & r["x"].rlike(extract.IMPORT_LINE)))
@@ -257,17 +261,18 @@ def unused_names(lines: Column, labels: Column, language: Column) -> Column:
         F.coalesce(extract.imported(r["x"], language), F.array().cast(extract._IMPORT)),
         lambda i: F.transform(i["imported_names"], lambda name: F.struct(r["n"].alias("n"), F.coalesce(i["alias"], name).alias("symbol")))))))
 
-    def unused(found: Column, text: Column, words: Column) -> Column:
+    def unused(found: Column, text: Column) -> Column:
         def used(symbol: Column) -> Column:
-            dotted = F.regexp_like(text, F.concat(F.lit(r"(?U)\b\Q"), symbol, F.lit(r"\E\b")))
-            return F.when(symbol.rlike(r"^[\p{L}\p{N}_]+$"), F.array_contains(words, symbol)).otherwise(dotted)
+            # the symbol itself comes first in the pattern, so the search skips to it
+            name = F.concat(F.lit(r"\Q"), symbol, F.lit(r"\E(?<![\p{L}\p{N}_]\Q"), symbol, F.lit(r"\E)(?![\p{L}\p{N}_])"))
+            dotted = F.concat(F.lit(r"(?U)\b\Q"), symbol, F.lit(r"\E\b"))
+            pattern = F.when(symbol.rlike(r"^[\p{L}\p{N}_]+\z"), name).otherwise(dotted)
+            return F.contains(text, symbol) & F.regexp_like(text, pattern)
 
         return F.filter(found, lambda u: (u["symbol"] != "*") & ~used(u["symbol"]))
 
-    distinct = lambda text: F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
     none = F.array().cast("array<struct<n:int,symbol:string>>")
-    return bind(symbols, lambda found: F.when(F.size(found) == 0, none).otherwise(
-        bind(rest, lambda text: bind(distinct(text), lambda words: unused(found, text, words)))))
+    return bind(symbols, lambda found: F.when(F.size(found) == 0, none).otherwise(bind(rest, lambda text: unused(found, text))))
 
 
 def unused_imports(files: DataFrame) -> DataFrame:
