@@ -317,8 +317,7 @@ SELECT repo, count(*) AS files_analyzed, count(*) FILTER (WHERE is_py) AS python
   CAST(sum(CASE WHEN is_py THEN 2 ELSE 1 END) AS BIGINT) AS methods, count(*) FILTER (WHERE NOT is_py) AS interfaces, count(*) FILTER (WHERE NOT is_py) AS types,
   CAST(sum(CASE WHEN is_py THEN 5 ELSE 2 END) AS BIGINT) AS imports, CAST(0 AS BIGINT) AS files_with_errors FROM mods GROUP BY repo""")
 def codebase_summary(spark, sf):
-    accepted, rejects = src.split_rejects(declared(spark, sf))
-    return graph.codebase_summary(accepted, rejects)
+    return graph.codebase_summary(src.with_problem(declared(spark, sf)))
 
 
 def _module_text(first: int, last: int) -> str:

@@ -72,10 +72,15 @@ def decode(raw: Column, fallback: str = "latin1") -> Column:
     raise ValueError(f"unknown fallback {fallback!r}")
 
 
+def with_problem(files: DataFrame) -> DataFrame:
+    """Flag, not drop: ``_problem`` of a code file that cannot be parsed, null for the others."""
+    return files.withColumn("_problem", syntax.parse_problem(F.col("content"), paths.parseable_language(F.col("path"))))
+
+
 def split_rejects(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(accepted, rejects)`` of code files; rejects are ``repo, path, language, error_type, message`` and processing goes on."""
     language = paths.parseable_language(F.col("path"))
-    checked = files.withColumn("_problem", syntax.parse_problem(F.col("content"), language))
+    checked = with_problem(files)
     accepted = checked.filter(F.col("_problem").isNull()).drop("_problem")
     rejects = checked.filter(F.col("_problem").isNotNull()).select(
         "repo", "path", language.alias("language"), "_problem.error_type", "_problem.message")
