@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from corpusloom.functions.text import strip
+from corpusloom.functions.vectors import bind
 
 # Literals that stand for no secret, live token prefixes and credential-like names.
 PLACEHOLDERS = (
@@ -36,11 +37,14 @@ def has_live_prefix(value: Column) -> Column:
 
 
 def is_credential(name: Column, value: Column) -> Column:
-    """Whether assigning ``value`` to ``name`` looks like a hard-coded secret."""
-    clean = strip(value)
-    lowered, live = F.lower(clean), has_live_prefix(clean)
+    """Whether assigning ``value`` to ``name`` looks like a hard-coded secret. What several tests read is computed once."""
+    lowered = lambda clean: F.struct(F.lower(name).alias("name"), F.lower(clean).alias("value"))
+    return bind(strip(value), lambda clean: bind(lowered(clean), lambda low: _is_credential(low["name"], clean, low["value"])))
+
+
+def _is_credential(lowered_name: Column, clean: Column, lowered: Column) -> Column:
+    live = has_live_prefix(clean)
     shape = (clean.startswith("<") & clean.endswith(">")) | (clean.startswith("{") & clean.endswith("}"))
-    lowered_name = F.lower(name)
     named = lowered_name.rlike(CREDENTIAL_NAME) | _any([lowered_name.contains(p) for p in CREDENTIAL_NAME_PARTS])
     length = F.char_length(clean)
     return F.coalesce(

@@ -47,8 +47,8 @@ def severity_rank(c: Column, order: tuple[str, ...] = SEVERITIES) -> Column:
     return rank.otherwise(F.lit(99))
 
 
-def _finish(df: DataFrame) -> DataFrame:
-    return df.select(finding_id("entity_name").alias("finding_id"), *FINDING)
+def _finish(df: DataFrame, *keep: str) -> DataFrame:
+    return df.select(finding_id("entity_name").alias("finding_id"), *FINDING, *keep)
 
 
 def _found(rule_id, category, severity, start, end, message, suggestion, name=None, kind=None, value=None, limit=None) -> Column:
@@ -62,10 +62,10 @@ def _found(rule_id, category, severity, start, end, message, suggestion, name=No
     )
 
 
-def _exploded(rows: DataFrame, findings: Column) -> DataFrame:
-    """The findings table of rows with ``repo`` and ``path`` and an array of :func:`_found`."""
-    found = explode_rows(rows, findings, "f", "repo", "path")
-    return _finish(found.select("repo", "path", *[F.col(f"f.{c}").alias(c) for c in FINDING if c not in ("repo", "path")]))
+def _exploded(rows: DataFrame, findings: Column, *keep: str) -> DataFrame:
+    """The findings table of rows with ``repo`` and ``path`` and an array of :func:`_found`, and the ``keep`` columns."""
+    found = explode_rows(rows, findings, "f", "repo", "path", *keep)
+    return _finish(found.select("repo", "path", *keep, *[F.col(f"f.{c}").alias(c) for c in FINDING if c not in ("repo", "path")]), *keep)
 
 
 def _two_level(value: Column, limits: tuple[int, int]) -> tuple[Column, Column]:
@@ -245,7 +245,9 @@ def _handler_finding(caught: Column, silent: Column, start: Column, end: Column)
 
 
 def broad_exception_findings(handlers: DataFrame) -> DataFrame:
-    return _exploded(handlers, F.array(_handler_finding(F.col("caught"), F.col("only_pass"), F.col("start_line"), F.col("end_line"))))
+    """Findings of :func:`broad_handlers`, each with its ``source_line``."""
+    finding = _handler_finding(F.col("caught"), F.col("only_pass"), F.col("start_line"), F.col("end_line"))
+    return _exploded(handlers, F.array(finding), "source_line")
 
 
 def unused_names(lines: Column, labels: Column, language: Column) -> Column:

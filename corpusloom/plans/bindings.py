@@ -235,7 +235,7 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         (d + 20).cast("string").alias("k20"), (d % 7).cast("string").alias("k7"),
         F.when(d % 3 == 0, F.lit("True")).otherwise(F.lit("False")).alias("kflag"),
     )
-    notes = F.regexp_replace(F.col("text"), "\n", F.when(python, F.lit("\n# ")).otherwise(F.lit("\n// ")))
+    notes = F.replace(F.col("text"), F.lit("\n"), F.when(python, F.lit("\n# ")).otherwise(F.lit("\n// ")))
     content = F.when(python, F.concat(_fill(PY_MODULE), F.lit("# "), notes, F.lit("\n"))).otherwise(
         F.concat(_fill(TS_MODULE), F.lit("// "), notes, F.lit("\n"))
     )

@@ -8,6 +8,7 @@ from corpusloom.operators import quality as q, review as r, security as s
 from corpusloom.plans import bindings as b
 from corpusloom.plans.code_queries import LIMITS, declared
 from corpusloom.plans.registry import query
+from corpusloom.session import stored
 
 
 def responses(spark, sf):
@@ -71,8 +72,10 @@ ai AS (SELECT repo, path, 23 AS start_line, ' dynamic code execution (EVAL)' AS
 
 def _both(spark, sf):
     files = declared(spark, sf)
-    eval_rule = s.code_findings(files).filter(F.col("rule_id") == "PYTHON_DANGEROUS_EVAL")
-    broad = q.broad_exception_findings(q.broad_handlers(files))
+    # each file is scanned once; what its findings need is small beside its text
+    read = stored(s.with_statements(files).select("repo", "path", "language", "doc_id", "statements", "handlers"), "statements")
+    eval_rule = s.code_findings(read).filter(F.col("rule_id") == "PYTHON_DANGEROUS_EVAL")
+    broad = q.broad_exception_findings(q.broad_handlers(read))
     static = r.from_security(eval_rule).unionByName(r.from_quality(broad, files))
     none = F.lit(None).cast("string")
 
@@ -84,8 +87,8 @@ def _both(spark, sf):
             F.lit(True).alias("is_verified"),
         )
 
-    ai = outside(files.filter(F.col("doc_id") % 4 == 0), 23, " dynamic code execution (EVAL)", "correctness", "low").unionByName(
-        outside(files.filter(F.col("doc_id") % 3 == 0), 1, "Other", "testing", "info")
+    ai = outside(read.filter(F.col("doc_id") % 4 == 0), 23, " dynamic code execution (EVAL)", "correctness", "low").unionByName(
+        outside(read.filter(F.col("doc_id") % 3 == 0), 1, "Other", "testing", "info")
     )
     return files, r.merge(static, ai)
 
