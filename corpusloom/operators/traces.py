@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import paths, text
-from corpusloom.functions.rows import posexplode_rows
+from corpusloom.functions.rows import explode_rows, posexplode_rows
 from corpusloom.functions.text import strip
 from corpusloom.functions.vectors import bind
 from corpusloom.operators import extract, lines as line_ops
 from corpusloom.operators.graph import salted_join
+from corpusloom.session import stored
 
 MAX_SNIPPETS = 6
 MAX_EVIDENCE_LINES = 500
@@ -150,7 +151,10 @@ def missing_files(resolved: DataFrame) -> DataFrame:
 
 
 def _snippets(targets: DataFrame, files: DataFrame) -> DataFrame:
-    """Snippet of each distinct ``(repo, path, line)``: the enclosing entity where it is short, else a window."""
+    """Snippet of each distinct ``(repo, path, line)``: the enclosing entity where it is short, else a window.
+
+    ``targets`` are read more than once; ``files`` need ``lines``, ``content`` and ``language``.
+    """
     total = F.size("lines")
 
     def cut(t: Column) -> Column:
@@ -168,7 +172,9 @@ def _snippets(targets: DataFrame, files: DataFrame) -> DataFrame:
             line.alias("line"), r["entity"].alias("entity"), r["s"].alias("start_line"), r["e"].alias("end_line"),
             text.numbered_snippet(F.col("lines"), r["s"], r["e"]).alias("code_snippet")))
 
-    return line_ops.at_files(targets, files.filter(F.col("content") != ""), ["lines", "decls"], cut)
+    # only the files with targets are scanned
+    near = files.filter(F.col("content") != "").join(targets.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+    return line_ops.at_files(targets, extract.with_declarations(near), ["lines", "decls"], cut)
 
 
 _EVIDENCE = (
@@ -176,13 +182,31 @@ _EVIDENCE = (
 )
 
 
+_NAMED = "array<struct<phase:int,ord:int,file_path:string,line:int,hint:string>>"
+
+
+def _named_files(frames: Column, user_file: Column, file_paths: Column) -> Column:
+    """The files that one trace names, each with its rank: frames, innermost first, then the user's file, then all paths."""
+    none_int, none_text = F.lit(None).cast("int"), F.lit(None).cast("string")
+
+    def named(phase: int, order: Column, path: Column, line: Column = none_int, hint: Column = none_text) -> Column:
+        return F.struct(F.lit(phase).alias("phase"), order.alias("ord"), path.alias("file_path"), line.alias("line"), hint.alias("hint"))
+
+    groups = (
+        F.transform(frames, lambda f, i: named(1, -(i + 1), f["file_path"], f["line_number"], f["function_name"])),
+        F.when(F.coalesce(user_file, F.lit("")) != "", F.array(named(2, F.lit(0), user_file))),
+        F.transform(file_paths, lambda p, i: named(3, i, p)),
+    )
+    return F.concat(*[F.coalesce(g.cast(_NAMED), F.array().cast(_NAMED)) for g in groups])
+
+
 def pack_evidence(parsed: DataFrame, files: DataFrame) -> DataFrame:
     """``(trace_id, evidence, related_files, total_lines)``: innermost frames first, then the user's file, then others.
 
     At most six snippets; none is added once 500 lines are used; a frame inside an accepted snippet adds none. The fold
     runs over one trace's candidates, whose number the trace length bounds.
     """
-    function, number = F.col("function_name"), F.col("line_number").cast("string")
+    function, number = F.col("hint"), F.col("line").cast("string")
     frame_note = (
         F.when(
             function.isNotNull() & number.isNotNull(),
@@ -191,23 +215,17 @@ def pack_evidence(parsed: DataFrame, files: DataFrame) -> DataFrame:
         .when(number.isNotNull(), F.concat(F.lit("Stack frame line "), number))
         .otherwise(F.lit("Referenced in stack trace"))
     )
-    none_int, none_text = F.lit(None).cast("int"), F.lit(None).cast("string")
-    from_frames = frames(parsed).select(
-        "trace_id", "repo", F.lit(1).alias("phase"), (-F.col("frame_no")).alias("ord"), "file_path",
-        F.col("line_number").alias("line"), frame_note.alias("relevance"), function.alias("hint"),
-    )
-    from_user = parsed.filter(F.coalesce("user_file_path", F.lit("")) != "").select(
-        "trace_id", "repo", F.lit(2).alias("phase"), F.lit(0).alias("ord"), F.col("user_file_path").alias("file_path"),
-        none_int.alias("line"), F.lit("User-specified target file for debugging analysis").alias("relevance"), none_text.alias("hint"),
-    )
-    from_text = posexplode_rows(parsed, "file_paths", "_pos", "file_path", "trace_id", "repo").select(
-        "trace_id", "repo", F.lit(3).alias("phase"), F.col("_pos").alias("ord"), "file_path", none_int.alias("line"),
-        F.lit("File referenced in error text").alias("relevance"), none_text.alias("hint"),
+    note = (
+        F.when(F.col("phase") == 1, frame_note).when(F.col("phase") == 2, F.lit("User-specified target file for debugging analysis"))
+        .otherwise(F.lit("File referenced in error text"))
     )
-    wanted = resolve_paths(from_frames.unionByName(from_user).unionByName(from_text), files).filter(
-        F.col("resolved_path").isNotNull()
-    ).withColumnRenamed("resolved_path", "path")
-    targets = wanted.select("repo", "path", "line").distinct()
+    # a trace is parsed once: what several steps read is stored
+    named = _named_files(F.col("frames"), F.col("user_file_path"), F.col("file_paths"))
+    references = stored(
+        explode_rows(parsed, named, "_n", "trace_id", "repo").select("trace_id", "repo", "_n.*").withColumn("relevance", note), "references")
+    resolved = resolve_paths(references, files).filter(F.col("resolved_path").isNotNull())
+    wanted = stored(resolved.withColumnRenamed("resolved_path", "path"), "evidence-references")
+    targets = stored(wanted.select("repo", "path", "line").distinct(), "evidence-lines")
     cut = _snippets(targets, files).withColumn("_line", F.coalesce("line", F.lit(-1))).drop("line")
     joined = salted_join(
         wanted.withColumn("_line", F.coalesce("line", F.lit(-1))), cut, ["repo", "path", "_line"], ["trace_id"], "inner"
