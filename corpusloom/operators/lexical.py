@@ -118,6 +118,15 @@ def _ranges(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
+def _runs(cuts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs ``a:b`` of the ranges between ``cuts`` that hold about ``most`` numbers each."""
+    a = 0
+    while a < len(cuts) - 1:
+        b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + most, side="right")) - 1)
+        yield a, b
+        a = b
+
+
 class _Asked:
     """Queries as arrays. A row of ``table`` is what one query asks under one filter; a query's rows stay together."""
 
@@ -135,7 +144,7 @@ class _Asked:
         asked, self.core, self.n = (terms.flatten().field(i) for i in range(3))
         self.core, self.n = self.core.to_numpy(zero_copy_only=False), self.n.to_numpy(zero_copy_only=False)
         asked = pc.dictionary_encode(asked)  # terms are never null
-        self.term, self.number = asked.indices.to_numpy(zero_copy_only=False), {t: i for i, t in enumerate(asked.dictionary.to_pylist())}
+        self.term, self.dictionary = asked.indices.to_numpy(zero_copy_only=False), asked.dictionary
         # the terms' bytes as a tree: per level the edges out of it, sorted, and the number of its first node
         text, letters = asked.dictionary.cast(pa.large_binary()), np.zeros(0, np.uint8)
         starts = np.zeros(len(text) + 1, np.int64)
@@ -171,8 +180,8 @@ class _Asked:
                 known = edges[child] == edge
                 word, at, node = word[known], at[known], nodes + child[known]
                 ends = self.ending[node] >= 0
-                pairs.append(word[ends] * len(self.number) + self.ending[node[ends]])
-        word, term = np.divmod(np.sort(np.concatenate([np.zeros(0, np.int64), *pairs])), max(1, len(self.number)))
+                pairs.append(word[ends] * len(self.dictionary) + self.ending[node[ends]])
+        word, term = np.divmod(np.sort(np.concatenate([np.zeros(0, np.int64), *pairs])), max(1, len(self.dictionary)))
         return term, np.searchsorted(word, np.arange(len(words) + 1))
 
     def sums(self, queries: np.ndarray, there: np.ndarray, core: bool) -> np.ndarray:
@@ -197,6 +206,10 @@ _COUNTS = {
 _TEXTS = ("sig", "doc", "dec", "body")
 
 
+#: A product of matrices does so many products in the time of counting one place, and so many places are counted at once.
+PRODUCTS_PER_PLACE, PLACES = 256, 1 << 21
+
+
 class _Chunks:
     """A block of chunk rows as arrays, the better of two that score the same first; per term its chunks and places."""
 
@@ -213,18 +226,16 @@ class _Chunks:
         words, bits = rows["entries"].flatten().flatten()
         known = words.is_valid().to_numpy(zero_copy_only=False)  # a chunk without a name has a null for it
         words, bits, chunk = words.drop_null().dictionary_encode(), bits.to_numpy(zero_copy_only=False)[known], chunk[known]
-        code, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
-        whole = bits >= EXACT
-        equal = np.fromiter((asked.number.get(w, -1) for w in distinct), np.int64, len(distinct))[code]
+        code, whole = words.indices.to_numpy(), bits >= EXACT
+        equal = pc.fill_null(pc.index_in(words.dictionary, asked.dictionary), -1).to_numpy(zero_copy_only=False).astype(np.int64)[code]
         # what stands in a text: each word's terms in a row, taken by the words in their places
         flat, starts = asked.terms_in(words.dictionary)
         text, named = np.flatnonzero(~whole), np.flatnonzero(whole & (equal >= 0))
         begins, stops = starts[code[text]], starts[code[text] + 1]
         terms, entry = np.concatenate([flat[_ranges(begins, stops)], equal[named]]), np.concatenate([np.repeat(text, stops - begins), named])
-        n, n_terms = len(order), len(asked.number)
-        key = terms * n + chunk[entry]
-        order = np.argsort(key, kind="stable")
-        key, bits = key[order], bits[entry][order]
+        n, n_terms = len(order), len(asked.dictionary)
+        key = np.sort((terms * n + chunk[entry]) * (2 * HINT) + bits[entry])  # a word's places are below twice the last one
+        key, bits = np.divmod(key, 2 * HINT)
         first = np.flatnonzero(np.diff(key, prepend=-1))
         term, chunk = np.divmod(key[first], max(n, 1))
         bits = np.bitwise_or.reduceat(bits, first) if len(first) else bits
@@ -234,7 +245,7 @@ class _Chunks:
             where = (bits & place) > 0
             where = where & ((bits & NAME) == 0) if unnamed else where
             if where.any():
-                self.found[name] = chunk[where], np.searchsorted(term[where], np.arange(n_terms + 1))
+                self.found[name] = chunk[where], np.concatenate([[0], np.cumsum(np.bincount(term[where], minlength=n_terms))])
         # chunks called alike, by the terms in their names, paths and kinds, are one group
         called = np.flatnonzero(bits >= EXACT)
         called = called[np.argsort(chunk[called], kind="stable")]
@@ -270,11 +281,24 @@ def _counts(chunks: _Chunks, rows: np.ndarray, asked: _Asked, queries: np.ndarra
         there = (starts[asked.term[at] + 1] > starts[asked.term[at]]) & (weight > 0)
         terms, column = np.unique(asked.term[at[there]], return_inverse=True)
         weight, asker = weight[there], line[there]
-        for i in range(0, len(terms), TERM_COLUMNS):
-            some = terms[i : i + TERM_COLUMNS]
-            stood, part = place_of[chunk[_ranges(starts[some], starts[some + 1])]], (column >= i) & (column < i + TERM_COLUMNS)
-            known, stands, wanted = stood >= 0, np.zeros((len(rows), len(some)), np.float32), np.zeros((n_rows, len(some)), np.float32)
-            stands[stood[known], np.repeat(np.arange(len(some)), starts[some + 1] - starts[some])[known]] = 1
+        stood = place_of[chunk[_ranges(starts[terms], starts[terms + 1])]]
+        known, of = stood >= 0, np.repeat(np.arange(len(terms)), starts[terms + 1] - starts[terms])
+        stood, of = stood[known], of[known]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(terms)))])
+        places = np.concatenate([[0], np.cumsum(cuts[column + 1] - cuts[column])])
+        if places[-1] * PRODUCTS_PER_PLACE <= len(rows) * len(terms) * n_rows:
+            # few of the terms' places are asked for: these are counted one by one
+            n[name] = np.zeros(len(rows) * n_rows, np.float32)
+            for a, b in _runs(places, PLACES):
+                sizes = np.diff(places[a : b + 1])
+                cell = stood[_ranges(cuts[column[a:b]], cuts[column[a:b] + 1])] * n_rows + np.repeat(asker[a:b], sizes)
+                n[name] += np.bincount(cell, None if (weight[a:b] == 1).all() else np.repeat(weight[a:b], sizes), len(n[name])).astype(np.float32)
+            n[name] = n[name].reshape(len(rows), n_rows)
+        for i in range(0, len(terms) if isinstance(n[name], float) else 0, TERM_COLUMNS):
+            some, part = slice(cuts[i], cuts[min(i + TERM_COLUMNS, len(terms))]), (column >= i) & (column < i + TERM_COLUMNS)
+            width = min(TERM_COLUMNS, len(terms) - i)
+            stands, wanted = np.zeros((len(rows), width), np.float32), np.zeros((n_rows, width), np.float32)
+            stands[stood[some], of[some] - i] = 1
             wanted[asker[part], column[part] - i] = weight[part]
             n[name] = n[name] + stands @ wanted.T
         if isinstance(n[name], np.ndarray):

@@ -13,86 +13,165 @@ says it needs, ranks their codes, and only the best few vectors themselves are r
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.vectors import is_valid_vector
-from corpusloom.session import durable, shared_folder
+from corpusloom.session import durable, shared_folder, stored
 
 MAX_QUERY_BYTES = 64 * 1024 * 1024
 VECTORS_PER_FRAGMENT = 20_000
 QUERIES_PER_FRAGMENT = 5_000
+#: Collections that each fit one cell share cells, about so many in one.
+COLLECTIONS_PER_FRAGMENT = 8
 #: Lists of an inverted file, and the vectors that train it.
 MAX_LISTS, SAMPLE_VECTORS = 256, 20_000
-# One score matrix: at most so many queries times vectors, 16 MB of doubles, however large the batch or the query set.
-QUERY_ROWS, VECTOR_ROWS = 512, 4_096
+# One score matrix: at most so many queries times vectors, however large the batch or the query set. A search begins with few vectors.
+QUERY_ROWS, VECTOR_ROWS, FIRST_ROWS = 512, 4_096, 64
 # Scores are ranked at nine decimals, so equal vectors tie (and fall to the id) however the sums were grouped.
 RANK_DECIMALS = 9
+#: Queries whose hits a task hands on at once, and numbers that are gathered at once for exact scores.
+ROWS_OUT, GATHERED = 10_000, 1 << 22
 
 _HITS = "query_id bigint, chunk_id string, cosine double"
+_HITS_ARROW = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.string()), ("cosine", pa.float64())])
 
 
 def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column]) if len(column) else np.zeros((0, 0))
 
 
+def _rows_of(column: pa.Array) -> np.ndarray:
+    """A list column as a matrix; a null in a list is not a number."""
+    sizes = pc.list_value_length(column)
+    if sizes.null_count or len(pc.unique(sizes)) > 1:
+        raise ValueError("all vectors must have the same length")
+    return column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(column), sizes[0].as_py() if len(sizes) else 0)
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-def _block_top_k(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Best k of one vector batch for every query of the same collection; filters by entity type where asked.
-
-    Both sides are taken in blocks, so the scores held at once are bounded; the best k are merged from block to block.
-    """
-    parts = []
-    for collection, q in queries.groupby("collection", sort=False):
-        rows = vectors[vectors["collection"] == collection]
-        for a in range(0, len(q) if len(rows) else 0, QUERY_ROWS):
-            some, best = q.iloc[a : a + QUERY_ROWS], None
-            wanted_side = _unit(_matrix(some["embedding"]))
-            for b in range(0, len(rows), VECTOR_ROWS):
-                best = _merge(best, _cell_top_k(some, wanted_side, rows.iloc[b : b + VECTOR_ROWS], k), k)
-            parts.append(best)
-    return _plain(pd.concat(parts)) if parts else pd.DataFrame({"query_id": [], "chunk_id": [], "cosine": []})
-
-
-def _cell_top_k(q: pd.DataFrame, unit_queries: np.ndarray, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    scores = np.round(unit_queries @ _unit(_matrix(rows["embedding"])).T, RANK_DECIMALS)
-    ids, types = rows["chunk_id"].to_numpy(), rows["entity_type"].to_numpy()
-    query_ids, names_out, lines_out = [], [], []
-    for i, (query_id, wanted) in enumerate(zip(q["query_id"], q["entity_types"])):
-        line, names = scores[i], ids
-        if wanted is not None and len(wanted):
-            mask = np.isin(types, list(wanted))
-            line, names = line[mask], ids[mask]
-        if len(line) > k:
-            # Keep everything that ties with the k-th score; the final rank decides by id.
-            floor = np.partition(line, len(line) - k)[len(line) - k]
-            best = line >= floor
-            line, names = line[best], names[best]
-        order = np.lexsort((names.astype(str), -line))[:k]
-        query_ids.append(np.full(len(order), query_id, np.int64))
-        names_out.append(names[order])
-        lines_out.append(line[order])
-    return pd.DataFrame({"query_id": np.concatenate(query_ids), "chunk_id": np.concatenate(names_out), "cosine": np.concatenate(lines_out)})
-
-
-def _merge(best: pd.DataFrame | None, new: pd.DataFrame, k: int) -> pd.DataFrame:
-    both = new if best is None else pd.concat([best, new])
-    both = both.sort_values(["query_id", "cosine", "chunk_id"], ascending=[True, False, True], kind="stable")
-    return _plain(both.groupby("query_id", sort=False).head(k))
-
-
-def _plain(hits: pd.DataFrame) -> pd.DataFrame:
-    """Ids as objects: pandas strings put together from parts would reach Arrow in chunks."""
-    return hits.assign(chunk_id=hits["chunk_id"].astype(object))
+class _Side(NamedTuple):
+    """The queries of one collection: their rows, unit vectors, as single precision too, and which rows ask for the same types."""
+
+    rows: np.ndarray
+    unit: np.ndarray
+    single: np.ndarray
+    types: list[tuple[list | None, np.ndarray]]
+    probed: np.ndarray | None
+
+
+class _Asked:
+    """Queries as arrays with the k best vectors of each so far."""
+
+    def __init__(self, table: pa.Table, k: int, probe: Callable[[np.ndarray], np.ndarray] | None = None):
+        table, n = table.combine_chunks(), table.num_rows
+        self.ids, self.sides, self.seen = table["query_id"].combine_chunks(), {}, Counter()
+        self.score, self.name = np.full((n, k), -np.inf), np.full((n, k), None, object)
+        self.scores, self.reach = (np.empty(min(n, QUERY_ROWS) * VECTOR_ROWS, t) for t in (np.float32, bool))  # of one cell, kept for the next
+        wanted, embeddings = table["entity_types"].to_pylist(), table["embedding"].combine_chunks()
+        for collection, rows in _places(table["collection"].combine_chunks()):
+            unit = _unit(_rows_of(embeddings.take(pa.array(rows))))
+            types: dict[tuple, list[int]] = {}
+            for i, row in enumerate(rows.tolist()):
+                types.setdefault(tuple(wanted[row] or ()), []).append(i)
+            self.sides[collection] = _Side(
+                rows, unit, unit.astype(np.float32), [(list(t) or None, np.array(at)) for t, at in types.items()], probe(unit) if probe else None)
+
+    def add(self, batch: pa.RecordBatch, matrix: Callable[[pa.RecordBatch], np.ndarray]) -> None:
+        """Score the vectors of ``batch`` for the queries of their collections, in blocks that grow: the first ones tell what later ones have to reach."""
+        for collection, rows in _places(batch["collection"]):
+            side = self.sides.get(collection)
+            if side is None:
+                continue
+            some = batch.take(pa.array(rows))
+            some = some.take(pc.sort_indices(some["chunk_id"], null_placement="at_start"))  # places have the order of the ids, as Spark sorts them
+            unit, kinds, names = _unit(matrix(some)), np.array([*some["entity_type"].to_pylist(), None], object)[:-1], np.array([*some["chunk_id"].to_pylist(), None], object)[:-1]
+            lists = [(None, np.arange(len(names)))] if side.probed is None else _places(some["list"])
+            for number, at in lists:
+                for wanted, asks in side.types:
+                    asks = asks if number is None else asks[side.probed[asks, number]]
+                    of_kind = at if wanted is None else at[np.isin(kinds[at], wanted)]
+                    self._add_blocks((collection, number, tuple(wanted or ())), side, asks, unit[of_kind], names[of_kind])
+
+    def _add_blocks(self, group: tuple, side: _Side, asks: np.ndarray, unit: np.ndarray, names: np.ndarray) -> None:
+        single, start = unit.astype(np.float32).T, 0
+        while start < len(names) and len(asks):
+            stop = start + min(max(FIRST_ROWS, self.seen[group]), VECTOR_ROWS)
+            for i in range(0, len(asks), QUERY_ROWS):
+                self._add_cell(side, asks[i : i + QUERY_ROWS], unit[start:stop], np.ascontiguousarray(single[:, start:stop]), names[start:stop])
+            self.seen[group] += min(stop, len(names)) - start
+            start = stop
+
+    def _add_cell(self, side: _Side, asks: np.ndarray, unit: np.ndarray, single: np.ndarray, names: np.ndarray) -> None:
+        """Single precision tells, with a margin for its errors, which scores can be among the best; these are taken exactly."""
+        rows, k, n = side.rows[asks], self.score.shape[1], len(names)
+        least, margin = self.score[rows, -1], (unit.shape[1] + 16) * 2.0**-23
+        scores, reach = (buffer[: len(asks) * n].reshape(len(asks), n) for buffer in (self.scores, self.reach))
+        np.greater_equal(np.matmul(side.single[asks], single, out=scores), (least - margin).astype(np.float32)[:, None], out=reach)
+        near = np.flatnonzero(reach)
+        query, vector = np.divmod(near, n)
+        if len(near) * 8 > len(asks) * n:
+            score = (side.unit[asks] @ unit.T)[query, vector]
+        else:
+            step = max(1, GATHERED // max(1, unit.shape[1]))
+            parts = [np.einsum("ij,ij->i", side.unit[asks[query[i : i + step]]], unit[vector[i : i + step]]) for i in range(0, len(near), step)]
+            score = np.concatenate([np.zeros(0), *parts])
+        level = np.rint(score * 10**RANK_DECIMALS)
+        best = level >= np.rint(least * 10**RANK_DECIMALS)[query]
+        # one number that sorts by query, falling score and place; a place fits 16 bits and a score, from -2 to 2, 32
+        key = np.sort(query[best] << 48 | (2 * 10**RANK_DECIMALS - level[best].astype(np.int64)) << 16 | vector[best])
+        sizes = np.minimum(np.diff(np.searchsorted(key, np.arange(len(asks) + 1) << 48)), k)
+        key = key[_ranges(np.searchsorted(key, np.arange(len(asks)) << 48), sizes)]
+        if not len(key):
+            return
+        vector, score = key & 0xFFFF, (2 * 10**RANK_DECIMALS - (key >> 16 & 0xFFFFFFFF)) / 10**RANK_DECIMALS
+        changed = np.flatnonzero(sizes)
+        line, place = np.repeat(np.arange(len(changed)), sizes[changed]), _ranges(np.zeros(len(changed), np.int64), sizes[changed])
+        new, named = np.full((len(changed), place.max() + 1), -np.inf), np.full((len(changed), place.max() + 1), None, object)
+        new[line, place], named[line, place] = score, names[vector]
+        new, named = np.concatenate([self.score[rows[changed]], new], axis=1), np.concatenate([self.name[rows[changed]], named], axis=1)
+        order = np.argsort(-new, axis=1, kind="stable")
+        new, named = np.take_along_axis(new, order, axis=1), np.take_along_axis(named, order, axis=1)
+        for i in np.flatnonzero(((new[:, 1:] == new[:, :-1]) & (new[:, 1:] > -np.inf)).any(axis=1)).tolist():
+            named[i] = [x for _, _, x in sorted(zip((-new[i]).tolist(), [x is not None for x in named[i]], named[i]), key=lambda x: (x[0], x[1], x[2] or ""))]
+        self.score[rows[changed]], self.name[rows[changed]] = new[:, :k], named[:, :k]
+
+    def hits(self) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(self.ids), ROWS_OUT):
+            query, at = np.nonzero(self.score[i : i + ROWS_OUT] > -np.inf)
+            query = query + i
+            yield pa.RecordBatch.from_arrays(
+                [self.ids.take(pa.array(query)), pa.array(self.name[query, at], pa.string()), pa.array(self.score[query, at])], schema=_HITS_ARROW)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, in a row."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _places(column: pa.Array) -> list[tuple[str | int, np.ndarray]]:
+    """Each value of a column and its rows; rows without a value are left out."""
+    codes = column.dictionary_encode()
+    known = np.flatnonzero(codes.indices.is_valid().to_numpy(zero_copy_only=False))
+    of = codes.indices.take(pa.array(known)).to_numpy(zero_copy_only=False)
+    order = np.argsort(of, kind="stable")
+    cuts = np.searchsorted(of[order], np.arange(len(codes.dictionary) + 1))
+    return [(value, known[order[a:b]]) for value, a, b in zip(codes.dictionary.to_pylist(), cuts.tolist(), cuts[1:].tolist())]
+
+
+def _stored(batch: pa.RecordBatch) -> np.ndarray:
+    return _rows_of(batch["embedding"])
 
 
 def _prepare_queries(queries: DataFrame) -> DataFrame:
@@ -115,9 +194,11 @@ def cosine_top_k(
     v = vectors.select("collection", "chunk_id", F.lower("entity_type").alias("entity_type"), "embedding")
     size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     if size["n"] * (size["d"] or 0) * 8 <= max_query_bytes:
-        hits = _top_k_by_broadcast(q, v, k)
-    else:
-        hits = _top_k_by_fragments(q, v, k, size["n"])
+        return _ranked(_top_k_by_broadcast(q, v, k), k)
+    return _ranked(_top_k_by_fragments(q, v, k), k)
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "chunk_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "chunk_id", "cosine"
@@ -126,34 +207,47 @@ def cosine_top_k(
 
 def _top_k_by_broadcast(q: DataFrame, v: DataFrame, k: int) -> DataFrame:
     """One pass over the stored vectors; the query matrix was checked to be small."""
-    matrix = q.sparkSession.sparkContext.broadcast(q.toPandas())
+    sent = q.sparkSession.sparkContext.broadcast(q.toArrow())
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = _Asked(sent.value, k)
         for batch in batches:
-            best = _merge(best, _block_top_k(matrix.value, batch, k), k)
-        if best is not None:
-            yield best
+            asked.add(batch, _stored)
+        yield from asked.hits()
 
-    return v.mapInPandas(search, _HITS)
+    return v.mapInArrow(search, _HITS)
 
 
-def _top_k_by_fragments(q: DataFrame, v: DataFrame, k: int, n_queries: int) -> DataFrame:
-    """Fragment-and-replicate: each (query part, vector part) cell is one bounded task."""
-    n_vectors = v.count()
-    q_parts = max(1, -(-n_queries // QUERIES_PER_FRAGMENT))
-    v_parts = max(1, -(-n_vectors // VECTORS_PER_FRAGMENT))
-    left = q.withColumn("qp", F.pmod(F.xxhash64("query_id"), F.lit(q_parts)).cast("int")).withColumn(
-        "vp", F.explode(F.sequence(F.lit(0), F.lit(v_parts - 1)))
-    )
-    right = v.withColumn("vp", F.pmod(F.xxhash64("chunk_id"), F.lit(v_parts)).cast("int")).withColumn(
-        "qp", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))
-    )
-
-    def search(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-        return _block_top_k(qs, vs, k)
+def _top_k_by_fragments(
+    q: DataFrame, v: DataFrame, k: int, matrix: Callable[[pa.RecordBatch], np.ndarray] = _stored,
+    probe: Callable[[np.ndarray], np.ndarray] | None = None,
+) -> DataFrame:
+    """Fragment-and-replicate within each collection: each (query part, vector part) cell is one bounded task.
 
-    return left.groupBy("qp", "vp").cogroup(right.groupBy("qp", "vp")).applyInPandas(search, _HITS)
+    A row goes to as many cells as the other side has parts in its own collection. Collections of one cell share cells by hash.
+    """
+    count = F.count(F.lit(1))
+    asks = q.groupBy("collection").agg(F.ceil(count / QUERIES_PER_FRAGMENT).cast("int").alias("qs"))
+    holds = v.groupBy("collection").agg(F.ceil(count / VECTORS_PER_FRAGMENT).cast("int").alias("vs"))
+    parts = stored(asks.join(holds, "collection"), "fragments")
+    n_small = max(1, parts.filter("qs = 1 and vs = 1").count() // COLLECTIONS_PER_FRAGMENT)
+    name = F.xxhash64("collection")
+    cell = F.when((F.col("qs") == 1) & (F.col("vs") == 1), F.pmod(name, F.lit(n_small))).otherwise(name).alias("cell")
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = q.join(parts, "collection").select(*q.columns, cell, part("query_id", "qs").alias("qp"), numbers("vs").alias("vp"))
+    # columns of their own, should the queries come from the same table
+    right = v.join(parts, "collection").select(*[F.col(c).alias(c) for c in v.columns], cell, part("chunk_id", "vs").alias("vp"), numbers("qs").alias("qp"))
+
+    def search(qs: pa.Table, vs: pa.Table) -> pa.Table:
+        if not (qs.num_rows and vs.num_rows):
+            return _HITS_ARROW.empty_table()
+        asked = _Asked(qs, k, probe)
+        for batch in vs.combine_chunks().to_batches():
+            asked.add(batch, matrix)
+        return pa.Table.from_batches(list(asked.hits()), _HITS_ARROW)
+
+    return left.groupBy("cell", "qp", "vp").cogroup(right.groupBy("cell", "qp", "vp")).applyInArrow(search, _HITS)
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
