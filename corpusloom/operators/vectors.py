@@ -331,21 +331,21 @@ def approx_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, index: Cod
     centres, step, probe = index.centroids
     prepared = _prepare_queries(queries)
 
-    @F.pandas_udf("array<int>")
-    def nearest_lists(embeddings: pd.Series) -> pd.Series:
-        return pd.Series(list(np.argsort(-(_unit(_matrix(embeddings)) @ centres.T), axis=1)[:, :probe].astype(np.int32)) if len(embeddings) else [], dtype="object")
+    def probed(unit: np.ndarray) -> np.ndarray:
+        nearest, marks = np.argsort(-(unit @ centres.T), axis=1)[:, :probe], np.zeros((len(unit), len(centres)), bool)
+        np.put_along_axis(marks, nearest, True, axis=1)
+        return marks
 
-    @F.pandas_udf("array<float>")
-    def decoded(lists: pd.Series, codes: pd.Series) -> pd.Series:
-        rows = np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1) if len(codes) else np.zeros((0, centres.shape[1]))
-        return pd.Series(list((rows * step + centres[lists.to_numpy()]).astype(np.float32)), dtype="object")
+    def decoded(batch: pa.RecordBatch) -> np.ndarray:
+        codes = batch["code"].to_pylist()
+        rows = np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1) if codes else np.zeros((0, centres.shape[1]))
+        return (rows * step + centres[batch["list"].to_numpy()]).astype(np.float32).astype(np.float64)
 
-    named = lambda: F.concat_ws("#", "collection", F.col("list").cast("string"))
     largest = vectors.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     pool = max(k + 2, min(4 * k, int(read_share * largest)))
-    asked = prepared.withColumn("list", F.explode(nearest_lists("embedding"))).withColumn("collection", named()).drop("list")
-    coarse = index.codes.select(named().alias("collection"), "chunk_id", "entity_type", decoded("list", "code").alias("embedding"))
-    near = cosine_top_k(asked, coarse, pool).select("query_id", "chunk_id")
+    # a query meets the codes of its collection once, not once per list: the lists it looks into are told apart in the cell
+    codes = index.codes.select("collection", "chunk_id", F.lower("entity_type").alias("entity_type"), "list", "code")
+    near = _ranked(_top_k_by_fragments(prepared, codes, pool, decoded, probed), pool).select("query_id", "chunk_id")
     own = prepared.select("query_id", "collection", F.col("embedding").alias("q"))
     candidates = near.join(own.select("query_id", "collection"), "query_id")
     read = vectors.select("collection", "chunk_id", F.col("embedding").alias("v")).join(candidates, ["collection", "chunk_id"])
