@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -283,15 +284,20 @@ def coverage_totals(spark, sf):
 @query("coverage_from_files", "SRC7 SRC8 AGG14", """
 SELECT doc_id % 5 AS kind, count(*) AS n, CAST(sum(CASE WHEN doc_id % 5 < 2 THEN n_chars + 1 ELSE 0 END) AS BIGINT) AS statements, bool_and(doc_id % 5 IN (0, 1, 4)) AS available FROM documents GROUP BY 1""")
 def coverage_from_files(spark, sf):
-    """Coverage reports written one to a file and read back as files."""
+    """Coverage reports written one to a file, in many folders, and read back as files."""
     folder = f"{shared_folder(spark)}/coverage-{uuid.uuid4().hex}"
 
     def write(batches):
         store, root = tree.filesystem(folder)
         store.create_dir(root, recursive=True)
+        made = set()
         for batch in batches:
             for run_id, doc in zip(batch.column("run_id").to_pylist(), batch.column("json").to_pylist()):
-                with store.open_output_stream(f"{root}/{run_id}.json") as f:
+                place = f"{root}/{zlib.crc32(str(run_id).encode()) % 1024:03x}"
+                if place not in made:
+                    store.create_dir(place, recursive=True)
+                    made.add(place)
+                with store.open_output_stream(f"{place}/{run_id}.json") as f:
                     f.write(doc.encode())
             yield batch.select(["run_id"])
 
