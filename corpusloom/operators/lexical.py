@@ -32,8 +32,8 @@ TYPE_PRIORITY = {"function": 3, "method": 3, "class": 2, "interface": 2, "type_a
 #: Where a word stands: in text fields, as parts of words too, or, whole, as what the chunk is called.
 SIGNATURE, DOCSTRING, BODY, DECORATOR, EXACT, NAME, PARENT, PATH, HINT = (1 << i for i in range(9))
 WORD = r"[\p{L}\p{N}_]+"
-#: Queries are sent to the tasks up to this size; more meet the chunks fragment by fragment.
-MAX_QUERY_BYTES, MAX_BATCH_BYTES = 64 << 20, 32 << 20
+#: Queries are sent to the tasks up to this size; more in a few parts, each with a pass over the chunks; still more meet them fragment by fragment.
+MAX_QUERY_BYTES, MAX_BATCH_BYTES, MAX_PASSES = 64 << 20, 32 << 20, 8
 QUERIES_PER_FRAGMENT, CHUNKS_PER_FRAGMENT = 20_000, 20_000
 #: Queries whose best chunks a task hands on at once.
 ROWS_OUT = 10_000
@@ -406,14 +406,12 @@ def _best_of_terms(queries: DataFrame, terms: DataFrame, index: Index, k: int, m
     schema = T.StructType([asked.schema["query_id"], *T.StructType.fromDDL("chunk_no bigint, score double, priority int, tokens bigint").fields])
     size = F.aggregate("terms", F.lit(64).cast("long"), lambda n, t: n + 16 + F.octet_length(t["term"]))
     n, n_bytes = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    if n_bytes <= max_query_bytes:
-        sent = queries.sparkSession.sparkContext.broadcast(asked.toArrow())
-
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if sent.value.num_rows:
-                yield from _best_rows(_Asked(sent.value), batches, k)
-
-        ranked = hits.mapInArrow(best, schema)
+    if n_bytes <= MAX_PASSES * max_query_bytes:
+        passes = max(1, -(-n_bytes // max(1, max_query_bytes)))
+        of = F.pmod(F.xxhash64("query_id"), F.lit(passes))
+        ranked = _ranked_by_sent(asked.filter(of == 0), hits, k, schema)
+        for i in range(1, passes):
+            ranked = ranked.unionByName(_ranked_by_sent(asked.filter(of == i), hits, k, schema))
     else:
         # every fragment of the queries meets every fragment of the chunks
         n_queries, n_chunks = -(-n // QUERIES_PER_FRAGMENT), max(1, -(-index.postings.count() // CHUNKS_PER_FRAGMENT))
@@ -431,6 +429,17 @@ def _best_of_terms(queries: DataFrame, terms: DataFrame, index: Index, k: int, m
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("priority", "tokens")
 
 
+def _ranked_by_sent(asked: DataFrame, hits: DataFrame, k: int, schema: T.StructType) -> DataFrame:
+    """One pass over the chunks; the queries' size was checked."""
+    sent = asked.sparkSession.sparkContext.broadcast(asked.toArrow())
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sent.value.num_rows:
+            yield from _best_rows(_Asked(sent.value), batches, k)
+
+    return hits.mapInArrow(best, schema)
+
+
 def _matches() -> Column:
     """``matches`` of a hit row: the query's ``terms`` looked up in the chunk's own columns."""
     text = lambda c: F.lower(F.coalesce(c, F.lit("")))
